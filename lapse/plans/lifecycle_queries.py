@@ -35,15 +35,16 @@ SRC_SPARSE = SRC_ORDERS + " WHERE o_orderstatus = 'F' AND o_orderpriority = '1-U
 SRC_EVENTS = "SELECT user_id AS k, event_id AS o, ts FROM events WHERE event_type = 'purchase'"
 
 
-def _label_ctes(src: str) -> list[tuple[str, str]]:
+def _label_ctes(src: str, p: str = "") -> list[tuple[str, str]]:
+    """Churn-label CTEs over ``src(k, o, ts)``; names get prefix ``p``."""
     return [
-        ("src", src),
-        ("pts", "SELECT k, o, ts, floor((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY k ORDER BY ts, o))) / 86400000000.0) AS gap FROM src"),
-        ("feat", "SELECT k, max(ts) AS last_ts, count(DISTINCT o) AS order_count, quantile_cont(gap, 0.5) AS med FROM pts GROUP BY k"),
-        ("ad", "SELECT max(ts) + INTERVAL 1 DAY AS ad FROM src"),
-        ("thr", "SELECT avg(med) AS threshold FROM feat"),
-        ("lab", "SELECT k, last_ts, order_count, med, threshold, CAST(floor((epoch_us(ad) - epoch_us(last_ts)) / 86400000000.0) AS BIGINT) AS days_since FROM feat, ad, thr"),
-        ("lab2", "SELECT *, CAST(coalesce(days_since > CASE WHEN order_count = 1 OR med IS NULL OR med <= 0 THEN threshold ELSE med * 2.0 END, false) AS INTEGER) AS is_churned FROM lab"),
+        (f"{p}src", src),
+        (f"{p}pts", f"SELECT k, o, ts, floor((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY k ORDER BY ts, o))) / 86400000000.0) AS gap FROM {p}src"),
+        (f"{p}feat", f"SELECT k, max(ts) AS last_ts, count(DISTINCT o) AS order_count, quantile_cont(gap, 0.5) AS med FROM {p}pts GROUP BY k"),
+        (f"{p}ad", f"SELECT max(ts) + INTERVAL 1 DAY AS ad FROM {p}src"),
+        (f"{p}thr", f"SELECT avg(med) AS threshold FROM {p}feat"),
+        (f"{p}lab", f"SELECT k, last_ts, order_count, med, threshold, CAST(floor((epoch_us(ad) - epoch_us(last_ts)) / 86400000000.0) AS BIGINT) AS days_since FROM {p}feat, {p}ad, {p}thr"),
+        (f"{p}lab2", f"SELECT *, CAST(coalesce(days_since > CASE WHEN order_count = 1 OR med IS NULL OR med <= 0 THEN threshold ELSE med * 2.0 END, false) AS INTEGER) AS is_churned FROM {p}lab"),
     ]
 
 
