@@ -1,6 +1,6 @@
 """Imports every query module so that the registry is complete."""
 
-from lapse.plans import fact_queries, lifecycle_queries, report_queries, rfm_queries  # noqa: F401
+from lapse.plans import fact_queries, geo_queries, lifecycle_queries, report_queries, rfm_queries  # noqa: F401
 from lapse.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
