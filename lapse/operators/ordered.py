@@ -23,17 +23,26 @@ from pyspark.sql import functions as F
 from lapse.session import with_scalars
 
 
+_NUMERIC = ("byte", "short", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz")
+
+
 def _bucketed(values: DataFrame, v: str, buckets: int, by: list[str]) -> DataFrame:
+    """Add ``_b``: a bucket id that is non-decreasing in ``v`` within each
+    ``by`` group, equal values always sharing a bucket."""
     if buckets <= 1:
         return values.withColumn("_b", F.lit(0))
+    vtype = dict(values.dtypes)[v]
+    if not (vtype in _NUMERIC or vtype.startswith("decimal")):
+        # Text and other orderable types: range-partition on (by, v) and use
+        # the partition index (range bounds keep equal keys together).
+        return values.repartitionByRange(buckets, *by, v).withColumn("_b", F.spark_partition_id())
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = values.groupBy(*by).agg(
-        F.percentile_approx(F.col(v).cast("double"), probs, 10000).alias("_cuts"))
+    x = F.col(v).cast("double")
+    cuts = values.groupBy(*by).agg(F.percentile_approx(x, probs, 10000).alias("_cuts"))
     # One row of cut points per group; callers group by a bounded set
     # (columns of one table, models), so the broadcast is bounded.
     joined = with_scalars(values, cuts) if not by else values.join(F.broadcast(cuts), by)
-    return (joined.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(v).cast("double"))))
-            .drop("_cuts"))
+    return joined.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < x))).drop("_cuts")
 
 
 def _default_buckets(df: DataFrame) -> int:

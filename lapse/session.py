@@ -88,3 +88,20 @@ def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
     broadcast is bounded by construction whatever the data size.
     """
     return df.crossJoin(F.broadcast(scalars))
+
+
+def ship_by_value(module_name: str) -> None:
+    """Serialise functions of ``module_name`` by value in Python UDFs.
+
+    Workers then need no installed copy of this package: the UDF's code
+    travels with the task (on a cluster ``--py-files`` works as well).
+    """
+    import sys
+
+    from pyspark import cloudpickle
+    mod = sys.modules.get(module_name)
+    if mod is not None:
+        try:
+            cloudpickle.register_pickle_by_value(mod)
+        except ValueError:
+            pass
