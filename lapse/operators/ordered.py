@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapse.session import with_scalars
+from lapse.session import auto_buckets, with_scalars
 
 
 _NUMERIC = ("byte", "short", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz")
@@ -46,7 +46,7 @@ def _bucketed(values: DataFrame, v: str, buckets: int, by: list[str]) -> DataFra
 
 
 def _default_buckets(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+    return auto_buckets(df)
 
 
 def value_counts_cumulative(df: DataFrame, v: str, weight: str | None = None,

@@ -10,6 +10,7 @@ from lapse.operators import clean, profile
 from lapse.operators import lifecycle as lc
 from lapse.plans import fact as fx
 from lapse.plans.lifecycle_queries import _label_ctes
+from lapse.plans.memo import fingerprint, memo
 from lapse.plans.registry import register, with_ctes
 from lapse.sources.roles import Roles
 from lapse.sources.tables import ORDER_TS_COLUMNS, parse_ts
@@ -18,7 +19,10 @@ R6 = 6
 
 
 def fact_parts(spark, sf_dir, preset="notebook"):
-    return fx.order_fact(Roles(spark, sf_dir).tables(), preset)
+    """The order fact for a data folder and preset, built once per input
+    version (see :mod:`lapse.plans.memo`)."""
+    return memo(spark, ("fact", preset, fingerprint(sf_dir)),
+                lambda: fx.order_fact(Roles(spark, sf_dir).tables(), preset))
 
 
 # --- shared oracle CTEs --------------------------------------------------------

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lapse.operators import geo as gx
+from lapse.plans.memo import fingerprint, memo
 from lapse.plans.registry import register, with_ctes
+from lapse.session import materialize
 from lapse.sources.roles import Roles
 
 R6 = 6
@@ -42,12 +44,24 @@ def geo_sql(final, extra=None):
     return with_ctes(GEO_CTES + (extra or []), final, roles=GEO_ROLES)
 
 
+def loaded(spark, sf_dir):
+    """Map points and sales lines, materialised once per input version (the
+    two loaders the map view reuses for every selection)."""
+    def build():
+        r = Roles(spark, sf_dir)
+        geo = materialize(gx.geo_points(r.geolocation()), "geo_points")
+        sales = materialize(gx.sales_lines(r.orders(), r.order_items(), r.customers(), r.order_reviews())
+                            .select("order_id", "price", "freight_value", "review_id", "customer_state",
+                                    "customer_city", gx.CUST_PREFIX3), "sales_lines")
+        return geo, sales
+    return memo(spark, ("geo", fingerprint(sf_dir)), build)
+
+
 def frames(spark, sf_dir, clip=True):
-    r = Roles(spark, sf_dir)
-    geo = gx.geo_points(r.geolocation())
+    geo, sales = loaded(spark, sf_dir)
     if clip:
-        geo = gx.clip_outliers(geo)
-    sales = gx.sales_lines(r.orders(), r.order_items(), r.customers(), r.order_reviews())
+        # the clipped points feed several metrics: compute the cut once
+        geo = materialize(gx.clip_outliers(geo), "geo_clipped")
     return geo, sales
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from lapse.operators import report as rp
 from lapse.plans import fact as fx
 from lapse.plans.fact_queries import fact_parts, fact_sql
+from lapse.plans.memo import fingerprint, memo
 from lapse.plans.registry import register
+from lapse.session import materialize
 from lapse.plans.rfm_queries import rfm_frames, rfm_sql
 
 R6 = 6
@@ -15,9 +17,12 @@ MI_COLS = fx.MODEL_INPUT_COLUMNS
 
 
 def app_model_input(spark, sf_dir):
-    """The app's analysis table: fact + RFM, model columns, no NULLs."""
-    parts, r = rfm_frames(spark, sf_dir, "app")
-    return fx.model_input(parts.fact, r)
+    """The app's analysis table: fact + RFM, model columns, no NULLs (G5),
+    materialised once per input version."""
+    def build():
+        parts, r = rfm_frames(spark, sf_dir, "app")
+        return materialize(fx.model_input(parts.fact, r), "model_input")
+    return memo(spark, ("model_input", fingerprint(sf_dir)), build)
 
 
 def mi_sql(final, extra=None):

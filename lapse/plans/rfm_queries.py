@@ -8,20 +8,26 @@ from lapse.functions.rfm import SCORE_PROBS, SEGMENT_RULES, TIER_DEFAULT, TIER_R
 from lapse.operators import lifecycle as lc
 from lapse.operators import rfm as rf
 from lapse.plans.fact_queries import fact_parts, fact_sql
+from lapse.plans.memo import fingerprint, memo
 from lapse.plans.registry import register
+from lapse.session import materialize
 
 R6 = 6
 
 
 def rfm_frames(spark, sf_dir, preset="notebook"):
     """(parts, rfm) for a preset: notebook = calendar recency on approval
-    dates; app = elapsed days from the order base's analysis date."""
+    dates; app = elapsed days from the order base's analysis date. The RFM
+    table is materialised once per input version."""
     parts = fact_parts(spark, sf_dir, preset)
-    if preset == "notebook":
-        r = rf.rfm(parts.fact)
-    else:
-        r = rf.rfm(parts.fact, recency="elapsed_purchase", analysis_date=lc.analysis_date(parts.merge1))
-    return parts, r
+
+    def build():
+        if preset == "notebook":
+            r = rf.rfm(parts.fact)
+        else:
+            r = rf.rfm(parts.fact, recency="elapsed_purchase", analysis_date=lc.analysis_date(parts.merge1))
+        return materialize(r, f"rfm_{preset}")
+    return parts, memo(spark, ("rfm", preset, fingerprint(sf_dir)), build)
 
 
 def _score_case(x, cuts, ascending):

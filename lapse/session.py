@@ -108,3 +108,23 @@ def ship_by_value(module_name: str) -> None:
             cloudpickle.register_pickle_by_value(mod)
         except ValueError:
             pass
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of ``df``'s optimised plan (no job runs)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001
+        return None
+
+
+def auto_buckets(df: DataFrame, target_bytes: int = 64 << 20) -> int:
+    """Number of range buckets for order-dependent work on ``df``: about
+    one per ``target_bytes`` of input, at most the shuffle partition count,
+    at least 1. Small inputs need no split; large ones are spread so that no
+    single key (customer, value) makes one task hold a large share of rows."""
+    cap = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    size = estimated_bytes(df)
+    if size is None:
+        return cap
+    return max(1, min(cap, -(-size // target_bytes)))
