@@ -45,3 +45,11 @@ def category_profile(df: DataFrame, cols: list[str], n: int = 3) -> DataFrame:
     ranked = counts.withColumn("rank", F.row_number().over(w))
     distinct = counts.groupBy("column_name").agg(F.count("*").alias("distinct_values"))
     return ranked.where(F.col("rank") <= n).join(distinct, "column_name")
+
+
+def group_column_counts(df: DataFrame, keys: list[str], cols: list[str] | None = None) -> DataFrame:
+    """Non-NULL count of each column per group, long form
+    ``(*keys, column_name, non_null)`` (E15); one aggregation."""
+    cols = cols or [c for c in df.columns if c not in keys]
+    wide = df.groupBy(*keys).agg(*[F.count(c).alias(c) for c in cols])
+    return wide.unpivot(keys, cols, "column_name", "non_null")

@@ -168,3 +168,13 @@ def q_combo_share(spark, sf_dir):
     "FROM rfm GROUP BY ROLLUP (F, Segment, Score)"))
 def q_segment_hierarchy(spark, sf_dir):
     return rf.segment_hierarchy(rfm_frames(spark, sf_dir)[1], ["F", "Segment", "Score"])
+
+
+GCC_COLS = ["customer_unique_id", "Recency", "Frequency", "MonetaryValue", "R", "F", "M", "RFM_Segment", "RFM_Score"]
+
+
+@register("group_column_counts", rfm_sql(" UNION ALL ".join(
+    f"SELECT Segment, '{c}' AS column_name, CAST(count({c}) AS BIGINT) AS non_null FROM rfm GROUP BY Segment" for c in GCC_COLS)))
+def q_group_column_counts(spark, sf_dir):
+    from lapse.operators.profile import group_column_counts
+    return group_column_counts(rfm_frames(spark, sf_dir)[1], ["Segment"], GCC_COLS)
