@@ -65,13 +65,13 @@ def q_churn_by_state_customers(spark, sf_dir):
     return c.select("customer_state", F.round("churn_rate", R6).alias("churn_rate"), "n")
 
 
-@register("churn_by_state_category", rfm_sql(
+@register("churn_by_state_category", mi_sql(
     "SELECT customer_state, product_category_name, round(avg(is_churned), 6) AS churn_rate, CAST(count(*) AS BIGINT) AS n "
-    "FROM fact WHERE customer_state IS NOT NULL AND product_category_name IS NOT NULL AND is_churned IS NOT NULL "
-    "GROUP BY customer_state, product_category_name", "app"))
+    "FROM mi GROUP BY customer_state, product_category_name"))
 def q_churn_by_state_category(spark, sf_dir):
-    parts = fact_parts(spark, sf_dir, "app")
-    c = rp.churn_by(parts.fact, ["customer_state", "product_category_name"])
+    """Heat-map data: the app groups its analysis table (nulls already
+    dropped) by state and category."""
+    c = rp.churn_by(app_model_input(spark, sf_dir), ["customer_state", "product_category_name"])
     return c.select("customer_state", "product_category_name", F.round("churn_rate", R6).alias("churn_rate"), "n")
 
 

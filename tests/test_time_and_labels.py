@@ -89,3 +89,14 @@ def test_slice_values_events_sf001(spark):
     lab = lc.churn_labels(events_input(spark, SF_MID))
     r = lab.agg(F.count("*").alias("n"), F.first("threshold").alias("t"), F.avg("is_churned").alias("rate")).first()
     assert r.n == 150 and abs(r.t - 1.1067) < 1e-4 and abs(r.rate - 0.326667) < 1e-6
+
+
+def test_slice_values_sparse_sf001(spark):
+    """Survey 7.2: status F + 1-URGENT orders at sf0.01 -> 722 customers,
+    threshold 744.7818, 502 fallback customers, churn rate 0.544321."""
+    from lapse.plans.lifecycle_queries import orders_input
+    lab = lc.churn_labels(orders_input(spark, SF_MID, sparse=True))
+    fallback = (F.col("order_count") == 1) | F.col("median_interval_days").isNull() | (F.col("median_interval_days") <= 0)
+    r = lab.agg(F.count("*").alias("n"), F.first("threshold").alias("t"), F.count_if(fallback).alias("fb"),
+                F.avg("is_churned").alias("rate")).first()
+    assert r.n == 722 and abs(r.t - 744.7818) < 1e-4 and r.fb == 502 and abs(r.rate - 0.544321) < 1e-6
