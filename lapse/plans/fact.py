@@ -8,11 +8,14 @@ Two presets reproduce the two reference programs:
   duplicates); only products without a category are dropped; unparsable
   dates become NULL.
 
-Plan notes: every join after the customer join is keyed on ``order_id`` and
-the duplicate removals group on column sets that contain the join key, so
-they reuse the join's hash partitioning instead of shuffling the fanned-out
-rows again. Dimension joins (sellers, translation) carry no broadcast hint:
-they grow with the data, so AQE decides from measured sizes.
+Plan notes: the reference removes duplicates after its key joins. For
+equi/left joins on a key, distinct(A ⟕ B ⟕ C) = distinct(A) ⟕ distinct(B) ⟕
+distinct(C) (an output row is its input rows side by side), so each input is
+deduplicated first, on its own narrower rows, and the fanned-out fact is
+never shuffled for a duplicate check. Nothing after the ``order_id`` joins
+needs their partitioning, so AQE's skew join may split a hot order.
+Dimension joins (sellers, translation) carry no broadcast hint: they grow
+with the data, so AQE decides from measured sizes.
 """
 
 from __future__ import annotations
@@ -86,12 +89,15 @@ def translate_categories(products: DataFrame, translation: DataFrame,
 def product_items(products: DataFrame, items: DataFrame, sellers: DataFrame) -> DataFrame:
     """products ⟕ items on product_id, duplicates removed, ⟕ sellers.
 
-    Products without any item keep a NULL ``order_id`` and can never meet an
-    order downstream; they stay here to keep the step's own row set.
+    Deduplicating both sides before the join gives the same rows as
+    deduplicating the joined rows (see module notes) and keeps a hot product
+    splittable. Products without any item keep a NULL ``order_id`` and can
+    never meet an order downstream; they stay to keep the step's row set.
     """
-    m2 = products.join(items.select("order_id", "seller_id", "product_id", "price"),
-                       "product_id", "left").dropDuplicates()
-    return m2.join(sellers.select("seller_id", "seller_city", "seller_state"), "seller_id", "left")
+    it = items.select("order_id", "seller_id", "product_id", "price").dropDuplicates()
+    m2 = products.dropDuplicates().join(it, "product_id", "left")
+    return m2.join(sellers.select("seller_id", "seller_city", "seller_state").dropDuplicates(),
+                   "seller_id", "left")
 
 
 def delivery_metrics(df: DataFrame) -> DataFrame:
@@ -143,10 +149,11 @@ def order_fact(tables: dict[str, DataFrame], preset: str = "notebook",
         items = clean.drop_incomplete(items)
     m3 = product_items(products, items, tables["sellers"])
 
-    pay = tables["order_payments"].select("order_id", "payment_type", "payment_installments", "payment_value")
-    m5 = (labeled.join(m3, "order_id", "left")
-          .join(pay, "order_id", "left")
-          .dropDuplicates())
+    pay = (tables["order_payments"].select("order_id", "payment_type", "payment_installments", "payment_value")
+           .dropDuplicates())
+    m5 = (labeled.dropDuplicates()
+          .join(m3, "order_id", "left")
+          .join(pay, "order_id", "left"))
     m5 = clean.drop_incomplete(m5, ["product_id", "payment_type"])
     fact = delivery_metrics(clean.valid_event_order(m5))
     if materialize_mode:
