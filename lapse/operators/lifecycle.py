@@ -42,12 +42,32 @@ def analysis_date(df: DataFrame, ts: str = TS, days: int = 1) -> DataFrame:
 
 
 def order_gaps(df: DataFrame, customer: str = CUSTOMER, order: str = ORDER,
-               ts: str = TS) -> DataFrame:
+               ts: str = TS, buckets: int | None = None) -> DataFrame:
     """Row-level gap to the previous row of the same customer, floored days
-    (F1). Ties on the timestamp are ordered by the order key. This is the
-    per-row view; aggregates use :func:`gap_histogram`, which is skew-safe."""
-    w = Window.partitionBy(customer).orderBy(as_ts(ts), F.col(order))
-    return df.withColumn("gap_days", elapsed_days(ts, F.lag(as_ts(ts)).over(w)))
+    (F1); ties on the timestamp are ordered by the order key.
+
+    With ``buckets`` > 1 (default: sized from the input, see module notes)
+    ``lag`` runs within ``(customer, time bucket)`` and the first row of a
+    bucket takes the last time of the customer's previous non-empty bucket,
+    so a customer with a large share of rows is spread over many tasks."""
+    if buckets is None:
+        buckets = auto_buckets(df)
+    t = as_ts(ts)
+    if buckets <= 1:
+        w = Window.partitionBy(customer).orderBy(t, F.col(order))
+        return df.withColumn("gap_days", elapsed_days(ts, F.lag(t).over(w)))
+    valid = F.col(customer).isNotNull() & F.col(ts).isNotNull()
+    good = _time_buckets(df.where(valid).withColumn("_t", t), "_t", buckets)
+    w_in = Window.partitionBy(customer, "_bucket").orderBy("_t", F.col(order))
+    good = good.withColumn("_prev", F.lag("_t").over(w_in))
+    last = good.groupBy(customer, "_bucket").agg(F.max("_t").alias("_last"))
+    w_b = Window.partitionBy(customer).orderBy("_bucket")
+    last = last.select(customer, "_bucket", F.lag("_last").over(w_b).alias("_prev_last"))
+    good = (good.join(last, [customer, "_bucket"], "left")
+            .withColumn("gap_days", elapsed_days("_t", F.coalesce("_prev", "_prev_last")))
+            .drop("_t", "_prev", "_prev_last", "_bucket"))
+    rest = df.where(~valid).withColumn("gap_days", F.lit(None).cast("bigint"))
+    return good.unionByName(rest)
 
 
 def _time_buckets(points: DataFrame, ts_col: str, buckets: int) -> DataFrame:

@@ -136,3 +136,17 @@ def segment_hierarchy(df: DataFrame, levels: list[str] | None = None) -> DataFra
     levels = levels or ["Cluster", "Segment", "Score"]
     return df.rollup(*levels).agg(F.count("*").alias("Count"),
                                   F.grouping_id().alias("level_id"))
+
+
+# Caption layout of the segment tiles.
+CAPTION_COUNT_LABEL = "Количество: "  # "Count: "
+
+
+def segment_caption(shares: DataFrame, key: str = "Segment", count_col: str = "Count",
+                    percent_col: str = "percent") -> DataFrame:
+    """Tile caption '<segment><br>Количество: <count><br><percent>%' with the
+    percent rounded half-even to one digit (B23, T25)."""
+    pct = F.bround(F.col(percent_col), 1).cast("string")
+    return shares.withColumn("display_text", F.concat(
+        F.col(key), F.lit("<br>" + CAPTION_COUNT_LABEL), F.col(count_col).cast("string"),
+        F.lit("<br>"), pct, F.lit("%")))

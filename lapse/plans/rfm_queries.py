@@ -178,3 +178,12 @@ GCC_COLS = ["customer_unique_id", "Recency", "Frequency", "MonetaryValue", "R",
 def q_group_column_counts(spark, sf_dir):
     from lapse.operators.profile import group_column_counts
     return group_column_counts(rfm_frames(spark, sf_dir)[1], ["Segment"], GCC_COLS)
+
+
+@register("segment_caption", rfm_sql(
+    "SELECT Segment, Count, Segment || '<br>Количество: ' || CAST(Count AS VARCHAR) || '<br>' || "
+    "CAST(round_even(percent, 1) AS VARCHAR) || '%' AS display_text FROM (SELECT Segment, CAST(count(*) AS BIGINT) AS Count, "
+    "count(*) * 100.0 / sum(count(*)) OVER () AS percent FROM rfm GROUP BY Segment)"))
+def q_segment_caption(spark, sf_dir):
+    s = rf.segment_caption(rf.group_share(rfm_frames(spark, sf_dir)[1], ["Segment"]))
+    return s.select("Segment", "Count", "display_text")

@@ -100,3 +100,15 @@ def test_slice_values_sparse_sf001(spark):
     r = lab.agg(F.count("*").alias("n"), F.first("threshold").alias("t"), F.count_if(fallback).alias("fb"),
                 F.avg("is_churned").alias("rate")).first()
     assert r.n == 722 and abs(r.t - 744.7818) < 1e-4 and r.fb == 502 and abs(r.rate - 0.544321) < 1e-6
+
+
+def test_row_gaps_bucketed_equal_plain(spark):
+    rnd = random.Random(21)
+    base = dt.datetime(2022, 1, 1)
+    data = [("hot", f"h{i}", base + dt.timedelta(hours=rnd.randint(0, 24 * 300))) for i in range(900)]
+    data += [(f"c{c}", f"c{c}_{j}", base + dt.timedelta(days=rnd.randint(0, 300))) for c in range(200) for j in range(3)]
+    data += [("hot", "dup", data[5][2]), (None, "x", base), ("c1", "y", None)]
+    df = spark.createDataFrame(data, "customer_unique_id string, order_id string, order_purchase_timestamp timestamp")
+    a = {(r.customer_unique_id, r.order_id): r.gap_days for r in lc.order_gaps(df, buckets=12).collect()}
+    b = {(r.customer_unique_id, r.order_id): r.gap_days for r in lc.order_gaps(df, buckets=1).collect()}
+    assert a == b and len(a) == len(data)
