@@ -31,3 +31,24 @@ def fixed_sum(c, digits: int = 6) -> Column:
     """
     scale = 10 ** digits
     return (F.sum(F.round(col(c) * F.lit(float(scale))).cast("bigint")) / F.lit(float(scale)))
+
+
+def count_below(cuts, value, n_cuts: int) -> Column:
+    """Number of elements of the sorted array ``cuts`` that are < ``value``
+    (a lower-bound binary search), in ⌈log2(n_cuts+1)⌉ + 1 steps of an
+    ``aggregate`` over a fixed sequence: O(log n) per row instead of a linear
+    scan over the cut points."""
+    import math
+    steps = max(1, math.ceil(math.log2(n_cuts + 1)) + 1)
+    arr, v = col(cuts), col(value)
+
+    def step(acc, _i):
+        lo, hi = acc["lo"], acc["hi"]
+        mid = F.floor((lo + hi) / 2).cast("int")
+        below = F.element_at(arr, mid + 1) < v
+        moved = F.when(below, F.struct((mid + 1).alias("lo"), hi.alias("hi"))).otherwise(
+            F.struct(lo.alias("lo"), mid.alias("hi")))
+        return F.when(lo < hi, moved).otherwise(acc)
+
+    init = F.struct(F.lit(0).alias("lo"), F.size(arr).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda acc: acc["lo"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapse.operators.stats import normalize_rfm, zscore
@@ -56,10 +56,12 @@ def kmeans_labels(df: DataFrame, cols: list[str], k: int = 4, seed: int = 42,
     model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features",
                    predictionCol="_raw").fit(_assembled(df, cols))
     lab = model.transform(_assembled(df, cols)).drop("features")
-    means = lab.groupBy("_raw").agg(F.avg(rank_by).alias("_m"))
-    order = means.withColumn(out, (F.row_number().over(Window.orderBy(F.desc("_m"), "_raw")) - 1).cast("int"))
-    # ``means`` has k rows: the window and the broadcast are bounded by k.
-    lab = lab.join(F.broadcast(order.select("_raw", out)), "_raw").drop("_raw")
+    # k cluster means (k numbers, like the k centres the model already holds
+    # on the driver) decide the new ids; applied as a literal map.
+    means = lab.groupBy("_raw").agg(F.avg(rank_by).alias("_m")).collect()
+    ranked = sorted(means, key=lambda r: (-(r["_m"] if r["_m"] is not None else float("-inf")), r["_raw"]))
+    mapping = F.create_map(*[x for i, r in enumerate(ranked) for x in (F.lit(r["_raw"]), F.lit(i))])
+    lab = lab.withColumn(out, F.element_at(mapping, F.col("_raw")).cast("int")).drop("_raw")
     return lab, [list(c) for c in model.clusterCenters()]
 
 

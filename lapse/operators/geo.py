@@ -87,7 +87,7 @@ def filter_region(geo: DataFrame, sales: DataFrame, state: str | None = None, ci
 def clip_outliers(df: DataFrame, cols=("x", "y"), lo: float = 0.001, hi: float = 0.999,
                   method: str = "exact") -> DataFrame:
     """Keep rows between the ``lo`` and ``hi`` quantiles of every column,
-    borders included (C7). Cut points are one broadcast row."""
+    borders included (C7). Cut points are scalar subqueries."""
     cols = list(cols)
     q = quantile_row(quantiles(df, cols, [lo, hi], method), cols, [lo, hi])
     cond = None
@@ -120,9 +120,14 @@ def _order_totals(sales: DataFrame, with_freight: bool = False) -> DataFrame:
 
 
 def geo_avg_ticket(geo: DataFrame, sales: DataFrame) -> DataFrame:
-    """Mean order total per prefix on each point."""
-    per = (_order_totals(sales).where(F.col(CUST_PREFIX3).isNotNull())
-           .groupBy(CUST_PREFIX3).agg(F.avg("price").alias("avg_ticket")))
+    """Mean order total per prefix on each point.
+
+    Totals are summed in integer micro-units and divided once, so the mean
+    is the same double whatever order partial sums arrive in."""
+    micro = F.round(F.col("price") * F.lit(1e6)).cast("bigint")
+    totals = sales.groupBy("order_id").agg(F.sum(micro).alias("_pm"), F.min(CUST_PREFIX3).alias(CUST_PREFIX3))
+    per = (totals.where(F.col(CUST_PREFIX3).isNotNull()).groupBy(CUST_PREFIX3)
+           .agg((F.sum("_pm") / F.count("*") / F.lit(1e6)).alias("avg_ticket")))
     return attach_prefix_metric(geo, per)
 
 
@@ -150,7 +155,7 @@ def geo_headline(revenue: DataFrame, avg_ticket: DataFrame, freight: DataFrame,
     b = rev.agg(F.sum("revenue").alias("revenue_total"))
     c = avg_ticket.agg(F.avg("avg_ticket").alias("mean_ticket"))
     d = freight.agg(F.avg("freight_ratio").alias("mean_freight_ratio"))
-    return a.crossJoin(b).crossJoin(c).crossJoin(d)
+    return with_scalars(with_scalars(with_scalars(a, b), c), d)
 
 
 def raster_mean(df: DataFrame, x: str, y: str, v: str, width: int = 50, height: int = 25,

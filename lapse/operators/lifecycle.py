@@ -19,8 +19,8 @@ Scale design
 * The median per customer is ``percentile(gap, 0.5, count)`` over the gap
   histogram, so its buffer is bounded by distinct gap values (whole days),
   not by the customer's row count.
-* Scalars (analysis date, threshold) are one-row aggregates attached with a
-  broadcast cross join.
+* Scalars (analysis date, threshold) are one-row aggregates attached as
+  scalar subqueries (evaluated once, used as constants).
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapse.functions.time import as_ts, elapsed_days, plus_days
+from lapse.functions.util import count_below
 from lapse.session import auto_buckets, with_scalars
 
 CUSTOMER = "customer_unique_id"
@@ -77,7 +78,7 @@ def _time_buckets(points: DataFrame, ts_col: str, buckets: int) -> DataFrame:
     cuts = points.agg(
         F.percentile_approx(F.unix_micros(ts_col), probs, 10000).alias("_cuts"))
     return (with_scalars(points, cuts)
-            .withColumn("_bucket", F.size(F.filter("_cuts", lambda b: b < F.unix_micros(ts_col))))
+            .withColumn("_bucket", count_below("_cuts", F.unix_micros(ts_col), buckets - 1))
             .drop("_cuts"))
 
 
@@ -164,7 +165,7 @@ def repeat_customers(df: DataFrame, customer: str = CUSTOMER, order: str = ORDER
         F.count_distinct(order).alias("n_orders"))
     rep = per.agg(F.count_if(F.col("n_orders") > 1).alias("repeat_customers"))
     rows = df.agg(F.count("*").alias("order_rows"))
-    return (rep.crossJoin(rows)
+    return (with_scalars(rep, rows)
             .withColumn("repeat_share_pct",
                         F.col("repeat_customers") / F.col("order_rows") * 100))
 

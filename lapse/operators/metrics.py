@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lapse.functions.util import safe_div
 from lapse.operators.ordered import value_counts_cumulative
+from lapse.session import with_scalars
 
 
 def confusion(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
@@ -74,7 +75,7 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "score") -> Dat
     cp = value_counts_cumulative(pn, "_s", weight="pos", descending=True).select("_s", F.col("cum_before").alias("pa"))
     cn = value_counts_cumulative(pn, "_s", weight="neg", descending=True).select("_s", F.col("cum_before").alias("na"))
     tot = pn.agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    pts = (pn.join(cp, "_s").join(cn, "_s").crossJoin(F.broadcast(tot))
+    pts = (with_scalars(pn.join(cp, "_s").join(cn, "_s"), tot)
            .select(F.col("_s").alias("threshold"),
                    ((F.col("na") + F.col("neg")) / F.col("_N")).alias("fpr"),
                    ((F.col("pa") + F.col("pos")) / F.col("_P")).alias("tpr")))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lapse.operators.metrics import classification_metrics, roc_auc
 from lapse.operators.ordered import value_counts_cumulative
-from lapse.session import materialize
+from lapse.session import materialize, with_scalars
 
 # Model features (the app adds RFM_Score to the numeric list).
 NUMERIC_FEATURES = ["payment_value", "review_score", "price", "product_weight_g", "approval_delay"]
@@ -56,7 +56,7 @@ def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
     tot = c.agg(F.sum("n_c").alias("_n"), F.count("*").alias("_k"),
                 F.sum(F.when(F.col(label) == 0, F.col("n_c"))).alias("_n0"),
                 F.sum(F.when(F.col(label) == 1, F.col("n_c"))).alias("_n1"))
-    return (c.crossJoin(F.broadcast(tot))
+    return (with_scalars(c, tot)
             .select(label, "n_c", (F.col("_n") / (F.col("_k") * F.col("n_c"))).alias("balanced_weight"),
                     (F.col("_n0") / F.col("_n1")).alias("pos_weight")))
 
@@ -158,7 +158,7 @@ def feature_importance(model: PipelineModel, n: int = 20, numeric: list[str] = N
 def evaluate(scored: DataFrame, label: str = LABEL) -> DataFrame:
     """Metrics row of a scored frame: J24 metrics plus ROC-AUC."""
     s = scored.withColumn("label", F.col(label).cast("int"))
-    return classification_metrics(s).crossJoin(roc_auc(s, "label", "score"))
+    return with_scalars(classification_metrics(s), roc_auc(s, "label", "score"))
 
 
 def compare_models(df: DataFrame, kinds=("logistic", "tree", "forest", "boosted"),

@@ -8,7 +8,7 @@ so instead:
    aggregation before the shuffle; a value held by a third of the rows is one
    row afterwards);
 2. distinct values are cut into ``buckets`` ranges at approximate quantiles
-   (one-row broadcast of cut points, deterministic bucket function);
+   (cut points as a scalar subquery, deterministic bucket function);
 3. bucket totals (``buckets`` rows) get prefix offsets in a tiny window;
 4. within each bucket a window ordered by value adds the running count.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapse.functions.util import count_below
 from lapse.session import auto_buckets, with_scalars
 
 
@@ -42,7 +43,7 @@ def _bucketed(values: DataFrame, v: str, buckets: int, by: list[str]) -> DataFra
     # One row of cut points per group; callers group by a bounded set
     # (columns of one table, models), so the broadcast is bounded.
     joined = with_scalars(values, cuts) if not by else values.join(F.broadcast(cuts), by)
-    return joined.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < x))).drop("_cuts")
+    return joined.withColumn("_b", count_below("_cuts", x, buckets - 1)).drop("_cuts")
 
 
 def _default_buckets(df: DataFrame) -> int:
@@ -86,28 +87,32 @@ def value_counts_cumulative(df: DataFrame, v: str, weight: str | None = None,
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                     buckets: int | None = None) -> DataFrame:
     """Linearly interpolated quantiles (as ``percentile``), long form
-    ``(column_name, p, value)``; exact and distributed. All columns go
-    through one pass: they are unpivoted to ``(column_name, v)`` first."""
-    spark = df.sparkSession
+    ``(column_name, p, value)``; exact and distributed.
+
+    All columns go through one pass (unpivoted to ``(column_name, v)``).
+    The value at 0-based rank r is the largest distinct value whose
+    ``cum_before`` is ≤ r, so each probability needs two conditional ``max``
+    aggregates over the cumulative table: one aggregation, no join on ranks.
+    """
     long = df.select([F.col(c).cast("double").alias(c) for c in cols]).unpivot(
         [], cols, "column_name", "v")
-    cum = value_counts_cumulative(long, "v", by=["column_name"], buckets=buckets).select(
-        "column_name", "v", "cnt", "cum_before")
-    ps = spark.createDataFrame([(float(p),) for p in probs], "p double")
-    n = long.where(F.col("v").isNotNull()).groupBy("column_name").agg(F.count("*").alias("n"))
-    pos = (n.crossJoin(F.broadcast(ps)).withColumn("h", F.col("p") * (F.col("n") - 1))
-           .withColumn("lo", F.floor("h")).withColumn("hi", F.ceil("h")))
-    # |columns| x |probs| positions against the cumulative table: the
-    # positions are the broadcast side, the cumulative table is only scanned.
-    def at(rank):
-        sel = F.broadcast(pos.select(F.col("column_name").alias("_c"), "p", rank))
-        return cum.join(sel, (F.col("column_name") == F.col("_c")) & (F.col("cum_before") <= F.col(rank))
-                        & (F.col(rank) < F.col("cum_before") + F.col("cnt")))
-    lo = at("lo").select("column_name", "p", F.col("v").alias("v_lo"))
-    hi = at("hi").select("column_name", "p", F.col("v").alias("v_hi"))
-    return (pos.join(lo, ["column_name", "p"]).join(hi, ["column_name", "p"])
-            .select("column_name", "p",
-                    (F.col("v_lo") + (F.col("h") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo"))).alias("value")))
+    cum = value_counts_cumulative(long, "v", by=["column_name"], buckets=buckets)
+    n = cum.groupBy("column_name").agg(F.sum("cnt").alias("_n"))
+    # one row per column of the input: a bounded broadcast
+    j = cum.join(F.broadcast(n), "column_name")
+    aggs = [F.first("_n").alias("_n")]
+    for i, p in enumerate(probs):
+        h = F.lit(float(p)) * (F.col("_n") - 1)
+        aggs += [F.max(F.when(F.col("cum_before") <= F.floor(h), F.col("v"))).alias(f"_lo{i}"),
+                 F.max(F.when(F.col("cum_before") <= F.ceil(h), F.col("v"))).alias(f"_hi{i}")]
+    row = j.groupBy("column_name").agg(*aggs)
+    items = []
+    for i, p in enumerate(probs):
+        h = F.lit(float(p)) * (F.col("_n") - 1)
+        val = F.col(f"_lo{i}") + (h - F.floor(h)) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))
+        items.append(F.struct(F.lit(float(p)).alias("p"), val.alias("value")))
+    return (row.select("column_name", F.explode(F.array(*items)).alias("_q"))
+            .select("column_name", "_q.p", "_q.value"))
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], method: str = "exact",

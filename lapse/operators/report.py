@@ -78,7 +78,7 @@ def value_share(df: DataFrame, c: str) -> DataFrame:
     """Share of each value of ``c`` in percent of non-null rows."""
     g = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
     total = g.agg(F.sum("n").alias("_t"))
-    return with_scalars(g, total).withColumn("percent", F.col("n") / F.col("_t") * 100).drop("_t")
+    return with_scalars(g, total).withColumn("percent", F.col("n") * 100.0 / F.col("_t")).drop("_t")
 
 
 def on_time_share(df: DataFrame, delay: str = "delivery_delay") -> DataFrame:
@@ -109,7 +109,7 @@ def histogram(df: DataFrame, c: str, bins: int, by: str | None = None) -> DataFr
     """Equal-width histogram between min and max, last bin closed.
 
     Output ``(by?, bin, lower, upper, count)``; empty bins are absent. The
-    extent is a one-row aggregate attached by broadcast.
+    extent is a one-row aggregate attached as scalar subqueries.
     """
     src = df.where(F.col(c).isNotNull())
     ext = src.agg(F.min(c).cast("double").alias("_lo"), F.max(c).cast("double").alias("_hi"))

@@ -127,7 +127,7 @@ def group_share(df: DataFrame, keys: list[str], count_col: str = "Count",
     g = df.groupBy(*keys).agg((F.count("*") / F.lit(divide_by)).cast("bigint").alias(count_col))
     total = g.agg(F.sum(count_col).alias("_total"))
     return (with_scalars(g, total)
-            .withColumn("percent", F.col(count_col) / F.col("_total") * 100).drop("_total"))
+            .withColumn("percent", F.col(count_col) * 100.0 / F.col("_total")).drop("_total"))
 
 
 def segment_hierarchy(df: DataFrame, levels: list[str] | None = None) -> DataFrame:

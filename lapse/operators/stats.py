@@ -303,7 +303,7 @@ def normalize_rfm(rfm: DataFrame, preset: str = "mixed", lambdas: dict | None =
 
 def zscore(df: DataFrame, cols: list[str], suffix: str = "_z", ddof: int = 0) -> DataFrame:
     """(x − mean) / σ with population σ (``ddof=0``), as the reference's
-    scaler (J5, T15). Means and σ are one broadcast row."""
+    scaler (J5, T15). Means and σ are scalar subqueries."""
     sd = F.stddev_pop if ddof == 0 else F.stddev_samp
     st = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols], *[sd(c).alias(f"_s_{c}") for c in cols])
     out = with_scalars(df, st).withColumns({

@@ -23,7 +23,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lapse.functions.text import CATEGORY_CORRECTIONS, correct_labels, normalize_label
 from lapse.functions.time import elapsed_days, elapsed_seconds

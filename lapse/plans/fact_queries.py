@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from lapse.functions.text import correct_labels, normalize_label
 from lapse.functions.time import ts_text
 from lapse.operators import clean, profile
-from lapse.operators import lifecycle as lc
 from lapse.plans import fact as fx
 from lapse.plans.lifecycle_queries import _label_ctes
 from lapse.plans.memo import fingerprint, memo

@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Session defaults: AQE re-plans joins and partition counts at runtime from
 # real shuffle statistics (its broadcast decision is the size check for
@@ -85,12 +84,14 @@ def materialize(df: DataFrame, name: str | None = None, mode: str = "table") ->
 
 
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Attach a one-row frame of scalars to every row of ``df``.
+    """Attach the columns of a one-row frame of scalars to every row of ``df``.
 
-    ``scalars`` must be a global aggregate (exactly one row), so the
-    broadcast is bounded by construction whatever the data size.
+    ``scalars`` must be a global aggregate (exactly one row). Each column
+    becomes a scalar subquery: Spark evaluates the aggregate once (the
+    subqueries over one aggregate are merged), broadcasts the value and uses
+    it as a constant in the row expressions; no join is planned.
     """
-    return df.crossJoin(F.broadcast(scalars))
+    return df.withColumns({c: scalars.select(c).scalar() for c in scalars.columns})
 
 
 def ship_by_value(module_name: str) -> None:

@@ -60,3 +60,15 @@ def test_metrics_zero_denominators(spark):
     df = spark.createDataFrame([(1, 1), (1, 1)], "label int, prediction int")
     m = mt.classification_metrics(df).first()
     assert m.specificity == 0.0 and m.precision == 1.0 and m.accuracy == 1.0
+
+
+def test_count_below_binary_search(spark):
+    from lapse.functions.util import count_below
+    import random as _r
+    rnd = _r.Random(8)
+    for n in (1, 2, 7, 63, 200):
+        cuts = sorted(rnd.choice([rnd.randint(0, 50)] * 3 + [rnd.randint(0, 50)]) for _ in range(n))
+        vals = [rnd.randint(-2, 52) for _ in range(60)] + cuts
+        df = spark.createDataFrame([(v,) for v in vals], "v long").withColumn("c", F.array(*[F.lit(c) for c in cuts]))
+        got = [r.k for r in df.select(count_below("c", "v", n).alias("k")).collect()]
+        assert got == [sum(1 for c in cuts if c < v) for v in vals]
