@@ -97,17 +97,24 @@ def gap_histogram(df: DataFrame, customer: str = CUSTOMER, ts: str = TS,
     # repeats of a (customer, time) point are zero gaps: n - 1 of them
     zeros = points.where(F.col("_n") > 1).select(
         customer, F.lit(0).cast("bigint").alias("gap_days"), (F.col("_n") - 1).alias("n"))
+    one = F.lit(1).cast("bigint").alias("n")
+    if buckets <= 1:
+        # small input: one window per customer, no bucket edges to bridge
+        w = Window.partitionBy(customer).orderBy("_t")
+        inner = (points.withColumn("_prev", F.lag("_t").over(w)).where(F.col("_prev").isNotNull())
+                 .select(customer, elapsed_days("_t", "_prev").alias("gap_days"), one))
+        return inner.unionByName(zeros).groupBy(customer, "gap_days").agg(F.sum("n").alias("n"))
     points = _time_buckets(points, "_t", buckets)
     w_in = Window.partitionBy(customer, "_bucket").orderBy("_t")
     inner = (points.withColumn("_prev", F.lag("_t").over(w_in))
              .where(F.col("_prev").isNotNull())
-             .select(customer, elapsed_days("_t", "_prev").alias("gap_days"), F.lit(1).cast("bigint").alias("n")))
+             .select(customer, elapsed_days("_t", "_prev").alias("gap_days"), one))
     edges = points.groupBy(customer, "_bucket").agg(F.min("_t").alias("_first"),
                                                     F.max("_t").alias("_last"))
     w_edge = Window.partitionBy(customer).orderBy("_bucket")
     across = (edges.withColumn("_prev", F.lag("_last").over(w_edge))
               .where(F.col("_prev").isNotNull())
-              .select(customer, elapsed_days("_first", "_prev").alias("gap_days"), F.lit(1).cast("bigint").alias("n")))
+              .select(customer, elapsed_days("_first", "_prev").alias("gap_days"), one))
     return (inner.unionByName(across).unionByName(zeros)
             .groupBy(customer, "gap_days").agg(F.sum("n").alias("n")))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -51,16 +52,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared lineage-cut folder named by the cluster.
 
     Read from ``spark.checkpoint.dir``; only when it is unset (local tests)
-    a scratch folder is created and registered.
+    a scratch folder is created. The RDD checkpoint folder of the context is
+    registered once, for ``DataFrame.checkpoint``.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext._jsc.sc().getCheckpointDir()
-        d = d.get() if d.isDefined() else None
     if not d:
         d = tempfile.mkdtemp(prefix="lapse-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    jsc = spark.sparkContext._jsc.sc()
+    if not jsc.getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(d)
     return d
 
 
@@ -80,9 +81,32 @@ def materialize(df: DataFrame, name: str | None = None, mode: str = "table") ->
         return df.checkpoint(eager=True)
     path = os.path.join(base, f"{name or 'table'}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.parquet(path)
 
 
+# Tables written by ``materialize`` in this process; removed (and only they)
+# when the application ends, so intermediates do not pile up in the shared
+# checkpoint folder.
+_WRITTEN: list[str] = []
+
+
+@atexit.register
+def _remove_materialized() -> None:
+    from pyspark import SparkContext
+    sc = SparkContext._active_spark_context
+    if sc is None or not _WRITTEN:
+        return
+    try:
+        conf = sc._jsc.hadoopConfiguration()
+        for p in _WRITTEN:
+            path = sc._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+    except Exception:  # noqa: BLE001  (best effort at shutdown)
+        pass
+    _WRITTEN.clear()
+
+
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
     """Attach the columns of a one-row frame of scalars to every row of ``df``.
 
