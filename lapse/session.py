@@ -153,3 +153,26 @@ def auto_buckets(df: DataFrame, target_bytes: int = 64 << 20) -> int:
     if size is None:
         return cap
     return max(1, min(cap, -(-size // target_bytes)))
+
+
+def scale_conf(input_bytes: int, partition_bytes: int = 256 << 20, max_partitions: int = 100_000) -> dict:
+    """Settings sized for an input of ``input_bytes`` (pass to
+    :func:`get_session` as ``extra``, or to spark-submit).
+
+    * scan splits and post-shuffle partitions of ``partition_bytes`` (256 MB
+      of compressed parquet is ~1 GB in memory, comfortable for a 4-8 GB
+      executor core slice);
+    * shuffle partitions = input / partition size (AQE coalesces the small
+      ones and splits skewed join partitions above 4x the median);
+    * broadcast joins chosen by AQE from measured sizes up to 64 MB.
+    """
+    n = max(200, min(max_partitions, -(-int(input_bytes) // partition_bytes)))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
