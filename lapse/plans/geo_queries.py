@@ -60,8 +60,9 @@ def loaded(spark, sf_dir):
 def frames(spark, sf_dir, clip=True):
     geo, sales = loaded(spark, sf_dir)
     if clip:
-        # the clipped points feed several metrics: compute the cut once
-        geo = materialize(gx.clip_outliers(geo), "geo_clipped")
+        # whole-region clip: a function of the inputs only, computed once
+        geo = memo(spark, ("geo_clipped", fingerprint(sf_dir)),
+                   lambda: materialize(gx.clip_outliers(geo), "geo_clipped"))
     return geo, sales
 
 
