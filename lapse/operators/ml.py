@@ -86,7 +86,9 @@ def preprocessor(numeric: list[str], categorical: list[str]) -> list:
         VectorAssembler(inputCols=numeric, outputCol="_num", handleInvalid="keep"),
         StandardScaler(inputCol="_num", outputCol="_num_s", withMean=True, withStd=True),
         StringIndexer(inputCols=cat_txt, outputCols=idx, handleInvalid="keep", stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="keep"),
+        # the indexer puts unseen values at its last index; dropLast removes
+        # that slot, so an unseen value becomes the all-zero vector
+        OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True),
         VectorAssembler(inputCols=["_num_s"] + ohe, outputCol="features"),
     ]
 
