@@ -5,7 +5,6 @@ import math
 import random
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from lapse.functions.rfm import rfm_segment, value_tier
 from lapse.operators import rfm as rf

@@ -32,10 +32,6 @@ def test_parse_strict_and_coerce(spark):
         parse_ts(df, ["t"], "strict").collect()
 
 
-def _orders(rows):
-    return rows
-
-
 def test_churn_label_branches(spark):
     # customer a: one order, long idle -> global threshold
     # customer b: two rows of one order (two reviews) -> median 0 -> fallback
