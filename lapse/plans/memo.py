@@ -17,15 +17,41 @@ from pyspark.sql import SparkSession
 _MEMO: dict = {}
 
 
+def _hadoop_status(path: str):
+    """(bytes, files, latest modification ms) of a file or folder through the
+    Hadoop FileSystem API (local, HDFS, object stores); None if unavailable."""
+    from pyspark import SparkContext
+    sc = SparkContext._active_spark_context
+    if sc is None:
+        return None
+    try:
+        jp = sc._jvm.org.apache.hadoop.fs.Path(path)
+        fs = jp.getFileSystem(sc._jsc.hadoopConfiguration())
+        if not fs.exists(jp):
+            return (None, None, None)
+        cs = fs.getContentSummary(jp)
+        latest, it = 0, fs.listFiles(jp, True)
+        while it.hasNext():
+            latest = max(latest, it.next().getModificationTime())
+        return (cs.getLength(), cs.getFileCount(), latest)
+    except Exception:  # noqa: BLE001
+        return None
+
+
 def fingerprint(sf_dir: str, tables=("customer", "nation", "orders", "lineitem", "part", "supplier")) -> tuple:
+    """Version key of the input tables: size, file count and latest
+    modification time of each (folders and remote stores included)."""
     out = []
     for t in tables:
         p = os.path.join(sf_dir, f"{t}.parquet")
-        try:
-            st = os.stat(p)
-            out.append((p, st.st_size, st.st_mtime_ns))
-        except OSError:
-            out.append((p, None, None))
+        st = _hadoop_status(p)
+        if st is None:
+            try:
+                s = os.stat(p)
+                st = (s.st_size, 1, s.st_mtime_ns)
+            except OSError:
+                st = (None, None, None)
+        out.append((p, *st))
     return tuple(out)
 
 
