@@ -52,3 +52,10 @@ def count_below(cuts, value, n_cuts: int) -> Column:
 
     init = F.struct(F.lit(0).alias("lo"), F.size(arr).alias("hi"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda acc: acc["lo"])
+
+
+def fixed_mean(c, digits: int = 6) -> Column:
+    """Mean of values that are exact at ``digits`` decimals (money, counts),
+    summed as integers and divided once: independent of summation order."""
+    scale = float(10 ** digits)
+    return (F.sum(F.round(col(c) * F.lit(scale)).cast("bigint")) / F.count(col(c)) / F.lit(scale))

@@ -8,6 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lapse.functions.util import fixed_mean
 from lapse.operators.stats import normalize_rfm, zscore
 from lapse.session import materialize, with_scalars
 
@@ -109,21 +110,29 @@ def cluster_customers(rfm: DataFrame, k: int = 4, seed: int = 42, lambdas: dict
     return lab
 
 
-def cluster_profile(df: DataFrame, cluster: str = "Cluster", cols=MEASURES) -> DataFrame:
-    """Mean of each measure and customer count per cluster."""
-    return df.groupBy(cluster).agg(*[F.avg(c).alias(f"mean_{c}") for c in cols],
+def _mean(c, exact_digits):
+    return fixed_mean(c, exact_digits) if exact_digits is not None else F.avg(c)
+
+
+def cluster_profile(df: DataFrame, cluster: str = "Cluster", cols=MEASURES,
+                    exact_digits: int | None = 6) -> DataFrame:
+    """Mean of each measure and customer count per cluster (E12). RFM
+    measures are exact at 6 decimals (days, counts, money), so means are
+    taken in fixed point (``exact_digits=None`` for a plain float mean)."""
+    return df.groupBy(cluster).agg(*[_mean(c, exact_digits).alias(f"mean_{c}") for c in cols],
                                    F.count("*").alias("Count"))
 
 
 def relative_importance(df: DataFrame, cluster: str = "Cluster", cols=MEASURES,
-                        population: str = "all", key: str = CUSTOMER) -> DataFrame:
+                        population: str = "all", key: str = CUSTOMER,
+                        exact_digits: int | None = 6) -> DataFrame:
     """Cluster mean ÷ population mean − 1 per measure.
 
     ``population='all'`` uses every row; ``'first5'`` the five rows with
     the smallest key, as the reference's ``head()`` did (T14)."""
     pop_src = df if population == "all" else df.orderBy(key).limit(5)
-    pop = pop_src.agg(*[F.avg(c).alias(f"_p_{c}") for c in cols])
-    cl = df.groupBy(cluster).agg(*[F.avg(c).alias(f"_c_{c}") for c in cols])
+    pop = pop_src.agg(*[_mean(c, exact_digits).alias(f"_p_{c}") for c in cols])
+    cl = df.groupBy(cluster).agg(*[_mean(c, exact_digits).alias(f"_c_{c}") for c in cols])
     return with_scalars(cl, pop).select(
         cluster, *[(F.col(f"_c_{c}") / F.col(f"_p_{c}") - 1).alias(c) for c in cols])
 

@@ -57,7 +57,12 @@ def q_assign_centers(spark, sf_dir):
     return fixed_clusters(spark, sf_dir).select("customer_unique_id", "Cluster", F.round("distance", R6).alias("distance"))
 
 
-@register("cluster_profile", cl_sql("SELECT Cluster, " + ", ".join(f"round(avg({c}), 6) AS mean_{c}" for c in rf.MEASURES)
+def _fm(c):
+    """Fixed-point mean, the SQL twin of ``fixed_mean``."""
+    return f"CAST(sum(CAST(round({c} * 1000000.0) AS BIGINT)) AS DOUBLE) / count({c}) / 1000000.0"
+
+
+@register("cluster_profile", cl_sql("SELECT Cluster, " + ", ".join(f"round({_fm(c)}, 6) AS mean_{c}" for c in rf.MEASURES)
                                     + ", CAST(count(*) AS BIGINT) AS Count FROM cl GROUP BY Cluster"))
 def q_cluster_profile(spark, sf_dir):
     p = cl.cluster_profile(fixed_clusters(spark, sf_dir))
@@ -65,7 +70,7 @@ def q_cluster_profile(spark, sf_dir):
 
 
 @register("relative_importance", cl_sql(
-    "SELECT Cluster, " + ", ".join(f"round(avg({c}) / (SELECT avg({c}) FROM cl) - 1, 6) AS {c}" for c in rf.MEASURES)
+    "SELECT Cluster, " + ", ".join(f"round({_fm(c)} / (SELECT {_fm(c)} FROM cl) - 1, 6) AS {c}" for c in rf.MEASURES)
     + " FROM cl GROUP BY Cluster"))
 def q_relative_importance(spark, sf_dir):
     r = cl.relative_importance(fixed_clusters(spark, sf_dir))
@@ -73,7 +78,7 @@ def q_relative_importance(spark, sf_dir):
 
 
 @register("relative_importance_first5", cl_sql(
-    "SELECT Cluster, " + ", ".join(f"round(avg({c}) / (SELECT avg({c}) FROM (SELECT * FROM cl ORDER BY customer_unique_id LIMIT 5)) - 1, 6) AS {c}"
+    "SELECT Cluster, " + ", ".join(f"round({_fm(c)} / (SELECT {_fm(c)} FROM (SELECT * FROM cl ORDER BY customer_unique_id LIMIT 5)) - 1, 6) AS {c}"
                                    for c in rf.MEASURES) + " FROM cl GROUP BY Cluster"))
 def q_relative_importance_first5(spark, sf_dir):
     r = cl.relative_importance(fixed_clusters(spark, sf_dir), population="first5")
