@@ -59,3 +59,11 @@ def fixed_mean(c, digits: int = 6) -> Column:
     summed as integers and divided once: independent of summation order."""
     scale = float(10 ** digits)
     return (F.sum(F.round(col(c) * F.lit(scale)).cast("bigint")) / F.count(col(c)) / F.lit(scale))
+
+
+def round_half_away(c, digits: int = 6) -> Column:
+    """``round(x * 10^d) / 10^d`` in floating point: the same operations an
+    SQL engine's double ``round`` performs, so equal doubles give equal
+    results even on exact decimal ties (used for compared outputs)."""
+    scale = float(10 ** digits)
+    return F.round(col(c) * F.lit(scale)) / F.lit(scale)

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapse.functions.util import col
+from lapse.functions.util import col, fixed_mean, fixed_sum
 from lapse.operators.ordered import quantile_row, quantiles
 from lapse.session import with_scalars
 
@@ -152,17 +152,19 @@ def geo_headline(revenue: DataFrame, avg_ticket: DataFrame, freight: DataFrame,
     if dedupe:
         rev = revenue.select(PREFIX3, "revenue").dropDuplicates([PREFIX3])
     a = revenue.agg(F.count("*").alias("points"))
-    b = rev.agg(F.sum("revenue").alias("revenue_total"))
+    b = rev.agg(fixed_sum("revenue").alias("revenue_total"))  # money: exact sum
     c = avg_ticket.agg(F.avg("avg_ticket").alias("mean_ticket"))
     d = freight.agg(F.avg("freight_ratio").alias("mean_freight_ratio"))
     return with_scalars(with_scalars(with_scalars(a, b), c), d)
 
 
 def raster_mean(df: DataFrame, x: str, y: str, v: str, width: int = 50, height: int = 25,
-                extent: tuple | None = None) -> DataFrame:
+                extent: tuple | None = None, exact_digits: int | None = None) -> DataFrame:
     """Mean of ``v`` on a ``width`` x ``height`` grid over the point extent
     (E27). Cells are ``least(floor((x-xmin)/(xmax-xmin)*w), w-1)``; points
-    outside a given extent are dropped; empty cells are absent."""
+    outside a given extent are dropped; empty cells are absent.
+    ``exact_digits`` takes the mean in fixed point for values exact at that
+    many decimals (money), independent of summation order."""
     src = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     if extent is None:
         ext = src.agg(F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1"))
@@ -177,4 +179,5 @@ def raster_mean(df: DataFrame, x: str, y: str, v: str, width: int = 50, height:
         return F.when(span == 0, F.lit(0)).otherwise(
             F.least(F.floor((F.col(c) - F.col(lo)) / span * F.lit(n)), F.lit(n - 1))).cast("int")
     g = j.withColumns({"col": cell(x, "_x0", "_x1", width), "row": cell(y, "_y0", "_y1", height)})
-    return g.groupBy("col", "row").agg(F.avg(v).alias("mean"), F.count(v).alias("n"))
+    mean = fixed_mean(v, exact_digits) if exact_digits is not None else F.avg(v)
+    return g.groupBy("col", "row").agg(mean.alias("mean"), F.count(v).alias("n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lapse.functions.util import round_half_away
 from lapse.operators import geo as gx
 from lapse.plans.memo import fingerprint, memo
 from lapse.plans.registry import register, with_ctes
@@ -21,7 +22,7 @@ GEO_CTES = [
         f"CAST(substr(geolocation_zip_code_prefix, 1, {n}) AS INTEGER) AS geolocation_zip_code_prefix_{n}_digits" for n in range(1, 5))
      + f" FROM r_geolocation WHERE geolocation_lat <= {B['lat_max']} AND geolocation_lng >= {B['lng_min']} "
        f"AND geolocation_lat >= {B['lat_min']} AND geolocation_lng <= {B['lng_max']}"),
-    ("geo", "SELECT *, geolocation_lng * pi() * 6378137.0 / 180.0 AS x, ln(tan((90.0 + geolocation_lat) * pi() / 360.0)) * 6378137.0 AS y FROM g0"),
+    ("geo", "SELECT *, geolocation_lng * (pi() * 6378137.0 / 180.0) AS x, ln(tan((90.0 + geolocation_lat) * (pi() / 360.0))) * 6378137.0 AS y FROM g0"),
     ("gq", "SELECT quantile_cont(x, 0.001) AS x0, quantile_cont(x, 0.999) AS x1, quantile_cont(y, 0.001) AS y0, quantile_cont(y, 0.999) AS y1 FROM geo"),
     ("geoc", "SELECT geo.* FROM geo, gq WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1"),
     ("sales", "SELECT o.order_id, i.price, i.freight_value, r.review_id, c.customer_state, c.customer_city, "
@@ -134,20 +135,24 @@ def q_geo_freight_ratio(spark, sf_dir):
 
 
 @register("geo_headline", geo_sql(
-    "SELECT (SELECT CAST(count(*) AS BIGINT) FROM rev) AS points, (SELECT round(sum(revenue), 6) FROM rev) AS revenue_total, "
+    "SELECT (SELECT CAST(count(*) AS BIGINT) FROM rev) AS points, "
+    "(SELECT round(CAST(sum(CAST(round(revenue * 1000000.0) AS BIGINT)) AS DOUBLE) / 1000000.0 * 1000000.0) / 1000000.0 FROM rev) AS revenue_total, "
     "(SELECT round(avg(avg_ticket), 6) FROM tick) AS mean_ticket, (SELECT round(avg(freight_ratio), 6) FROM frt) AS mean_freight_ratio"))
 def q_geo_headline(spark, sf_dir):
     geo, sales = frames(spark, sf_dir)
     h = gx.geo_headline(gx.geo_revenue(geo, sales), gx.geo_avg_ticket(geo, sales), gx.geo_freight_ratio(geo, sales))
-    return h.select("points", *[F.round(c, R6).alias(c) for c in ("revenue_total", "mean_ticket", "mean_freight_ratio")])
+    return h.select("points", round_half_away("revenue_total").alias("revenue_total"),
+                    *[F.round(c, R6).alias(c) for c in ("mean_ticket", "mean_freight_ratio")])
 
 
 @register("raster_mean", geo_sql(
-    "SELECT col, row, round(avg(revenue), 3) AS mean, CAST(count(revenue) AS BIGINT) AS n FROM ("
+    "SELECT col, row, round(CAST(sum(CAST(round(revenue * 1000000.0) AS BIGINT)) AS DOUBLE) / count(revenue) / 1000000.0 * 1000000.0) / 1000000.0 AS mean, "
+    "CAST(count(revenue) AS BIGINT) AS n FROM ("
     "SELECT revenue, CAST(CASE WHEN x1 = x0 THEN 0 ELSE least(floor((x - x0) / (x1 - x0) * 50), 49) END AS INTEGER) AS col, "
     "CAST(CASE WHEN y1 = y0 THEN 0 ELSE least(floor((y - y0) / (y1 - y0) * 25), 24) END AS INTEGER) AS row "
     "FROM rev, (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM rev) e) GROUP BY col, row"))
 def q_raster_mean(spark, sf_dir):
     geo, sales = frames(spark, sf_dir)
-    r = gx.raster_mean(gx.geo_revenue(geo, sales), "x", "y", "revenue", 50, 25)
-    return r.select("col", "row", F.round("mean", 3).alias("mean"), "n")
+    # revenue is money in thousands (exact at 6 decimals): fixed-point mean
+    r = gx.raster_mean(gx.geo_revenue(geo, sales), "x", "y", "revenue", 50, 25, exact_digits=6)
+    return r.select("col", "row", round_half_away("mean").alias("mean"), "n")
