@@ -25,3 +25,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_rows(table(spark, sf_dir, "documents"), "doc_id", shards=24)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+@_register
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources by weights 1, 2, 3 takes from every document."""
+    from lapse.llm.mixing import mix_sources
+    out = mix_sources(table(spark, sf_dir, "documents"), "doc_id", "source")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "mix_shard")
