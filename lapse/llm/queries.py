@@ -33,3 +33,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lapse.llm.mixing import mix_sources
     out = mix_sources(table(spark, sf_dir, "documents"), "doc_id", "source")
     return out.select("doc_id", "size", "source_size", "target", "taken", "mix_shard")
+
+
+@_register
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    from lapse.llm.secrets import scan_secrets
+    return scan_secrets(table(spark, sf_dir, "documents"), "doc_id").drop("findings")
