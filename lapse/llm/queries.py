@@ -40,3 +40,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document."""
     from lapse.llm.secrets import scan_secrets
     return scan_secrets(table(spark, sf_dir, "documents"), "doc_id").drop("findings")
+
+
+@_register
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and near-duplicate component of every document."""
+    from lapse.llm.simhash import simhash_groups
+    return simhash_groups(table(spark, sf_dir, "documents"), "doc_id")
