@@ -6,8 +6,7 @@ import os
 import sys
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from lapse.session import checkpoint_dir
 
@@ -31,8 +30,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_or_empty(text: str) -> Column:
-    return F.coalesce(F.col(text), F.lit(""))
+def discard(df: DataFrame) -> None:
+    """Delete a table that :func:`stored` wrote and that nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    for d in {os.path.dirname(f) for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(d)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def worker_memo() -> dict:

@@ -63,3 +63,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     from lapse.llm.toxicity import toxicity
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@_register
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without windows of 13 words that an earlier one has."""
+    from lapse.llm.substring import remove_repeats
+    out = remove_repeats(table(spark, sf_dir, "documents"), "doc_id")
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
