@@ -71,3 +71,11 @@ def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lapse.llm.substring import remove_repeats
     out = remove_repeats(table(spark, sf_dir, "documents"), "doc_id")
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_register
+def op1_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer inner products of every 50th vector with all others."""
+    from lapse.llm.knn import knn_join
+    data = table(spark, sf_dir, "embeddings")
+    return knn_join(data.where(F.col("vec_id") % 50 == 0), data, "vec_id", "embedding", k=5)
