@@ -210,7 +210,8 @@ def contamination(df: DataFrame, items: DataFrame, key: str, item: str, text: st
     rows = df.select(*cols)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
     out = rows.mapInArrow(run, f"{kinds}, n_words long, n_hit long, spans array<struct<from:int,to:int>>, items array<string>")
-    return out.select(F.col("_k").alias(key), "n_words", "n_hit", "spans", "items", *[F.col(f"_c_{c}").alias(c) for c in carry])
+    kept = [F.col(f"_c_{c}").alias(c) for c in carry]
+    return out.select(*([] if key in carry else [F.col("_k").alias(key)]), *kept, "n_words", "n_hit", "spans", "items")
 
 
 def contaminated(coverage: int = 20):

@@ -122,6 +122,7 @@ def mix_sources(df: DataFrame, key: str, source: str, text: str = "text", seed:
     inside = Window.partitionBy("_src", "_b").orderBy("_h", "_k").rowsBetween(Window.unboundedPreceding, -1)
     t = rows.withColumn("_in", F.coalesce(F.sum("_size").over(inside), F.lit(0).cast("long")))
     t = t.join(starts, F.col("_src").eqNullSafe(F.col("_ssrc")) & (F.col("_b") == F.col("_sb")))
+    t = t.drop("_ssrc", "_sb")
     seats, m, bw = F.element_at("upto", -1), F.greatest(F.col("blocks"), F.lit(1)), F.lit(block_words)
     a = F.col("_start") + F.col("_in")
     t = (t.withColumn("_a", a).withColumn("_e", a + F.col("_size"))
@@ -138,5 +139,25 @@ def mix_sources(df: DataFrame, key: str, source: str, text: str = "text", seed:
     seat = F.pmod(F.when(F.col("epochs") > 0, block).otherwise(F.floor((F.col("_a") + F.try_element_at("run.from", F.lit(1))) / block_words).cast("long")) - F.col("_off"), m)
     t = t.withColumn("_seat", F.when(F.col("taken") > 0, seat))
     shard = F.when(F.col("_seat").isNotNull(), F.size(F.filter("upto", lambda u: u <= F.col("_seat"))))
-    return t.select(F.col("_k").alias(key), F.col("_size").alias("size"), "source_size", "target", "taken", "epochs", "run",
-                    shard.cast("int").alias("mix_shard"), *[F.col(f"_c_{c}").alias(c) for c in carry])
+    kept = [F.col(f"_c_{c}").alias(c) for c in carry] if key in carry else [F.col("_k").alias(key), *[F.col(f"_c_{c}").alias(c) for c in carry]]
+    return t.select(*kept, F.col("_size").alias("size"), "source_size", "target", "taken", "epochs", "run", shard.cast("int").alias("mix_shard"))
+
+
+def mixed_rows(df: DataFrame, key: str, source: str, text: str = "text", length: str | None = None, **mix) -> DataFrame:
+    """The mix as rows with the columns of ``df``: a row for every whole copy and for every piece of a document.
+
+    A piece (at the ends of a source's run, some two a source) holds its words
+    joined by single spaces; ``length`` names a column with the characters of
+    the text, which pieces set anew. Documents that give nothing are left out.
+    """
+    t = mix_sources(df, key, source, text, carry=tuple(df.columns), **mix)
+    t = t.select(*df.columns, "size", "epochs", "run")
+    whole = F.array_repeat(F.struct(F.lit(0).cast("long").alias("from"), F.col("size").alias("to")), F.when(F.col("size") > 0, F.col("epochs")).otherwise(0).cast("int"))
+    t = t.withColumn("_part", F.explode(F.concat(whole, F.col("run"))))
+    words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
+    cut = (F.col("_part.to") - F.col("_part.from")) < F.col("size")
+    piece = F.array_join(F.slice(words, (F.col("_part.from") + 1).cast("int"), (F.col("_part.to") - F.col("_part.from")).cast("int")), " ")
+    t = t.withColumn(text, F.when(cut, piece).otherwise(F.col(text)))
+    if length:
+        t = t.withColumn(length, F.when(cut, F.length(text).cast(df.schema[length].dataType)).otherwise(F.col(length)))
+    return t.select(*df.columns)

@@ -46,7 +46,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     from lapse.llm.simhash import simhash_groups
-    return simhash_groups(table(spark, sf_dir, "documents"), "doc_id")
+    return simhash_groups(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "fingerprint", "component_id")
 
 
 @_register
@@ -79,3 +79,18 @@ def op1_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lapse.llm.knn import knn_join
     data = table(spark, sf_dir, "embeddings")
     return knn_join(data.where(F.col("vec_id") % 50 == 0), data, "vec_id", "embedding", k=5)
+
+
+@_register
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as directly addressable codes and read back."""
+    import public_tokenizers
+    from lapse.llm.tokens import tokenize_table
+    return tokenize_table(table(spark, sf_dir, "documents"), "doc_id", public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_register
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance of every document for the text marked as good, and the Gumbel top-k draw."""
+    from lapse.llm.quality import resample
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")

@@ -53,15 +53,15 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(df: DataFrame, key: str, text: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(``key``, ``fp`` as signed long) of every row."""
+    """(``k``, ``h``: hash of the text, ``fp`` as signed long) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), shingle, seed) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["k", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps)], names=["k", "h", "fp"])
 
     ship_by_value(__name__)
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"k {kind}, fp long")
+    return df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.xxhash64(text).alias("h")).mapInArrow(run, f"k {kind}, h long, fp long")
 
 
 def ball_links(fps: DataFrame, distance: int = 2) -> DataFrame:
@@ -108,7 +108,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def simhash_groups(df: DataFrame, key: str, text: str = "text", shingle: int = 3, distance: int = 2, seed: int = 42) -> DataFrame:
-    """``key``, ``fingerprint`` (16 hex digits) and ``component_id`` of every row.
+    """``key``, ``fingerprint`` (16 hex digits), ``component_id``, ``root`` (smallest fingerprint of the component) and ``text_hash`` of every row.
 
     Rows are linked if their fingerprints differ in at most ``distance`` bits;
     ``component_id`` is the smallest key that a row reaches, itself included.
@@ -124,6 +124,18 @@ def simhash_groups(df: DataFrame, key: str, text: str = "text", shingle: int = 3
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = stored(named, "roots")
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = stored(named.join(ids, "root").select("fp", "component_id"), "classes")
+    classes = stored(named.join(ids, "root").select("fp", "root", "component_id"), "classes")
     # one hot fingerprint may hold a third of the rows: the stored class table leaves this join to be split
-    return fps.join(classes, "fp").select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(classes, "fp").select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                                          "component_id", "root", F.col("h").alias("text_hash"))
+
+
+def keep_one(df: DataFrame, key: str, text: str = "text", shingle: int = 3, distance: int = 2, seed: int = 42) -> DataFrame:
+    """The rows of ``df`` that stay: of each component the row with the smallest key (null last; of several texts the
+    one with the smallest hash; of repeated rows one). All columns are kept; the texts are shuffled once."""
+    groups = simhash_groups(df, key, text, shingle, distance, seed)
+    chosen = (groups.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy("root", key).agg(F.min("text_hash").alias("_h"))
+                    .select(F.xxhash64(key, "_h").alias("_row"), "_h").distinct())
+    rows = df.withColumn("_h", F.xxhash64(text)).withColumn("_row", F.xxhash64(key, "_h"))
+    first = Window.partitionBy("_row", "_h").orderBy("_row")
+    return rows.join(chosen, ["_row", "_h"]).withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*df.columns)

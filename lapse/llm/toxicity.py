@@ -192,6 +192,6 @@ def toxicity(df: DataFrame, labels: DataFrame, key: str, text: str = "text", lab
     they came in; without labels the score is one half for all.
     """
     model = train_toxicity(df, labels.where(fold(key) != held_out), key, text, label, **fit)
-    out = score_toxicity(df, model, text, (key, *[c for c in carry if c != key]))
+    out = score_toxicity(df, model, text, (key, *[c for c in carry if c != key]))  # names of ``carry`` must differ from the new ones
     return out.select(F.col(key), (fold(key) == held_out).alias("held_out"), "score",
                       (F.col("score") >= threshold).cast("int").alias("predicted"), *[c for c in carry if c != key])
