@@ -8,8 +8,9 @@ All stages but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lapse.llm.common import stored, table
+from lapse.llm.common import boxed, stored, table
 from lapse.llm.decontaminate import contaminated, contamination
 from lapse.llm.mixing import mixed_rows
 from lapse.llm.sharding import shard_rows
@@ -21,8 +22,8 @@ SHARDS = 24
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject."""
-    scored = toxicity(docs, table(spark, sf_dir, "labels"), "doc_id", carry=tuple(docs.columns))
-    return scored.where("predicted = 0").select(*docs.columns)
+    scored = toxicity(boxed(docs, "doc_id", "text"), table(spark, sf_dir, "labels"), "doc_id", carry=("row",))
+    return scored.where("predicted = 0").select("row.*")
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +33,8 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth lies in windows of benchmark items."""
-    marked = contamination(docs, table(spark, sf_dir, "benchmark"), "doc_id", "item_id", carry=tuple(docs.columns))
-    return marked.where(~contaminated()).select(*docs.columns)
+    marked = contamination(boxed(docs, "doc_id", "text"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", carry=("row",))
+    return marked.where(~contaminated()).select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +43,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A uniform shuffle into shards of equal row counts, with the place of each row."""
-    return shard_rows(docs, "doc_id", SHARDS, carry=tuple(c for c in docs.columns if c != "doc_id"))
+    """A uniform shuffle into shards of equal row counts: the documents with ``shard`` and ``slot`` (in place of columns of that name)."""
+    placed = shard_rows(boxed(docs, "doc_id", "text"), "doc_id", SHARDS, carry=("row",))
+    return placed.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ("shard", "slot")], "shard", "slot")
 
 
 STAGES = [

@@ -7,6 +7,7 @@ import sys
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lapse.session import checkpoint_dir
 
@@ -30,6 +31,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def boxed(df: DataFrame, *names: str) -> DataFrame:
+    """``row`` (a struct of all columns of ``df``) and the named columns: whatever else ``df`` has clashes with nothing."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[F.col(c) for c in names])
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that :func:`stored` wrote and that nothing reads any more."""
     jvm = df.sparkSession._jvm

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lapse.llm.common import worker_memo
 from lapse.session import ship_by_value
@@ -208,8 +209,8 @@ def contamination(df: DataFrame, items: DataFrame, key: str, item: str, text: st
     ship_by_value("lapse.llm.common")
     cols = [F.col(text).cast("string").alias("_t"), F.col(key).alias("_k"), *[F.col(c).alias(f"_c_{c}") for c in carry]]
     rows = df.select(*cols)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    out = rows.mapInArrow(run, f"{kinds}, n_words long, n_hit long, spans array<struct<from:int,to:int>>, items array<string>")
+    found = T.StructType.fromDDL("n_words long, n_hit long, spans array<struct<from:int,to:int>>, items array<string>")
+    out = rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], *found.fields]))
     kept = [F.col(f"_c_{c}").alias(c) for c in carry]
     return out.select(*([] if key in carry else [F.col("_k").alias(key)]), *kept, "n_words", "n_hit", "spans", "items")
 

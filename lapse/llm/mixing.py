@@ -22,9 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapse.llm.common import WORD, stored
+from lapse.llm.common import WORD, boxed, stored
 
-_ALL = Window.partitionBy(F.lit(0))  # over tables of one row per source
+def _all():
+    """Over tables of one row per source."""
+    return Window.partitionBy(F.lit(0))
 
 
 def source_targets(sizes: DataFrame, source: str, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
@@ -44,11 +46,11 @@ def source_targets(sizes: DataFrame, source: str, weights: tuple[int, ...] = (1,
     full = Window.partitionBy(F.lit(0)).orderBy(F.col("_cap") / F.col("weight"), F.col(source).asc_nulls_last())
     before = full.rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast(dec)
-    t = (t.withColumn("_left", F.sum(F.col("source_size").cast(dec)).over(_ALL) - F.coalesce(F.sum("_cap").over(before), zero))
-          .withColumn("_wleft", F.sum("weight").over(_ALL) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
+    t = (t.withColumn("_left", F.sum(F.col("source_size").cast(dec)).over(_all()) - F.coalesce(F.sum("_cap").over(before), zero))
+          .withColumn("_wleft", F.sum("weight").over(_all()) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
           .withColumn("_full", F.col("_cap").cast("double") * F.col("_wleft") < F.col("_left").cast("double") * F.col("weight")))
     # the first source in order that is not full sees the level for all the rest
-    level = F.max(F.when(~F.col("_full"), F.struct(F.col("_wleft"), F.col("_left")))).over(_ALL)
+    level = F.max(F.when(~F.col("_full"), F.struct(F.col("_wleft"), F.col("_left")))).over(_all())
     return (t.withColumn("_level", level)
              .select(source, "source_size", "weight",
                      F.when(F.col("_full"), F.col("_cap").cast("double"))
@@ -63,11 +65,11 @@ def block_quotas(targets: DataFrame, source: str, block_words: int = 16, shards:
     and x (n + s/2) / n, rounded; only the quotients between those bounds, some
     two a source and shard, are ranked.
     """
-    total = F.sum("target").over(_ALL)
+    total = F.sum("target").over(_all())
     t = (targets.withColumn("blocks", F.ceil(F.col("source_size") / block_words))
                 .withColumn("_pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col(source).asc_nulls_last())))
                 .withColumn("_house", F.ceil(total / block_words)).withColumn("_total", total)
-                .withColumn("_s", F.sum((F.col("target") > 0).cast("int")).over(_ALL) / 2))
+                .withColumn("_s", F.sum((F.col("target") > 0).cast("int")).over(_all()) / 2))
     t = t.withColumn("_shard", F.explode(F.sequence(F.lit(1), F.lit(shards))))
     n = F.floor(F.col("_house").cast("decimal(38,0)") * F.col("_shard") / shards).cast("long")
     t = t.withColumn("_n", n).withColumn("_x", F.when(F.col("target") > 0, F.col("target") * F.col("_n") / F.col("_total")).otherwise(0.0))
@@ -150,14 +152,14 @@ def mixed_rows(df: DataFrame, key: str, source: str, text: str = "text", length:
     joined by single spaces; ``length`` names a column with the characters of
     the text, which pieces set anew. Documents that give nothing are left out.
     """
-    t = mix_sources(df, key, source, text, carry=tuple(df.columns), **mix)
-    t = t.select(*df.columns, "size", "epochs", "run")
+    t = mix_sources(boxed(df, key, source, text), key, source, text, carry=("row",), **mix)
     whole = F.array_repeat(F.struct(F.lit(0).cast("long").alias("from"), F.col("size").alias("to")), F.when(F.col("size") > 0, F.col("epochs")).otherwise(0).cast("int"))
-    t = t.withColumn("_part", F.explode(F.concat(whole, F.col("run"))))
-    words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
-    cut = (F.col("_part.to") - F.col("_part.from")) < F.col("size")
-    piece = F.array_join(F.slice(words, (F.col("_part.from") + 1).cast("int"), (F.col("_part.to") - F.col("_part.from")).cast("int")), " ")
-    t = t.withColumn(text, F.when(cut, piece).otherwise(F.col(text)))
+    t = t.withColumn("part", F.explode(F.concat(whole, F.col("run"))))
+    n = F.col("part.to") - F.col("part.from")
+    words = F.regexp_extract_all(F.col("row")[text], F.lit(WORD), F.lit(0))
+    piece = F.array_join(F.slice(words, (F.col("part.from") + 1).cast("int"), n.cast("int")), " ")
+    cut = F.col("row").withField(f"`{text}`", piece)
     if length:
-        t = t.withColumn(length, F.when(cut, F.length(text).cast(df.schema[length].dataType)).otherwise(F.col(length)))
-    return t.select(*df.columns)
+        cut = cut.withField(f"`{length}`", F.length(piece).cast(df.schema[length].dataType))
+    t = t.select(F.when(n < F.col("size"), cut).otherwise(F.col("row")).alias("row"))
+    return t.select("row.*")

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lapse.llm.common import stored
 from lapse.session import ship_by_value
@@ -81,8 +82,7 @@ def importance(df: DataFrame, text: str, ratios: np.ndarray, carry: tuple[str, .
 
     ship_by_value(__name__)
     rows = df.select(F.col(text).cast("string").alias("_t"), *[F.col(c).alias(f"_c_{c}") for c in carry])
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
-    out = rows.mapInArrow(run, f"{kinds}_w double")
+    out = rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], T.StructField("_w", T.DoubleType())]))
     return out.select(*[F.col(f"_c_{c}").alias(c) for c in carry], F.col("_w").alias("log_weight"))
 
 

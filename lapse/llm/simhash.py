@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapse.llm.common import stored
+from lapse.llm.common import boxed, stored
 from lapse.session import ship_by_value
 
 BITS = 64
@@ -136,6 +136,6 @@ def keep_one(df: DataFrame, key: str, text: str = "text", shingle: int = 3, dist
     groups = simhash_groups(df, key, text, shingle, distance, seed)
     chosen = (groups.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy("root", key).agg(F.min("text_hash").alias("_h"))
                     .select(F.xxhash64(key, "_h").alias("_row"), "_h").distinct())
-    rows = df.withColumn("_h", F.xxhash64(text)).withColumn("_row", F.xxhash64(key, "_h"))
+    rows = boxed(df, key, text).select("row", F.xxhash64(text).alias("_h"), F.xxhash64(key, F.xxhash64(text)).alias("_row"))
     first = Window.partitionBy("_row", "_h").orderBy("_row")
-    return rows.join(chosen, ["_row", "_h"]).withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*df.columns)
+    return rows.join(chosen, ["_row", "_h"]).withColumn("_n", F.row_number().over(first)).where("_n = 1").select("row.*")
