@@ -65,7 +65,9 @@ def ngram_counts(df: DataFrame, text: str, group: str, buckets: int) -> np.ndarr
 
 
 def log_ratios(counts: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
-    """log p / q by feature: p from target rows (row 1), q from all rows."""
+    """log p / q by feature: p from target rows (row 1), q from all rows; without a target 0."""
+    if not counts[1].any():
+        return np.zeros(counts.shape[1])
     p, q = counts[1] + smoothing, counts.sum(axis=0) + smoothing
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
