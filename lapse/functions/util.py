@@ -15,22 +15,17 @@ def safe_div(num, den) -> Column:
     return F.coalesce(F.try_divide(col(num).cast("double"), col(den).cast("double")), F.lit(0.0))
 
 
-def nan_to_null(c) -> Column:
-    """Spark ``avg`` skips NULL but not NaN; never let NaN into an aggregate."""
-    c = col(c)
-    return F.when(F.isnan(c), F.lit(None)).otherwise(c)
-
-
 def fixed_sum(c, digits: int = 6) -> Column:
-    """Sum of a double in fixed point (integer micro-units), cast back.
+    """Sum of a double in fixed point (whole micro-units as decimals, wide
+    enough for any sum of money), cast back.
 
-    Integer addition is associative, so the result does not depend on the
+    Decimal addition is associative, so the result does not depend on the
     order partial sums arrive in: a recomputed partition (lost executor) or a
     second evaluation in the same plan yields the same bits, which keeps
     comparisons against quantiles of the same sums consistent.
     """
     scale = 10 ** digits
-    return (F.sum(F.round(col(c) * F.lit(float(scale))).cast("bigint")) / F.lit(float(scale)))
+    return (F.sum(F.round(col(c) * F.lit(float(scale))).cast("decimal(28,0)")).cast("double") / F.lit(float(scale)))
 
 
 def count_below(cuts, value, n_cuts: int) -> Column:
@@ -56,9 +51,9 @@ def count_below(cuts, value, n_cuts: int) -> Column:
 
 def fixed_mean(c, digits: int = 6) -> Column:
     """Mean of values that are exact at ``digits`` decimals (money, counts),
-    summed as integers and divided once: independent of summation order."""
+    summed as whole decimals and divided once: independent of summation order."""
     scale = float(10 ** digits)
-    return (F.sum(F.round(col(c) * F.lit(scale)).cast("bigint")) / F.count(col(c)) / F.lit(scale))
+    return (F.sum(F.round(col(c) * F.lit(scale)).cast("decimal(28,0)")).cast("double") / F.count(col(c)) / F.lit(scale))
 
 
 def round_half_away(c, digits: int = 6) -> Column:

@@ -81,6 +81,9 @@ def close_labels(df: DataFrame, c: str, cutoff: float = 0.8, n: int = 3) -> Data
     def alpha(length):
         return F.ceil(F.lit(t) * length / F.lit(2.0 - t) - F.lit(1e-9)).cast("int")
     cand = _candidates(labels, alpha)
+    # the empty label has no character to share, but is its own neighbour
+    empty = labels.where("label = ''").select(F.col("label").alias("word"), F.col("label").alias("candidate"))
+    cand = cand.union(empty)
     lw, lc = F.length("word"), F.length("candidate")
     cand = cand.where((lc >= F.lit(t / (2 - t)) * lw - 1e-9) & (lw >= F.lit(t / (2 - t)) * lc - 1e-9))
     scored = cand.withColumn("ratio", sequence_ratio("candidate", "word")).where(F.col("ratio") >= t)
@@ -97,10 +100,16 @@ def labels_with_neighbours(matches: DataFrame) -> DataFrame:
 def close_labels_levenshtein(df: DataFrame, c: str, max_distance: int = 2) -> DataFrame:
     """``(word, candidate, distance)`` for labels within ``max_distance``
     edits (itself included). Same candidate scheme: k edits leave at least
-    max(|a|,|b|) − k characters in common, so α(a) = |a| − k."""
+    max(|a|,|b|) − k characters in common, so α(a) = |a| − k; where that is
+    not positive on both sides, every pair qualifies."""
     labels = _labels(df, c)
     k = int(max_distance)
     cand = _candidates(labels, lambda length: length - F.lit(k))
+    # labels of at most k characters are within k edits of each other without a
+    # character in common; they join on that fact (the result holds all those pairs)
+    short = labels.where(F.length("label") <= k).withColumn("_short", F.lit(True))
+    cand = cand.union(short.select(F.col("label").alias("word"), "_short")
+                      .join(short.select(F.col("label").alias("candidate"), "_short"), "_short").select("word", "candidate")).distinct()
     cand = cand.where(F.abs(F.length("word") - F.length("candidate")) <= k)
     d = cand.withColumn("distance", F.levenshtein("word", "candidate"))
     return d.where(F.col("distance") <= k)

@@ -100,9 +100,9 @@ def clip_outliers(df: DataFrame, cols=("x", "y"), lo: float = 0.001, hi: float =
 def attach_prefix_metric(geo: DataFrame, metric: DataFrame, key: str = PREFIX3,
                          metric_key: str = CUST_PREFIX3) -> DataFrame:
     """geo rows ⟕ per-prefix metric (D13); the metric side is keyed by a
-    3-digit prefix (≤ 1,000 rows), so it is broadcast."""
+    3-digit prefix (≤ 1,000 rows) by default, and AQE broadcasts it by its size."""
     m = metric.withColumnRenamed(metric_key, key)
-    return geo.join(F.broadcast(m), key, "left")
+    return geo.join(m, key, "left")
 
 
 def geo_revenue(geo: DataFrame, sales: DataFrame) -> DataFrame:
@@ -122,12 +122,12 @@ def _order_totals(sales: DataFrame, with_freight: bool = False) -> DataFrame:
 def geo_avg_ticket(geo: DataFrame, sales: DataFrame) -> DataFrame:
     """Mean order total per prefix on each point.
 
-    Totals are summed in integer micro-units and divided once, so the mean
+    Totals are summed in whole micro-units (decimals) and divided once, so the mean
     is the same double whatever order partial sums arrive in."""
-    micro = F.round(F.col("price") * F.lit(1e6)).cast("bigint")
+    micro = F.round(F.col("price") * F.lit(1e6)).cast("decimal(28,0)")
     totals = sales.groupBy("order_id").agg(F.sum(micro).alias("_pm"), F.min(CUST_PREFIX3).alias(CUST_PREFIX3))
     per = (totals.where(F.col(CUST_PREFIX3).isNotNull()).groupBy(CUST_PREFIX3)
-           .agg((F.sum("_pm") / F.count("*") / F.lit(1e6)).alias("avg_ticket")))
+           .agg((F.sum("_pm").cast("double") / F.count("*") / F.lit(1e6)).alias("avg_ticket")))
     return attach_prefix_metric(geo, per)
 
 

@@ -9,13 +9,13 @@ Scale design
 ------------
 * Gaps never need one task per customer: rows are first reduced to distinct
   ``(customer, ts)`` points (repeats are zero gaps, counted), and points are
-  cut into time buckets at global approximate quantiles of the timestamp
-  (about one bucket per 64 MB of input by Catalyst's size estimate).
-  Gaps inside a ``(customer, bucket)`` come from ``lag``; the gap across a
-  bucket edge comes from a second ``lag`` over the per-bucket first/last
-  timestamps, at most ``buckets`` rows per customer. A customer holding a
-  third of all rows is spread over a third of the buckets because the
-  quantile cuts follow the data's density.
+  cut into time buckets of ``bucket_days`` days, a fixed function of the
+  timestamp, the same at every input size. Gaps inside a
+  ``(customer, bucket)`` come from ``lag``; the gap across a bucket edge comes
+  from a second ``lag`` over the per-bucket first/last timestamps, one row per
+  customer and bucket. A customer holding a third of all rows is spread over
+  all the buckets in which it ordered. The answers do not depend on
+  ``bucket_days``.
 * The median per customer is ``percentile(gap, 0.5, count)`` over the gap
   histogram, so its buffer is bounded by distinct gap values (whole days),
   not by the customer's row count.
@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapse.functions.time import as_ts, elapsed_days, plus_days
-from lapse.functions.util import count_below
-from lapse.session import auto_buckets, with_scalars
+from lapse.session import materialize, with_scalars
 
 CUSTOMER = "customer_unique_id"
 ORDER = "order_id"
 TS = "order_purchase_timestamp"
+BUCKET_DAYS = 16
 
 
 def analysis_date(df: DataFrame, ts: str = TS, days: int = 1) -> DataFrame:
@@ -43,22 +43,15 @@ def analysis_date(df: DataFrame, ts: str = TS, days: int = 1) -> DataFrame:
 
 
 def order_gaps(df: DataFrame, customer: str = CUSTOMER, order: str = ORDER,
-               ts: str = TS, buckets: int | None = None) -> DataFrame:
+               ts: str = TS, bucket_days: int = BUCKET_DAYS) -> DataFrame:
     """Row-level gap to the previous row of the same customer, floored days
     (F1); ties on the timestamp are ordered by the order key.
 
-    With ``buckets`` > 1 (default: sized from the input, see module notes)
     ``lag`` runs within ``(customer, time bucket)`` and the first row of a
-    bucket takes the last time of the customer's previous non-empty bucket,
-    so a customer with a large share of rows is spread over many tasks."""
-    if buckets is None:
-        buckets = auto_buckets(df)
-    t = as_ts(ts)
-    if buckets <= 1:
-        w = Window.partitionBy(customer).orderBy(t, F.col(order))
-        return df.withColumn("gap_days", elapsed_days(ts, F.lag(t).over(w)))
+    bucket takes the last time of the customer's previous non-empty bucket.
+    Rows without a customer or time belong to no group: their gap is NULL."""
     valid = F.col(customer).isNotNull() & F.col(ts).isNotNull()
-    good = _time_buckets(df.where(valid).withColumn("_t", t), "_t", buckets)
+    good = _time_buckets(df.where(valid).withColumn("_t", as_ts(ts)), "_t", bucket_days)
     w_in = Window.partitionBy(customer, "_bucket").orderBy("_t", F.col(order))
     good = good.withColumn("_prev", F.lag("_t").over(w_in))
     last = good.groupBy(customer, "_bucket").agg(F.max("_t").alias("_last"))
@@ -71,40 +64,25 @@ def order_gaps(df: DataFrame, customer: str = CUSTOMER, order: str = ORDER,
     return good.unionByName(rest)
 
 
-def _time_buckets(points: DataFrame, ts_col: str, buckets: int) -> DataFrame:
-    if buckets <= 1:
-        return points.withColumn("_bucket", F.lit(0))
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = points.agg(
-        F.percentile_approx(F.unix_micros(ts_col), probs, 10000).alias("_cuts"))
-    return (with_scalars(points, cuts)
-            .withColumn("_bucket", count_below("_cuts", F.unix_micros(ts_col), buckets - 1))
-            .drop("_cuts"))
+def _time_buckets(points: DataFrame, ts_col: str, bucket_days: int) -> DataFrame:
+    return points.withColumn("_bucket", F.floor(F.unix_micros(ts_col) / F.lit(86_400_000_000 * bucket_days)))
 
 
 def gap_histogram(df: DataFrame, customer: str = CUSTOMER, ts: str = TS,
-                  buckets: int | None = None) -> DataFrame:
+                  bucket_days: int = BUCKET_DAYS) -> DataFrame:
     """Multiset of gaps (floored days) between consecutive rows of each
     customer, as ``(customer, gap_days, n)``.
 
     Equal to counting ``order_gaps`` per ``(customer, gap)``, without ever
     sorting one customer's rows in one task (see module notes).
     """
-    if buckets is None:
-        buckets = auto_buckets(df)
     points = (df.where(F.col(customer).isNotNull() & F.col(ts).isNotNull())
               .groupBy(customer, as_ts(ts).alias("_t")).agg(F.count("*").alias("_n")))
     # repeats of a (customer, time) point are zero gaps: n - 1 of them
     zeros = points.where(F.col("_n") > 1).select(
         customer, F.lit(0).cast("bigint").alias("gap_days"), (F.col("_n") - 1).alias("n"))
     one = F.lit(1).cast("bigint").alias("n")
-    if buckets <= 1:
-        # small input: one window per customer, no bucket edges to bridge
-        w = Window.partitionBy(customer).orderBy("_t")
-        inner = (points.withColumn("_prev", F.lag("_t").over(w)).where(F.col("_prev").isNotNull())
-                 .select(customer, elapsed_days("_t", "_prev").alias("gap_days"), one))
-        return inner.unionByName(zeros).groupBy(customer, "gap_days").agg(F.sum("n").alias("n"))
-    points = _time_buckets(points, "_t", buckets)
+    points = _time_buckets(points, "_t", bucket_days)
     w_in = Window.partitionBy(customer, "_bucket").orderBy("_t")
     inner = (points.withColumn("_prev", F.lag("_t").over(w_in))
              .where(F.col("_prev").isNotNull())
@@ -120,15 +98,15 @@ def gap_histogram(df: DataFrame, customer: str = CUSTOMER, ts: str = TS,
 
 
 def customer_intervals(df: DataFrame, customer: str = CUSTOMER, ts: str = TS,
-                       buckets: int | None = None) -> DataFrame:
+                       bucket_days: int = BUCKET_DAYS) -> DataFrame:
     """Median gap per customer with at least one gap."""
-    h = gap_histogram(df, customer, ts, buckets)
+    h = gap_histogram(df, customer, ts, bucket_days)
     return h.groupBy(customer).agg(
         F.expr("percentile(gap_days, 0.5, n)").alias("median_interval_days"))
 
 
 def customer_features(df: DataFrame, customer: str = CUSTOMER, order: str = ORDER,
-                      ts: str = TS, buckets: int | None = None) -> DataFrame:
+                      ts: str = TS, bucket_days: int = BUCKET_DAYS) -> DataFrame:
     """Per customer: last order time, distinct orders, median gap and whole
     days idle before the analysis date (G1 = E2 + E3 + E4). The analysis
     date (latest time + 1 day) is taken from the per-customer maxima, so the
@@ -136,7 +114,7 @@ def customer_features(df: DataFrame, customer: str = CUSTOMER, order: str = ORDE
     stats = df.where(F.col(customer).isNotNull()).groupBy(customer).agg(
         F.max(as_ts(ts)).alias("last_order_date"),
         F.count_distinct(order).alias("order_count"))
-    med = customer_intervals(df, customer, ts, buckets)
+    med = customer_intervals(df, customer, ts, bucket_days)
     feats = stats.join(med, customer, "left")
     return (with_scalars(feats, analysis_date(stats, "last_order_date"))
             .withColumn("days_since_last_order", elapsed_days("analysis_date", "last_order_date"))
@@ -157,9 +135,13 @@ def churn_flag(order_count, median, days_since, threshold, multiplier: float = 2
 
 def churn_labels(df: DataFrame, customer: str = CUSTOMER, order: str = ORDER,
                  ts: str = TS, multiplier: float = 2.0,
-                 buckets: int | None = None) -> DataFrame:
-    """Customer features plus ``is_churned``."""
-    feats = customer_features(df, customer, order, ts, buckets)
+                 bucket_days: int = BUCKET_DAYS) -> DataFrame:
+    """Customer features plus ``is_churned``.
+
+    The features (one row per customer) are read twice, for the threshold and
+    for the labels, so they are materialised; the stored table also leaves the
+    joins on the label table to be split where one customer holds many rows."""
+    feats = materialize(customer_features(df, customer, order, ts, bucket_days), "customer_features")
     return (with_scalars(feats, global_threshold(feats))
             .withColumn("is_churned", churn_flag("order_count", "median_interval_days",
                                                   "days_since_last_order", "threshold", multiplier)))
@@ -180,8 +162,9 @@ def repeat_customers(df: DataFrame, customer: str = CUSTOMER, order: str = ORDER
 def with_order_count(df: DataFrame, customer: str = CUSTOMER, order: str = ORDER,
                      name: str = "quantity") -> DataFrame:
     """Each row gets its customer's distinct order count (F2): aggregate,
-    then join back on the key (AQE splits a skewed key's partition)."""
-    per = df.groupBy(customer).agg(F.count_distinct(order).alias(name))
+    materialise (one row per customer), then join back on the key. The stored
+    side brings its own exchange, so AQE can split a skewed key's partition."""
+    per = materialize(df.groupBy(customer).agg(F.count_distinct(order).alias(name)), "order_count")
     return df.join(per, customer, "left")
 
 

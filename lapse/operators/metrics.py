@@ -48,19 +48,19 @@ def class_report(df: DataFrame, label: str = "label", pred: str = "prediction")
                     safe_div(2 * F.col("hit"), F.col("support") + F.col("predicted")).alias("f1"), "support")
 
 
-def _score_table(df: DataFrame, label: str, score: str) -> DataFrame:
+def _score_table(df: DataFrame, label: str, score: str, buckets: int | None = None) -> DataFrame:
     """Distinct scores with positives, negatives and the negatives below."""
     base = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(
         F.col(score).cast("double").alias("_s"), F.col(label).cast("int").alias("_y"))
     pn = base.groupBy("_s").agg(F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg"))
-    cum = value_counts_cumulative(pn, "_s", weight="neg").select("_s", F.col("cum_before").alias("neg_below"))
+    cum = value_counts_cumulative(pn, "_s", weight="neg", buckets=buckets).select("_s", F.col("cum_before").alias("neg_below"))
     return pn.join(cum, "_s")
 
 
-def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+def roc_auc(df: DataFrame, label: str = "label", score: str = "score", buckets: int | None = None) -> DataFrame:
     """Exact ROC-AUC with tied scores counted half (J26): the Mann-Whitney
     probability that a positive outranks a negative."""
-    t = _score_table(df, label, score)
+    t = _score_table(df, label, score, buckets)
     a = t.agg(F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))).alias("_u"),
               F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     return a.select((F.col("_u") / (F.col("_p") * F.col("_n"))).alias("roc_auc"))

@@ -44,7 +44,7 @@ def stratified_split(df: DataFrame, label: str = LABEL, test_fraction: float = 0
     h = df.withColumn("_h", F.xxhash64(F.lit(seed), *cols))
     cum = value_counts_cumulative(h, "_h", by=[label]).select(label, "_h", "cum_before")
     n = h.groupBy(label).agg(F.count("*").alias("_nc"))
-    j = (h.join(cum, [label, "_h"]).join(F.broadcast(n), label)
+    j = (h.join(cum, [label, "_h"]).join(n, label)
          .withColumn("is_test", F.col("cum_before") < F.round(F.col("_nc") * test_fraction)))
     return j.drop("_h", "cum_before", "_nc")
 
@@ -64,13 +64,13 @@ def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
 def with_weights(df: DataFrame, label: str = LABEL, kind: str = "balanced") -> DataFrame:
     """Attach a ``weight`` column: balanced per class, or 1 / pos-weight for
     the boosted model (positives get n0/n1). The class table has one row per
-    class, so it is broadcast."""
+    class; AQE broadcasts it by its size."""
     w = class_weights(df, label)
     if kind == "balanced":
         w = w.select(label, F.col("balanced_weight").alias("weight"))
     else:
         w = w.select(label, F.when(F.col(label) == 1, F.col("pos_weight")).otherwise(F.lit(1.0)).alias("weight"))
-    return df.join(F.broadcast(w), label)
+    return df.join(w, label)
 
 
 def preprocessor(numeric: list[str], categorical: list[str]) -> list:

@@ -8,11 +8,13 @@ so instead:
    aggregation before the shuffle; a value held by a third of the rows is one
    row afterwards);
 2. distinct values are cut into ``buckets`` ranges at approximate quantiles
-   (cut points as a scalar subquery, deterministic bucket function);
+   (``spark.sql.shuffle.partitions`` ranges unless given; the cut points are
+   computed once and stored, so that every consumer sees the same buckets);
 3. bucket totals (``buckets`` rows) get prefix offsets in a tiny window;
 4. within each bucket a window ordered by value adds the running count.
 
-The result is exact; approximation only balances the buckets.
+The result is exact and the same for any number of buckets; approximation
+only balances them.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapse.functions.util import count_below
-from lapse.session import auto_buckets, with_scalars
+from lapse.session import materialize, with_scalars
 
 
 _NUMERIC = ("byte", "short", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz")
@@ -30,24 +32,23 @@ _NUMERIC = ("byte", "short", "int", "bigint", "float", "double", "date", "timest
 def _bucketed(values: DataFrame, v: str, buckets: int, by: list[str]) -> DataFrame:
     """Add ``_b``: a bucket id that is non-decreasing in ``v`` within each
     ``by`` group, equal values always sharing a bucket."""
-    if buckets <= 1:
-        return values.withColumn("_b", F.lit(0))
     vtype = dict(values.dtypes)[v]
     if not (vtype in _NUMERIC or vtype.startswith("decimal")):
         # Text and other orderable types: range-partition on (by, v) and use
-        # the partition index (range bounds keep equal keys together).
-        return values.repartitionByRange(buckets, *by, v).withColumn("_b", F.spark_partition_id())
-    probs = [i / buckets for i in range(1, buckets)]
+        # the partition index (range bounds keep equal keys together). The
+        # bounds are sampled, so the numbered values are stored: a second
+        # evaluation could cut elsewhere.
+        return materialize(values.repartitionByRange(buckets, *by, v).withColumn("_b", F.spark_partition_id()), "ranges")
+    probs = [i / buckets for i in range(1, buckets)] or [1.0]
     x = F.col(v).cast("double")
-    cuts = values.groupBy(*by).agg(F.percentile_approx(x, probs, 10000).alias("_cuts"))
-    # One row of cut points per group; callers group by a bounded set
-    # (columns of one table, models), so the broadcast is bounded.
-    joined = with_scalars(values, cuts) if not by else values.join(F.broadcast(cuts), by)
-    return joined.withColumn("_b", count_below("_cuts", x, buckets - 1)).drop("_cuts")
+    cuts = materialize(values.groupBy(*by).agg(F.percentile_approx(x, probs, 10000).alias("_cuts")), "cuts")
+    # one row of cut points per group; AQE broadcasts it by its measured size
+    joined = with_scalars(values, cuts) if not by else values.join(cuts, by)
+    return joined.withColumn("_b", count_below("_cuts", x, len(probs))).drop("_cuts")
 
 
-def _default_buckets(df: DataFrame) -> int:
-    return auto_buckets(df)
+def default_buckets(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
 def value_counts_cumulative(df: DataFrame, v: str, weight: str | None = None,
@@ -58,11 +59,10 @@ def value_counts_cumulative(df: DataFrame, v: str, weight: str | None = None,
     ``cum_before`` is the weighted number of rows strictly before the value
     in the order (ascending unless ``descending``); ``dense_rank`` is the
     0-based position of the value among distinct values. NULLs are skipped.
-    ``by`` groups must be few (a handful of columns or models): their cut
-    points are broadcast.
+    ``by`` groups must be few (a handful of columns or models).
     """
     by = by or []
-    buckets = _default_buckets(df) if buckets is None else buckets
+    buckets = default_buckets(df) if buckets is None else buckets
     w = F.col(weight) if weight else F.lit(1)
     vals = (df.where(F.col(v).isNotNull())
             .groupBy(*by, v).agg(F.sum(w).alias("cnt"), F.lit(1).alias("_one")))
@@ -98,8 +98,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
         [], cols, "column_name", "v")
     cum = value_counts_cumulative(long, "v", by=["column_name"], buckets=buckets)
     n = cum.groupBy("column_name").agg(F.sum("cnt").alias("_n"))
-    # one row per column of the input: a bounded broadcast
-    j = cum.join(F.broadcast(n), "column_name")
+    j = cum.join(n, "column_name")
     aggs = [F.first("_n").alias("_n")]
     for i, p in enumerate(probs):
         h = F.lit(float(p)) * (F.col("_n") - 1)
@@ -116,7 +115,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], method: str = "exact",
-              accuracy: int = 10000) -> DataFrame:
+              accuracy: int = 10000, buckets: int | None = None) -> DataFrame:
     """Quantiles of several columns, long form ``(column_name, p, value)``.
 
     ``exact``: distributed exact (see module notes). ``builtin``: Spark's
@@ -125,7 +124,7 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], method: str =
     order counts). ``approx``: ``percentile_approx`` (rank error 1/accuracy).
     """
     if method == "exact":
-        return exact_quantiles(df, cols, probs)
+        return exact_quantiles(df, cols, probs, buckets)
     fn = (lambda c: F.percentile(F.col(c), probs)) if method == "builtin" else \
          (lambda c: F.percentile_approx(F.col(c), probs, accuracy))
     wide = df.agg(*[fn(c).alias(c) for c in cols])

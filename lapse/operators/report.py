@@ -39,7 +39,7 @@ def customer_record(df: DataFrame, customer_id, order_by: list[str] | None = Non
     if isinstance(customer_id, DataFrame):
         # a one-row frame holding the id (e.g. chosen by an aggregate)
         ids = customer_id.select(F.col(customer_id.columns[0]).alias("_id"))
-        rows = df.join(F.broadcast(ids), F.col(customer) == F.col("_id")).drop("_id")
+        rows = df.join(ids, F.col(customer) == F.col("_id")).drop("_id")
     else:
         rows = df.where(F.col(customer) == F.lit(customer_id))
     return rows.orderBy(*order_by).limit(1)

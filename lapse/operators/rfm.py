@@ -62,30 +62,28 @@ def rfm_base(fact: DataFrame, recency: str = "calendar_approved", grain: str = "
 
 # Recency (whole days) and Frequency (orders) take few distinct values
 # whatever the data size, so Spark's exact ``percentile`` (one buffer entry
-# per distinct value) is bounded for them; money is near-unique per
-# customer and goes through the distributed exact path.
+# per distinct value) is bounded for them; callers that know this name them
+# in ``bounded``.
 BOUNDED_MEASURES = ("Recency", "Frequency")
 
 
-def rfm_quantiles(rfm: DataFrame, cols=MEASURES, probs=SCORE_PROBS, method: str = "auto") -> DataFrame:
+def rfm_quantiles(rfm: DataFrame, cols=MEASURES, probs=SCORE_PROBS, bounded=(),
+                  buckets: int | None = None) -> DataFrame:
     """Score cut points, one row with ``{col}_q{i}`` columns.
 
-    ``method='auto'`` uses ``builtin`` for the bounded measures and
-    ``exact`` (distributed) for the others; any other value applies to all.
+    Exact and distributed; the columns in ``bounded`` (few distinct values)
+    take Spark's built-in exact ``percentile``, with the same result.
     """
     cols, probs = list(cols), list(probs)
-    if method == "auto":
-        small = [c for c in cols if c in BOUNDED_MEASURES]
-        large = [c for c in cols if c not in BOUNDED_MEASURES]
-        parts = ([quantiles(rfm, small, probs, "builtin")] if small else []) + \
-                ([quantiles(rfm, large, probs, "exact")] if large else [])
-        q = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    else:
-        q = quantiles(rfm, cols, probs, method)
+    small = [c for c in cols if c in bounded]
+    large = [c for c in cols if c not in bounded]
+    parts = ([quantiles(rfm, small, probs, "builtin")] if small else []) + \
+            ([quantiles(rfm, large, probs, "exact", buckets=buckets)] if large else [])
+    q = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return quantile_row(q, cols, probs)
 
 
-def rfm_scores(rfm: DataFrame, method: str = "auto", fill: bool = True) -> DataFrame:
+def rfm_scores(rfm: DataFrame, bounded=BOUNDED_MEASURES, fill: bool = True) -> DataFrame:
     """R, F, M scores 1-5 at the 20/40/60/80 % cut points, RFM_Segment and
     RFM_Score (E9, B12, B22). ``fill`` applies the reference's NULL-to-0 and
     integer casts first (B15)."""
@@ -95,7 +93,7 @@ def rfm_scores(rfm: DataFrame, method: str = "auto", fill: bool = True) -> DataF
             "Frequency": F.coalesce(F.col("Frequency"), F.lit(0)).cast("bigint"),
             "MonetaryValue": F.coalesce(F.col("MonetaryValue"), F.lit(0.0)).cast("double"),
         })
-    cuts = rfm_quantiles(rfm, method=method)
+    cuts = rfm_quantiles(rfm, bounded=bounded)
     n = len(SCORE_PROBS)
     scored = with_scalars(rfm, cuts).withColumns({
         "R": score_by_cuts("Recency", [f"Recency_q{i}" for i in range(n)], ascending=False),
@@ -115,9 +113,9 @@ def rfm_labels(scored: DataFrame) -> DataFrame:
 
 
 def rfm(fact: DataFrame, recency: str = "calendar_approved", grain: str = "row",
-        analysis_date: DataFrame | None = None, method: str = "auto") -> DataFrame:
+        analysis_date: DataFrame | None = None, bounded=BOUNDED_MEASURES) -> DataFrame:
     """Full RFM table: measures, scores, segment code and label, tier."""
-    return rfm_labels(rfm_scores(rfm_base(fact, recency, grain, analysis_date), method))
+    return rfm_labels(rfm_scores(rfm_base(fact, recency, grain, analysis_date), bounded))
 
 
 def group_share(df: DataFrame, keys: list[str], count_col: str = "Count",

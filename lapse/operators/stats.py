@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, DoubleType
 
 from lapse.functions.transforms import boxcox, boxcox1p, log_shift, sqrt
-from lapse.operators.ordered import dense_codes, value_counts_cumulative
-from lapse.session import ship_by_value, with_scalars
+from lapse.operators.ordered import value_counts_cumulative
+from lapse.session import materialize, ship_by_value, with_scalars
 
 ship_by_value(__name__)
 
@@ -335,17 +335,22 @@ def corr_with(df: DataFrame, cols: list[str], target: str) -> DataFrame:
 # --- categorical codes and chi-square ------------------------------------------------
 
 
-def label_encode(df: DataFrame, cols: list[str], suffix: str = "_code") -> DataFrame:
+def label_encode(df: DataFrame, cols: list[str], suffix: str = "_code", buckets: int | None = None) -> DataFrame:
     """Replace each column by the 0-based position of its text form among
     the column's sorted distinct texts; NULL becomes the text 'nan' (J12,
-    T18). Code tables (one row per distinct value, each built from ``df``
-    itself) are joined back; AQE broadcasts them when small."""
+    T18). The code tables (one row per distinct value, built for all columns
+    in one pass and stored) are joined back; AQE broadcasts them when small."""
     def txt(c):
         return F.coalesce(F.col(c).cast("string"), F.lit("nan"))
+    # distinct texts of all columns in one pass over df, stored
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), txt(c).alias("txt")) for c in cols])).alias("x")
+    texts = materialize(df.select(pairs).select("x.*").distinct(), "labels")
+    codes = value_counts_cumulative(texts, "txt", by=["column_name"], buckets=buckets).select("column_name", "txt", "dense_rank")
+    codes = materialize(codes, "label_codes")
     out = df.withColumns({f"_{c}_txt": txt(c) for c in cols})
     for c in cols:
-        codes = dense_codes(df.select(txt(c).alias(f"_{c}_txt")), f"_{c}_txt", f"{c}{suffix}")
-        out = out.join(codes, f"_{c}_txt", "left")
+        mine = codes.where(F.col("column_name") == c).select(F.col("txt").alias(f"_{c}_txt"), F.col("dense_rank").alias(f"{c}{suffix}"))
+        out = out.join(mine, f"_{c}_txt", "left")
     return out.drop(*[f"_{c}_txt" for c in cols])
 
 

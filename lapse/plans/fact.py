@@ -85,16 +85,22 @@ def translate_categories(products: DataFrame, translation: DataFrame,
     return out
 
 
-def product_items(products: DataFrame, items: DataFrame, sellers: DataFrame) -> DataFrame:
+def product_items(products: DataFrame, items: DataFrame, sellers: DataFrame, keep_unsold: bool = True) -> DataFrame:
     """products ⟕ items on product_id, duplicates removed, ⟕ sellers.
 
     Deduplicating both sides before the join gives the same rows as
-    deduplicating the joined rows (see module notes) and keeps a hot product
-    splittable. Products without any item keep a NULL ``order_id`` and can
-    never meet an order downstream; they stay to keep the step's row set.
+    deduplicating the joined rows (see module notes). The large side leads an
+    inner join, which AQE may split on a hot product or broadcast from the
+    products; products without any item (``keep_unsold``) are added by an
+    anti join. They have a NULL ``order_id`` and can meet no order downstream.
     """
     it = items.select("order_id", "seller_id", "product_id", "price").dropDuplicates()
-    m2 = products.dropDuplicates().join(it, "product_id", "left")
+    prod = products.dropDuplicates()
+    m2 = it.join(prod, "product_id")
+    if keep_unsold:
+        unsold = prod.join(it.select("product_id"), "product_id", "left_anti")
+        m2 = m2.unionByName(unsold, allowMissingColumns=True)
+    m2 = m2.select("product_id", *[c for c in prod.columns if c != "product_id"], *[c for c in it.columns if c != "product_id"])
     return m2.join(sellers.select("seller_id", "seller_city", "seller_state").dropDuplicates(),
                    "seller_id", "left")
 
@@ -146,7 +152,7 @@ def order_fact(tables: dict[str, DataFrame], preset: str = "notebook",
     items = tables["orders_items"]
     if p.drop_incomplete_items:
         items = clean.drop_incomplete(items)
-    m3 = product_items(products, items, tables["sellers"])
+    m3 = product_items(products, items, tables["sellers"], keep_unsold=False)  # a row without an order meets none
 
     pay = (tables["order_payments"].select("order_id", "payment_type", "payment_installments", "payment_value")
            .dropDuplicates())

@@ -51,12 +51,16 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared lineage-cut folder named by the cluster.
 
-    Read from ``spark.checkpoint.dir``; only when it is unset (local tests)
-    a scratch folder is created. The RDD checkpoint folder of the context is
-    registered once, for ``DataFrame.checkpoint``.
+    Read from ``spark.checkpoint.dir``; only when it is unset in local mode
+    (tests) a scratch folder is created: on a cluster every executor would
+    write to its own disk, so there it is an error. The RDD checkpoint folder
+    of the context is registered once, for ``DataFrame.checkpoint``.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on {master}")
         d = tempfile.mkdtemp(prefix="lapse-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     jsc = spark.sparkContext._jsc.sc()
@@ -135,26 +139,6 @@ def ship_by_value(module_name: str) -> None:
             pass
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df``'s optimised plan (no job runs)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001
-        return None
-
-
-def auto_buckets(df: DataFrame, target_bytes: int = 64 << 20) -> int:
-    """Number of range buckets for order-dependent work on ``df``: about
-    one per ``target_bytes`` of input, at most the shuffle partition count,
-    at least 1. Small inputs need no split; large ones are spread so that no
-    single key (customer, value) makes one task hold a large share of rows."""
-    cap = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    size = estimated_bytes(df)
-    if size is None:
-        return cap
-    return max(1, min(cap, -(-size // target_bytes)))
-
-
 def scale_conf(input_bytes: int, partition_bytes: int = 256 << 20, max_partitions: int = 100_000) -> dict:
     """Settings sized for an input of ``input_bytes`` (pass to
     :func:`get_session` as ``extra``, or to spark-submit).

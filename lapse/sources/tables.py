@@ -28,27 +28,27 @@ S, L, D, T = StringType(), LongType(), DoubleType(), TimestampType()
 SCHEMAS = {
     "customers": _schema(("customer_id", S), ("customer_unique_id", S),
                          ("customer_zip_code_prefix", S), ("customer_city", S), ("customer_state", S)),
-    "geolocation": _schema(("_c0", S), ("geolocation_zip_code_prefix", S), ("geolocation_lat", D),
+    "geolocation": _schema(("geolocation_zip_code_prefix", S), ("geolocation_lat", D),
                            ("geolocation_lng", D), ("geolocation_city", S), ("geolocation_state", S)),
-    "order_payments": _schema(("_c0", S), ("order_id", S), ("payment_sequential", L), ("payment_type", S),
+    "order_payments": _schema(("order_id", S), ("payment_sequential", L), ("payment_type", S),
                               ("payment_installments", L), ("payment_value", D)),
-    "order_reviews": _schema(("_c0", S), ("review_id", S), ("order_id", S), ("review_score", L),
+    "order_reviews": _schema(("review_id", S), ("order_id", S), ("review_score", L),
                              ("review_comment_title", S), ("review_comment_message", S),
                              ("review_creation_date", S), ("review_answer_timestamp", S)),
     "orders": _schema(("order_id", S), ("customer_id", S), ("order_status", S),
                       ("order_purchase_timestamp", S), ("order_approved_at", S),
                       ("order_delivered_carrier_date", S), ("order_delivered_customer_date", S),
                       ("order_estimated_delivery_date", S)),
-    "product_category_name_translation": _schema(("_c0", S), ("product_category_name", S),
+    "product_category_name_translation": _schema(("product_category_name", S),
                                                  ("product_category_name_english", S)),
     "products": _schema(("product_id", S), ("product_category_name", S), ("product_name_lenght", D),
                         ("product_description_lenght", D), ("product_photos_qty", D), ("product_weight_g", D),
                         ("product_length_cm", D), ("product_height_cm", D), ("product_width_cm", D)),
-    "sellers": _schema(("_c0", S), ("seller_id", S), ("seller_zip_code_prefix", S), ("seller_city", S),
+    "sellers": _schema(("seller_id", S), ("seller_zip_code_prefix", S), ("seller_city", S),
                        ("seller_state", S)),
-    "orders_items": _schema(("_c0", S), ("order_id", S), ("order_item_id", L), ("product_id", S),
+    "orders_items": _schema(("order_id", S), ("order_item_id", L), ("product_id", S),
                             ("seller_id", S), ("shipping_limit_date", S), ("price", D),
-                            ("freight_value", D), ("shipping_limit_date2", S)),
+                            ("freight_value", D), ("shipping_limit_date.1", S)),
 }
 
 ORDER_TS_COLUMNS = ["order_purchase_timestamp", "order_approved_at", "order_delivered_carrier_date",
@@ -57,18 +57,21 @@ ORDER_TS_COLUMNS = ["order_purchase_timestamp", "order_approved_at", "order_deli
 
 def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None,
                fmt: str = "csv") -> DataFrame:
-    """Read a table with a header (A1). A given schema avoids an inference
-    pass over the data and pins the zip columns to text (A3)."""
+    """Read a table with a header (A1). With a given schema every column is
+    found by its name in the header and cast, whatever the order of the
+    columns and with or without a leading index column; a column that the
+    file lacks is NULL, one that the schema lacks is left out. No inference
+    pass, and zip columns stay text (A3). Values that do not cast are NULL."""
     if fmt == "parquet":
         return spark.read.parquet(path)
     if isinstance(schema, str):
         schema = SCHEMAS[schema]
     r = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    if schema is not None:
-        r = r.schema(schema)
-    else:
-        r = r.option("inferSchema", True)
-    return drop_index_column(r.csv(path))
+    if schema is None:
+        return drop_index_column(r.option("inferSchema", True).csv(path))
+    text = r.csv(path)  # all text, named by the header
+    return text.select(*[(F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})") if f.name in text.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+                         for f in schema.fields if f.name not in INDEX_COLUMNS])
 
 
 def drop_index_column(df: DataFrame) -> DataFrame:

@@ -72,3 +72,24 @@ def test_count_below_binary_search(spark):
         df = spark.createDataFrame([(v,) for v in vals], "v long").withColumn("c", F.array(*[F.lit(c) for c in cuts]))
         got = [r.k for r in df.select(count_below("c", "v", n).alias("k")).collect()]
         assert got == [sum(1 for c in cuts if c < v) for v in vals]
+
+
+def test_money_sums_pass_thirteen_digits(spark):
+    from lapse.functions.util import fixed_mean, fixed_sum
+    df = spark.range(20_000).select(F.lit(5e8).alias("x"))
+    assert df.agg(fixed_sum("x"), fixed_mean("x")).first() == (1e13, 5e8)
+    big = spark.range(1000).select(F.lit(1e15).alias("x"))
+    assert big.agg(fixed_sum("x")).first()[0] == 1e18
+
+
+def test_text_codes_do_not_depend_on_buckets_or_exchange_reuse(spark):
+    from lapse.operators.stats import label_encode
+    df = spark.range(3000).select(F.concat(F.lit("v"), F.col("id") % 700).alias("a"), (F.col("id") % 11).alias("b"))
+    want = {v: i for i, v in enumerate(sorted({f"v{i}" for i in range(700)}))}
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        for buckets in (1, 16):
+            got = {(r.a, r.a_code) for r in label_encode(df, ["a", "b"], buckets=buckets).collect()}
+            assert got == set(want.items())
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")

@@ -49,3 +49,31 @@ def test_save_and_load_pipeline(spark):
     save_model(model, path)
     again = load_model(path)
     assert [r.i for r in again.transform(df).collect()] == [r.i for r in model.transform(df).collect()]
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    from lapse.sources.tables import read_table
+    cases = {"index.csv": ",order_id,payment_sequential,payment_type,payment_installments,payment_value\n0,00a,1,card,2,10.5\n",
+             "plain.csv": "order_id,payment_sequential,payment_type,payment_installments,payment_value\n00a,1,card,2,10.5\n",
+             "moved.csv": "payment_value,payment_type,order_id,extra,payment_installments,payment_sequential\n10.5,card,00a,x,2,1\n"}
+    for name, body in cases.items():
+        (tmp_path / name).write_text(body)
+        r = read_table(spark, str(tmp_path / name), "order_payments")
+        assert r.columns == ["order_id", "payment_sequential", "payment_type", "payment_installments", "payment_value"]
+        assert tuple(r.first()) == ("00a", 1, "card", 2, 10.5)
+    (tmp_path / "short.csv").write_text("order_id,payment_value\n00a,oops\n")
+    assert tuple(read_table(spark, str(tmp_path / "short.csv"), "order_payments").first()) == ("00a", None, None, None, None)
+
+
+def test_a_cluster_must_name_its_shared_folder(spark):
+    import pytest
+    from lapse.session import checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "yarn"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(Session())

@@ -43,7 +43,7 @@ def test_churn_label_branches(spark):
     data += [("c", f"c{i}", base + dt.timedelta(days=10 * i)) for i in range(5)]      # last day 40
     data += [("d", f"d{i}", base + dt.timedelta(days=20 + 10 * i)) for i in range(6)]  # last day 70
     df = spark.createDataFrame(data, "customer_unique_id string, order_id string, order_purchase_timestamp timestamp")
-    lab = {r.customer_unique_id: r for r in lc.churn_labels(df, buckets=3).collect()}
+    lab = {r.customer_unique_id: r for r in lc.churn_labels(df, bucket_days=3).collect()}
     # analysis date = day 71; medians: b 0, c 10, d 10 -> threshold = 20/3
     assert lab["c"].median_interval_days == 10.0 and lab["b"].median_interval_days == 0.0
     assert lab["a"].median_interval_days is None
@@ -66,7 +66,7 @@ def test_gap_histogram_hot_customer_matches_plain_lag(spark):
             data.append((f"c{c}", f"c{c}_{j}", base + dt.timedelta(hours=rnd.randint(0, 24 * 400))))
     data.append(("hot", "h0", data[0][2]))  # repeated row -> zero gap
     df = spark.createDataFrame(data, "customer_unique_id string, order_id string, order_purchase_timestamp timestamp")
-    fast = {(r[0], r[1]): r[2] for r in lc.gap_histogram(df, buckets=16).collect()}
+    fast = {(r[0], r[1]): r[2] for r in lc.gap_histogram(df, bucket_days=5).collect()}
     plain = (lc.order_gaps(df).where(F.col("gap_days").isNotNull())
              .groupBy("customer_unique_id", "gap_days").count().collect())
     assert fast == {(r[0], r[1]): r[2] for r in plain}
@@ -105,6 +105,15 @@ def test_row_gaps_bucketed_equal_plain(spark):
     data += [(f"c{c}", f"c{c}_{j}", base + dt.timedelta(days=rnd.randint(0, 300))) for c in range(200) for j in range(3)]
     data += [("hot", "dup", data[5][2]), (None, "x", base), ("c1", "y", None)]
     df = spark.createDataFrame(data, "customer_unique_id string, order_id string, order_purchase_timestamp timestamp")
-    a = {(r.customer_unique_id, r.order_id): r.gap_days for r in lc.order_gaps(df, buckets=12).collect()}
-    b = {(r.customer_unique_id, r.order_id): r.gap_days for r in lc.order_gaps(df, buckets=1).collect()}
+    a = {(r.customer_unique_id, r.order_id): r.gap_days for r in lc.order_gaps(df, bucket_days=7).collect()}
+    b = {(r.customer_unique_id, r.order_id): r.gap_days for r in lc.order_gaps(df, bucket_days=100_000).collect()}
     assert a == b and len(a) == len(data)
+
+
+def test_rows_without_customer_have_no_gap_at_any_bucket_size(spark):
+    df = spark.createDataFrame([(None, 1, "2020-01-01 00:00:00"), (None, 2, "2020-01-11 00:00:00"), ("a", 3, "2020-01-01 00:00:00"),
+                                ("a", 4, "2020-03-01 12:00:00"), ("a", 5, None)], "customer_unique_id string, order_id long, t string")
+    df = df.withColumn("order_purchase_timestamp", F.to_timestamp("t")).drop("t")
+    for days in (1, 16, 100_000):
+        got = {r.order_id: r.gap_days for r in lc.order_gaps(df, bucket_days=days).collect()}
+        assert got == {1: None, 2: None, 3: None, 4: 60, 5: None}
