@@ -102,11 +102,11 @@ SKEW_VARIANTS = {"raw": "{c}", "log": "ln({c} + 0.1)", "sqrt": "sqrt({c})"}
 
 
 @register("skewness_report", nb_sql(" UNION ALL ".join(
-    [_skew_sql(e.format(c=c), c, t) for c in ("Recency", "MonetaryValue") for t, e in SKEW_VARIANTS.items()]
+    [_skew_sql(e.format(c=c), c, t) for c in rf.MEASURES for t, e in SKEW_VARIANTS.items()]
     + [_skew_sql("(pow(MonetaryValue, 0.5) - 1) / 0.5", "MonetaryValue", "boxcox")])))
 def q_skewness_report(spark, sf_dir):
     base = rf.rfm_base(rfm_frames(spark, sf_dir)[0].fact).withColumn("Recency", F.col("Recency").cast("double"))
-    r = st.skewness_report(base, ["Recency", "MonetaryValue"], lambdas={"Recency": None, "MonetaryValue": 0.5})
+    r = st.skewness_report(base, rf.MEASURES, lambdas={"Recency": None, "Frequency": None, "MonetaryValue": 0.5})
     return r.select("column_name", "transform", "n", F.round("skewness", R6).alias("skewness"),
                     F.round("skewness_adj", R6).alias("skewness_adj"))
 
