@@ -7,31 +7,32 @@ from pyspark.sql import functions as F
 
 from lapse.functions.util import col
 
-# Segment labels by (R, F) score ranges, in the reference's
-# order. Nine labels are Russian text in the reference, one is English; the
-# English gloss is given in the comment.
+# Segment labels by (R, F) score ranges. The labels are shown
+# to users as they stand; nine are Russian, one is English. In order they name
+# customers who sleep, are at risk, must not be lost, are about to leave, need
+# attention, are loyal, promise more, are new, may become loyal, are champions.
 SEGMENT_RULES = [
-    ((1, 2), (1, 2), "Спящие"),               # Hibernating
-    ((1, 2), (3, 4), "В зоне риска"),         # At risk
-    ((1, 2), (5, 5), "Нельзя потерять"),      # Can't lose them
-    ((3, 3), (1, 2), "На грани ухода"),       # About to sleep
-    ((3, 3), (3, 3), "Требуют внимания"),     # Need attention
-    ((3, 4), (4, 5), "Лояльные клиенты"),     # Loyal customers
-    ((4, 4), (1, 1), "Перспективные"),        # Promising
-    ((5, 5), (1, 1), "Новые клиенты"),        # New customers
-    ((4, 5), (2, 3), "Potential loyalists"),  # Potential loyalists
-    ((5, 5), (4, 5), "Чемпионы"),             # Champions
+    ((1, 2), (1, 2), "Спящие"),
+    ((1, 2), (3, 4), "В зоне риска"),
+    ((1, 2), (5, 5), "Нельзя потерять"),
+    ((3, 3), (1, 2), "На грани ухода"),
+    ((3, 3), (3, 3), "Требуют внимания"),
+    ((3, 4), (4, 5), "Лояльные клиенты"),
+    ((4, 4), (1, 1), "Перспективные"),
+    ((5, 5), (1, 1), "Новые клиенты"),
+    ((4, 5), (2, 3), "Potential loyalists"),
+    ((5, 5), (4, 5), "Чемпионы"),
 ]
 
-# Value tiers by RFM_Score; a later (higher) rule wins.
-# Standard (<= 5), Bronze (> 5), Silver (> 7), Gold (> 9), Platinum (> 10).
+# Value tiers by RFM_Score above a limit, highest first, as the
+# condition chain takes the first that holds: platinum, gold, silver, bronze.
 TIER_RULES = [
-    (10, "Платина"),   # Platinum
-    (9, "Золото"),     # Gold
-    (7, "Серебро"),    # Silver
-    (5, "Бронза"),     # Bronze
+    (10, "Платина"),
+    (9, "Золото"),
+    (7, "Серебро"),
+    (5, "Бронза"),
 ]
-TIER_DEFAULT = "Стандарт"  # Standard
+TIER_DEFAULT = "Стандарт"  # standard
 
 SCORE_PROBS = [0.2, 0.4, 0.6, 0.8]
 

@@ -141,6 +141,28 @@ def geo_freight_ratio(geo: DataFrame, sales: DataFrame) -> DataFrame:
     return attach_prefix_metric(geo, per)
 
 
+def geo_metrics(geo: DataFrame, sales: DataFrame) -> DataFrame:
+    """``revenue``, ``avg_ticket`` and ``freight_ratio`` of each point's
+    prefix at once (E20-E22): one table of order totals, one of prefixes, one
+    join. The single metrics above give the same columns."""
+    micro = F.round(F.col("price") * F.lit(1e6)).cast("decimal(28,0)")
+    order = sales.groupBy("order_id").agg(
+        F.sum("price").alias("price"), F.sum(micro).alias("_pm"), F.sum("freight_value").alias("freight_value"),
+        F.min(CUST_PREFIX3).alias(CUST_PREFIX3))
+    ratio = F.when(F.col("price") > 0, F.col("freight_value") / F.col("price"))
+    per = (order.where(F.col(CUST_PREFIX3).isNotNull()).groupBy(CUST_PREFIX3)
+           .agg(F.sum("price").alias("price"), (F.sum("_pm").cast("double") / F.count("*") / F.lit(1e6)).alias("avg_ticket"),
+                F.avg(ratio).alias("freight_ratio")))
+    return (attach_prefix_metric(geo, per)
+            .withColumn("revenue", F.coalesce(F.col("price"), F.lit(0.0)) / 1000))
+
+
+def geo_headline_of(metrics: DataFrame) -> DataFrame:
+    """The figures of :func:`geo_headline` from :func:`geo_metrics`, in one aggregate."""
+    return metrics.agg(F.count("*").alias("points"), fixed_sum("revenue").alias("revenue_total"),
+                       F.avg("avg_ticket").alias("mean_ticket"), F.avg("freight_ratio").alias("mean_freight_ratio"))
+
+
 def geo_headline(revenue: DataFrame, avg_ticket: DataFrame, freight: DataFrame,
                  dedupe: bool = False) -> DataFrame:
     """Point count, revenue total (k), mean ticket, mean freight ratio.

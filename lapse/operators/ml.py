@@ -42,11 +42,13 @@ def stratified_split(df: DataFrame, label: str = LABEL, test_fraction: float = 0
     fall on the same side. ``key=[customer]`` keeps a customer on one side."""
     cols = key or df.columns
     h = df.withColumn("_h", F.xxhash64(F.lit(seed), *cols))
-    cum = value_counts_cumulative(h, "_h", by=[label]).select(label, "_h", "cum_before")
-    n = h.groupBy(label).agg(F.count("*").alias("_nc"))
-    j = (h.join(cum, [label, "_h"]).join(n, label)
-         .withColumn("is_test", F.col("cum_before") < F.round(F.col("_nc") * test_fraction)))
-    return j.drop("_h", "cum_before", "_nc")
+    cum = value_counts_cumulative(h, "_h", by=[label]).select(label, "_h", "cnt", "cum_before")
+    # the hash of the last test row of each class: one row per class is joined back
+    sizes = cum.groupBy(label).agg(F.sum("cnt").alias("_nc"))
+    cuts = (cum.join(sizes, label).where(F.col("cum_before") < F.round(F.col("_nc") * test_fraction))
+            .groupBy(F.col(label).alias("_label")).agg(F.max("_h").alias("_cut")))
+    j = h.join(materialize(cuts, "split_cuts"), F.col(label) == F.col("_label"), "left")
+    return j.withColumn("is_test", F.coalesce(F.col("_h") <= F.col("_cut"), F.lit(False))).where(F.col(label).isNotNull()).drop("_h", "_cut", "_label")
 
 
 def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:

@@ -92,7 +92,7 @@ def q_region_headline(spark, sf_dir):
     """State and city picked, outliers clipped among the picked points, then the three metrics."""
     geo, sales = gx.filter_region(*loaded(spark, sf_dir), REGION_STATE, REGION_CITY)
     geo = gx.clip_outliers(geo)
-    h = gx.geo_headline(gx.geo_revenue(geo, sales), gx.geo_avg_ticket(geo, sales), gx.geo_freight_ratio(geo, sales))
+    h = gx.geo_headline_of(gx.geo_metrics(geo, sales))
     return h.select("points", F.round("revenue_total", 4).alias("revenue_total"), F.round("mean_ticket", 4).alias("mean_ticket"),
                     F.round("mean_freight_ratio", R6).alias("mean_freight_ratio"))
 

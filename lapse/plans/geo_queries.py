@@ -32,8 +32,8 @@ GEO_CTES = [
     ("rev", "SELECT g.*, p.price, coalesce(p.price, 0) / 1000 AS revenue FROM geoc g LEFT JOIN "
             "(SELECT customer_zip_code_prefix_3_digits AS k, sum(price) AS price FROM sales WHERE customer_zip_code_prefix_3_digits IS NOT NULL GROUP BY 1) p "
             "ON g.geolocation_zip_code_prefix_3_digits = p.k"),
-    ("tick", "SELECT g.*, p.avg_ticket FROM geoc g LEFT JOIN (SELECT k, CAST(sum(pm) AS DOUBLE) / count(*) / 1000000.0 AS avg_ticket FROM "
-             "(SELECT order_id, sum(CAST(round(price * 1000000.0) AS BIGINT)) AS pm, min(customer_zip_code_prefix_3_digits) AS k FROM sales GROUP BY order_id) "
+    ("tick", "SELECT g.*, p.avg_ticket FROM geoc g LEFT JOIN (SELECT k, CAST(sum(pm) AS DOUBLE) / count(*) AS avg_ticket FROM "
+             "(SELECT order_id, sum(CAST(price AS DECIMAL(18, 6))) AS pm, min(customer_zip_code_prefix_3_digits) AS k FROM sales GROUP BY order_id) "
              "WHERE k IS NOT NULL GROUP BY k) p ON g.geolocation_zip_code_prefix_3_digits = p.k"),
     ("frt", "SELECT g.*, p.freight_ratio FROM geoc g LEFT JOIN (SELECT k, avg(freight_value / price) AS freight_ratio FROM "
             "(SELECT order_id, sum(price) AS price, sum(freight_value) AS freight_value, min(customer_zip_code_prefix_3_digits) AS k "
@@ -140,7 +140,7 @@ def q_geo_freight_ratio(spark, sf_dir):
     "(SELECT round(avg(avg_ticket), 6) FROM tick) AS mean_ticket, (SELECT round(avg(freight_ratio), 6) FROM frt) AS mean_freight_ratio"))
 def q_geo_headline(spark, sf_dir):
     geo, sales = frames(spark, sf_dir)
-    h = gx.geo_headline(gx.geo_revenue(geo, sales), gx.geo_avg_ticket(geo, sales), gx.geo_freight_ratio(geo, sales))
+    h = gx.geo_headline_of(gx.geo_metrics(geo, sales))
     return h.select("points", round_half_away("revenue_total").alias("revenue_total"),
                     *[F.round(c, R6).alias(c) for c in ("mean_ticket", "mean_freight_ratio")])
 

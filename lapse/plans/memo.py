@@ -40,7 +40,19 @@ def _hadoop_status(path: str):
 
 def fingerprint(sf_dir: str, tables=("customer", "nation", "orders", "lineitem", "part", "supplier")) -> tuple:
     """Version key of the input tables: size, file count and latest
-    modification time of each (folders and remote stores included)."""
+    modification time of each (folders and remote stores included).
+
+    Listing a large table's files takes the driver long, so it is done once
+    per application and folder; :func:`clear` forgets it, after new data."""
+    from pyspark import SparkContext
+    sc = SparkContext._active_spark_context
+    k = (sc.applicationId if sc else None, "fingerprint", sf_dir, tables)
+    if k not in _MEMO:
+        _MEMO[k] = _listed(sf_dir, tables)
+    return _MEMO[k]
+
+
+def _listed(sf_dir: str, tables) -> tuple:
     out = []
     for t in tables:
         p = os.path.join(sf_dir, f"{t}.parquet")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lapse.functions.rfm import SCORE_PROBS, SEGMENT_RULES, TIER_DEFAULT, TIER_RULES
+from lapse.functions.rfm import SCORE_PROBS
 from lapse.operators import lifecycle as lc
 from lapse.operators import rfm as rf
 from lapse.plans.fact_queries import fact_parts, fact_sql
@@ -30,17 +30,25 @@ def rfm_frames(spark, sf_dir, preset="notebook"):
     return parts, memo(spark, ("rfm", preset, fingerprint(sf_dir)), build)
 
 
-def _score_case(x, cuts, ascending):
-    n = len(cuts)
-    whens = " ".join(f"WHEN {x} <= {c} THEN {(i + 1) if ascending else (n + 1 - i)}" for i, c in enumerate(cuts))
-    return f"CASE {whens} ELSE {n + 1 if ascending else 1} END"
+def _score_case(x, best_first):
+    low_to_high = f"WHEN {x} <= {x}_q0 THEN {{}} WHEN {x} <= {x}_q1 THEN {{}} WHEN {x} <= {x}_q2 THEN {{}} WHEN {x} <= {x}_q3 THEN {{}} ELSE {{}}"
+    return "CASE " + low_to_high.format(*((5, 4, 3, 2, 1) if best_first else (1, 2, 3, 4, 5))) + " END"
 
 
-SEGMENT_SQL = "CASE " + " ".join(
-    f"WHEN R BETWEEN {r0} AND {r1} AND F BETWEEN {f0} AND {f1} THEN '{label}'"
-    for (r0, r1), (f0, f1), label in SEGMENT_RULES) + " END"
-TIER_SQL = "CASE " + " ".join(f"WHEN RFM_Score > {lim} THEN '{label}'" for lim, label in TIER_RULES) + \
-    f" ELSE '{TIER_DEFAULT}' END"
+# Written out by hand, not from the operator's rule tables, so that the two can disagree.
+SEGMENT_SQL = """CASE
+  WHEN R <= 2 AND F <= 2 THEN 'Спящие'
+  WHEN R <= 2 AND F <= 4 THEN 'В зоне риска'
+  WHEN R <= 2 THEN 'Нельзя потерять'
+  WHEN R = 3 AND F <= 2 THEN 'На грани ухода'
+  WHEN R = 3 AND F = 3 THEN 'Требуют внимания'
+  WHEN R <= 4 AND F >= 4 THEN 'Лояльные клиенты'
+  WHEN R = 4 AND F = 1 THEN 'Перспективные'
+  WHEN R = 5 AND F = 1 THEN 'Новые клиенты'
+  WHEN F <= 3 THEN 'Potential loyalists'
+  ELSE 'Чемпионы' END"""
+TIER_SQL = """CASE WHEN RFM_Score >= 11 THEN 'Платина' WHEN RFM_Score = 10 THEN 'Золото' WHEN RFM_Score >= 8 THEN 'Серебро'
+  WHEN RFM_Score >= 6 THEN 'Бронза' ELSE 'Стандарт' END"""
 
 
 def rfm_ctes(preset="notebook"):
@@ -62,13 +70,11 @@ def rfm_ctes(preset="notebook"):
         ]
     qs = ", ".join(f"quantile_cont({c}, {p}) AS {c}_q{i}"
                    for c in ("Recency", "Frequency", "MonetaryValue") for i, p in enumerate(SCORE_PROBS))
-    n = len(SCORE_PROBS)
     return base + [
         ("rq", f"SELECT {qs} FROM rfm0"),
         ("rs", "SELECT rfm0.*, "
-               f"{_score_case('Recency', [f'Recency_q{i}' for i in range(n)], False)} AS R, "
-               f"{_score_case('Frequency', [f'Frequency_q{i}' for i in range(n)], True)} AS F, "
-               f"{_score_case('MonetaryValue', [f'MonetaryValue_q{i}' for i in range(n)], True)} AS M FROM rfm0, rq"),
+               f"{_score_case('Recency', True)} AS R, {_score_case('Frequency', False)} AS F, "
+               f"{_score_case('MonetaryValue', False)} AS M FROM rfm0, rq"),
         ("rfm1", "SELECT *, CAST(R AS VARCHAR) || CAST(F AS VARCHAR) || CAST(M AS VARCHAR) AS RFM_Segment, R + F + M AS RFM_Score FROM rs"),
         ("rfm", f"SELECT *, {SEGMENT_SQL} AS Segment, {TIER_SQL} AS Score FROM rfm1"),
     ]
