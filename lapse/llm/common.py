@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapse.session import checkpoint_dir
+from lapse.session import _WRITTEN, checkpoint_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), f"llm-{name}-{uuid.uuid4().hex[:12]}")
     df.write.parquet(path)
+    _WRITTEN.append(path)  # removed when the application ends
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -36,6 +37,11 @@ def boxed(df: DataFrame, *names: str) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[F.col(c) for c in names])
 
 
+def range_bits(rows: int, least: int = 9, per_range: int = 200_000) -> int:
+    """Leading bits of a hash that cut ``rows`` rows to ranges of about ``per_range``, 2 ** ``least`` ranges or more."""
+    return max(least, (max(1, -(-rows // per_range)) - 1).bit_length())
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that :func:`stored` wrote and that nothing reads any more."""
     jvm = df.sparkSession._jvm

@@ -13,7 +13,7 @@ ever a row.
 
 All is DataFrame work. Documents are shuffled once, by source and hash range:
 positions on a line are sums inside a range plus the totals of the ranges
-before it, so a source that holds most rows is spread over ``buckets`` groups.
+before it, so a source that holds most rows is spread over all of them.
 Only tables with one row per source (and shard) meet in one task.
 """
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapse.llm.common import WORD, boxed, stored
+from lapse.llm.common import WORD, boxed, range_bits, stored
 
 def _all():
     """Over tables of one row per source."""
@@ -93,7 +93,7 @@ def _overlap(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 
 def mix_sources(df: DataFrame, key: str, source: str, text: str = "text", seed: int = 6, block_words: int = 16,
-                shards: int = 16, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, buckets: int = 512,
+                shards: int = 16, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3,
                 carry: tuple[str, ...] = ()) -> DataFrame:
     """``key``, ``size``, ``source_size``, ``target``, ``taken``, ``epochs``, ``run`` and ``mix_shard`` of every row, with ``carry``.
 
@@ -112,7 +112,8 @@ def mix_sources(df: DataFrame, key: str, source: str, text: str = "text", seed:
                      *[F.col(c).alias(f"_c_{c}") for c in carry])
     if not carry:  # a narrow table: read the texts once
         rows = stored(rows, "mix")
-    rows = rows.withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)).cast("int"))
+    # ranges of the hash, of bounded size; the order on the line is that of the hash, however it is cut
+    rows = rows.withColumn("_b", F.shiftrightunsigned("_h", 64 - range_bits(rows.count())).cast("int"))
     ranges = rows.groupBy("_src", "_b").agg(F.sum("_size").alias("_n"))
     ranges = stored(ranges, "mix-ranges")
     sizes = ranges.groupBy("_src").agg(F.sum("_n").alias("source_size"))

@@ -1,6 +1,6 @@
 """Uniform shuffle into shards of exact size by a hypergeometric communication matrix.
 
-The rows are first cut into ``partitions`` source partitions by a seeded hash.
+The rows are first cut into source partitions of bounded size by a seeded hash.
 How many rows of source partition p go to shard s is a contingency table with
 fixed margins: the partition counts (given) and the shard sizes (N split into
 parts at most one apart). For a uniformly random permutation of all rows that
@@ -15,8 +15,8 @@ law row by row. Then
 
 Rows move twice, whatever their number. Slots are ranks in a range of hash
 buckets plus the counts of the buckets before, so that no task holds a shard.
-Only the ``partitions x shards`` table of counts (bounded by its parameters)
-passes through the driver.
+Only the table of counts (partitions x shards whole numbers, a few bytes for
+thousands of rows) passes through the driver.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapse.llm.common import stored
+from lapse.llm.common import range_bits, stored
 
 #: Weight of a row beside its text bytes: the doc_id.
 ROW_BYTES = 8
@@ -77,7 +77,7 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -
     return int(x[min(int(np.searchsorted(upto, rng.random() * upto[-1], side="right")), len(x) - 1)])
 
 
-def shard_rows(df: DataFrame, key: str, shards: int, seed: int = 11, partitions: int = 512,
+def shard_rows(df: DataFrame, key: str, shards: int, seed: int = 11, partitions: int | None = None,
                text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """``key``, ``size``, ``text_crc32``, the ``carry`` columns, ``shard`` and ``slot`` of every row.
 
@@ -90,6 +90,8 @@ def shard_rows(df: DataFrame, key: str, shards: int, seed: int = 11, partitions:
     whatever name, are not read.
     """
     spark = df.sparkSession
+    n_rows = df.count()
+    partitions = partitions or 1 << range_bits(n_rows)  # of about 200,000 rows each, 512 or more
     body = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(F.col(key).alias("_k"), (F.octet_length(body) + F.lit(ROW_BYTES)).cast("long").alias("_size"),
                      F.crc32(body.cast("binary")).alias("_crc"), *[F.col(c).alias(f"_c_{c}") for c in carry])
@@ -98,17 +100,17 @@ def shard_rows(df: DataFrame, key: str, shards: int, seed: int = 11, partitions:
                 .withColumn("_h2", F.xxhash64(F.lit(seed + 1), "_k", "_crc", "_size"))
                 .withColumn("_p", F.pmod(F.xxhash64(F.lit(seed + 2), "_k", "_crc", "_size"), F.lit(partitions)).cast("int")))
     counts = [0] * partitions
-    for r in rows.groupBy("_p").count().collect():  # at most ``partitions`` rows
+    for r in rows.groupBy("_p").count().collect():  # one row a partition
         counts[r["_p"]] = r["count"]
     upto = np.cumsum(np.array(communication_matrix(counts, shards, seed), dtype=np.int64), axis=1).tolist()
     table = spark.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(upto)), "array<array<bigint>>")).alias("_p", "_upto"))
-    # 1. local permutation; the matrix (partitions x shards integers) is bounded by its parameters
+    # 1. local permutation; the matrix has partitions x shards integers, one row for some 200,000 rows of data
     local = Window.partitionBy("_p").orderBy("_h1", "_k", "_crc")
     dealt = (rows.withColumn("_r", F.row_number().over(local).cast("long") - 1)
-                 .join(F.broadcast(table), "_p")
+                 .join(table, "_p")
                  .withColumn("shard", F.size(F.filter("_upto", lambda u: u <= F.col("_r"))).cast("int")))
     # 2. exchange by shard and hash bucket, 3. permutation inside
-    dealt = dealt.drop("_upto", "_r", "_p", "_h1").withColumn("_b", F.shiftrightunsigned("_h2", 54).cast("int"))
+    dealt = dealt.drop("_upto", "_r", "_p", "_h1").withColumn("_b", F.shiftrightunsigned("_h2", 64 - range_bits(n_rows // shards)).cast("int"))
     dealt = stored(dealt, "shards")
     before = Window.partitionBy("shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = (dealt.groupBy("shard", "_b").agg(F.count(F.lit(1)).alias("_n"))
