@@ -1,9 +1,9 @@
 """lapse: customer-retention analytics as Spark DataFrame jobs.
 
 Every operator is a function from DataFrame(s) to DataFrame with the column
-names as parameters. Nothing is collected to the driver on the main path:
-scalars (thresholds, quantiles, extents) travel as one-row frames that are
-cross-joined with a broadcast hint, so each result stays one lazy plan.
+names as parameters. Scalars (thresholds, quantiles, extents) are one-row
+aggregates attached as scalar subqueries: no join, and no collect on the main
+path.
 """
 
 from lapse.session import get_session, checkpoint_dir, materialize
