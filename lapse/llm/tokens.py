@@ -98,55 +98,79 @@ class DacReader:
 _SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
+#: Latin letters, each certainly a letter to the pre-tokenizer; a run of them ends where no other letter can follow.
+_LETTERS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
+_MAYBE_LETTERS = "\\xaa\\xb5\\xba\\u0250-\\U0010ffff"
+
+
 class Encoder:
     """Byte-level BPE of the tokenizers library with a bounded memo of pieces.
 
-    The pre-tokenizer cuts a text into pieces that never reach past a run of
-    other characters with at most one space before it, so such runs and the
-    white space between them are encoded on their own, each once, by the
-    library; a text is the concatenation of its pieces' ids. Texts that hold
-    the name of an added token are given to the library whole."""
+    The pre-tokenizer never joins text across the start or end of a run of
+    letters with at most one space before it, nor across white space; such
+    pieces are encoded on their own, each once, by the library, and a text is
+    the concatenation of its pieces' ids. Texts that hold the name of an added token are given to
+    the library whole."""
 
-    def __init__(self, file: str, most: int = 400_000):
+    def __init__(self, file: str, most: int = 700_000):
+        import os
         import re
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(file)
-        self.pieces = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+        self.pieces = re.compile(f" ?[{_LETTERS}]++(?![{_MAYBE_LETTERS}])| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most = most
         self._clear()
 
     def _clear(self) -> None:
-        self.code, self.flat, self.first, self.used = {}, np.zeros(1 << 20, np.uint32), [0], 0
+        self.code, self.flat, self.bounds = {}, [np.zeros(0, np.uint32)], np.zeros(1, np.int64)
 
     def _learn(self, pieces: list[str]) -> None:
-        for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
-            ids = e.ids
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used: self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.first.append(self.used)
-        for p in pieces:
-            self.code[p] = len(self.code)
-
-    def encode(self, text: str) -> np.ndarray:
-        if any(a in text for a in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        pieces = self.pieces.findall(text)
-        if not pieces:
-            return np.zeros(0, np.uint32)
-        fresh = list(dict.fromkeys(p for p in pieces if p not in self.code))
+        """Encode new pieces: one to a line in a single text, as a line end between two pieces is a token of its own;
+        white space, and all if the vocabulary has no such token, one by one."""
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        blank = [p for p in pieces if p.isspace() or "\n" in p or len(line) != 1]
+        lines = sorted(set(pieces).difference(blank))
+        groups = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(blank, add_special_tokens=False)]
+        if lines:
+            (e,) = self.tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)
+            ids = np.array(e.ids, np.uint32)
+            ends = np.append(np.flatnonzero(ids == line[0]), len(ids))
+            assert len(ends) == len(lines)
+            flat, sizes = ids[ids != line[0]], np.diff(np.concatenate([[-1], ends])) - 1
+        else:
+            flat, sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        flat, sizes = np.concatenate([*groups, flat]), np.concatenate([[len(g) for g in groups], sizes]).astype(np.int64)
+        n = len(self.code)
+        self.code.update(zip([*blank, *lines], range(n, n + len(sizes))))
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+        self.flat.append(flat)
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; pieces that are new are learnt in one call."""
+        cut = [None if any(a in t for a in self.added) else self.pieces.findall(t) for t in texts]
+        fresh = {p for ps in cut if ps for p in ps}.difference(self.code)
         if len(self.code) + len(fresh) > self.most and self.code:
             self._clear()
-            fresh = list(dict.fromkeys(pieces))
+            fresh = {p for ps in cut if ps for p in ps}
         if fresh:
-            self._learn(fresh)
-            self.bounds = np.array(self.first, np.int64)
-        code = np.fromiter(map(self.code.__getitem__, pieces), np.int64, len(pieces))
-        first, n = self.bounds[code], self.bounds[code + 1] - self.bounds[code]
-        return self.flat[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            self._learn(sorted(fresh))
+            self.flat = [np.concatenate(self.flat)]
+        out = []
+        for t, ps in zip(texts, cut):
+            if ps is None:
+                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
+                continue
+            code = np.fromiter(map(self.code.__getitem__, ps), np.int64, len(ps))
+            first = self.bounds[code]
+            n = self.bounds[code + 1] - first
+            out.append(self.flat[0][np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+        return out
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
 
 
 def write_segments(df: DataFrame, key: str, text: str, tokenizer_file: str, end_id: int, parts: int, segment_ids: int = 1 << 20) -> DataFrame:
@@ -170,13 +194,15 @@ def write_segments(df: DataFrame, key: str, text: str, tokenizer_file: str, end_
             return pa.RecordBatch.from_pylist([{"part": now, "seg": seg, "keys": keys, "ends": ends, "payload": dac_encode(np.concatenate(ids))}], schema=schema)
 
         for b in batches:
-            for k, t in zip(b.column(0), b.column(1)):
-                if size >= segment_ids:
-                    yield full()
-                    keys, ids, size, seg = [], [], 0, seg + 1
-                keys.append(k.as_py())
-                ids.append(np.append(encoder.encode(t.as_py()), np.uint32(end_id)))
-                size += len(ids[-1])
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                for k, x in zip(part.column(0).to_pylist(), encoder.encode_all(part.column(1).to_pylist())):
+                    if size >= segment_ids:
+                        yield full()
+                        keys, ids, size, seg = [], [], 0, seg + 1
+                    keys.append(k)
+                    ids.append(np.append(x, np.uint32(end_id)))
+                    size += len(ids[-1])
         if keys:
             yield full()
 
