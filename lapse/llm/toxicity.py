@@ -153,7 +153,8 @@ def train_toxicity(df: DataFrame, labels: DataFrame, key: str, text: str, label:
             found = [index[ngrams(t.as_py(), seen)] for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([np.sort(f[f >= 0]).tobytes() for f in found], pa.binary())], names=["y", "f"])
 
-    rows = train.select("t", "y").mapInArrow(run, "y int, f binary").orderBy("y", "f").collect()  # at most about ``sample`` rows
+    # at most about ``sample`` rows; in one order, so that reruns sum alike
+    rows = sorted(train.select("t", "y").mapInArrow(run, "y int, f binary").collect(), key=lambda x: (x["y"], bytes(x["f"])))
     w, b = _fit(rows, len(buckets), r, l2, steps)
     return Model(buckets, w * r, b)
 
