@@ -112,7 +112,7 @@ class Encoder:
     the concatenation of its pieces' ids. Texts that hold the name of an added token are given to
     the library whole."""
 
-    def __init__(self, file: str, most: int = 700_000):
+    def __init__(self, file: str, most: int = 1_000_000):
         import os
         import re
 
