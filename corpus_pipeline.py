@@ -15,15 +15,15 @@ from lapse.llm.decontaminate import contaminated, contamination
 from lapse.llm.mixing import mixed_rows
 from lapse.llm.sharding import shard_rows
 from lapse.llm.simhash import keep_one
-from lapse.llm.toxicity import toxicity
+from lapse.llm.toxicity import not_rejected
 
 SHARDS = 24
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier does not reject."""
-    scored = toxicity(boxed(docs, "doc_id", "text"), table(spark, sf_dir, "labels"), "doc_id", carry=("row",))
-    return scored.where("predicted = 0").select("row.*")
+    """Documents that the toxicity classifier does not reject; all of them where the labels give it nothing to learn."""
+    kept = not_rejected(boxed(docs, "doc_id", "text"), table(spark, sf_dir, "labels"), "doc_id", carry=("row",))
+    return kept.select("row.*")
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -190,9 +190,25 @@ def toxicity(df: DataFrame, labels: DataFrame, key: str, text: str = "text", lab
     Labels are learnt only from keys outside fold ``held_out``. Labels, and
     columns beside the text, are no input of a score, so equal texts score
     alike. Null and empty texts score the intercept; repeated rows come out as
-    they came in; without labels the score is one half for all.
+    they came in; without labels the score is one half for all. ``predicted``
+    is the score against ``threshold`` and no more: a model without features
+    gives it to all rows or to none, so filters use :func:`not_rejected`.
     """
     model = train_toxicity(df, labels.where(fold(key) != held_out), key, text, label, **fit)
     out = score_toxicity(df, model, text, (key, *[c for c in carry if c != key]))  # names of ``carry`` must differ from the new ones
     return out.select(F.col(key), (fold(key) == held_out).alias("held_out"), "score",
                       (F.col("score") >= threshold).cast("int").alias("predicted"), *[c for c in carry if c != key])
+
+
+def not_rejected(df: DataFrame, labels: DataFrame, key: str, text: str = "text", label: str = "toxic", held_out: int = 2,
+                 threshold: float = 0.3, carry: tuple[str, ...] = (), **fit) -> DataFrame:
+    """``carry`` columns of the rows that :func:`toxicity` predicts 0.
+
+    Where the training rows tell nothing apart (no usable label, one class
+    only, or no feature that enough of them share) there is no evidence
+    against any row, and all are kept.
+    """
+    model = train_toxicity(df, labels.where(fold(key) != held_out), key, text, label, **fit)
+    if not len(model.buckets):
+        return df.select(*carry)
+    return score_toxicity(df, model, text, carry).where(F.col("score") < threshold).select(*carry)

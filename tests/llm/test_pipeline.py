@@ -92,3 +92,28 @@ def test_run_agrees_with_itself(spark, corpus):
 def test_empty_tables(spark, tmp_path):
     import corpus_pipeline as cp
     assert cp.run(spark, write(spark, tmp_path, [], [], [])).count() == 0
+
+
+@pytest.mark.parametrize("marks", [[], "null", "positive", "negative", "held out", "absent", "two"])
+def test_toxicity_stage_keeps_all_without_evidence(spark, tmp_path, marks):
+    import zlib
+
+    import corpus_pipeline as cp
+    from lapse.llm.common import table
+    rng = random.Random(8)
+    rows = [(i, sentence(rng, 30), "en", "a", 1) for i in range(40)] + [(None, None, None, None, None), (41, "", "en", "a", 0)]
+    held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 == 2]
+    learnt = [i for i in range(40) if i not in held]
+    labels = {"null": [(i, 1, None) for i in range(40)], "positive": [(i, 1, 1) for i in learnt], "negative": [(learnt[0], 1, 0)],
+              "held out": [(i, 1, i % 2) for i in held], "absent": [(1000 + i, 1, i % 2) for i in range(40)],
+              "two": [(learnt[0], 1, 0), (learnt[1], 1, 1)]}[marks] if marks else []
+    folder = write(spark, tmp_path, rows, labels, [])
+    kept = cp.toxic_out(spark, table(spark, folder, "documents"), folder)
+    assert Counter(tuple(r) for r in kept.select(*COLUMNS).collect()) == Counter(rows)
+
+
+def test_run_without_labels_keeps_clean_documents(spark, tmp_path):
+    import corpus_pipeline as cp
+    rng = random.Random(9)
+    rows = [(i, sentence(rng, 60), "en", "a", 1) for i in range(20)]
+    assert cp.run(spark, write(spark, tmp_path, rows, [], [])).count() > 0
