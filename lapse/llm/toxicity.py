@@ -8,7 +8,8 @@ and logistic regression with an L2 penalty gives its weight. A score is the
 logistic function of intercept + sum of weight_f r_f over the features present.
 
 Labels are learnt from a seeded sample of about ``sample`` labelled rows (a
-documented bound, so the fit costs the same at any size). Every row is scored
+documented bound, so the fit costs the same at any size), drawn by class from
+the labels whose key the table holds. Every row is scored
 in one pass over the texts, without a shuffle; the broadcast model holds
 ``features`` numbers.
 """
@@ -126,13 +127,22 @@ def train_toxicity(df: DataFrame, labels: DataFrame, key: str, text: str, label:
                    features: int = 4096, seed: int = 3, alpha: float = 0.5, l2: float = 1e-4, steps: int = 150) -> Model:
     """Fit on the rows of ``df`` whose key is in ``labels`` (a null label is none; of several, the highest holds).
 
-    Only a seeded share of the labels is used, about ``sample`` rows; it is
-    the one side that is broadcast, and its size is bounded by ``sample``.
+    Only labels of keys that ``df`` holds count. Of those a seeded draw of
+    about ``sample`` is used, by class: all of the rarer class up to half the
+    bound, the other class fills the rest; the intercept is then moved back to
+    the class shares of all of them. The draw is the one side that is
+    broadcast, and its size is bounded by ``sample``.
     """
     marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg((F.max(label) > 0).cast("int").alias("y"))
-    share = min(1.0, sample / max(1, marked.count()))
-    if share < 1.0:
-        marked = marked.where(F.pmod(F.xxhash64(F.lit(seed), "_k"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    marked = stored(marked.join(df.select(F.col(key).alias("_k")), "_k", "left_semi"), "toxic-labels")
+    total = {x["y"]: x["count"] for x in marked.groupBy("y").count().collect()}
+    rare = min((0, 1), key=lambda y: total.get(y, 0))
+    bound = {rare: min(total.get(rare, 0), sample // 2)}
+    bound[1 - rare] = sample - bound[rare]
+    if any(n > bound[y] for y, n in total.items()):
+        hashed = F.pmod(F.xxhash64(F.lit(seed), "_k"), F.lit(1 << 30))
+        upto = {y: int(min(1.0, bound[y] / max(1, total.get(y, 0))) * (1 << 30)) for y in (0, 1)}
+        marked = marked.where(hashed < F.when(F.col("y") == 1, upto[1]).otherwise(upto[0]))
     train = (df.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("t")).join(F.broadcast(marked), "_k")
                .groupBy("_k").agg(F.min("t").alias("t"), F.first("y").alias("y")))  # a repeated key counts once
     train = stored(train.select("t", "y"), "toxic-train")
@@ -140,7 +150,7 @@ def train_toxicity(df: DataFrame, labels: DataFrame, key: str, text: str, label:
     pos, neg = n.get(1, 0), n.get(0, 0)
     empty = np.zeros(0, np.int32)
     if not pos or not neg:  # one class: the score is the share of toxic rows
-        return Model(empty, np.zeros(0), float(np.log((pos + 0.5) / (neg + 0.5))))
+        return Model(empty, np.zeros(0), float(np.log((total.get(1, 0) + 0.5) / (total.get(0, 0) + 0.5))))
     ship_by_value(__name__)
     chosen = sorted(_select(_counts(train), pos, neg, features, alpha), key=lambda x: x["bucket"])
     buckets, r = np.array([x["bucket"] for x in chosen], np.int32), np.array([x["r"] for x in chosen])
@@ -156,7 +166,7 @@ def train_toxicity(df: DataFrame, labels: DataFrame, key: str, text: str, label:
     # at most about ``sample`` rows; in one order, so that reruns sum alike
     rows = sorted(train.select("t", "y").mapInArrow(run, "y int, f binary").collect(), key=lambda x: (x["y"], bytes(x["f"])))
     w, b = _fit(rows, len(buckets), r, l2, steps)
-    return Model(buckets, w * r, b)
+    return Model(buckets, w * r, b + float(np.log(total[1] / total[0]) - np.log(pos / neg)))
 
 
 def score_toxicity(df: DataFrame, model: Model, text: str, carry: tuple[str, ...]) -> DataFrame:

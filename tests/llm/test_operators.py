@@ -178,6 +178,24 @@ def test_toxicity_learns_and_scores_everything(spark, empty):
     assert {r["score"] for r in toxicity(docs, marks.where("false"), "doc_id").collect()} == {0.5}
 
 
+def test_toxicity_draws_by_class_from_labels_of_documents(spark):
+    from lapse.llm.toxicity import score_toxicity, train_toxicity
+    rng = random.Random(12)
+    rows = [(i, sentence(rng, 40) + (" idiot moron scum" if i % 40 == 0 else ""), "en", "a", 1) for i in range(2000)]
+    docs = frame(spark, rows)
+    near = [(i, 1, int(i % 40 == 0)) for i in range(2000)]
+    far = [(i, 1, i % 2) for i in range(100_000, 140_000)]  # no documents: no evidence, and no part of the bound
+    marks = spark.createDataFrame(near + far, "doc_id long, quality int, toxic int")
+    model = train_toxicity(docs, marks, "doc_id", "text", "toxic", sample=200)
+    only = train_toxicity(docs, marks.where("doc_id < 2000"), "doc_id", "text", "toxic", sample=200)
+    assert model.buckets.tolist() == only.buckets.tolist() and len(model.buckets) and model.intercept == only.intercept
+    out = {r["doc_id"]: r["score"] for r in score_toxicity(docs, model, "text", ("doc_id",)).collect()}
+    assert min(out[i] for i in range(0, 2000, 40)) > max(s for i, s in out.items() if i % 40)
+    assert np.mean([s < 0.3 for i, s in out.items() if i % 40]) > 0.99
+    whole = train_toxicity(docs, marks.where("doc_id < 2000"), "doc_id", "text", "toxic", sample=20_000)
+    assert abs(model.intercept - whole.intercept) < 1.5  # shares of all labels, not of the draw
+
+
 # 4 secrets
 
 def base_brute(t, least=6):
