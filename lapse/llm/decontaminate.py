@@ -15,6 +15,7 @@ in a worker process, which holds at most ``RESIDENT`` of them.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -218,3 +219,40 @@ def contamination(df: DataFrame, items: DataFrame, key: str, item: str, text: st
 def contaminated(coverage: int = 20):
     """A row is contaminated if hit words are at least 1 / ``coverage`` of its words."""
     return (F.col("n_hit") > 0) & (F.col("n_hit") * coverage >= F.col("n_words"))
+
+
+def without_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
+    """The text without the words of the spans (sorted, disjoint) and what parts them from the next word."""
+    if text is None or not spans:
+        return text
+    raw = text.encode("utf-8", "surrogatepass")
+    begins = [m.start() for m in re.finditer(rb"[^ ]+", raw.translate(_TABLE))]  # the table keeps lengths
+    begins.append(len(raw))
+    parts, at = [], 0
+    for s, e in spans:
+        parts.append(raw[at: begins[s]])
+        at = begins[e]
+    return b"".join([*parts, raw[at:]]).decode("utf-8", "surrogatepass")
+
+
+def cleaned(marked: DataFrame, text: str = "text", length: int = 1, coverage: int | None = 20) -> DataFrame:
+    """Rows of :func:`contamination` that carry ``text``, with ``cleaned`` (the text without its spans) and ``n_cut`` (words cut).
+
+    Spans of at least ``length`` words are cut (1: all); where hit words reach
+    1 / ``coverage`` of the text, all of its spans are, whatever their length
+    (None: no such limit). A text without spans to cut stays as it is, null
+    included; a text that is all span leaves what stands before its first word.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [without_spans(t.as_py(), [(x["from"], x["to"]) for x in c.as_py()]) for t, c in zip(b.column(0), b.column(1))]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(texts, pa.string())], names=[*b.schema.names[1:], "_cleaned"])
+
+    ship_by_value(__name__)
+    ship_by_value("lapse.llm.common")
+    every = F.lit(False) if coverage is None else contaminated(coverage)
+    cut = F.filter("spans", lambda x: every | (x["to"] - x["from"] >= length))
+    rows = marked.select(F.col(text).cast("string").alias("_t"), cut.alias("_cut"), F.struct(*[F.col(f"`{c}`") for c in marked.columns]).alias("_row"))
+    out = rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], T.StructField("_cleaned", T.StringType())]))
+    n_cut = F.aggregate("_cut", F.lit(0).cast("long"), lambda n, x: n + x["to"] - x["from"])
+    return out.select("_row.*", F.col("_cleaned").alias("cleaned"), n_cut.alias("n_cut"))

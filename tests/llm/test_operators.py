@@ -305,6 +305,32 @@ def test_automaton_matches_naive(items, text, window):
     assert {i for s, e in union_spans(spans) for i in range(s, e)} == hit
 
 
+def test_cleaned_texts_lack_their_spans(spark, docs, rows):
+    from lapse.llm.decontaminate import cleaned, contamination, without_spans
+    rng = random.Random(6)
+    passage = [f"P{i}" for i in range(20)]
+    words_ = [f"w{i}" for i in range(20_000)]
+    long = " ".join(words_[:900]) + ", " + " ".join(passage).upper() + ".  " + " ".join(words_[900:])
+    texts = [(1, long), (2, "Ends in \u00e9: " + ", ".join(passage)), (3, " ".join(passage)), (4, "say one; two \u00f1 " + sentence(rng, 100)), (5, None), (6, ""), (7, " no hit \U0001F600 ")]
+    items = spark.createDataFrame([(1, " ".join(passage)), (2, "One")], "item_id long, text string")
+    marked = contamination(frame(spark, [(i, t, "en", "a", 1) for i, t in texts]), items, "doc_id", "item_id", carry=("text",))
+    cut = {r["doc_id"]: (r["cleaned"], r["n_cut"]) for r in cleaned(marked).collect()}
+    assert cut == {1: (" ".join(words_[:900]) + ", " + " ".join(words_[900:]), 20), 2: ("Ends in \u00e9: ", 20), 3: ("", 20),
+                   4: (texts[3][1].replace("one; ", ""), 1), 5: (None, 0), 6: ("", 0), 7: (" no hit \U0001F600 ", 0)}
+    part = {r["doc_id"]: r["n_cut"] for r in cleaned(marked, length=13).collect()}
+    assert part[1] == 20 and part[4] == 0
+    whole = {r["doc_id"]: r["n_cut"] for r in cleaned(marked, length=21, coverage=None).collect()}
+    assert set(whole.values()) == {0}
+    assert {r["doc_id"]: r["n_cut"] for r in cleaned(marked, length=21).collect()} == {1: 0, 2: 20, 3: 20, 4: 0, 5: 0, 6: 0, 7: 0}
+    # on any text: the words left are those outside the spans
+    for _ in range(300):
+        t = "".join(rng.choice(["a", "B", " ", "\u00e9", "-", ". ", "\U0001F600", "7"]) for _ in range(40))
+        w = items_words(t)
+        ends = sorted(rng.sample(range(len(w) + 1), min(4, len(w) + 1) // 2 * 2))
+        spans = list(zip(ends[::2], ends[1::2]))
+        assert items_words(without_spans(t, spans)) == [x for i, x in enumerate(w) if not any(s <= i < e for s, e in spans)]
+
+
 # 6 mixing
 
 def targets_brute(sizes):
