@@ -8,9 +8,13 @@ are found on the suffix links of the state. Matches give the hit word spans of
 a text and the items that they come from; what exceeds the coverage limit is
 contaminated.
 
-The texts are read once and never shuffled. Items are packed into blocks of a
-bounded number of words; each block is broadcast and its automaton built once
-in a worker process, which holds at most ``RESIDENT`` of them.
+Items are cut to pieces, a stored table. A benchmark of at most ``RESIDENT``
+blocks of a bounded number of words is broadcast: the texts are read once and
+never shuffled, and each automaton is built once in a worker process. A larger
+one passes through neither driver nor broadcast: pieces are dealt to blocks,
+the hashes of the windows of texts and items are joined to tell which texts
+may hold windows of which blocks, and those texts are sent to the tasks of
+these blocks, where the automaton decides.
 """
 
 from __future__ import annotations
@@ -18,21 +22,27 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lapse.llm.common import worker_memo
+from lapse.llm.common import stored, worker_memo
 from lapse.session import ship_by_value
 
 #: ASCII bytes to words: 0-9 and a-z stay, A-Z in lower case, all else parts words; bytes of other letters stay.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
-#: Automata that a worker process keeps at a time.
+#: Full blocks of items that are broadcast at most; a worker process keeps the automata of so many words.
 RESIDENT = 2
 
+#: Texts that a task matches with one block where blocks and texts are joined.
+TASK_TEXTS = 5000
+
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
@@ -147,23 +157,111 @@ def union_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(items: DataFrame, item: str, text: str, window: int, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items in blocks of at most ``block_words`` words, one at a time; long items in pieces that share window - 1 words."""
-    block, used = [], 0
-    for r in items.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.col(text).alias("t")).toLocalIterator():
-        words, at, most = words_of(r["t"]), 0, max(block_words, 2 * window)
-        while words:
-            piece = words[at: at + most]
-            if used + len(piece) > most and block:
-                yield block
-                block, used = [], 0
-            block.append((r["i"], piece))
-            used += len(piece)
-            if at + most >= len(words):
-                break
-            at += most - window + 1
-    if block:
-        yield block
+def _pieces(items: DataFrame, item: str, text: str, window: int, most: int) -> DataFrame:
+    """(piece, item, n, body): the words of every item, joined by spaces; long items in pieces of at most ``most`` words that share window - 1."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = TaskContext.get().partitionId() << 32
+        for b in batches:
+            out = []
+            for i, t in zip(b.column(0), b.column(1)):
+                words, at = words_of(t.as_py()), 0
+                while words:
+                    piece = words[at: at + most]
+                    out.append({"piece": k, "item": i.as_py(), "n": len(piece), "body": b" ".join(piece)})
+                    k += 1
+                    if at + most >= len(words):
+                        break
+                    at += most - window + 1
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("piece", pa.int64()), ("item", pa.string()), ("n", pa.int64()), ("body", pa.binary())]))
+
+    rows = items.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.col(text).cast("string").alias("t"))
+    return rows.mapInArrow(run, "piece long, item string, n long, body binary")
+
+
+def _packed(pieces: DataFrame, block_words: int) -> list[list[tuple[str, list[bytes]]]]:
+    """The pieces of a small benchmark in blocks of at most ``block_words`` words (one piece may be longer)."""
+    blocks, used = [], 0
+    for r in pieces.orderBy("piece").collect():
+        if not blocks or used + r["n"] > block_words:
+            blocks.append([])
+            used = 0
+        blocks[-1].append((r["item"], bytes(r["body"]).split(b" ")))
+        used += r["n"]
+    return blocks
+
+
+def window_keys(words: list[bytes], n: int) -> np.ndarray:
+    """The distinct 64-bit hashes of the runs of ``n`` words."""
+    m = len(words) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.int64)
+    h, g = np.fromiter(map(crc32, words), np.uint64, len(words)), np.full(m, n, np.uint64)
+    for k in range(n):
+        g = (g ^ h[k: k + m]) * np.uint64(0x9E3779B97F4A7C15)
+        g ^= g >> np.uint64(29)
+    return np.unique(g).view(np.int64)
+
+
+def _joined(texts: DataFrame, pieces: DataFrame, total: int, window: int, block_words: int) -> DataFrame:
+    """(_id, _spans, _items): for the rows (_id, _t) of ``texts`` with a match, the spans and items of all blocks."""
+    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("piece"), F.lit(-(-total // block_words))))
+    lens = [r[0] for r in pieces.select(F.least("n", F.lit(window)).cast("int")).distinct().collect()]  # at most ``window`` numbers
+
+    def item_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, body in zip(b.column(0), b.column(1)):
+                words = body.as_py().split(b" ")
+                keys = window_keys(words, min(window, len(words)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), block.as_py(), np.int64))], names=["h", "block"])
+
+    def text_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in zip(b.column(0), b.column(1)):
+                words = words_of(t.as_py())
+                for n in lens:
+                    keys = window_keys(words, n)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), i.as_py(), np.int64))], names=["h", "_id"])
+
+    known = pieces.select("block", "body").mapInArrow(item_keys, "h long, block long").distinct()
+    pairs = stored(texts.select("_id", "_t").mapInArrow(text_keys, "h long, _id long").join(known, "h").select("_id", "block").distinct(), "item-pairs")
+    # a block that many texts share is matched by several tasks
+    shares = pairs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / TASK_TEXTS).cast("long").alias("tasks"))
+    left = pieces.join(shares, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("kind"),
+                                               F.lit(None).cast("long").alias("_id"), F.lit(None).cast("string").alias("_t"), "item", "body")
+    right = (pairs.join(shares, "block").join(texts.select("_id", "_t"), "_id")
+                  .select("block", F.pmod(F.xxhash64("_id"), F.col("tasks")).alias("task"), F.lit(1).alias("kind"), "_id", "_t",
+                          F.lit(None).cast("string").alias("item"), F.lit(None).cast("binary").alias("body")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, block, a = None, [], None
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                if (r["block"], r["task"]) != at:
+                    at, block, a = (r["block"], r["task"]), [], None
+                if not r["kind"]:  # the items of a block come before its texts
+                    block.append((r["item"], r["body"].split(b" ")))
+                    continue
+                a = a or SuffixAutomaton(block, window)
+                spans, found = a.matches(words_of(r["_t"]))
+                if spans:
+                    out.append({"_id": r["_id"], "_spans": [{"from": s, "to": e} for s, e in union_spans(spans)], "_items": sorted(found)})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("_id", pa.int64()), ("_spans", _SPANS), ("_items", pa.list_(pa.string()))]))
+
+    work = left.union(right).repartition("block", "task").sortWithinPartitions("block", "task", "kind")
+    found = work.mapInArrow(run, "_id long, _spans array<struct<from:int,to:int>>, _items array<string>")
+    return found.groupBy("_id").agg(F.flatten(F.collect_list("_spans")).alias("_spans"), F.flatten(F.collect_list("_items")).alias("_items"))
+
+
+_SPANS = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
+
+
+def _found(columns: list, names: list[str], words: list[list[bytes]], spans: list[list[tuple[int, int]]], items: list) -> pa.RecordBatch:
+    spans = [union_spans(s) for s in spans]
+    return pa.RecordBatch.from_arrays(
+        [*columns, pa.array([len(ws) for ws in words], pa.int64()), pa.array([sum(e - s for s, e in x) for x in spans], pa.int64()),
+         pa.array([[{"from": s, "to": e} for s, e in x] for x in spans], _SPANS), pa.array([sorted(f) for f in items], pa.list_(pa.string()))],
+        names=[*names, "n_words", "n_hit", "spans", "items"])
 
 
 def contamination(df: DataFrame, items: DataFrame, key: str, item: str, text: str = "text", item_text: str = "text",
@@ -174,15 +272,37 @@ def contamination(df: DataFrame, items: DataFrame, key: str, item: str, text: st
     it has fewer; a word inside any occurrence of a window is hit. Null and
     empty texts have no words; items without words have no window; a null item
     id counts as the empty string and repeated ids as one. Repeated rows come
-    out as they came in. With no items, or no rows, nothing is hit.
+    out as they came in. With no items, or no rows, nothing is hit. At most
+    ``RESIDENT * block_words`` words of items pass through the driver.
     """
     spark = df.sparkSession
-    blocks = [(uuid.uuid4().hex, spark.sparkContext.broadcast(b)) for b in _blocks(items, item, item_text, window, block_words)]
+    ship_by_value(__name__)
+    ship_by_value("lapse.llm.common")
+    most = max(block_words, 2 * window)
+    pieces = stored(_pieces(items, item, item_text, window, most), "items")
+    total = pieces.agg(F.sum("n")).first()[0] or 0
+    cols = [F.col(text).cast("string").alias("_t"), F.col(key).alias("_k"), *[F.col(c).alias(f"_c_{c}") for c in carry]]
+    rows = df.select(*cols)
+    types = T.StructType([*rows.schema.fields[1:], *T.StructType.fromDDL("n_words long, n_hit long, spans array<struct<from:int,to:int>>, items array<string>").fields])
+    kept = [*([] if key in carry else [F.col("_k").alias(key)]), *[F.col(f"_c_{c}").alias(c) for c in carry], "n_words", "n_hit", "spans", "items"]
+
+    if total > RESIDENT * most:
+        texts = stored(rows.withColumn("_id", F.monotonically_increasing_id()), "item-texts")
+        rows = texts.join(_joined(texts, pieces, total, window, most), "_id", "left").select("_spans", "_items", *rows.columns)
+
+        def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                spans = [[(x["from"], x["to"]) for x in s.as_py() or ()] for s in b.column(0)]
+                yield _found(b.columns[3:], b.schema.names[3:], [words_of(t.as_py()) for t in b.column(2)], spans, [set(f.as_py() or ()) for f in b.column(1)])
+
+        return rows.mapInArrow(finish, types).select(*kept)
+
+    blocks = [(uuid.uuid4().hex, spark.sparkContext.broadcast(b)) for b in _packed(pieces, most)]
 
     def automaton(name: str, block) -> SuffixAutomaton:
         memo = worker_memo().setdefault("automata", {})
         if name not in memo:
-            while len(memo) >= RESIDENT:
+            while len(memo) >= max(RESIDENT, len(blocks)):  # all blocks of a run stay; together they are bounded
                 memo.pop(next(iter(memo)))
             memo[name] = SuffixAutomaton(block.value, window)
         return memo[name]
@@ -199,21 +319,9 @@ def contamination(df: DataFrame, items: DataFrame, key: str, item: str, text: st
                         s, f = a.matches(ws)
                         spans[i] += s
                         found[i] |= f
-                spans = [union_spans(s) for s in spans]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[1:], pa.array([len(ws) for ws in words], pa.int64()), pa.array([sum(e - s for s, e in x) for x in spans], pa.int64()),
-                     pa.array([[{"from": s, "to": e} for s, e in x] for x in spans], pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))),
-                     pa.array([sorted(f) for f in found], pa.list_(pa.string()))],
-                    names=[*part.schema.names[1:], "n_words", "n_hit", "spans", "items"])
+                yield _found(part.columns[1:], part.schema.names[1:], words, spans, found)
 
-    ship_by_value(__name__)
-    ship_by_value("lapse.llm.common")
-    cols = [F.col(text).cast("string").alias("_t"), F.col(key).alias("_k"), *[F.col(c).alias(f"_c_{c}") for c in carry]]
-    rows = df.select(*cols)
-    found = T.StructType.fromDDL("n_words long, n_hit long, spans array<struct<from:int,to:int>>, items array<string>")
-    out = rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], *found.fields]))
-    kept = [F.col(f"_c_{c}").alias(c) for c in carry]
-    return out.select(*([] if key in carry else [F.col("_k").alias(key)]), *kept, "n_words", "n_hit", "spans", "items")
+    return rows.mapInArrow(run, types).select(*kept)
 
 
 def contaminated(coverage: int = 20):

@@ -305,6 +305,27 @@ def test_automaton_matches_naive(items, text, window):
     assert {i for s, e in union_spans(spans) for i in range(s, e)} == hit
 
 
+def test_large_benchmark_is_neither_collected_nor_broadcast(spark, docs, rows, monkeypatch):
+    from pyspark import SparkContext
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from lapse.llm import decontaminate
+
+    def refused(*_, **__):
+        raise AssertionError("items pass through the driver")
+    rng = random.Random(7)
+    texts = [r[1] for r in rows if r[1] and len(r[1].split()) > 20]
+    items = [(i, " ".join(rng.choice(texts).split()[a: a + rng.randrange(1, 30)])) for i, a in enumerate(rng.choices(range(15), k=60))]
+    items += [(100 + i, sentence(rng, 40)) for i in range(40)] + [(200, next(r[1] for r in rows if r[0] == 9))]
+    table = spark.createDataFrame(items, "item_id long, text string").repartition(4)
+    monkeypatch.setattr(SparkContext, "broadcast", refused)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", refused)
+    monkeypatch.setattr(decontaminate, "TASK_TEXTS", 7)
+    out = decontaminate.contamination(docs, table, "doc_id", "item_id", block_words=2000)
+    found = Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in out.collect())
+    assert found == Counter((r[0], *contamination_brute(r[1], items)) for r in rows)
+
+
 def test_cleaned_texts_lack_their_spans(spark, docs, rows):
     from lapse.llm.decontaminate import cleaned, contamination, without_spans
     rng = random.Random(6)
