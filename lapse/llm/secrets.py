@@ -27,11 +27,14 @@ KINDS = ("assign", "access", "hex", "entropy")
 #: Candidate strings of the entropy kind.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Allow list: whole candidates of these forms, and those of which every part
-#: between joining marks is a plain word with a short number, are no secrets.
+#: between joining marks is a plain word or a short number, are no secrets; one
+#: part, and no more, may be a word with a number.
 ALLOW = (r"^[A-Z]+$", r"^[0-9]+$", r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$")
-JOINTS, PLAIN = r"[-_/=+]+", r"^([A-Za-z]?[a-z]*|[A-Z]+)[0-9]{0,4}$"
+JOINTS, PLAIN = r"[-_/=+]+", r"^([A-Za-z]?[a-z]{0,14}|[A-Z]{1,15}|[0-9]{1,4})$"
+NUMBERED = r"^([A-Za-z][a-z]{0,14}|[A-Z]{1,15})[0-9]{1,4}$"
 #: Character classes: name, characters, entropy in bits that a window of 20 within the class needs.
 CLASSES = (("hex", "0123456789abcdef", 3.0),
+           ("upper hex", "0123456789ABCDEF", 3.0),
            ("alnum", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 3.6),
            ("base64", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-", 3.8))
 
@@ -90,7 +93,8 @@ def window_hits(word: Column, chars: str, least: float, width: int) -> Column:
 def _entropy(candidates: Column, width: int) -> Column:
     """The entropy spans of the candidate strings of one text."""
     def allowed(w):
-        listed = F.forall(F.split(w, JOINTS), lambda p: p.rlike(PLAIN))
+        others = F.filter(F.split(w, JOINTS), lambda p: ~p.rlike(PLAIN))
+        listed = (F.size(others) <= 1) & F.forall(others, lambda p: p.rlike(NUMBERED))
         for pattern in ALLOW:
             listed = listed | w.rlike(pattern)
         return listed

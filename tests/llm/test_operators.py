@@ -250,6 +250,17 @@ def test_secrets_match_brute_force(spark, empty):
     assert scan_secrets(empty, "doc_id").count() == 0
 
 
+@pytest.mark.parametrize("text, found", [
+    ("qzjwkxvbhmpfdgycrntlsoaueiqwzxkjvbpmhfgd", True), ("abcd1234-efgh5678-ijkl9012-mnop3456", True), ("Abcd1234_Efgh5678/Ijkl9012+Mnop3456", True),
+    ("A3F09C1E7B2D5846A3F1090C77E2B4D8", True), ("77E277E2B40D8B40D8A3F1A3F1090C", True),
+    ("this-is-a-plain-slug-of-words-2024", False), ("docs/guide_for_release_version2/index-page", False), ("internationalization", False),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", False), ("550E8400-E29B-41D4-A716-446655440000", False), ("--MAX_RETRY_COUNT_OF_THE_QUEUE=1000", False)])
+def test_entropy_kind_tests_letter_runs_groups_and_upper_hex(spark, text, found):
+    from lapse.llm.secrets import scan_secrets
+    out = scan_secrets(spark.createDataFrame([(1, f"x {text} y")], "doc_id long, text string"), "doc_id").first()
+    assert out["spans"] == (f"entropy:2:{2 + len(text)}" if found else "")
+
+
 # 5 decontamination
 
 def items_words(t):
