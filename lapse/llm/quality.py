@@ -126,11 +126,10 @@ def top_k(df: DataFrame, value: str, k: int, ties: tuple[str, ...], width: int =
 
 
 def resample(df: DataFrame, labels: DataFrame, key: str, text: str = "text", label: str = "quality", share: float | None = None,
-             buckets: int = 10_000, sample: int = 50_000, seed: int = 9) -> DataFrame:
+             buckets: int = 10_000, seed: int = 9) -> DataFrame:
     """``key``, ``log_weight``, ``gumbel_key`` and ``selected`` of every row.
 
-    The target are the rows that ``labels`` marks 1 (a seeded sample of about
-    ``sample`` of the labelled rows if there are more); ``share`` of all rows is
+    The target are all rows that ``labels`` marks 1; ``share`` of all rows is
     drawn, where None means the share of 1 among the labelled rows. A null or
     empty text weighs 0; rows of one key are told apart by their text; a null
     key is unlabelled; without a target all weigh 0 and the draw is uniform;
@@ -139,11 +138,9 @@ def resample(df: DataFrame, labels: DataFrame, key: str, text: str = "text", lab
     marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_lk")).agg((F.max(label) > 0).cast("int").alias("_y"))
     marked = stored(marked, "quality-labels")
     n_marked, good = marked.agg(F.count(F.lit(1)), F.sum("_y")).first()
-    if n_marked > sample:
-        marked = marked.where(F.pmod(F.xxhash64(F.lit(seed), "_lk"), F.lit(1 << 30)) < int(sample / n_marked * (1 << 30)))
     rows = df.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t"))
-    # the target rows are a seeded sample of bounded size, hence broadcast; the raw model counts every row
-    target = F.broadcast(marked.where("_y = 1").select("_lk", F.lit(1).alias("_g")))
+    # both models count every row of theirs; the marked keys have no bound, so they are never broadcast
+    target = marked.where("_y = 1").select("_lk", F.lit(1).alias("_g")).hint("merge")
     marked_rows = rows.join(target, F.col("_k") == F.col("_lk"), "left").select("_t", F.coalesce("_g", F.lit(0)).alias("_g"))
     counts = ngram_counts(marked_rows, "_t", "_g", buckets)
     weights = importance(rows.withColumn("_h", F.xxhash64("_t")), "_t", log_ratios(counts), ("_k", "_h"))

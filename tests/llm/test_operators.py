@@ -549,6 +549,21 @@ def test_resampling_matches_brute_force(spark, docs, rows, empty):
     assert {r["log_weight"] for r in resample(docs, labels.where("false"), "doc_id").collect()} == {0.0}
 
 
+def test_target_model_counts_every_labelled_target_row(spark):
+    from lapse.llm.quality import features, resample
+    rng = random.Random(10)
+    rows = [(i, sentence(rng, 30), "en", "a", 1) for i in range(80)]
+    labels = spark.range(200_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    p, q = np.ones(500), np.ones(500)
+    for r in rows:
+        c = np.bincount(features(r[1], 500), minlength=500)
+        q += c
+        p += c * (r[0] % 2)
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    out = {r["doc_id"]: r["log_weight"] for r in resample(frame(spark, rows), labels, "doc_id", buckets=500).collect()}
+    assert all(abs(out[r[0]] - ratio[features(r[1], 500)].sum()) < 1e-6 for r in rows)
+
+
 def test_top_k_with_ties(spark):
     from lapse.llm.quality import top_k
     rows = [(float(v), i) for i, v in enumerate([5, 1, 3, 3, 3, 3, 2, 9, 9, 0] * 3)]
