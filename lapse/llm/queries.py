@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lapse.llm import rules as _rules
 from lapse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +97,15 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
 
+@_register
+def op13_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the quality rules for every document."""
+    from lapse.llm.rules import apply_rules
+    out = apply_rules(table(spark, sf_dir, "documents"), "doc_id")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                      F.array_join("failed", ",").alias("failed"))
+
+
 ORACLE["op1_knn"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
@@ -140,3 +150,35 @@ n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+_STOP = "[" + ", ".join(f"'{w}', '{w[:1].upper() + w[1:]}'" for w in _rules.STOP_WORDS) + "]"
+ORACLE["op13_rules"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+win AS (SELECT r, i, w[i:i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+twice AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+rep AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest(range(i, i + 3)) AS p FROM twice) GROUP BY r),
+m AS (
+  SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
+         coalesce(rep.n, 0) AS n_repeat_words, len(list_filter(w, lambda x: list_contains({_STOP}, x))) AS n_stop,
+         len(list_filter(w, lambda x: NOT regexp_matches(x, '\p{{L}}'))) AS n_letterless,
+         len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullet,
+         len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipsis
+  FROM w LEFT JOIN rep USING (r)
+), f AS (
+  SELECT *, n_words < 50 AS few, 100 * n_repeat_words > 50 * n_words AS rpt,
+         word_chars < 2 * n_words OR word_chars > 12 * n_words AS len_, n_symbols > CAST(0.1 AS DOUBLE) * n_words AS sym,
+         n_letterless > CAST(0.3 AS DOUBLE) * n_words AS nol, n_stop < CAST(0.02 AS DOUBLE) * n_words AS stp,
+         2 * n_dup_lines > n_lines AS dup, n_bullet > CAST(0.9 AS DOUBLE) * n_lines AS bul, n_ellipsis > CAST(0.3 AS DOUBLE) * n_lines AS ell
+  FROM m
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, few OR rpt AS base_failed,
+       NOT (few OR rpt OR len_ OR sym OR nol OR stp OR dup OR bul OR ell) AS kept,
+       array_to_string(list_filter([CASE WHEN few THEN 'too few words' END, CASE WHEN rpt THEN 'repeated words' END, CASE WHEN len_ THEN 'word length' END,
+         CASE WHEN sym THEN 'symbols' END, CASE WHEN nol THEN 'words without a letter' END, CASE WHEN stp THEN 'stop words' END,
+         CASE WHEN dup THEN 'repeated lines' END, CASE WHEN bul THEN 'list lines' END, CASE WHEN ell THEN 'cut lines' END], lambda x: x IS NOT NULL), ',') AS failed
+FROM f
+"""
