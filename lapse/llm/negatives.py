@@ -28,41 +28,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapse.llm import vectors
 from lapse.llm.common import stored
+from lapse.llm.vectors import EXACT, matrix, whole_vector
 from lapse.session import ship_by_value
 
 _RESULT = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
 _TOP = 2 ** 63
 _KEY = ">QQBQ"
-_EXACT = 2 ** 53
-
-
-def whole_vector(vector: Column, scale: int) -> Column:
-    """floor(scale x) of every component as a double (whole, hence exact); null if a component is null or not finite."""
-    up = vector.cast("array<double>")
-    scaled = lambda c: c * F.lit(float(scale))
-    floor = lambda c: F.when(F.abs(scaled(c)) < F.lit(float(_EXACT)), F.floor(scaled(c)).cast("double")).otherwise(scaled(c))
-    # a difference from itself is 0 only for finite numbers; the product by scale may leave the doubles too
-    good = F.forall(up, lambda c: F.coalesce(scaled(c) - scaled(c) == 0, F.lit(False)))
-    return F.when(good, F.transform(up, floor))
-
-
-def matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
-    """Lists of numbers as rows of a matrix; shorter lists count as zero in the components that they lack."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    sizes = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0, np.int64)
-    if (sizes == dims).all():
-        return flat.reshape(len(column), dims)
-    out = np.zeros((len(column), dims))
-    out[np.arange(dims)[None, :] < sizes[:, None]] = flat
-    return out
 
 
 def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact inner products of whole numbers: int64, or Python integers where the products may pass 2^53."""
-    if not a.size or not b.size or float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < _EXACT:
+    if not a.size or not b.size or float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < EXACT:
         return (a @ b.T).astype(np.int64)
     ints = lambda m: np.array([[int(x) for x in r] for r in m], dtype=object).reshape(m.shape)
     return ints(a) @ ints(b).T
@@ -137,6 +115,7 @@ def hard_negatives(rows: DataFrame, anchors: Column | str, key: str, vector: str
     """
     spark = rows.sparkSession
     ship_by_value(__name__)
+    ship_by_value(vectors.__name__)
     if not 0 <= low < high <= 100:
         raise ValueError("0 <= low < high <= 100 must hold: a negative must not outscore its positive")
     is_anchor = F.expr(anchors) if isinstance(anchors, str) else anchors

@@ -106,6 +106,16 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0, "vec_id", "embedding", "label")
 
 
+@_register
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first four whitened components."""
+    from lapse.llm.whitening import whiten
+    rows, components = whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=4)
+    long = rows.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened")).withColumn("component", F.col("at") + 1)
+    return (long.join(F.broadcast(components), "component")  # at most four rows
+                .select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"))
+
+
 @_register
 def op13_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the quality rules for every document."""
