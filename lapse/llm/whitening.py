@@ -20,6 +20,7 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Matrices
@@ -103,10 +104,13 @@ def _centred(df: DataFrame, keep: list[str], mean: tuple[list[int], list[int], i
 
 
 def _blocks(df: DataFrame, slab: int, slab_rows: int, rows: int, dims: int, rows_block: int, cols_block: int) -> BlockMatrix:
-    """The rows of one slab as a BlockMatrix; rows that ``df`` lacks are zero."""
+    """The rows of one slab as a BlockMatrix; rows that ``df`` lacks are zero.
+
+    A product reads its blocks three times, so they are kept (and made again from the stored rows if an executor is lost)."""
     first = slab * slab_rows
     part = df.where((F.col("i") >= first) & (F.col("i") < first + slab_rows)).select((F.col("i") - first).alias("i"), array_to_vector("c").alias("v"))
-    return IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(part, "v"), min(slab_rows, rows - first), dims).toBlockMatrix(rows_block, cols_block)
+    indexed = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(part, "v"), min(slab_rows, rows - first), dims)
+    return indexed.toBlockMatrix(rows_block, cols_block).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _product(a: BlockMatrix, b: BlockMatrix, splits: int) -> BlockMatrix:
@@ -181,6 +185,7 @@ def whiten(rows: DataFrame, key: str, vector: str, components: int | None = None
         if s in held:  # a slab may hold only copies of earlier rows
             a = _blocks(fit_rows, s, *cut)
             scatter += _product(a.transpose(), a, min(parts, -(-slab_rows // rows_block))).toLocalMatrix().toArray()
+            a._java_matrix_wrapper._java_model.blocks().unpersist(False)
     values, units, trace = eigen(scatter, n, least)
     k = len(values) if components is None else min(components, len(values))
     if not k:
@@ -191,13 +196,16 @@ def whiten(rows: DataFrame, key: str, vector: str, components: int | None = None
     by = BlockMatrix(spark.sparkContext.parallelize(pieces, len(pieces)), cols_block if dims > cols_block else dims, k, dims, k)
 
     all_rows = stored(_centred(wide, ["i", "box"], mean, dims), "whitening-centred")
-    white = None
+    white, kept = None, []
     for s in slabs:
         a = _blocks(all_rows, s, slab_rows, total, dims, rows_block, min(cols_block, dims))
+        kept.append(a)
         got = callMLlibFunc("getIndexedRows", _product(a, by, 1).toIndexedRowMatrix()._java_matrix_wrapper._java_model)
         got = got.toDF("i", "w").select((F.col("i") + s * slab_rows).alias("i"), vector_to_array("w").alias("whitened"))
         white = got if white is None else white.unionByName(got)
     white = stored(white, "whitening-projected")
+    for a in kept:
+        a._java_matrix_wrapper._java_model.blocks().unpersist(False)
 
     # covariance of the whitened fit list: centred first, k (k + 1) / 2 sums
     y = white.join(fit_rows.select("i"), "i", "left_semi").select("whitened")
