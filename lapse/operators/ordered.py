@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapse.functions.util import count_below
+from lapse.operators import selection
 from lapse.session import materialize, with_scalars
 
 
@@ -87,31 +88,10 @@ def value_counts_cumulative(df: DataFrame, v: str, weight: str | None = None,
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                     buckets: int | None = None) -> DataFrame:
     """Linearly interpolated quantiles (as ``percentile``), long form
-    ``(column_name, p, value)``; exact and distributed.
-
-    All columns go through one pass (unpivoted to ``(column_name, v)``).
-    The value at 0-based rank r is the largest distinct value whose
-    ``cum_before`` is ≤ r, so each probability needs two conditional ``max``
-    aggregates over the cumulative table: one aggregation, no join on ranks.
-    """
-    long = df.select([F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [], cols, "column_name", "v")
-    cum = value_counts_cumulative(long, "v", by=["column_name"], buckets=buckets)
-    n = cum.groupBy("column_name").agg(F.sum("cnt").alias("_n"))
-    j = cum.join(n, "column_name")
-    aggs = [F.first("_n").alias("_n")]
-    for i, p in enumerate(probs):
-        h = F.lit(float(p)) * (F.col("_n") - 1)
-        aggs += [F.max(F.when(F.col("cum_before") <= F.floor(h), F.col("v"))).alias(f"_lo{i}"),
-                 F.max(F.when(F.col("cum_before") <= F.ceil(h), F.col("v"))).alias(f"_hi{i}")]
-    row = j.groupBy("column_name").agg(*aggs)
-    items = []
-    for i, p in enumerate(probs):
-        h = F.lit(float(p)) * (F.col("_n") - 1)
-        val = F.col(f"_lo{i}") + (h - F.floor(h)) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))
-        items.append(F.struct(F.lit(float(p)).alias("p"), val.alias("value")))
-    return (row.select("column_name", F.explode(F.array(*items)).alias("_q"))
-            .select("column_name", "_q.p", "_q.value"))
+    ``(column_name, p, value)``; exact and distributed, by bracket selection
+    (:mod:`lapse.operators.selection`). ``buckets`` sets how finely the sketch
+    cuts; the answer does not depend on it."""
+    return selection.exact_quantiles(df, cols, probs, *([] if buckets is None else [max(buckets, 2), 10 * max(buckets, 2)]))
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], method: str = "exact",
