@@ -20,8 +20,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lapse.operators import split
 from lapse.operators.metrics import classification_metrics, roc_auc
-from lapse.operators.ordered import value_counts_cumulative
 from lapse.session import materialize, with_scalars
 
 # Model features (the app adds RFM_Score to the numeric list).
@@ -36,19 +36,9 @@ SEED = 42
 def stratified_split(df: DataFrame, label: str = LABEL, test_fraction: float = 0.3, seed: int = SEED,
                      key: list[str] | None = None) -> DataFrame:
     """Mark rows ``is_test`` so that each class has round(fraction x n_c) test
-    rows (J15, T23); rows are ordered within a class by a seeded hash of
-    ``key`` (all columns by default), ranks come from the distributed exact
-    cumulative counts (no window over a whole class). Rows with equal hash
-    fall on the same side. ``key=[customer]`` keeps a customer on one side."""
-    cols = key or df.columns
-    h = df.withColumn("_h", F.xxhash64(F.lit(seed), *cols))
-    cum = value_counts_cumulative(h, "_h", by=[label]).select(label, "_h", "cnt", "cum_before")
-    # the hash of the last test row of each class: one row per class is joined back
-    sizes = cum.groupBy(label).agg(F.sum("cnt").alias("_nc"))
-    cuts = (cum.join(sizes, label).where(F.col("cum_before") < F.round(F.col("_nc") * test_fraction))
-            .groupBy(F.col(label).alias("_label")).agg(F.max("_h").alias("_cut")))
-    j = h.join(materialize(cuts, "split_cuts"), F.col(label) == F.col("_label"), "left")
-    return j.withColumn("is_test", F.coalesce(F.col("_h") <= F.col("_cut"), F.lit(False))).where(F.col(label).isNotNull()).drop("_h", "_cut", "_label")
+    rows (J15, T23), in the order of a seeded md5 of ``key`` (all columns by
+    default); see :mod:`lapse.operators.split`."""
+    return split.stratified_split(df, label, test_fraction, seed, key)
 
 
 def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:

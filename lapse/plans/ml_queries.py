@@ -9,7 +9,8 @@ from lapse.operators import metrics as mt
 from lapse.operators import ml
 from lapse.plans.registry import register
 from lapse.session import materialize
-from lapse.plans.report_queries import app_model_input, mi_sql
+from lapse.operators.split import split_key
+from lapse.plans.report_queries import MI_COLS, app_model_input, mi_sql
 
 R6 = 6
 # Fixed parameters: a closed-form score in [0, 1] from the RFM score, so
@@ -96,11 +97,25 @@ def q_class_weights(spark, sf_dir):
                     F.round("pos_weight", R6).alias("pos_weight"))
 
 
-@register("stratified_split")
+_REAL = ("payment_value", "price", "approval_delay")
+_KEY_TEXT = ", ".join(f"coalesce(CAST({f'CAST({c} AS DECIMAL(38,6))' if c in _REAL else c} AS VARCHAR), chr(92))" for c in MI_COLS)
+# rows of mi with is_test: the first round(0.3 n) of each class by md5, rows of one md5 on the same side
+SPLIT_CTES = [
+    ("hashed", f"SELECT *, md5(concat_ws('|', '{ml.SEED}', {_KEY_TEXT})) AS h FROM mi"),
+    ("placed", "SELECT is_churned AS y, h, row_number() OVER (PARTITION BY is_churned ORDER BY h) AS r, count(*) OVER (PARTITION BY is_churned) AS n FROM hashed"),
+    ("cut", "SELECT y, max(h) AS c FROM placed WHERE r <= round(0.3 * n) GROUP BY y"),
+    ("sp", "SELECT hashed.*, coalesce(h <= c, false) AS is_test FROM hashed LEFT JOIN cut ON is_churned = y"),
+]
+
+
+@register("stratified_split", mi_sql(
+    "SELECT customer_unique_id, is_churned, is_test, CAST(count(*) AS BIGINT) AS n_rows, min(h) AS first_hash FROM sp GROUP BY ALL", SPLIT_CTES))
 def q_stratified_split(spark, sf_dir):
-    """Split sizes per class and side (rows-only; tests check the shares)."""
-    s = ml.stratified_split(app_model_input(spark, sf_dir))
-    return s.groupBy("is_churned", "is_test").agg(F.count("*").alias("rows"))
+    """Rows of every customer on each side."""
+    mi = app_model_input(spark, sf_dir)
+    s = ml.stratified_split(mi)
+    return (s.withColumn("h", split_key(mi, mi.columns, ml.SEED)).groupBy("customer_unique_id", "is_churned", "is_test")
+            .agg(F.count("*").alias("n_rows"), F.min("h").alias("first_hash")))
 
 
 def _train_eval(spark, sf_dir, kind, numeric):
