@@ -1,26 +1,24 @@
-"""Churn models with ``pyspark.ml``.
-
-Settings follow the reference's four learners, mapped to Spark's
-estimators: logistic regression with balanced class weights and L2 = 1/n
-(equal to C = 1 when the balanced weights sum to n, unstandardised);
-a depth-5 tree with at least 50 rows per leaf; a 100-tree depth-7 forest
-with 30 per leaf and sqrt features; boosted trees (150 rounds, depth 5,
-step 0.1, 80 % rows and features) weighted by n0/n1 on the positive class.
-Spark's boosting is first-order and samples features per node, so its
-scores are close to, not equal to, the reference's.
+"""Churn models as tables.
+
+Settings follow the reference's four learners: logistic regression with
+balanced class weights and C = 1; a depth-5 tree with at least 50 rows per
+leaf; a 100-tree depth-7 forest with 30 per leaf and about sqrt(features)
+drawn per node; boosting (150 rounds, depth 5, step 0.1, 80 % of rows and
+features per tree, L2 1) weighted by n0/n1 on the positive class. A fitted
+model is a stored table: coefficients (:mod:`lapse.operators.linear`) or nodes
+(:mod:`lapse.operators.trees`). Trees split numbers at 31 exact quantiles, and
+draw rows and features by hash, so shares are met on average, not to the row.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier,
-                                       LogisticRegression, RandomForestClassifier)
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+import json
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapse.operators import split
+from lapse.operators import features, linear, split, trees
 from lapse.operators.metrics import classification_metrics, roc_auc
 from lapse.session import materialize, with_scalars
 
@@ -65,88 +63,50 @@ def with_weights(df: DataFrame, label: str = LABEL, kind: str = "balanced") -> D
     return df.join(w, label)
 
 
-def preprocessor(numeric: list[str], categorical: list[str]) -> list:
-    """Stages: numeric → vector → standard scaling (mean and σ); categorical
-    → text → index (unknown kept) → one-hot (unknown gives all zeros, as
-    the reference's ``handle_unknown='ignore'``) → one feature vector (J17).
-    Spark scales by the sample σ; the reference by the population σ (a
-    constant factor, T15)."""
-    cat_txt = [f"{c}__s" for c in categorical]
-    idx = [f"{c}__i" for c in categorical]
-    ohe = [f"{c}__o" for c in categorical]
-    return [
-        VectorAssembler(inputCols=numeric, outputCol="_num", handleInvalid="keep"),
-        StandardScaler(inputCol="_num", outputCol="_num_s", withMean=True, withStd=True),
-        StringIndexer(inputCols=cat_txt, outputCols=idx, handleInvalid="keep", stringOrderType="alphabetAsc"),
-        # the indexer puts unseen values at its last index; dropLast removes
-        # that slot, so an unseen value becomes the all-zero vector
-        OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True),
-        VectorAssembler(inputCols=["_num_s"] + ohe, outputCol="features"),
-    ]
-
+@dataclass
+class Model:
+    """A fitted learner: its kind and its table of coefficients or nodes."""
 
-def _cat_text(df: DataFrame, categorical: list[str]) -> DataFrame:
-    return df.withColumns({f"{c}__s": F.col(c).cast("string") for c in categorical})
+    kind: str
+    table: DataFrame
 
 
-def estimator(kind: str):
-    if kind == "logistic":
-        return LogisticRegression(labelCol="label", weightCol="weight", maxIter=1000,
-                                  elasticNetParam=0.0, standardization=False)
-    if kind == "tree":
-        return DecisionTreeClassifier(labelCol="label", weightCol="weight", maxDepth=5,
-                                      minInstancesPerNode=50, seed=SEED)
-    if kind == "forest":
-        return RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=100, maxDepth=7,
-                                      minInstancesPerNode=30, featureSubsetStrategy="sqrt", seed=SEED)
-    if kind == "boosted":
-        return GBTClassifier(labelCol="label", weightCol="weight", maxIter=150, maxDepth=5, stepSize=0.1,
-                             subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED)
-    raise ValueError(kind)
+SETTINGS = {"tree": trees.TREE, "forest": trees.FOREST, "boosted": trees.BOOSTED}
 
 
 def fit(train: DataFrame, kind: str, numeric: list[str] = NUMERIC_FEATURES,
-        categorical: list[str] = CATEGORICAL_FEATURES, label: str = LABEL) -> PipelineModel:
-    """Fit preprocessing + learner."""
-    data = with_weights(train, label, "pos" if kind == "boosted" else "balanced")
-    data = _cat_text(data, categorical).withColumn("label", F.col(label).cast("double"))
-    est = estimator(kind)
+        categorical: list[str] = CATEGORICAL_FEATURES, label: str = LABEL, settings: trees.Params | None = None) -> Model:
+    """Fit features (:mod:`lapse.operators.features`) and learner (J17-J22). ``settings`` replaces a tree learner's."""
+    if kind != "logistic" and kind not in SETTINGS:
+        raise ValueError(kind)
+    weighted = with_weights(train.select(label, *numeric, *categorical), label, "pos" if kind == "boosted" else "balanced")
+    data = materialize(weighted, "train")  # the learners pass over these rows many times
+    known = features.learn(data, numeric, categorical)
     if kind == "logistic":
-        n = data.count()
-        est = est.setRegParam(1.0 / n)
-    model = Pipeline(stages=preprocessor(numeric, categorical) + [est]).fit(data)
-    return model
-
-
-def score(model: PipelineModel, df: DataFrame, categorical: list[str] = CATEGORICAL_FEATURES) -> DataFrame:
-    """Add ``score`` (probability of class 1) and ``prediction``."""
-    out = model.transform(_cat_text(df, categorical).withColumn("weight", F.lit(1.0)))
-    keep = [c for c in df.columns]
-    return out.select(*keep, vector_to_array("probability")[1].alias("score"),
-                      F.col("prediction").cast("int").alias("prediction"))
-
-
-def feature_names(model: PipelineModel, numeric: list[str] = NUMERIC_FEATURES,
-                  categorical: list[str] = CATEGORICAL_FEATURES) -> list[str]:
-    """Names of the assembled features: numeric names, then ``{col}_{value}``
-    for each one-hot slot (labels in index order, last dropped)."""
-    indexer = [s for s in model.stages if s.__class__.__name__ == "StringIndexerModel"][0]
-    names = list(numeric)
-    for c, labels in zip(categorical, indexer.labelsArray):
-        names += [f"{c}_{v}" for v in labels]  # dropLast drops the 'unknown' slot
-    return names
-
-
-def feature_importance(model: PipelineModel, n: int = 20, numeric: list[str] = NUMERIC_FEATURES,
-                       categorical: list[str] = CATEGORICAL_FEATURES) -> DataFrame:
-    """Top ``n`` named importances of a tree model (J28); the vector has one
-    entry per feature slot, so this is driver-side on model metadata."""
-    from pyspark.sql import SparkSession
-    s = SparkSession.getActiveSession()
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    names = feature_names(model, numeric, categorical)
-    rows = sorted(zip(names, imp), key=lambda t: (-t[1], t[0]))[:n]
-    return s.createDataFrame([(a, float(b)) for a, b in rows], "feature string, importance double")
+        return Model(kind, linear.fit_logistic(data, known, label, "weight"))
+    return Model(kind, trees.grow(data, known, label, "weight", settings or SETTINGS[kind]))
+
+
+def score(model: Model, df: DataFrame) -> DataFrame:
+    """Add ``score`` (probability of class 1) and ``prediction`` (1 above one half) by the model's table."""
+    out = linear.score(df, model.table) if model.kind == "logistic" else trees.score(df, model.table, SETTINGS[model.kind])
+    return out.withColumn("prediction", (F.col("score") > 0.5).cast("int"))
+
+
+def feature_importance(model: Model, n: int = 20) -> DataFrame:
+    """The ``n`` most important features of a tree model (J28), names joined from the table."""
+    return trees.importance(model.table, SETTINGS[model.kind]).orderBy(F.desc("importance"), "feature").limit(n)
+
+
+def save(model: Model, path: str) -> None:
+    """Store a model under ``path`` (A12): its table as Parquet and its kind."""
+    model.table.write.mode("overwrite").parquet(f"{path}/table")
+    model.table.sparkSession.createDataFrame([(json.dumps({"kind": model.kind}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/kind")
+
+
+def load(spark: SparkSession, path: str) -> Model:
+    """A model that :func:`save` stored."""
+    return Model(json.loads(spark.read.text(f"{path}/kind").first()[0])["kind"], spark.read.parquet(f"{path}/table"))
 
 
 def evaluate(scored: DataFrame, label: str = LABEL) -> DataFrame:
@@ -155,22 +115,25 @@ def evaluate(scored: DataFrame, label: str = LABEL) -> DataFrame:
     return with_scalars(classification_metrics(s), roc_auc(s, "label", "score"))
 
 
-def compare_models(df: DataFrame, kinds=("logistic", "tree", "forest", "boosted"),
-                   numeric: list[str] = NUMERIC_FEATURES, label: str = LABEL) -> DataFrame:
-    """Train each model on the 70 % split, evaluate on the 30 %, one row per
-    model sorted by AUC (J29)."""
-    split = materialize(stratified_split(df, label), "split")
-    train, test = split.where(~F.col("is_test")).drop("is_test"), split.where(F.col("is_test")).drop("is_test")
+def compare(models: dict[str, Model], test: DataFrame, label: str = LABEL) -> DataFrame:
+    """One row of metrics a model on ``test``, best AUC first."""
     rows = None
-    for k in kinds:
-        m = fit(train, k, numeric)
-        e = evaluate(score(m, test), label).withColumn("model", F.lit(k))
-        e = df.sparkSession.createDataFrame([e.first()], e.schema)  # one metrics row per model
+    for name, m in models.items():
+        e = evaluate(score(m, test), label).withColumn("model", F.lit(name))
+        e = test.sparkSession.createDataFrame([e.first()], e.schema)  # one metrics row per model
         rows = e if rows is None else rows.unionByName(e)
     return rows.orderBy(F.desc("roc_auc"))
 
 
-def score_customers(model: PipelineModel, df: DataFrame, customer: str = "customer_unique_id",
+def compare_models(df: DataFrame, kinds=("logistic", "tree", "forest", "boosted"),
+                   numeric: list[str] = NUMERIC_FEATURES, label: str = LABEL) -> DataFrame:
+    """Train each model on the 70 % split and :func:`compare` them on the 30 %."""
+    both = materialize(stratified_split(df, label), "split")
+    train, test = both.where(~F.col("is_test")).drop("is_test"), both.where(F.col("is_test")).drop("is_test")
+    return compare({k: fit(train, k, numeric) for k in kinds}, test, label)
+
+
+def score_customers(model: Model, df: DataFrame, customer: str = "customer_unique_id",
                     order_by: list[str] | None = None) -> DataFrame:
     """Churn probability and risk label for every customer's first row
     under an explicit order (J30, batch form of the one-customer view).

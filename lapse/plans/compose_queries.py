@@ -19,7 +19,7 @@ from lapse.operators.ordered import quantiles
 from lapse.plans.fact_queries import fact_parts
 from lapse.plans.geo_queries import GEO_CTES, GEO_ROLES, REGION_CITY, REGION_STATE, loaded
 from lapse.plans.lifecycle_queries import SRC_ORDERS, _label_ctes, orders_input
-from lapse.plans.ml_queries import _train_eval, scored_input
+from lapse.plans.ml_queries import fitted, scored_input
 from lapse.plans.registry import ORACLE, register, with_ctes
 from lapse.plans.report_queries import POP_RANGE, POP_STATES, app_model_input, mi_sql
 from lapse.plans.rfm_queries import rfm_frames
@@ -171,5 +171,4 @@ def q_skewness_report_fitted(spark, sf_dir):
 for _kind, _features in (("forest", ml.NUMERIC_FEATURES), ("boosted", ml.NUMERIC_FEATURES_APP)):
     @register(f"feature_importance_{_kind}")
     def q_importance(spark, sf_dir, kind=_kind, features=_features):
-        model, _ = _train_eval(spark, sf_dir, kind, features)
-        return ml.feature_importance(model, 15, features)
+        return ml.feature_importance(fitted(spark, sf_dir, kind, features), 15)
