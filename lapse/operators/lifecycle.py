@@ -7,15 +7,13 @@ usable median.
 
 Scale design
 ------------
-* Gaps never need one task per customer: rows are first reduced to distinct
-  ``(customer, ts)`` points (repeats are zero gaps, counted), and points are
-  cut into time buckets of ``bucket_days`` days, a fixed function of the
-  timestamp, the same at every input size. Gaps inside a
-  ``(customer, bucket)`` come from ``lag``; the gap across a bucket edge comes
-  from a second ``lag`` over the per-bucket first/last timestamps, one row per
-  customer and bucket. A customer holding a third of all rows is spread over
-  all the buckets in which it ordered. The answers do not depend on
-  ``bucket_days``.
+* No window and no task is keyed by a customer. Points are dealt by ranges of
+  (customer, time), sorted and read once, each row against the one before it;
+  what a range cannot see, the row before its first, is carried over from the
+  end of the previous range by a join on one row a range
+  (:func:`lapse.operators.ordered.with_previous`). A customer holding a third
+  of all rows, within minutes or years, is spread over a third of the tasks.
+  Repeats of a (customer, time) point are counted as zero gaps before that.
 * The median per customer is ``percentile(gap, 0.5, count)`` over the gap
   histogram, so its buffer is bounded by distinct gap values (whole days),
   not by the customer's row count.
@@ -25,16 +23,16 @@ Scale design
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapse.functions.time import as_ts, elapsed_days, plus_days
+from lapse.operators.ordered import with_previous
 from lapse.session import materialize, with_scalars
 
 CUSTOMER = "customer_unique_id"
 ORDER = "order_id"
 TS = "order_purchase_timestamp"
-BUCKET_DAYS = 16
 
 
 def analysis_date(df: DataFrame, ts: str = TS, days: int = 1) -> DataFrame:
@@ -43,33 +41,24 @@ def analysis_date(df: DataFrame, ts: str = TS, days: int = 1) -> DataFrame:
 
 
 def order_gaps(df: DataFrame, customer: str = CUSTOMER, order: str = ORDER,
-               ts: str = TS, bucket_days: int = BUCKET_DAYS) -> DataFrame:
+               ts: str = TS, ranges: int | None = None) -> DataFrame:
     """Row-level gap to the previous row of the same customer, floored days
     (F1); ties on the timestamp are ordered by the order key.
 
-    ``lag`` runs within ``(customer, time bucket)`` and the first row of a
-    bucket takes the last time of the customer's previous non-empty bucket.
-    Rows without a customer or time belong to no group: their gap is NULL."""
+    ``ranges`` is the number of tasks that the rows are dealt to (the shuffle
+    partitions by default); answers do not depend on it. Rows without a
+    customer or time belong to no group: their gap is NULL. The operator's own
+    columns start with ``_prev`` and ``_t``."""
     valid = F.col(customer).isNotNull() & F.col(ts).isNotNull()
-    good = _time_buckets(df.where(valid).withColumn("_t", as_ts(ts)), "_t", bucket_days)
-    w_in = Window.partitionBy(customer, "_bucket").orderBy("_t", F.col(order))
-    good = good.withColumn("_prev", F.lag("_t").over(w_in))
-    last = good.groupBy(customer, "_bucket").agg(F.max("_t").alias("_last"))
-    w_b = Window.partitionBy(customer).orderBy("_bucket")
-    last = last.select(customer, "_bucket", F.lag("_last").over(w_b).alias("_prev_last"))
-    good = (good.join(last, [customer, "_bucket"], "left")
-            .withColumn("gap_days", elapsed_days("_t", F.coalesce("_prev", "_prev_last")))
-            .drop("_t", "_prev", "_prev_last", "_bucket"))
+    good = df.where(valid).withColumn("_t", as_ts(ts))
+    good = with_previous(good, customer, ["_t", order], "_t", "_prev_t", ranges)
+    good = good.withColumn("gap_days", elapsed_days("_t", "_prev_t")).drop("_t", "_prev_t")
     rest = df.where(~valid).withColumn("gap_days", F.lit(None).cast("bigint"))
     return good.unionByName(rest)
 
 
-def _time_buckets(points: DataFrame, ts_col: str, bucket_days: int) -> DataFrame:
-    return points.withColumn("_bucket", F.floor(F.unix_micros(ts_col) / F.lit(86_400_000_000 * bucket_days)))
-
-
 def gap_histogram(df: DataFrame, customer: str = CUSTOMER, ts: str = TS,
-                  bucket_days: int = BUCKET_DAYS) -> DataFrame:
+                  ranges: int | None = None) -> DataFrame:
     """Multiset of gaps (floored days) between consecutive rows of each
     customer, as ``(customer, gap_days, n)``.
 
@@ -78,35 +67,24 @@ def gap_histogram(df: DataFrame, customer: str = CUSTOMER, ts: str = TS,
     """
     points = (df.where(F.col(customer).isNotNull() & F.col(ts).isNotNull())
               .groupBy(customer, as_ts(ts).alias("_t")).agg(F.count("*").alias("_n")))
+    linked = with_previous(points, customer, ["_t"], "_t", "_prev_t", ranges)
     # repeats of a (customer, time) point are zero gaps: n - 1 of them
-    zeros = points.where(F.col("_n") > 1).select(
-        customer, F.lit(0).cast("bigint").alias("gap_days"), (F.col("_n") - 1).alias("n"))
-    one = F.lit(1).cast("bigint").alias("n")
-    points = _time_buckets(points, "_t", bucket_days)
-    w_in = Window.partitionBy(customer, "_bucket").orderBy("_t")
-    inner = (points.withColumn("_prev", F.lag("_t").over(w_in))
-             .where(F.col("_prev").isNotNull())
-             .select(customer, elapsed_days("_t", "_prev").alias("gap_days"), one))
-    edges = points.groupBy(customer, "_bucket").agg(F.min("_t").alias("_first"),
-                                                    F.max("_t").alias("_last"))
-    w_edge = Window.partitionBy(customer).orderBy("_bucket")
-    across = (edges.withColumn("_prev", F.lag("_last").over(w_edge))
-              .where(F.col("_prev").isNotNull())
-              .select(customer, elapsed_days("_first", "_prev").alias("gap_days"), one))
-    return (inner.unionByName(across).unionByName(zeros)
-            .groupBy(customer, "gap_days").agg(F.sum("n").alias("n")))
+    gaps = F.array(F.struct(elapsed_days("_t", "_prev_t").alias("gap_days"), F.lit(1).cast("bigint").alias("n")),
+                   F.struct(F.lit(0).cast("bigint").alias("gap_days"), (F.col("_n") - 1).alias("n")))
+    return (linked.select(customer, F.explode(gaps).alias("_g")).where("_g.gap_days IS NOT NULL AND _g.n > 0")
+            .groupBy(customer, "_g.gap_days").agg(F.sum("_g.n").alias("n")))
 
 
 def customer_intervals(df: DataFrame, customer: str = CUSTOMER, ts: str = TS,
-                       bucket_days: int = BUCKET_DAYS) -> DataFrame:
+                       ranges: int | None = None) -> DataFrame:
     """Median gap per customer with at least one gap."""
-    h = gap_histogram(df, customer, ts, bucket_days)
+    h = gap_histogram(df, customer, ts, ranges)
     return h.groupBy(customer).agg(
         F.expr("percentile(gap_days, 0.5, n)").alias("median_interval_days"))
 
 
 def customer_features(df: DataFrame, customer: str = CUSTOMER, order: str = ORDER,
-                      ts: str = TS, bucket_days: int = BUCKET_DAYS) -> DataFrame:
+                      ts: str = TS, ranges: int | None = None) -> DataFrame:
     """Per customer: last order time, distinct orders, median gap and whole
     days idle before the analysis date (G1 = E2 + E3 + E4). The analysis
     date (latest time + 1 day) is taken from the per-customer maxima, so the
@@ -114,7 +92,7 @@ def customer_features(df: DataFrame, customer: str = CUSTOMER, order: str = ORDE
     stats = df.where(F.col(customer).isNotNull()).groupBy(customer).agg(
         F.max(as_ts(ts)).alias("last_order_date"),
         F.count_distinct(order).alias("order_count"))
-    med = customer_intervals(df, customer, ts, bucket_days)
+    med = customer_intervals(df, customer, ts, ranges)
     feats = stats.join(med, customer, "left")
     return (with_scalars(feats, analysis_date(stats, "last_order_date"))
             .withColumn("days_since_last_order", elapsed_days("analysis_date", "last_order_date"))
@@ -135,13 +113,13 @@ def churn_flag(order_count, median, days_since, threshold, multiplier: float = 2
 
 def churn_labels(df: DataFrame, customer: str = CUSTOMER, order: str = ORDER,
                  ts: str = TS, multiplier: float = 2.0,
-                 bucket_days: int = BUCKET_DAYS) -> DataFrame:
+                 ranges: int | None = None) -> DataFrame:
     """Customer features plus ``is_churned``.
 
     The features (one row per customer) are read twice, for the threshold and
     for the labels, so they are materialised; the stored table also leaves the
     joins on the label table to be split where one customer holds many rows."""
-    feats = materialize(customer_features(df, customer, order, ts, bucket_days), "customer_features")
+    feats = materialize(customer_features(df, customer, order, ts, ranges), "customer_features")
     return (with_scalars(feats, global_threshold(feats))
             .withColumn("is_churned", churn_flag("order_count", "median_interval_days",
                                                   "days_since_last_order", "threshold", multiplier)))

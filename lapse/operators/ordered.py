@@ -21,10 +21,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from lapse.functions.util import count_below
 from lapse.operators import selection
-from lapse.session import materialize, with_scalars
+from lapse.session import materialize, ship_by_value, with_scalars
 
 
 _NUMERIC = ("byte", "short", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz")
@@ -125,6 +126,50 @@ def quantile_row(qlong: DataFrame, cols: list[str], probs: list[float]) -> DataF
     return qlong.agg(*aggs)
 
 
+def with_previous(df: DataFrame, group: str, order: list[str], value: str, out: str, ranges: int | None = None) -> DataFrame:
+    """``df`` with ``out``: ``value`` of the row before it in ``order`` within ``group`` (NULL for a group's first row).
+
+    Rows are dealt by ranges of (group, order, hash of the row) and sorted, so
+    a group of any size is spread over tasks; a task reads its rows once, each
+    against the one before. Each range's first row then takes the last row of
+    the range before, by a join on one row a range. Only rows equal in all
+    columns cannot be told apart by ranges. ``group`` must not be NULL; columns
+    named ``_range``, ``_head`` or ``_tie`` are not allowed.
+    """
+    ranges = default_buckets(df) if ranges is None else ranges
+    ship_by_value(__name__)
+    keys = [group, *order]
+    at_group, at_value = df.columns.index(group), df.columns.index(value)
+    schema = StructType([*df.schema.fields, StructField(out, df.schema[value].dataType), StructField("_range", IntegerType()), StructField("_head", BooleanType())])
+
+    def scan(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+        last, part = None, TaskContext.get().partitionId()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g, v = b.column(at_group), b.column(at_value)
+            head = last is None
+            before = pa.array([None], g.type), pa.array([None], v.type)
+            g_prev = pa.concat_arrays([before[0] if head else last[0], g.slice(0, len(g) - 1)])
+            v_prev = pa.concat_arrays([before[1] if head else last[1], v.slice(0, len(v) - 1)])
+            same = pc.fill_null(pc.equal(g, g_prev), False)
+            prev = pc.if_else(same, v_prev, pa.scalar(None, v.type))
+            first = pa.array([head] + [False] * (len(g) - 1))
+            yield pa.RecordBatch.from_arrays([*b.columns, prev, pa.array([part] * len(g), pa.int32()), first], names=schema.names)
+            last = g.slice(len(g) - 1), v.slice(len(v) - 1)
+
+    dealt = df.withColumn("_tie", F.xxhash64(*df.columns)).repartitionByRange(ranges, *keys, "_tie").sortWithinPartitions(*keys, "_tie").drop("_tie")
+    rows = materialize(dealt.mapInArrow(scan, schema), "previous")
+    last = rows.groupBy("_range").agg(F.max(F.struct(*keys, F.col(value).alias("_value"))).alias("_last"))
+    carry = last.select(F.col("_range").alias("_of"), F.lag("_last").over(Window.orderBy("_range")).alias("_last"))  # one row a range
+    take = F.col("_head") & (F.col(f"_last.{group}") == F.col(group))
+    joined = rows.join(carry, (F.col("_range") == F.col("_of")) & F.col("_head"), "left")
+    return joined.withColumn(out, F.when(take, F.col("_last._value")).otherwise(F.col(out))).select(*df.columns, out)
+
+
 def dense_codes(df: DataFrame, c: str, out: str | None = None, buckets: int | None = None) -> DataFrame:
     """Code each distinct value of ``c`` by its 0-based ascending position
     (label encoding); returns ``(c, out)`` one row per distinct value."""

@@ -30,7 +30,7 @@ from lapse.sources.tables import parse_ts, read_table
 
 R6 = 6
 
-# --- order rhythm over the whole orders table, at two bucket sizes --------------
+# --- order rhythm over the whole orders table, dealt to the default number of tasks and to one -----
 
 GAPS_SQL = with_ctes([("src", SRC_ORDERS)], (
     "SELECT k AS customer_unique_id, o AS order_id, CAST(floor((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY k ORDER BY ts, o))) / 86400000000.0) AS BIGINT) AS gap_days FROM src"))
@@ -38,18 +38,18 @@ HIST_SQL = with_ctes(_label_ctes(SRC_ORDERS), (
     "SELECT k AS customer_unique_id, CAST(gap AS BIGINT) AS gap_days, CAST(count(*) AS BIGINT) AS n FROM pts WHERE gap IS NOT NULL GROUP BY k, gap"))
 MEDIAN_SQL = with_ctes(_label_ctes(SRC_ORDERS), "SELECT k AS customer_unique_id, med AS median_interval_days FROM feat WHERE med IS NOT NULL")
 
-for _name, _days in (("all_orders", lc.BUCKET_DAYS), ("one_bucket", 100_000)):
+for _name, _ranges in (("all_orders", None), ("one_bucket", 1)):
     @register(f"order_gaps_{_name}", GAPS_SQL)
-    def q_order_gaps(spark, sf_dir, days=_days):
-        return lc.order_gaps(orders_input(spark, sf_dir), bucket_days=days).select("customer_unique_id", "order_id", "gap_days")
+    def q_order_gaps(spark, sf_dir, ranges=_ranges):
+        return lc.order_gaps(orders_input(spark, sf_dir), ranges=ranges).select("customer_unique_id", "order_id", "gap_days")
 
     @register(f"gap_histogram_{_name}", HIST_SQL)
-    def q_gap_histogram(spark, sf_dir, days=_days):
-        return lc.gap_histogram(orders_input(spark, sf_dir), bucket_days=days)
+    def q_gap_histogram(spark, sf_dir, ranges=_ranges):
+        return lc.gap_histogram(orders_input(spark, sf_dir), ranges=ranges)
 
     @register(f"customer_intervals_{_name}", MEDIAN_SQL)
-    def q_intervals(spark, sf_dir, days=_days):
-        return lc.customer_intervals(orders_input(spark, sf_dir), bucket_days=days)
+    def q_intervals(spark, sf_dir, ranges=_ranges):
+        return lc.customer_intervals(orders_input(spark, sf_dir), ranges=ranges)
 
 # --- global order at 1 and 16 buckets ---------------------------------------------
 

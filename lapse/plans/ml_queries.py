@@ -243,8 +243,7 @@ def q_model_boosted(spark, sf_dir):
 @register("compare_models")
 def q_compare_models(spark, sf_dir):
     """The four models on the test side, best first."""
-    sets = {"logistic": _NUM, "tree": _NUM, "forest": ml.NUMERIC_FEATURES, "boosted": _NUM}
-    return ml.compare({k: fitted(spark, sf_dir, k, n) for k, n in sets.items()}, train_test(spark, sf_dir)[1])
+    return ml.compare({k: fitted(spark, sf_dir, k, ml.NUMERIC_FEATURES) for k in ("logistic", "tree", "forest", "boosted")}, train_test(spark, sf_dir)[1])
 
 
 @register("score_customers")

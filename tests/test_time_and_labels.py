@@ -43,7 +43,7 @@ def test_churn_label_branches(spark):
     data += [("c", f"c{i}", base + dt.timedelta(days=10 * i)) for i in range(5)]      # last day 40
     data += [("d", f"d{i}", base + dt.timedelta(days=20 + 10 * i)) for i in range(6)]  # last day 70
     df = spark.createDataFrame(data, "customer_unique_id string, order_id string, order_purchase_timestamp timestamp")
-    lab = {r.customer_unique_id: r for r in lc.churn_labels(df, bucket_days=3).collect()}
+    lab = {r.customer_unique_id: r for r in lc.churn_labels(df, ranges=3).collect()}
     # analysis date = day 71; medians: b 0, c 10, d 10 -> threshold = 20/3
     assert lab["c"].median_interval_days == 10.0 and lab["b"].median_interval_days == 0.0
     assert lab["a"].median_interval_days is None
@@ -66,7 +66,7 @@ def test_gap_histogram_hot_customer_matches_plain_lag(spark):
             data.append((f"c{c}", f"c{c}_{j}", base + dt.timedelta(hours=rnd.randint(0, 24 * 400))))
     data.append(("hot", "h0", data[0][2]))  # repeated row -> zero gap
     df = spark.createDataFrame(data, "customer_unique_id string, order_id string, order_purchase_timestamp timestamp")
-    fast = {(r[0], r[1]): r[2] for r in lc.gap_histogram(df, bucket_days=5).collect()}
+    fast = {(r[0], r[1]): r[2] for r in lc.gap_histogram(df, ranges=5).collect()}
     plain = (lc.order_gaps(df).where(F.col("gap_days").isNotNull())
              .groupBy("customer_unique_id", "gap_days").count().collect())
     assert fast == {(r[0], r[1]): r[2] for r in plain}
@@ -98,22 +98,57 @@ def test_slice_values_sparse_sf001(spark):
     assert r.n == 722 and abs(r.t - 744.7818) < 1e-4 and r.fb == 502 and abs(r.rate - 0.544321) < 1e-6
 
 
-def test_row_gaps_bucketed_equal_plain(spark):
+def test_row_gaps_do_not_depend_on_ranges(spark):
     rnd = random.Random(21)
     base = dt.datetime(2022, 1, 1)
     data = [("hot", f"h{i}", base + dt.timedelta(hours=rnd.randint(0, 24 * 300))) for i in range(900)]
     data += [(f"c{c}", f"c{c}_{j}", base + dt.timedelta(days=rnd.randint(0, 300))) for c in range(200) for j in range(3)]
     data += [("hot", "dup", data[5][2]), (None, "x", base), ("c1", "y", None)]
     df = spark.createDataFrame(data, "customer_unique_id string, order_id string, order_purchase_timestamp timestamp")
-    a = {(r.customer_unique_id, r.order_id): r.gap_days for r in lc.order_gaps(df, bucket_days=7).collect()}
-    b = {(r.customer_unique_id, r.order_id): r.gap_days for r in lc.order_gaps(df, bucket_days=100_000).collect()}
+    a = {(r.customer_unique_id, r.order_id): r.gap_days for r in lc.order_gaps(df, ranges=7).collect()}
+    b = {(r.customer_unique_id, r.order_id): r.gap_days for r in lc.order_gaps(df, ranges=1).collect()}
     assert a == b and len(a) == len(data)
 
 
-def test_rows_without_customer_have_no_gap_at_any_bucket_size(spark):
+def test_rows_without_customer_have_no_gap(spark):
     df = spark.createDataFrame([(None, 1, "2020-01-01 00:00:00"), (None, 2, "2020-01-11 00:00:00"), ("a", 3, "2020-01-01 00:00:00"),
                                 ("a", 4, "2020-03-01 12:00:00"), ("a", 5, None)], "customer_unique_id string, order_id long, t string")
     df = df.withColumn("order_purchase_timestamp", F.to_timestamp("t")).drop("t")
-    for days in (1, 16, 100_000):
-        got = {r.order_id: r.gap_days for r in lc.order_gaps(df, bucket_days=days).collect()}
+    for n in (1, 3, 16):
+        got = {r.order_id: r.gap_days for r in lc.order_gaps(df, ranges=n).collect()}
         assert got == {1: None, 2: None, 3: None, 4: 60, 5: None}
+
+
+def test_a_customer_within_minutes_is_spread_over_tasks(spark, monkeypatch):
+    """Half the rows are one customer's, all within two days: no task reads them all, no window is keyed by the customer."""
+    from lapse.operators import ordered
+    base, n = dt.datetime(2022, 5, 1), 4000
+    data = [("hot", i, base + dt.timedelta(seconds=37 * (i * 7919 % n))) for i in range(n)] + [(f"c{i % 900}", n + i, base + dt.timedelta(hours=i)) for i in range(n)]
+    df = spark.createDataFrame(data, "customer_unique_id string, order_id long, order_purchase_timestamp timestamp").repartition(6)
+    stored, keep = [], ordered.materialize
+    monkeypatch.setattr(ordered, "materialize", lambda d, name=None: stored.append(keep(d, name)) or stored[-1])
+    out = lc.order_gaps(df, ranges=8)
+    per_task = {r["_range"]: r["count"] for r in stored[0].groupBy("_range").count().collect()}
+    assert len(per_task) == 8 and max(per_task.values()) < n // 2
+    assert stored[0].where("customer_unique_id = 'hot'").select("_range").distinct().count() >= 4
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "windowspecdefinition(customer_unique_id" not in plan
+    last, want = {}, {}
+    for c, o, t in sorted(data, key=lambda r: (r[0], r[2], r[1])):
+        want[c, o] = (t - last[c]).days if c in last else None
+        last[c] = t
+    assert {(r.customer_unique_id, r.order_id): r.gap_days for r in out.collect()} == want
+
+
+def test_previous_row_of_any_type_and_count_of_ranges(spark):
+    from lapse.operators.ordered import with_previous
+    rnd = random.Random(3)
+    rows = [(rnd.choice([1, 1, 1, 2, 3, 4 + i]), rnd.randint(0, 50), rnd.choice([None, f"v{i}"]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g long, t int, v string, i int").repartition(7)
+    want, last = {}, {}
+    for g, t, v, i in sorted(rows, key=lambda r: (r[0], r[1], r[3])):
+        want[i] = last.get(g)
+        last[g] = v
+    for n in (1, 2, 9, 40):
+        assert {r["i"]: r["p"] for r in with_previous(df, "g", ["t", "i"], "v", "p", n).collect()} == want
+    assert with_previous(df.limit(0), "g", ["t", "i"], "v", "p").count() == 0
