@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from lapse.session import ship_by_value
+from lapse.session import materialize, ship_by_value
 
 ship_by_value(__name__)
 
@@ -97,20 +97,29 @@ def labels_with_neighbours(matches: DataFrame) -> DataFrame:
             .where(F.col("matches") > 1))
 
 
+def deletions(label, k: int):
+    """All distinct texts that up to ``k`` deletions leave of a label, itself included (an array; sum of C(length, i) texts)."""
+    cut = lambda s: F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))),
+                                                        lambda i: F.concat(F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1)))).otherwise(F.array().cast("array<string>"))
+    level = [F.array(label)]
+    for _ in range(k):
+        level.append(F.array_distinct(F.flatten(F.transform(level[-1], cut))))
+    return F.array_distinct(F.concat(*level))
+
+
 def close_labels_levenshtein(df: DataFrame, c: str, max_distance: int = 2) -> DataFrame:
     """``(word, candidate, distance)`` for labels within ``max_distance``
-    edits (itself included). Same candidate scheme: k edits leave at least
-    max(|a|,|b|) − k characters in common, so α(a) = |a| − k; where that is
-    not positive on both sides, every pair qualifies."""
+    edits (itself included).
+
+    Deletion neighbourhood (Bocek, Hunt, Stiller: "Fast similarity search in
+    large dictionaries", 2007): two labels within k edits have a text in common
+    that at most k deletions leave of each. Labels meet on such texts alone,
+    which only labels within 2 k edits of each other share, and are verified.
+    A label of length L emits about L^k / k! texts, so this is for labels, not
+    for long text."""
     labels = _labels(df, c)
     k = int(max_distance)
-    cand = _candidates(labels, lambda length: length - F.lit(k))
-    # labels of at most k characters are within k edits of each other without a
-    # character in common; they join on that fact (the result holds all those pairs)
-    short = labels.where(F.length("label") <= k).withColumn("_short", F.lit(True))
-    cand = cand.union(short.select(F.col("label").alias("word"), "_short")
-                      .join(short.select(F.col("label").alias("candidate"), "_short"), "_short").select("word", "candidate")).distinct()
-    cand = cand.where(F.abs(F.length("word") - F.length("candidate")) <= k)
-    d = cand.withColumn("distance", F.levenshtein("word", "candidate"))
-    return d.where(F.col("distance") <= k)
-
+    left = materialize(labels.select(F.col("label").alias("word"), F.explode(deletions(F.col("label"), k)).alias("text")), "label_deletions")
+    pairs = left.join(left.select(F.col("word").alias("candidate"), F.col("text").alias("_t")), F.col("text") == F.col("_t"))
+    pairs = pairs.where(F.abs(F.length("word") - F.length("candidate")) <= k).select("word", "candidate").distinct()
+    return pairs.withColumn("distance", F.levenshtein("word", "candidate")).where(F.col("distance") <= k)

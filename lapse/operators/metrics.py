@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapse.functions.util import safe_div
-from lapse.operators.ordered import value_counts_cumulative
+from lapse.operators.ordered import running_sums
 from lapse.session import with_scalars
 
 
@@ -49,12 +49,11 @@ def class_report(df: DataFrame, label: str = "label", pred: str = "prediction")
 
 
 def _score_table(df: DataFrame, label: str, score: str, buckets: int | None = None) -> DataFrame:
-    """Distinct scores with positives, negatives and the negatives below."""
+    """Distinct scores with positives, negatives and those of lower scores: one grouping, one cumulative pass for both."""
     base = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(
         F.col(score).cast("double").alias("_s"), F.col(label).cast("int").alias("_y"))
     pn = base.groupBy("_s").agg(F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg"))
-    cum = value_counts_cumulative(pn, "_s", weight="neg", buckets=buckets).select("_s", F.col("cum_before").alias("neg_below"))
-    return pn.join(cum, "_s")
+    return running_sums(pn, "_s", ["pos", "neg"], buckets)
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score", buckets: int | None = None) -> DataFrame:
@@ -66,18 +65,12 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", buckets:
     return a.select((F.col("_u") / (F.col("_p") * F.col("_n"))).alias("roc_auc"))
 
 
-def roc_points(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+def roc_points(df: DataFrame, label: str = "label", score: str = "score", buckets: int | None = None) -> DataFrame:
     """ROC curve at every distinct score taken as threshold (``score >=
     threshold`` predicts positive), plus the origin (J27)."""
-    base = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(
-        F.col(score).cast("double").alias("_s"), F.col(label).cast("int").alias("_y"))
-    pn = base.groupBy("_s").agg(F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg"))
-    cp = value_counts_cumulative(pn, "_s", weight="pos", descending=True).select("_s", F.col("cum_before").alias("pa"))
-    cn = value_counts_cumulative(pn, "_s", weight="neg", descending=True).select("_s", F.col("cum_before").alias("na"))
-    tot = pn.agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    pts = (with_scalars(pn.join(cp, "_s").join(cn, "_s"), tot)
-           .select(F.col("_s").alias("threshold"),
-                   ((F.col("na") + F.col("neg")) / F.col("_N")).alias("fpr"),
-                   ((F.col("pa") + F.col("pos")) / F.col("_P")).alias("tpr")))
+    t = _score_table(df, label, score, buckets)
+    tot = t.agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
+    pts = with_scalars(t, tot).select(F.col("_s").alias("threshold"), ((F.col("_N") - F.col("neg_below")) / F.col("_N")).alias("fpr"),
+                                      ((F.col("_P") - F.col("pos_below")) / F.col("_P")).alias("tpr"))
     origin = df.sparkSession.createDataFrame([(float("inf"), 0.0, 0.0)], "threshold double, fpr double, tpr double")
     return pts.unionByName(origin)

@@ -126,6 +126,23 @@ def quantile_row(qlong: DataFrame, cols: list[str], probs: list[float]) -> DataF
     return qlong.agg(*aggs)
 
 
+def running_sums(values: DataFrame, v: str, weights: list[str], buckets: int | None = None) -> DataFrame:
+    """One row per distinct ``v`` with whole-number ``weights``: adds ``{weight}_below``, the weight of smaller values.
+
+    ``values`` is stored once; its rows are cut to ranges at sketched cut
+    points, ranges get offsets from one small table, and each range is summed
+    by itself: all weights in one pass, no join of the values with themselves.
+    """
+    buckets = default_buckets(values) if buckets is None else buckets
+    kept = _bucketed(materialize(values, "running"), v, buckets, [])
+    totals = kept.groupBy("_b").agg(*[F.sum(w).alias(f"_t_{w}") for w in weights])
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offsets = totals.select(F.col("_b").alias("_of"), *[F.coalesce(F.sum(f"_t_{w}").over(before), F.lit(0)).alias(f"_o_{w}") for w in weights])
+    inner = Window.partitionBy("_b").orderBy(v).rowsBetween(Window.unboundedPreceding, -1)
+    joined = kept.join(offsets, F.col("_b") == F.col("_of"))
+    return joined.select(*values.columns, *[(F.col(f"_o_{w}") + F.coalesce(F.sum(w).over(inner), F.lit(0))).alias(f"{w}_below") for w in weights])
+
+
 def with_previous(df: DataFrame, group: str, order: list[str], value: str, out: str, ranges: int | None = None) -> DataFrame:
     """``df`` with ``out``: ``value`` of the row before it in ``order`` within ``group`` (NULL for a group's first row).
 

@@ -176,73 +176,99 @@ def boxcox_lambda(df: DataFrame, c: str, offset: float = 0.0, rounds: int = 4) -
 
 # --- Box-Cox λ by probability-plot correlation (J2) -----------------------------
 
-_A = [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
-      1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00]
-_B = [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
-      6.680131188771972e+01, -1.328068155288572e+01]
-_C = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
-      -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00]
-_D = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00,
-      3.754408661907416e+00]
+# Coefficients of algorithm AS 241 (Wichura, Applied Statistics 37, 1988), numerators and denominators by ascending power.
+_CENTRE = ([3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4,
+            4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3],
+           [1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3,
+            2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3])
+_SIDE = ([1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0,
+          1.27045825245236838258e0, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4],
+         [1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1,
+          1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9])
+_TAIL = ([6.65790464350110377720e0, 5.46378491116411436990e0, 1.78482653991729133580e0, 2.96560571828504891230e-1,
+          2.65321895265761230930e-2, 1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7],
+         [1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2,
+          7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15])
 
 
 def norm_ppf(p: np.ndarray) -> np.ndarray:
-    """Standard normal quantile: rational approximation (Acklam) refined by
-    one Halley step on ``erfc``; vectorised."""
+    """Standard normal quantile to full double precision (AS 241), vectorised."""
+    ratio = lambda ab, r: np.polyval(ab[0][::-1], r) / np.polyval(ab[1][::-1], r)
     p = np.asarray(p, dtype=float)
-    x = np.empty_like(p)
-    lo, hi = p < 0.02425, p > 1 - 0.02425
-    mid = ~(lo | hi)
-    q = p[mid] - 0.5
-    r = q * q
-    x[mid] = ((((((_A[0] * r + _A[1]) * r + _A[2]) * r + _A[3]) * r + _A[4]) * r + _A[5]) * q /
-              (((((_B[0] * r + _B[1]) * r + _B[2]) * r + _B[3]) * r + _B[4]) * r + 1))
-    for sel, sign, pp in ((lo, 1.0, p[lo]), (hi, -1.0, 1 - p[hi])):
-        q = np.sqrt(-2 * np.log(pp))
-        x[sel] = sign * ((((((_C[0] * q + _C[1]) * q + _C[2]) * q + _C[3]) * q + _C[4]) * q + _C[5]) /
-                         ((((_D[0] * q + _D[1]) * q + _D[2]) * q + _D[3]) * q + 1))
-    erfc = np.frompyfunc(math.erfc, 1, 1)
-    e = 0.5 * erfc(-x / math.sqrt(2)).astype(float) - p
-    u = e * math.sqrt(2 * math.pi) * np.exp(x * x / 2)
-    return x - u / (1 + x * u / 2)
+    q = p - 0.5
+    r = np.sqrt(-np.log(np.clip(np.minimum(p, 1 - p), 1e-300, None)))
+    far = np.where(r <= 5, ratio(_SIDE, r - 1.6), ratio(_TAIL, r - 5))
+    return np.where(np.abs(q) <= 0.425, q * ratio(_CENTRE, 0.180625 - q * q), np.sign(q) * far)
+
+
+_ENDS = 64  # ranks at either end that are added one by one
+
+
+def osm_prefix(r: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the first ``r`` of ``n`` normal order-statistic medians, and of their squares.
+
+    The median of rank i is z(u) at u = (i - 0.3175) / (n + 0.365), other
+    values at the two ends. Up to ``_ENDS`` ranks from an end are added one by
+    one; the inner ones follow from the integrals of z and z^2 over u, which are
+    -phi(z) and Phi(z) - z phi(z), with Euler-Maclaurin corrections, so that the
+    sum over any range of ranks is the difference of two prefixes.
+    """
+    r = np.asarray(r, dtype=np.int64)
+    m, ends = n + 0.365, min(_ENDS, n)
+
+    def medians(i):
+        u = (i - 0.3175) / m
+        u = np.where(i == n, 0.5 ** (1.0 / n), u)
+        return norm_ppf(np.where(i == 1, 1 - 0.5 ** (1.0 / n), u))
+    head = medians(np.arange(1, ends + 1, dtype=float))
+    first, first2 = np.concatenate([[0.0], np.cumsum(head)]), np.concatenate([[0.0], np.cumsum(head * head)])
+    if n <= 2 * _ENDS:
+        z = medians(np.arange(1, n + 1, dtype=float))
+        return np.concatenate([[0.0], np.cumsum(z)])[r], np.concatenate([[0.0], np.cumsum(z * z)])[r]
+
+    def parts(x):
+        """Integrals up to rank x, less the first and third derivative terms, of z and of z^2."""
+        u = (x - 0.3175) / m
+        z = norm_ppf(u)
+        phi = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+        d1 = 1 / (phi * m)                                   # dz/di
+        d3 = (1 + 2 * z * z) / (phi * m) ** 3                # d3z/di3
+        s1 = 2 * z * d1
+        s3 = 2 * (z * d3 + 3 * d1 * (z / (phi * m) ** 2))
+        return -phi * m - d1 / 24 + 7 * d3 / 5760, m * (u - z * phi) - s1 / 24 + 7 * s3 / 5760
+    inner = np.clip(r, ends, n - ends).astype(float)
+    lo, lo2 = parts(np.array([ends + 0.5]))
+    hi, hi2 = parts(inner + 0.5)
+    low = np.minimum(r, ends)
+    s, s2 = first[low] + hi - lo, first2[low] + hi2 - lo2
+    # ranks beyond n - ends mirror the first ones
+    past = np.maximum(r - (n - ends), 0)
+    return s - (first[ends] - first[ends - past]), s2 + (first2[ends] - first2[ends - past])
 
 
 _OSM_SCHEMA = StructType([StructField("s", DoubleType()), StructField("s2", DoubleType())])
 
 
 @F.pandas_udf(_OSM_SCHEMA)
-def _osm_chunk_sums(start: pd.Series, stop: pd.Series, n: pd.Series) -> pd.DataFrame:
-    """Σ and Σ² of the normal order-statistic medians for ranks start..stop."""
-    s, s2 = [], []
-    for a, b, m in zip(start.to_numpy(), stop.to_numpy(), n.to_numpy()):
-        i = np.arange(a, b + 1, dtype=float)
-        v = (i - 0.3175) / (m + 0.365)
-        last = 0.5 ** (1.0 / m)
-        v[i == m] = last
-        v[i == 1] = 1 - last
-        z = norm_ppf(v)
-        s.append(float(z.sum()))
-        s2.append(float((z * z).sum()))
-    return pd.DataFrame({"s": s, "s2": s2})
-
-
-def osm_sums(df: DataFrame, c: str, offset: float = 0.0, chunk: int = 100_000) -> DataFrame:
-    """Per distinct value: count ``_w`` and the sum of normal order-statistic
-    medians over its ranks ``_s``; plus global n, Σ osm, Σ osm² columns.
+def _osm_range_sums(before: pd.Series, cnt: pd.Series, n: pd.Series) -> pd.DataFrame:
+    """Sums of medians and of their squares over ranks before + 1 .. before + cnt."""
+    if not len(n):
+        return pd.DataFrame({"s": [], "s2": []})
+    a, size = before.to_numpy(np.int64), int(n.iloc[0])
+    lo, hi = osm_prefix(a, size), osm_prefix(a + cnt.to_numpy(np.int64), size)
+    return pd.DataFrame({"s": hi[0] - lo[0], "s2": hi[1] - lo[1]})
 
-    Ranks of a value held by many rows are cut into chunks of ``chunk`` ranks
-    that are evaluated in parallel, so a hot value is never one task.
+
+def osm_sums(df: DataFrame, c: str, offset: float = 0.0) -> DataFrame:
+    """Per distinct value: count ``_w`` and the sum of normal order-statistic
+    medians over its ranks ``_s``; plus global n, Σ osm, Σ osm² columns. Each
+    value costs two look-ups (:func:`osm_prefix`), however many rows hold it.
     """
     x = (F.col(c).cast("double") + F.lit(offset)).alias("_x")
-    src = df.select(x)
-    cum = value_counts_cumulative(src, "_x")
+    cum = value_counts_cumulative(df.select(x), "_x")
     n = cum.agg(F.sum("cnt").alias("_n"))
-    ch = (with_scalars(cum, n)
-          .withColumn("_k", F.explode(F.sequence(F.lit(0), ((F.col("cnt") - 1) / chunk).cast("long"))))
-          .withColumn("_a", F.col("cum_before") + 1 + F.col("_k") * chunk)
-          .withColumn("_b", F.least(F.col("_a") + chunk - 1, F.col("cum_before") + F.col("cnt"))))
-    sums = ch.withColumn("_o", _osm_chunk_sums("_a", "_b", "_n")).groupBy("_x", "cnt", "_n").agg(
-        F.sum("_o.s").alias("_s"), F.sum("_o.s2").alias("_s2"))
+    sums = with_scalars(cum, n).withColumn("_o", _osm_range_sums("cum_before", "cnt", "_n"))
+    sums = sums.select("_x", "cnt", "_n", F.col("_o.s").alias("_s"), F.col("_o.s2").alias("_s2"))
     tot = sums.agg(F.sum("_s").alias("_tot_s"), F.sum("_s2").alias("_tot_s2"))
     return with_scalars(sums, tot).select("_x", F.col("cnt").alias("_w"), "_s", "_n", "_tot_s", "_tot_s2")
 

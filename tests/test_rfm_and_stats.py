@@ -99,7 +99,7 @@ def test_boxcox_ppcc_is_a_maximum(spark):
     lam = st.boxcox_normmax(df, "x")
     assert _ppcc(xs, lam) >= _ppcc(xs, lam + 0.01) - 1e-12 and _ppcc(xs, lam) >= _ppcc(xs, lam - 0.01) - 1e-12
     # the distributed correlation equals the brute force one
-    osm = st.osm_sums(df, "x", chunk=37)
+    osm = st.osm_sums(df, "x")
     r = st.boxcox_ppcc_grid(osm, [0.3])[0]
     assert abs(r - _ppcc(xs, 0.3)) < 1e-9
 
