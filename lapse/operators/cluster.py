@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+import math
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapse.functions.util import fixed_mean
@@ -28,66 +28,113 @@ def assign_centers(df: DataFrame, cols: list[str], centers: list[list[float]],
     """Nearest of the given centres by Euclidean distance (J8); ties go to
     the lower index. Adds ``out`` and ``distance``. Centres are literals
     (k x d numbers), evaluated in generated code."""
-    dists = []
-    for c in centers:
+    j, d = nearest(cols, centers)
+    return df.withColumns({out: j, "distance": d})
+
+
+def nearest(cols: list[str], centers: list[list[float]]) -> tuple[Column, Column]:
+    """Number of the nearest centre (ties: the lower) and the distance to it; NULL for a row with a NULL feature."""
+    each = []
+    for j, c in enumerate(centers):
         sq = None
         for col_name, v in zip(cols, c):
             term = F.pow(F.col(col_name) - F.lit(float(v)), 2)
             sq = term if sq is None else sq + term
-        dists.append(F.sqrt(sq))
-    tmp = {f"_d{j}": d for j, d in enumerate(dists)}
-    d = df.withColumns(tmp)
-    best = F.least(*[F.col(f"_d{j}") for j in range(len(centers))]) if len(centers) > 1 else F.col("_d0")
-    idx = None
-    for j in range(len(centers)):
-        cond = F.col(f"_d{j}") == best
-        idx = F.when(cond, F.lit(j)) if idx is None else idx.when(cond, F.lit(j))
-    return d.withColumns({out: idx, "distance": best}).drop(*tmp.keys())
-
-
-def _assembled(df: DataFrame, cols: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=cols, outputCol="features").transform(df)
+        each.append(F.struct(F.sqrt(sq).alias("d"), F.lit(j).alias("j")))
+    best = F.array_min(F.array(*each))  # by distance, then number
+    return F.when(best["d"].isNotNull(), best["j"]), best["d"]
+
+
+UNIT = 2 ** 32  # fixed point of scaled features: sums do not depend on the order of partial sums
+
+
+def _seed_rows(df: DataFrame, cols: list[str], seed: int, rows: int) -> np.ndarray:
+    """At most ``rows`` distinct points, first by a seeded hash, on the driver: all that the first centres are drawn from."""
+    points = df.select(*cols).distinct().orderBy(F.xxhash64(F.lit(seed), *cols), *cols).limit(rows).collect()
+    return np.array([[r[c] for c in cols] for r in points], float).reshape(-1, len(cols))
+
+
+def first_centers(points: np.ndarray, k: int, seed: int) -> list[list[float]]:
+    """k-means++ draws: each next centre with probability by squared distance to the nearest so far (fewer for fewer points)."""
+    rng = np.random.default_rng(seed)
+    out = [points[rng.integers(len(points))]]
+    while len(out) < min(k, len(points)):
+        d = np.min([((points - c) ** 2).sum(axis=1) for c in out], axis=0)
+        out.append(points[rng.choice(len(points), p=d / d.sum())])
+    return [[float(v) for v in c] for c in out]
+
+
+def lloyd(df: DataFrame, cols: list[str], starts: dict, max_iter: int = 300) -> dict:
+    """Centres of each start (``{name: centres}``) once no row moves: every centre is the mean of its rows, to 2^-32.
+
+    All starts advance in one aggregation a round: a row adds to one cluster of
+    each, so a round shuffles one row of partial sums for every cluster and
+    task. Sums are whole numbers of 2^-32, so a rerun, or a task made again,
+    gives the same centres bit for bit. A cluster that loses its last row keeps
+    its centre. ``df`` is read once a round: pass a stored table.
+    """
+    centers, moving, was = {n: [list(c) for c in cs] for n, cs in starts.items()}, list(starts), {}
+    fixed = [F.round(F.col(c) * F.lit(float(UNIT))).cast("decimal(38,0)") for c in cols]
+    for _ in range(max_iter):
+        if not moving:
+            break
+        marks = [F.struct(F.lit(i).alias("i"), nearest(cols, centers[n])[0].alias("j")) for i, n in enumerate(moving)]
+        rows = df.select(*[x.alias(f"x{d}") for d, x in enumerate(fixed)], F.explode(F.array(*marks)).alias("m"))
+        got = rows.groupBy("m.i", "m.j").agg(F.count("*").alias("n"), *[F.sum(f"x{d}").alias(f"x{d}") for d in range(len(cols))]).collect()
+        sums = {n: {} for n in moving}
+        for r in got:
+            sums[moving[r["i"]]][r["j"]] = (r["n"], [int(r[f"x{d}"]) for d in range(len(cols))])
+        still = []
+        for n in moving:
+            for j, (size, s) in sums[n].items():
+                centers[n][j] = [v / size / UNIT for v in s]
+            if was.get(n) != sums[n]:
+                still.append(n)
+            was[n] = sums[n]
+        moving = still
+    return centers
 
 
 def kmeans_labels(df: DataFrame, cols: list[str], k: int = 4, seed: int = 42,
-                  rank_by: str = "MonetaryValue", out: str = "Cluster", max_iter: int = 300):
-    """k-means (k-means|| init, seed) on ``cols`` (J7). Cluster ids are
-    renumbered 0..k-1 by descending mean of ``rank_by`` so that they are
-    stable across runs. Returns ``(labelled frame, centres)``."""
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features",
-                   predictionCol="_raw").fit(_assembled(df, cols))
-    lab = model.transform(_assembled(df, cols)).drop("features")
-    # k cluster means (k numbers, like the k centres the model already holds
-    # on the driver) decide the new ids; applied as a literal map.
-    means = lab.groupBy("_raw").agg(F.avg(rank_by).alias("_m")).collect()
-    ranked = sorted(means, key=lambda r: (-(r["_m"] if r["_m"] is not None else float("-inf")), r["_raw"]))
-    mapping = F.create_map(*[x for i, r in enumerate(ranked) for x in (F.lit(r["_raw"]), F.lit(i))])
-    lab = lab.withColumn(out, F.element_at(mapping, F.col("_raw")).cast("int")).drop("_raw")
-    return lab, [list(c) for c in model.clusterCenters()]
-
-
-def elbow(df: DataFrame, cols: list[str], ks=range(1, 10), seed: int = 42) -> DataFrame:
-    """SSE and mean distance to the nearest centre for each k.
-
-    k = 1 has a closed form (the mean); Spark's k-means needs k ≥ 2. The
-    frame is cached for the fits; each k is one model (iterative jobs)."""
-    spark = df.sparkSession
-    data = df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+                  rank_by: str = "MonetaryValue", out: str = "Cluster", max_iter: int = 300, sample: int = 10_000):
+    """k-means on ``cols`` (J7): first centres drawn from at most ``sample`` seeded points, then :func:`lloyd`.
+    Cluster ids are renumbered 0..k-1 by descending mean of ``rank_by`` so that
+    they are stable across runs. Returns ``(labelled frame, centres by id)``."""
+    data = materialize(df, "kmeans")
+    points = _seed_rows(data, cols, seed, sample)
+    if not len(points):
+        return df.withColumn(out, F.lit(None).cast("int")), []
+    centers = lloyd(data, cols, {k: first_centers(points, k, seed)}, max_iter)[k]
+    lab = data.withColumn("_raw", nearest(cols, centers)[0])
+    # k cluster means (k numbers, like the k centres) decide the new ids
+    means = {r["_raw"]: r["_m"] for r in lab.groupBy("_raw").agg(fixed_mean(rank_by).alias("_m")).collect()}
+    order = sorted(range(len(centers)), key=lambda j: (-(means.get(j) if means.get(j) is not None else float("-inf")), j))
+    mapping = F.create_map(*[x for i, j in enumerate(order) for x in (F.lit(j), F.lit(i))])
+    return lab.withColumn(out, F.element_at(mapping, F.col("_raw")).cast("int")).drop("_raw"), [centers[j] for j in order]
+
+
+def elbow(df: DataFrame, cols: list[str], ks=range(1, 10), seed: int = 42, sample: int = 10_000) -> DataFrame:
+    """``k``, ``sse``, ``distortion`` (mean distance to the nearest centre), ``drift`` (largest distance
+    of a centre from the mean of its rows) for each k (J6); all k in one :func:`lloyd`, then one aggregation."""
+    data = materialize(df.select(*cols), "elbow")
+    points = _seed_rows(data, cols, seed, sample)
+    schema = "k int, sse double, distortion double, drift double"
+    if not len(points):
+        return df.sparkSession.createDataFrame([], schema)
+    centers = lloyd(data, cols, {k: first_centers(points, k, seed) for k in ks})
+    marks = []
+    for k in ks:
+        j, d = nearest(cols, centers[k])
+        marks.append(F.struct(F.lit(k).alias("k"), j.alias("j"), d.alias("d")))
+    each = data.select(*cols, F.explode(F.array(*marks)).alias("m"))
+    per = each.groupBy("m.k", "m.j").agg(F.count("*").alias("n"), F.sum(F.col("m.d") * F.col("m.d")).alias("sse"), F.sum("m.d").alias("dist"),
+                                         *[F.avg(c).alias(f"mean{i}") for i, c in enumerate(cols)]).collect()
     rows = []
-    try:
-        for k in ks:
-            if k == 1:
-                means = data.agg(*[F.avg(c).alias(c) for c in cols]).first()
-                centers = [[means[c] for c in cols]]
-            else:
-                model = KMeans(k=k, seed=seed, maxIter=300, featuresCol="features").fit(_assembled(data, cols))
-                centers = [list(c) for c in model.clusterCenters()]
-            a = assign_centers(data, cols, centers).agg(
-                F.sum(F.col("distance") * F.col("distance")).alias("sse"), F.avg("distance").alias("distortion")).first()
-            rows.append((int(k), float(a["sse"]), float(a["distortion"])))
-    finally:
-        data.unpersist()
-    return spark.createDataFrame(rows, "k int, sse double, distortion double")
+    for k in ks:
+        mine = [r for r in per if r["k"] == k]
+        drift = max(math.dist(centers[k][r["j"]], [r[f"mean{i}"] for i in range(len(cols))]) for r in mine)
+        rows.append((int(k), math.fsum(r["sse"] for r in mine), math.fsum(r["dist"] for r in mine) / sum(r["n"] for r in mine), drift))
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def cluster_customers(rfm: DataFrame, k: int = 4, seed: int = 42, lambdas: dict | None = None,

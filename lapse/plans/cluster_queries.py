@@ -7,13 +7,16 @@ are checked by rows and by invariants in the tests.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lapse.operators import cluster as cl
 from lapse.operators import rfm as rf
 from lapse.operators import stats as st
+from lapse.plans.memo import fingerprint, memo
 from lapse.plans.registry import register
 from lapse.plans.rfm_queries import rfm_frames, rfm_sql
+from lapse.session import materialize
 
 R6 = 6
 ZCOLS = ["Recency_z", "Frequency_z", "MonetaryValue_z"]
@@ -136,20 +139,45 @@ def q_elbow_k1(spark, sf_dir):
     return e.select("k", F.round("sse", 4).alias("sse"), F.round("distortion", R6).alias("distortion"))
 
 
+_SCALED = ["Recency_t_z", "Frequency_t_z", "MonetaryValue_t_z"]
+
+
+def clustered(spark, sf_dir):
+    return memo(spark, ("clustered", fingerprint(sf_dir)), lambda: materialize(cl.cluster_customers(rfm_frames(spark, sf_dir)[1]), "clustered"))
+
+
 @register("elbow")
 def q_elbow(spark, sf_dir):
-    """k = 1..9 on the clustering features (rows-only; SSE falls with k)."""
-    c = cl.cluster_customers(rfm_frames(spark, sf_dir)[1])
-    return cl.elbow(c, ["Recency_t_z", "Frequency_t_z", "MonetaryValue_t_z"])
+    """k = 1..9 on the clustering features (rows-only; ``elbow_checks`` holds what must be true of them)."""
+    return cl.elbow(clustered(spark, sf_dir), _SCALED).drop("drift")
+
+
+@register("elbow_checks", cl_sql("SELECT CAST(unnest(range(1, 10)) AS INTEGER) AS k, CAST(0 AS DOUBLE) AS drift, true AS falls, CAST(3 * n AS DOUBLE) AS sse_of_one FROM (SELECT count(*) AS n FROM rfm)"))
+def q_elbow_checks(spark, sf_dir):
+    """Each k: centres are the means of their rows; SSE does not rise with k; k = 1 gives rows x features, as features are z-scores."""
+    e = cl.elbow(clustered(spark, sf_dir), _SCALED)
+    before = F.lag("sse").over(Window.orderBy("k"))  # nine rows
+    return e.select("k", F.round("drift", R6).alias("drift"), (F.coalesce(before, F.col("sse")) >= F.col("sse")).alias("falls"),
+                    F.round(F.first("sse").over(Window.orderBy("k")), R6).alias("sse_of_one"))
 
 
 @register("cluster_customers")
 def q_cluster_customers(spark, sf_dir):
     """k-means (k = 4, seed 42) on the mixed-normalised RFM features."""
-    c = cl.cluster_customers(rfm_frames(spark, sf_dir)[1])
-    return c.select("customer_unique_id", "Recency", "Frequency", "MonetaryValue", "Segment", "Score", "Cluster")
+    return clustered(spark, sf_dir).select("customer_unique_id", "Recency", "Frequency", "MonetaryValue", "Segment", "Score", "Cluster")
+
+
+@register("cluster_customers_checks", cl_sql("SELECT customer_unique_id, true AS own_is_nearest, CAST(0 AS DOUBLE) AS rank_gap FROM rfm"))
+def q_cluster_customers_checks(spark, sf_dir):
+    """Each customer: the mean of their own cluster is the nearest of the four, and cluster ids fall with mean monetary value."""
+    c = clustered(spark, sf_dir)
+    means = c.groupBy("Cluster").agg(*[F.avg(x).alias(x) for x in _SCALED], F.avg("MonetaryValue").alias("money")).orderBy("Cluster").collect()
+    at, d = cl.nearest(_SCALED, [[r[x] for x in _SCALED] for r in means])
+    own = F.element_at(F.array(*[F.lit(i) for i in range(len(means))]), F.col("Cluster") + 1)
+    gap = max([0.0] + [b["money"] - a["money"] for a, b in zip(means, means[1:])])
+    return c.select("customer_unique_id", (at == own).alias("own_is_nearest"), F.lit(float(gap)).alias("rank_gap"))
 
 
 @register("cluster_profile_kmeans")
 def q_cluster_profile_kmeans(spark, sf_dir):
-    return cl.cluster_profile(cl.cluster_customers(rfm_frames(spark, sf_dir)[1]))
+    return cl.cluster_profile(clustered(spark, sf_dir))

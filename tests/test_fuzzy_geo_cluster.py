@@ -78,3 +78,30 @@ def test_assign_centers_and_elbow(spark):
     assert a.groupBy("Cluster").count().count() == 3
     e = {r.k: r.sse for r in cl.elbow(df, ["a", "b"], ks=[1, 2, 3]).collect()}
     assert e[1] > e[2] > e[3]
+
+
+def test_lloyd_matches_numpy_for_all_k_at_once(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.5, (80, 2)) for c in ((0, 0), (4, 1), (1, 5))] + [np.tile([2.0, 2.0], (90, 1))])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double").repartition(5)
+    starts = {k: cl.first_centers(np.unique(x, axis=0), k, 7) for k in (1, 2, 4, 6)}
+    got = cl.lloyd(df, ["a", "b"], starts)
+    for k, c in starts.items():
+        c = np.array(c)
+        for _ in range(200):
+            at = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+            c = np.array([x[at == j].mean(axis=0) if (at == j).any() else c[j] for j in range(k)])
+        assert np.allclose(got[k], c, atol=1e-8)
+    assert cl.lloyd(df.repartition(3), ["a", "b"], starts) == got  # bit for bit
+
+
+def test_kmeans_on_few_points_and_none(spark):
+    df = spark.createDataFrame([(1.0, 2.0)] * 5 + [(3.0, 4.0)], "x double, MonetaryValue double")
+    lab, centers = cl.kmeans_labels(df, ["x"], k=4)
+    assert centers == [[3.0], [1.0]] and sorted((r["x"], r["Cluster"]) for r in lab.collect()) == [(1.0, 1)] * 5 + [(3.0, 0)]
+    empty, none = cl.kmeans_labels(df.limit(0), ["x"], k=4)
+    assert none == [] and empty.count() == 0
+    assert cl.elbow(df.limit(0), ["x"]).count() == 0
+    e = {r["k"]: r for r in cl.elbow(df, ["x"], ks=range(1, 4)).collect()}
+    assert round(e[1]["sse"], 9) == round(sum((v - 4 / 3) ** 2 for v in [1.0] * 5 + [3.0]), 9) and e[2]["sse"] == e[3]["sse"] == 0.0
