@@ -134,9 +134,10 @@ def compare_models(df: DataFrame, kinds=("logistic", "tree", "forest", "boosted"
 
 
 def score_customers(model: Model, df: DataFrame, customer: str = "customer_unique_id",
-                    order_by: list[str] | None = None) -> DataFrame:
+                    order_by: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
     """Churn probability and risk label for every customer's first row
-    under an explicit order (J30, batch form of the one-customer view).
+    under an explicit order (J30, batch form of the one-customer view), with
+    the record's columns ``keep``.
 
     The first row is a ``min`` over a struct led by the ordering columns:
     a partial aggregate, so a customer with many rows is reduced on the map
@@ -146,5 +147,5 @@ def score_customers(model: Model, df: DataFrame, customer: str = "customer_uniqu
     first = (df.groupBy(customer).agg(F.min(F.struct(*order_by, *rest)).alias("_r"))
              .select(customer, *[F.col(f"_r.{c}").alias(c) for c in order_by + rest]))
     s = score(model, first)
-    return s.select(customer, "score", "prediction",
+    return s.select(customer, *(keep or []), "score", "prediction",
                     F.when(F.col("prediction") == 1, "high").otherwise("low").alias("risk"))

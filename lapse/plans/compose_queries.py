@@ -172,3 +172,31 @@ for _kind, _features in (("forest", ml.NUMERIC_FEATURES), ("boosted", ml.NUMERIC
     @register(f"feature_importance_{_kind}")
     def q_importance(spark, sf_dir, kind=_kind, features=_features):
         return ml.feature_importance(fitted(spark, sf_dir, kind, features), 15)
+
+# --- the dashboard page of a filtered population ------------------------------------------
+
+_BINS = 12
+_PAGE = [_POP,
+         ("ext", "SELECT min(payment_value) AS lo, max(payment_value) AS hi FROM pop"),
+         ("seg", "SELECT DISTINCT pop.customer_unique_id AS c, Segment, Score FROM pop JOIN rfm ON pop.customer_unique_id = rfm.customer_unique_id")]
+
+
+@register("dashboard_page", mi_sql(
+    f"SELECT 'histogram' AS figure, concat(is_churned, ' ', b) AS item, CAST(count(*) AS DOUBLE) AS value FROM (SELECT is_churned, CAST(least(floor((payment_value - lo) / ((hi - lo) / {_BINS})), {_BINS - 1}) AS INTEGER) AS b "
+    "FROM pop, ext) GROUP BY is_churned, b "
+    "UNION ALL SELECT 'churn_rate_by_category', product_category_name, round(avg(is_churned), 6) FROM pop GROUP BY product_category_name "
+    "UNION ALL SELECT 'rows_by_state', customer_state, count(*) FROM pop GROUP BY customer_state "
+    "UNION ALL SELECT 'segment_percent', Segment, round(count(*) * 100.0 / (SELECT count(*) FROM seg), 6) FROM seg GROUP BY Segment "
+    "UNION ALL SELECT 'tier_percent', Score, round(count(*) * 100.0 / (SELECT count(*) FROM seg), 6) FROM seg GROUP BY Score", _PAGE))
+def q_dashboard_page(spark, sf_dir):
+    """Histogram by label, rates by category, rows by state, and the segment and tier shares of the customers that pass the filter."""
+    pop = rp.filter_population(app_model_input(spark, sf_dir), POP_STATES, POP_RANGE)
+    rfm = rfm_frames(spark, sf_dir, "app")[1].select("customer_unique_id", "Segment", "Score")
+    people = pop.select("customer_unique_id").distinct().join(rfm, "customer_unique_id")
+    line = lambda df, figure, item, value: df.select(F.lit(figure).alias("figure"), item.alias("item"), F.round(F.col(value).cast("double"), R6).alias("value"))
+    out = line(rp.histogram(pop, "payment_value", _BINS, by="is_churned"), "histogram", F.concat_ws(" ", "is_churned", "bin"), "count")
+    out = out.unionByName(line(rp.churn_by(pop, ["product_category_name"]), "churn_rate_by_category", F.col("product_category_name"), "churn_rate"))
+    out = out.unionByName(line(rp.count_by(pop, "customer_state"), "rows_by_state", F.col("customer_state"), "count"))
+    for figure, c in (("segment_percent", "Segment"), ("tier_percent", "Score")):
+        out = out.unionByName(line(rp.value_share(people, c), figure, F.col(c), "percent"))
+    return out

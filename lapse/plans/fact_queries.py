@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from lapse.functions.text import correct_labels, normalize_label
 from lapse.functions.time import ts_text
 from lapse.operators import clean, profile
+from lapse.operators import report as rp
 from lapse.plans import fact as fx
 from lapse.plans.lifecycle_queries import _label_ctes
 from lapse.plans.memo import fingerprint, memo
-from lapse.plans.registry import register, with_ctes
+from lapse.plans.registry import ORACLE, register, with_ctes
 from lapse.sources.roles import Roles
 from lapse.sources.tables import ORDER_TS_COLUMNS, parse_ts
 
@@ -128,6 +129,20 @@ def q_parse_timestamps(spark, sf_dir):
     return parsed.select("order_id", *[F.unix_seconds(c).alias(c) for c in ORDER_TS_COLUMNS])
 
 
+@register("parse_timestamps_strict", ORACLE["parse_timestamps"])
+def q_parse_timestamps_strict(spark, sf_dir):
+    """The same in strict mode, where a bad text raises (``csv_reviews`` has the lenient mode on bad dates)."""
+    o = Roles(spark, sf_dir).orders()
+    parsed = parse_ts(o.select("order_id", *[ts_text(c).alias(c) for c in ORDER_TS_COLUMNS]), ORDER_TS_COLUMNS, "strict")
+    return parsed.select("order_id", *[F.unix_seconds(c).alias(c) for c in ORDER_TS_COLUMNS])
+
+
+@register("first_orders", with_ctes([], "SELECT order_id, customer_id FROM r_orders ORDER BY order_id LIMIT 20", roles=["r_orders"]))
+def q_first_orders(spark, sf_dir):
+    """The first 20 orders by id (F5: the limit is the feature)."""
+    return rp.top_n(Roles(spark, sf_dir).orders(), "order_id", 20, ascending=True).select("order_id", "customer_id")
+
+
 @register("valid_event_order", with_ctes([], (
     "SELECT order_id FROM r_orders WHERE order_approved_at < order_delivered_customer_date AND "
     "order_approved_at < order_delivered_carrier_date AND order_delivered_carrier_date < order_delivered_customer_date"),
@@ -183,6 +198,19 @@ def q_clean_categories(spark, sf_dir):
     return t.select(correct_labels(normalize_label("product_category_name_english")).alias("category")).distinct()
 
 
+_RENAMED = {"blue_anvil": "anvils", "cold_bolt": "bolts", "never_seen": "x"}
+
+
+@register("corrected_categories", with_ctes([], (
+    "SELECT product_id, " + "CASE lower(trim(product_category_name_english)) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _RENAMED.items())
+    + " ELSE lower(trim(product_category_name_english)) END AS category FROM r_products p LEFT JOIN r_translation t ON p.product_category_name = t.product_category_name"),
+    roles=["r_products", "r_translation"]))
+def q_corrected_categories(spark, sf_dir):
+    """All products with corrections that change some of the categories here."""
+    r = Roles(spark, sf_dir)
+    return fx.translate_categories(r.products(), r.translation(), _RENAMED).select("product_id", F.col("product_category_name").alias("category"))
+
+
 @register("product_items", fact_sql("SELECT product_id, order_id, seller_id, price, seller_city, seller_state, product_category_name FROM m3"))
 def q_product_items(spark, sf_dir):
     r = Roles(spark, sf_dir)

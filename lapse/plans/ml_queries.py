@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lapse.operators import linear
 from lapse.operators import metrics as mt
 from lapse.operators import ml
 from lapse.plans.memo import fingerprint, memo
-from lapse.plans.registry import register
-from lapse.session import materialize
+from lapse.plans.registry import ORACLE, register
+from lapse.session import checkpoint_dir, materialize
 from lapse.operators.split import split_key
 from lapse.plans.report_queries import MI_COLS, app_model_input, mi_sql
 
@@ -249,3 +251,30 @@ def q_compare_models(spark, sf_dir):
 @register("score_customers")
 def q_score_customers(spark, sf_dir):
     return ml.score_customers(fitted(spark, sf_dir, "logistic", _NUM), app_model_input(spark, sf_dir))
+
+
+_FIRST = ("fr", f"SELECT rw.*, row_number() OVER (PARTITION BY customer_unique_id ORDER BY {', '.join(c for c in MI_COLS if c != 'customer_unique_id')}) AS nth FROM rw")
+_REACHED = ("reached", "SELECT rid, max(node) AS node FROM (" + " UNION ALL ".join(f"SELECT rid, node FROM a{k}" for k in range(_P.depth + 1)) + ") GROUP BY rid")
+
+
+@register("customer_outlook", mi_sql(
+    "SELECT customer_unique_id, customer_state, RFM_Score, round(payment_value, 6) AS payment_value, review_score, is_churned, round(value, 6) AS score, "
+    "CAST(value > 0.5 AS INTEGER) AS prediction, CASE WHEN value > 0.5 THEN 'high' ELSE 'low' END AS risk "
+    "FROM fr JOIN reached ON fr.rid = reached.rid JOIN nv ON reached.node = nv.node WHERE nth = 1", TREE_CTES + [_FIRST, _REACHED]))
+def q_customer_outlook(spark, sf_dir):
+    """Each customer's record with the tree's churn probability and risk, as the one-customer view shows them."""
+    mi = app_model_input(spark, sf_dir)
+    rest = [c for c in MI_COLS if c != "customer_unique_id"]
+    s = ml.score_customers(fitted(spark, sf_dir, "tree", _NUM), mi, order_by=rest, keep=["customer_state", "RFM_Score", "payment_value", "review_score", "is_churned"])
+    return s.select("customer_unique_id", "customer_state", "RFM_Score", F.round("payment_value", R6).alias("payment_value"), "review_score", "is_churned",
+                    F.round("score", R6).alias("score"), "prediction", "risk")
+
+
+@register("model_saved", ORACLE["tree_nodes"])
+def q_model_saved(spark, sf_dir):
+    """The tree saved to the shared folder and loaded again: the same table."""
+    path = f"{checkpoint_dir(spark)}/model-{uuid.uuid4().hex[:12]}"
+    ml.save(fitted(spark, sf_dir, "tree", _NUM), path)
+    t = ml.load(spark, path).table
+    return t.select("node", "depth", F.col("column").alias("column_name"), F.round("threshold", R6).alias("threshold"), "feature_value", "n",
+                    F.round("gain", R6).alias("gain"), F.round("value", R6).alias("value"))
