@@ -29,30 +29,33 @@ from pyspark.sql import functions as F
 from lapse.llm.common import stored
 from lapse.session import ship_by_value
 
-_ROW = "id long, v binary, norm2 double, dims int, top double"
+_ROW = "id long, v binary, norm double, dims int"
 _RESULT = "query_id long, vec_id long, score long"
 
 
 def _encode(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
     """Rows that take part, components floor(scale x) as float64 bytes (whole numbers, hence exact)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", pa.int64()), ("v", pa.binary()), ("norm2", pa.float64()), ("dims", pa.int32()), ("top", pa.float64())])
+        schema = pa.schema([("id", pa.int64()), ("v", pa.binary()), ("norm", pa.float64()), ("dims", pa.int32())])
         for b in batches:
-            ids, vs, norm, dims, top = [], [], [], [], []
+            ids, vs, norm, dims = [], [], [], []
             for i, x in zip(b.column(0), b.column(1)):
                 if not i.is_valid or not x.is_valid or x.values.null_count:
                     continue
-                v = np.asarray(x.values.to_numpy(zero_copy_only=False), np.float64)
+                v = scale * np.asarray(x.values.to_numpy(zero_copy_only=False), np.float64)
                 if not np.isfinite(v).all():
                     continue
-                v = np.floor(scale * v)
+                v = np.floor(v)
+                top = float(np.abs(v).max(initial=0))
+                length = top * float(np.linalg.norm(v / top)) if top else 0.0  # finite where the squares are not
+                if not np.isfinite(length):
+                    continue
                 ids.append(i.as_py())
                 vs.append(v.astype("<f8").tobytes())
-                norm.append(float(v @ v))
+                norm.append(length)
                 dims.append(len(v))
-                top.append(float(np.abs(v).max()) if len(v) else 0.0)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vs, pa.binary()), pa.array(norm, pa.float64()),
-                                              pa.array(dims, pa.int32()), pa.array(top, pa.float64())], schema=schema)
+                                              pa.array(dims, pa.int32())], schema=schema)
 
     return df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x")).mapInArrow(run, _ROW)
 
@@ -74,14 +77,12 @@ def _to_pivots(m: np.ndarray, extra: np.ndarray, pivots: np.ndarray, pivot_extra
 
 
 def _scores(q: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; a product beyond 64 bits raises."""
+    """Exact integer inner products: int64, or Python integers where 64 bits may not hold them."""
     if not q.size or not d.size or float(np.abs(q).max()) * float(np.abs(d).max()) * q.shape[1] < 2 ** 53:
         return (q @ d.T).astype(np.int64)
     whole = lambda m: np.array([[int(x) for x in r] for r in m], dtype=object).reshape(m.shape)
     s = whole(q) @ whole(d).T
-    if max(abs(x) for x in s.flat) >= 2 ** 63:
-        raise OverflowError("an inner product does not fit in a long")
-    return s.astype(np.int64)
+    return s.astype(np.int64) if all(-2 ** 63 <= x < 2 ** 63 for x in s.flat) else s
 
 
 def _solve(q_ids: np.ndarray, q: np.ndarray, d_ids: np.ndarray, d: np.ndarray, k: int) -> tuple[list, list, list]:
@@ -97,11 +98,13 @@ def _solve(q_ids: np.ndarray, q: np.ndarray, d_ids: np.ndarray, d: np.ndarray, k
         names = d_ids[first]
         for qi, row in zip(q_ids[at: at + 256].tolist(), s):
             want = min(k + 1, len(row))  # one more, in place of the query's own
-            least = np.partition(row, len(row) - want)[len(row) - want]
+            least = np.partition(row, len(row) - want)[len(row) - want] if row.dtype != object else sorted(row)[len(row) - want]
             above = np.flatnonzero(row > least)
             best = np.concatenate([above, np.flatnonzero(row == least)[: want - len(above)]])
-            best = best[np.lexsort((names[best], -row[best]))]
+            best = np.array(sorted(best.tolist(), key=lambda i: (-int(row[i]), int(names[i]))), np.int64)
             best = best[names[best] != qi][:k]
+            if row.dtype == object and any(not -2 ** 63 <= x < 2 ** 63 for x in row[best]):
+                raise OverflowError(f"a score of row {qi} does not fit in a long")
             out_q += [qi] * len(best)
             out_d += names[best].tolist()
             out_s += row[best].tolist()
@@ -119,15 +122,20 @@ def knn_join(queries: DataFrame, data: DataFrame, key: str, vector: str, k: int
     shorter lacks components, which count as zero. Several data rows of one id
     count once with the best score, several queries of one id as the first by
     value. Empty tables give an empty result. Other columns are not read.
+    Numbers of any size may occur: scores are exact, bounds are taken in units
+    of the largest norm, and only a score beyond 64 bits among the ``k`` best of
+    a block raises an OverflowError (a query's own product does not). Vectors
+    whose scaled components or norm leave the doubles count as non-finite.
     """
     spark = data.sparkSession
     ship_by_value(__name__)
     rows = stored(_encode(data, key, vector, scale), "knn-data")
-    asked = stored(_encode(queries, key, vector, scale).groupBy("id").agg(F.min("v").alias("v")), "knn-queries")
-    norm2, dims, n_rows = rows.agg(F.max("norm2"), F.max("dims"), F.count(F.lit(1))).first()
+    asked = stored(_encode(queries, key, vector, scale).groupBy("id").agg(F.min(F.struct("v", "norm")).alias("r")).select("id", "r.*"), "knn-queries")
+    most, dims, n_rows = rows.agg(F.max("norm"), F.max("dims"), F.count(F.lit(1))).first()
     if not n_rows:
         return spark.createDataFrame([], _RESULT).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
-    q_dims = asked.agg(F.max(F.octet_length("v") / 8)).first()[0] or 0
+    q_dims, q_most = asked.agg(F.max(F.octet_length("v") / 8), F.max("norm")).first()
+    q_dims = q_dims or 0
     dims = max(int(dims), int(q_dims), 1)
 
     # pivots: rows of the data, distinct in id and vector; bounded by the parameter
@@ -135,18 +143,21 @@ def knn_join(queries: DataFrame, data: DataFrame, key: str, vector: str, k: int
     for r in rows.select("id", "v").orderBy(F.xxhash64(F.lit(seed), "id"), "id", "v").limit(pivots).collect():
         if bytes(r["v"]) not in chosen.values():
             chosen.setdefault(r["id"], bytes(r["v"]))
-    p = _matrix(list(chosen.values()), dims)
+    # distances in units of the largest norm: squares stay finite, and rounding is bounded by the slack
+    unit = 2.0 ** int(np.ceil(np.log2(max(most, q_most or 0.0, 1.0))))
+    norm2 = (most / unit) ** 2
+    p = _matrix(list(chosen.values()), dims) / unit
     extra = lambda m: np.sqrt(np.maximum(norm2 - (m * m).sum(axis=1), 0))
     p_extra = extra(p)
     between = _to_pivots(p, p_extra, p, p_extra)
-    slack = 1e-6 * (1 + float(np.sqrt(norm2)))
+    slack = 2e-6
     sent = spark.sparkContext.broadcast((p, p_extra))
 
     # summaries of the query cells (at most one row a pivot)
     def query_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piv, piv_extra = sent.value
         for b in batches:
-            m = _matrix(b.column(1).to_pylist(), dims)
+            m = _matrix(b.column(1).to_pylist(), dims) / unit
             if not len(m):
                 continue
             x = _to_pivots(m, np.zeros(len(m)), piv, piv_extra)
@@ -189,7 +200,7 @@ def knn_join(queries: DataFrame, data: DataFrame, key: str, vector: str, k: int
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 b = batch.slice(at, 2048)
-                m = _matrix(b.column(1).to_pylist(), dims)
+                m = _matrix(b.column(1).to_pylist(), dims) / unit
                 x = _to_pivots(m, extra(m), piv, piv_extra)
                 cell = x.argmin(axis=1)
                 dist = x[np.arange(len(m)), cell]

@@ -68,6 +68,30 @@ def test_knn_large_numbers_few_rows_and_none(spark):
     assert knn_join(df.where("false"), df, "vec_id", "embedding").count() == 0
 
 
+def test_knn_any_size_of_number(spark):
+    """One huge vector among ordinary ones neither empties the answers nor stops them; what cannot be returned raises."""
+    from lapse.llm.knn import knn_join
+    rng = np.random.default_rng(8)
+    schema = "vec_id long, embedding array<double>"
+    rows = [(i, [abs(x) for x in rng.normal(size=4).tolist()]) for i in range(60)]
+    low = spark.createDataFrame(rows + [(61, [-1e160, -1e150, 0.0, 0.0]), (62, [-1.7e308] * 4)], schema)
+    want = Counter((q, r, v, s) for q, r, v, s in knn_brute_double(rows, 10, 5))
+    got_rows = got(knn_join(low.where("vec_id % 10 = 0"), low, "vec_id", "embedding", k=5, pivots=8, block_rows=16), "query_id", "rank", "vec_id", "score")
+    assert got_rows == want and len(want) == 30
+    high = spark.createDataFrame(rows + [(61, [1e160, 0.0, 0.0, 0.0])], schema)
+    with pytest.raises(Exception, match="does not fit in a long"):
+        knn_join(high.where("vec_id % 10 = 0"), high, "vec_id", "embedding").collect()
+    own = spark.createDataFrame([(10, [2e9, 1.0]), (11, [1.0, 0.0])], schema)  # 10's product with itself is 2.6e23
+    assert got(knn_join(own.where("vec_id = 10"), own, "vec_id", "embedding"), "query_id", "rank", "vec_id", "score") == Counter([(10, 1, 11, int(2e9) * 65536)])
+
+
+def knn_brute_double(rows, step, k):
+    ints = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    for q in [i for i in ints if i % step == 0]:
+        best = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q)[:k]
+        yield from ((q, r, i, -s) for r, (s, i) in enumerate(best, 1))
+
+
 # 2 SimHash
 
 def fingerprint_brute(t, n=3):
