@@ -60,34 +60,76 @@ def _spans(text: Column, pattern: str, kind: str) -> Column:
     return F.when(text.rlike(pattern), walk).otherwise(none)
 
 
-def _nlog(n: Column) -> Column:
-    return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
+#: All characters that any class holds; a count takes five bits, twelve counts a long.
+LETTERS = "".join(dict.fromkeys("".join(chars for _, chars, _ in CLASSES)))
+_BITS, _EACH, _ONE = 5, 12, 1 << 40
+_RANGES = "array<struct<s:int,e:int>>"
+
+
+def _lookup(values: list[int], kind: str, at: Column) -> Column:
+    return F.get(F.array(*[F.lit(v).cast(kind) for v in values]), at)
+
+
+def window_ranges(word: Column, width: int) -> Column:
+    """Ranges (0-based start, end exclusive) of ``word`` covered by windows that lie within a class and reach its bits.
+
+    One walk for all classes, since a window's entropy depends on its counts
+    alone. A step touches two counts, packed to a few longs: that of the
+    entering character goes up, that of the leaving one down, and h, the sum of
+    n log2 n (as whole multiples of 2^-40, so that nothing drifts), changes by
+    those two. The window's entropy is log2 width - h / width; a class covers it
+    if the last ``width`` characters are all in the class, which a running
+    length per class tells. Ranges grow in place; only a new one is appended."""
+    if width >= 1 << _BITS:
+        raise ValueError(f"windows of at most {(1 << _BITS) - 1} characters")
+    codes = F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.instr(F.lit(LETTERS), c))  # 0: in no class
+    steps = F.zip_with(codes, F.concat(F.array_repeat(F.lit(0), width), codes), lambda a, b: F.struct(a.alias("new"), b.alias("old")))
+    longs = -(-len(LETTERS) // _EACH)
+    places = [-1] + [i // _EACH for i in range(len(LETTERS))]
+    shifts = [0] + [_BITS * (i % _EACH) for i in range(len(LETTERS))]
+    members = [0] + [sum(1 << j for j, (_, chars, _) in enumerate(CLASSES) if c in chars) for c in LETTERS]
+    nlog = [round(n * math.log2(n) * _ONE) if n > 1 else 0 for n in range(width + 2)]
+    most = [math.floor((math.log2(width) - least + 1e-9) * width * _ONE) for _, _, least in CLASSES]
+    start = F.struct(F.lit(0).alias("i"), F.array_repeat(F.lit(0).cast("long"), longs).alias("n"), F.lit(0).cast("long").alias("h"),
+                     F.array_repeat(F.lit(0), len(CLASSES)).alias("run"), F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.array().cast(_RANGES).alias("out"))
+
+    def count(n, code):
+        held = F.call_function("shiftright", F.get(n, _lookup(places, "int", code)), _lookup(shifts, "int", code))
+        return held.bitwiseAND(F.lit((1 << _BITS) - 1)).cast("int")
+
+    def moved(n, code, by):
+        """The counts and what the sum of n log2 n gains when a character comes (by = 1) or goes (by = -1)."""
+        had = count(n, code)
+        place, one = _lookup(places, "int", code), _lookup([0] + [1 << x for x in shifts[1:]], "long", code)
+        return F.when(code > 0, F.transform(n, lambda c, k: F.when(k == place, c + by * one).otherwise(c))).otherwise(n), \
+            F.when(code > 0, _lookup(nlog, "long", had + by) - _lookup(nlog, "long", had)).otherwise(F.lit(0).cast("long"))
 
+    def enter(acc, x):
+        less, fall = moved(acc["n"], x["old"], -1)
+        # the second change reads the counts after the first: bound once, not written out twice
+        both = F.transform(F.array(less), lambda n: F.struct(moved(n, x["new"], 1)[0].alias("n"), moved(n, x["new"], 1)[1].alias("rise")))[0]
+        return F.transform(F.array(F.struct(both.alias("b"), (acc["h"] + fall).alias("h"))), lambda y: after(acc, x, y["b"]["n"], y["h"] + y["b"]["rise"]))[0]
 
-def window_hits(word: Column, chars: str, least: float, width: int) -> Column:
-    """Ends (1-based) of the windows of ``word`` that lie within ``chars`` and reach ``least`` bits.
+    def after(acc, x, n, h):
+        i = acc["i"] + 1
+        mask = _lookup(members, "int", x["new"])
+        run = F.transform(acc["run"], lambda r, j: F.when(F.call_function("shiftright", mask, j).bitwiseAND(F.lit(1)) == 1, r + 1).otherwise(0))
+        bare = F.struct(i.alias("i"), n.alias("n"), h.alias("h"), run.alias("run"))
+        return F.transform(F.array(bare), lambda y: closed(acc, y))[0]
 
-    One step a character: the count of the entering character goes up, that
-    of the leaving one down, and ``h`` = sum of n log2 n changes by those two
-    alone; the entropy of the window is log2 width - h / width."""
-    codes = F.transform(F.split(word, ""), lambda c: F.instr(F.lit(chars), c))  # 0: outside the class
-    steps = F.zip_with(codes, F.concat(F.array_repeat(F.lit(-1), width), codes), lambda a, b: F.struct(a.alias("new"), b.alias("old")))
-    start = F.struct(F.lit(0).alias("i"), F.array_repeat(F.lit(0), len(chars)).alias("n"), F.lit(0).alias("out"),
-                     F.lit(0.0).alias("h"), F.array().cast("array<int>").alias("hits"))
+    def closed(acc, y):
+        hit = F.lit(False)
+        for j, limit in enumerate(most):
+            hit = hit | ((y["run"][j] >= width) & (y["h"] <= F.lit(limit)))
+        fresh = hit & (y["i"] - width > acc["e"])
+        full = F.when(fresh & (acc["e"] >= 0), F.concat(acc["out"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e"))))).otherwise(acc["out"])
+        return F.struct(y["i"].alias("i"), y["n"].alias("n"), y["h"].alias("h"), y["run"].alias("run"), F.when(fresh, y["i"] - width).otherwise(acc["s"]).alias("s"),
+                        F.when(hit, y["i"]).otherwise(acc["e"]).alias("e"), full.alias("out"))
 
-    def enter(acc, x):
-        old, new = x["old"], x["new"]
-        was_old = F.when(old > 0, F.get(acc["n"], old - 1)).otherwise(F.lit(0))
-        was_new = F.when(new > 0, F.get(acc["n"], new - 1) - (new == old).cast("int")).otherwise(F.lit(0))
-        h = acc["h"] + F.when(old > 0, _nlog(was_old - 1) - _nlog(was_old)).otherwise(0.0) + F.when(new > 0, _nlog(was_new + 1) - _nlog(was_new)).otherwise(0.0)
-        n = F.transform(acc["n"], lambda c, k: c - (k == old - 1).cast("int") + (k == new - 1).cast("int"))
-        out = acc["out"] + (new == 0).cast("int") - (old == 0).cast("int")
-        i = acc["i"] + 1
-        hit = (i >= width) & (out == 0) & (math.log2(width) - h / width >= least - 1e-9)
-        return F.struct(i.alias("i"), n.alias("n"), out.alias("out"), h.alias("h"),
-                        F.when(hit, F.concat(acc["hits"], F.array(i))).otherwise(acc["hits"]).alias("hits"))
+    def done(acc):
+        return F.when(acc["e"] >= 0, F.concat(acc["out"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e"))))).otherwise(acc["out"])
 
-    return F.aggregate(F.filter(steps, lambda x: x["new"].isNotNull()), start, enter, lambda acc: acc["hits"])
+    return F.aggregate(F.filter(steps, lambda x: x["new"].isNotNull()), start, enter, done)
 
 
 def _entropy(candidates: Column, width: int) -> Column:
@@ -100,17 +142,8 @@ def _entropy(candidates: Column, width: int) -> Column:
         return listed
 
     def spans(x):
-        hits = F.array_sort(F.array_distinct(F.concat(*[window_hits(x["body"], chars, least, width) for _, chars, least in CLASSES])))
-
-        def merge(acc, i):
-            s, e = x["s"] + i - width, x["s"] + i
-            last = F.try_element_at(acc, F.lit(-1))
-            grown = F.struct(last["s"].alias("s"), e.alias("e"), F.lit(3).alias("k"), F.lit("").alias("body"))
-            fresh = F.struct(s.alias("s"), e.alias("e"), F.lit(3).alias("k"), F.lit("").alias("body"))
-            return F.when(F.coalesce(last["e"] >= s, F.lit(False)),
-                          F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown)).cast(_SPAN)).otherwise(F.concat(acc, F.array(fresh)).cast(_SPAN))
-
-        return F.aggregate(hits, F.array().cast(_SPAN), merge)
+        span = lambda r: F.struct((x["s"] + r["s"]).alias("s"), (x["s"] + r["e"]).alias("e"), F.lit(3).alias("k"), F.lit("").alias("body"))
+        return F.transform(window_ranges(x["body"], width), span).cast(_SPAN)
 
     return F.flatten(F.transform(F.filter(candidates, lambda x: ~allowed(x["body"])), spans))
 

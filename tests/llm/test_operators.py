@@ -285,6 +285,31 @@ def test_entropy_kind_tests_letter_runs_groups_and_upper_hex(spark, text, found)
     assert out["spans"] == (f"entropy:2:{2 + len(text)}" if found else "")
 
 
+def test_secrets_in_a_very_long_candidate(spark):
+    """200,000 characters without a break: seconds, and the same spans as counting every window anew."""
+    import time
+    from lapse.llm.secrets import CLASSES, scan_secrets
+    rng = random.Random(12)
+    mixed = "".join(rng.choice("0123456789abcdef" if i // 700 % 3 else "ab" if i // 350 % 2 else "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+                    for i in range(200_000))
+    df = spark.createDataFrame([(1, f"x {mixed} y")], "doc_id long, text string")
+    scan_secrets(df.limit(0), "doc_id").collect()
+    at = time.time()
+    found = [(f["start"], f["end"]) for f in scan_secrets(df, "doc_id").first()["findings"] if f["kind"] == "entropy"]
+    assert time.time() - at < 45
+    want, base = [], [(m.start() + 2, m.end() + 2) for m in re.finditer("[0-9a-f]{24,}", mixed)]
+    for i in range(len(mixed) - 19):
+        w = mixed[i:i + 20]
+        bits = sum(-n / 20 * np.log2(n / 20) for n in Counter(w).values())
+        if any(bits >= least - 1e-9 and set(w) <= set(chars) for _, chars, least in CLASSES):
+            if want and i + 2 <= want[-1][1]:
+                want[-1][1] = i + 22
+            else:
+                want.append([i + 2, i + 22])
+    want = [tuple(x) for x in want if not any(s <= x[0] and e >= x[1] for s, e in base)]
+    assert found == want and len(want) > 20
+
+
 # 5 decontamination
 
 def items_words(t):
