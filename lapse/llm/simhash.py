@@ -93,10 +93,13 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(most_rounds):
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # stored, so that the join below brings its own exchange: the smallest node of a large component holds most links,
+        # and only then can its partition be split
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "links-least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large, "links-large")
+        small = stored(large.groupBy("u").agg(F.min("v").alias("m")), "links-small")
         hung = large.join(small, "u")
         now = stored(hung.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
                      .union(small.select("u", F.col("m").alias("v"))).distinct(), "links")
@@ -123,7 +126,7 @@ def simhash_groups(df: DataFrame, key: str, text: str = "text", shingle: int = 3
     roots = components(ball_links(nodes.select("fp"), distance))
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = stored(named, "roots")
-    ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    ids = stored(named.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")
     classes = stored(named.join(ids, "root").select("fp", "root", "component_id"), "classes")
     # one hot fingerprint may hold a third of the rows: the stored class table leaves this join to be split
     return fps.join(classes, "fp").select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),

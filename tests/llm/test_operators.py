@@ -165,6 +165,31 @@ def test_keep_one_of_each_component(docs, rows):
     assert Counter(r["doc_id"] for r in kept.collect()) == want
 
 
+def test_simhash_hot_nodes_are_split(spark, monkeypatch):
+    """Half of all links hang on one node: the joins of a round and of the component ids are planned so that it can be split."""
+    from lapse.llm import simhash
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    old, plans, keep = {k: spark.conf.get(k, None) for k in conf}, [], simhash.stored
+
+    def watched(df, name):
+        if name == "links-large":
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+    monkeypatch.setattr(simhash, "stored", watched)
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        links = spark.range(150_000).select((F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id") * 7)).alias("b"), (F.col("id") * 7 + 3).alias("a"))
+        roots = simhash.components(links)
+        assert roots.where("root = 0").count() == 75_001
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "skew=true" in plans[0]
+
+
 # 3 toxicity
 
 def test_toxicity_learns_and_scores_everything(spark, empty):
