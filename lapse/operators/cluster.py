@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lapse.functions.util import fixed_mean
 from lapse.operators.stats import normalize_rfm, zscore
-from lapse.session import materialize, with_scalars
+from lapse.session import materialize, release, with_scalars
 
 CUSTOMER = "customer_unique_id"
 MEASURES = ["Recency", "Frequency", "MonetaryValue"]
@@ -134,6 +134,7 @@ def elbow(df: DataFrame, cols: list[str], ks=range(1, 10), seed: int = 42, sampl
         mine = [r for r in per if r["k"] == k]
         drift = max(math.dist(centers[k][r["j"]], [r[f"mean{i}"] for i in range(len(cols))]) for r in mine)
         rows.append((int(k), math.fsum(r["sse"] for r in mine), math.fsum(r["dist"] for r in mine) / sum(r["n"] for r in mine), drift))
+    release(data)
     return df.sparkSession.createDataFrame(rows, schema)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lapse.operators.ordered import dense_codes
 from lapse.operators.selection import values_at_ranks
-from lapse.session import materialize
+from lapse.session import materialize, release
 
 
 @dataclass
@@ -59,9 +59,12 @@ def value_dictionary(df: DataFrame, categorical: Iterable[str]) -> DataFrame:
     pair = lambda i, c: F.struct(F.lit(i).alias("i"), F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
     long = df.select(F.explode(F.array(*[pair(i, c) for i, c in enumerate(cols)])).alias("p")).where("p.value IS NOT NULL").select("p.*").distinct()
     keyed = long.withColumn("key", F.concat(F.lpad(F.col("i").cast("string"), 4, "0"), F.lit(":"), F.col("value")))
-    coded = dense_codes(materialize(keyed, "values"), "key", "code")
-    return materialize(coded.select(F.element_at(F.array(*[F.lit(c) for c in cols]), F.substring("key", 1, 4).cast("int") + 1).alias("column"),
+    values = materialize(keyed, "values")
+    coded = dense_codes(values, "key", "code")
+    out = materialize(coded.select(F.element_at(F.array(*[F.lit(c) for c in cols]), F.substring("key", 1, 4).cast("int") + 1).alias("column"),
                                     F.expr("substring(key, 6)").alias("value"), F.col("code").cast("long").alias("code")), "dictionary")
+    release(values)
+    return out
 
 
 def learn(df: DataFrame, numeric: Iterable[str], categorical: Iterable[str], intervals: int = 32) -> Features:

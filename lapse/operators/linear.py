@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from lapse.operators.features import Features, with_codes
-from lapse.session import materialize, ship_by_value
+from lapse.session import materialize, release, ship_by_value
 
 _VECTORS = StructType().add("label", DoubleType()).add("weight", DoubleType()).add("features", VectorUDT())
 COEFFICIENTS = "feature string, column string, value string, mean double, scale double, coefficient double"
@@ -70,6 +70,7 @@ def fit_logistic(df: DataFrame, f: Features, label: str, weight: str) -> DataFra
     total = data.agg(F.sum("weight")).first()[0]
     model = LogisticRegression(labelCol="label", weightCol="weight", maxIter=1000, tol=1e-12, elasticNetParam=0.0, standardization=False,
                                regParam=1.0 / total, family="binomial").fit(data)
+    release(data)
     found, n = model.coefficients.toArray(), len(f.numeric)
     rows = [(INTERCEPT, None, None, None, None, float(model.intercept))]
     rows += [(c, c, None, m, s, float(b)) for c, (m, s), b in zip(f.numeric, scales, found)]

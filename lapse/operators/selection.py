@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapse.session import materialize
+from lapse.session import materialize, release
 
 
 @dataclass
@@ -124,6 +124,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy
     narrow = materialize(df.select(*cols), "quantile_input")
     h = lambda n, p: float(p) * (n - 1)
     found = values_at_ranks(narrow, {c: (lambda n: [r for p in probs for r in (floor(h(n, p)), ceil(h(n, p)))]) for c in cols}, accuracy, limit)
+    release(narrow)
     rows = []
     for c in cols:
         n, at = found[c]

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from lapse.session import materialize
+from lapse.session import materialize, release
 
 _STEP = 3  # hex digits a round: 4,096 prefixes for every class
 
@@ -65,4 +65,5 @@ def stratified_split(df: DataFrame, label: str, test_fraction: float, seed: int,
     for y, cut in split_cuts(narrow, label, "_h", test_fraction).items():
         if cut is not None:
             is_test = is_test | ((F.col(label) == F.lit(y)) & (F.col("_h") <= F.lit(cut)))
+    release(narrow)
     return hashed.withColumn("is_test", is_test).drop("_h")

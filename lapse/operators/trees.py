@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapse.operators.features import Features, slots, with_codes
-from lapse.session import materialize, ship_by_value, with_scalars
+from lapse.session import materialize, release, ship_by_value, with_scalars
 
 UNIT = 2 ** 24        # fixed point: rows times weight may reach 5e11
 CHUNK = 1 << 16       # slots that one task judges
@@ -99,8 +99,8 @@ class Tree:
 # --- rows as blocks ------------------------------------------------------------------
 
 
-def blocks(df: DataFrame, f: Features, label: str, weight: str, rows: int = 1 << 16) -> RDD:
-    """Coded rows in blocks: slots, label, weight, and a hash of the row that draws go by. Equal rows are drawn alike."""
+def blocks(df: DataFrame, f: Features, label: str, weight: str, rows: int = 1 << 16) -> tuple[DataFrame, RDD]:
+    """The stored table of coded rows in blocks, and its blocks: slots, label, weight, and a hash of the row that draws go by. Equal rows are drawn alike."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, rows):
@@ -114,7 +114,7 @@ def blocks(df: DataFrame, f: Features, label: str, weight: str, rows: int = 1 <<
     row_hash = F.xxhash64(*[F.col(c) for c in [*f.numeric, *f.categorical, label]])
     coded = with_codes(df.withColumn("_id", row_hash), f).select(slots(f).alias("s"), F.col(label).cast("double").alias("y"), F.col(weight).cast("double").alias("w"), "_id")
     stored = materialize(coded.mapInArrow(pack, "block binary"), "tree_blocks")
-    return stored.rdd.map(lambda r: {k: v for k, v in np.load(io.BytesIO(bytes(r["block"]))).items()})
+    return stored, stored.rdd.map(lambda r: {k: v for k, v in np.load(io.BytesIO(bytes(r["block"]))).items()})
 
 
 def _sums(b: dict, tree: Tree, number: int, margin: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -284,7 +284,8 @@ def grow(df: DataFrame, f: Features, label: str, weight: str, p: Params, togethe
     without a split (too few rows, one class) is one root, or empty for no rows.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = blocks(df, f, label, weight).persist(StorageLevel.MEMORY_AND_DISK)
+    stored, base = blocks(df, f, label, weight)
+    base.persist(StorageLevel.MEMORY_AND_DISK)
     rows: list[tuple] = []
     try:
         if not p.boosting:
@@ -309,6 +310,7 @@ def grow(df: DataFrame, f: Features, label: str, weight: str, p: Params, togethe
                 data.unpersist()
     finally:
         base.unpersist()
+        release(stored)
     if not rows:  # no split anywhere: the share of all rows
         s = df.agg(F.sum(F.col(weight) * F.col(label)), F.sum(weight), F.count("*")).first()
         if s[2]:

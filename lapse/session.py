@@ -95,6 +95,21 @@ def materialize(df: DataFrame, name: str | None = None, mode: str = "table") ->
 _WRITTEN: list[str] = []
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that :func:`materialize` wrote, once nothing reads them any more.
+
+    Only folders that this process wrote are touched; a table without files
+    (no rows) stays until the application ends, as all others do."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+            mine = [p for p in _WRITTEN if os.path.basename(p) == os.path.basename(folder)]
+            if mine:
+                path = jvm.org.apache.hadoop.fs.Path(mine[0])
+                path.getFileSystem(conf).delete(path, True)
+                _WRITTEN.remove(mine[0])
+
+
 @atexit.register
 def _remove_materialized() -> None:
     from pyspark import SparkContext

@@ -55,3 +55,17 @@ def test_only_the_bracket_is_grouped(spark, monkeypatch):
     df = spark.range(200_000).selectExpr("CAST(id AS DOUBLE) AS x")
     assert values_at_ranks(df, {"x": lambda n: [n // 2]}, 1000, 500)["x"][1] == {100_000: 100_000.0}
     assert grouped[-1] <= 2000
+
+
+def test_intermediate_tables_are_released(spark):
+    """What only an eager step reads is deleted after it; inputs are never touched."""
+    import os
+    from lapse import session
+    df = session.materialize(spark.range(1000).selectExpr("CAST(id AS DOUBLE) AS x"), "kept")
+    before = set(session._WRITTEN)
+    exact_quantiles(df, ["x"], [0.5]).collect()
+    assert set(session._WRITTEN) == before and all(os.path.isdir(p.removeprefix("file://")) for p in before if "/kept-" in p)
+    session.release(spark.read.parquet("/root/testdata/sf0.001/orders.parquet"))
+    assert os.path.exists("/root/testdata/sf0.001/orders.parquet")
+    session.release(df)
+    assert not any("/kept-" in p for p in session._WRITTEN)
