@@ -79,6 +79,22 @@ def _narrow(df: DataFrame, brackets: list[_Bracket], accuracy: int) -> list[_Bra
     return out
 
 
+def _chains(brackets: list[_Bracket]) -> list[list[int]]:
+    """Places of brackets of one column that do not overlap: a row lies in at most one of each chain."""
+    out: list[list[int]] = []
+    inf = float("inf")
+    for j in sorted(range(len(brackets)), key=lambda j: (brackets[j].column, -inf if brackets[j].lo is None else brackets[j].lo)):
+        b = brackets[j]
+        for chain in out:
+            last = brackets[chain[-1]]
+            if last.column == b.column and last.hi is not None and b.lo is not None and last.hi < b.lo:
+                chain.append(j)
+                break
+        else:
+            out.append([j])
+    return out
+
+
 def values_at_ranks(df: DataFrame, ranks: dict[str, Callable[[int], Iterable[int]]], accuracy: int = 10_000,
                     limit: int = 50_000, rounds: int = 8) -> dict[str, tuple[int, dict[int, float]]]:
     """Per column the number of its non-null values and the exact value at each 0-based ascending rank asked for.
@@ -106,7 +122,13 @@ def values_at_ranks(df: DataFrame, ranks: dict[str, Callable[[int], Iterable[int
     if not done:
         return out
     # rows inside a bracket, once each per bracket, to distinct values with counts
-    parts = [F.when(b.holds() & F.col(b.column).isNotNull(), F.struct(F.lit(j).alias("j"), F.col(b.column).alias("v"))) for j, b in enumerate(done)]
+    parts = []
+    for chain in _chains(done):
+        at = F.when(F.lit(False), F.lit(-1))
+        for j in chain:
+            at = at.when(done[j].holds(), F.lit(j))
+        x = F.col(done[chain[0]].column)
+        parts.append(F.when(x.isNotNull() & at.isNotNull(), F.struct(at.alias("j"), x.alias("v"))))
     values = df.select(F.explode(F.array_compact(F.array(*parts))).alias("s")).groupBy("s.j", "s.v").agg(F.count("*").alias("n"))
     start = F.sum("n").over(Window.partitionBy("j").orderBy("v")) - F.col("n")
     wanted = F.element_at(F.array(*[F.array(*[F.lit(r - b.below).cast("long") for r in b.ranks]) for b in done]), F.col("j") + 1)
