@@ -153,7 +153,6 @@ def with_previous(df: DataFrame, group: str, order: list[str], value: str, out:
     columns cannot be told apart by ranges. ``group`` must not be NULL; columns
     named ``_range``, ``_head`` or ``_tie`` are not allowed.
     """
-    ranges = default_buckets(df) if ranges is None else ranges
     ship_by_value(__name__)
     keys = [group, *order]
     at_group, at_value = df.columns.index(group), df.columns.index(value)
@@ -178,7 +177,10 @@ def with_previous(df: DataFrame, group: str, order: list[str], value: str, out:
             yield pa.RecordBatch.from_arrays([*b.columns, prev, pa.array([part] * len(g), pa.int32()), first], names=schema.names)
             last = g.slice(len(g) - 1), v.slice(len(v) - 1)
 
-    dealt = df.withColumn("_tie", F.xxhash64(*df.columns)).repartitionByRange(ranges, *keys, "_tie").sortWithinPartitions(*keys, "_tie").drop("_tie")
+    tied = df.withColumn("_tie", F.xxhash64(*df.columns))
+    # without a number AQE may join neighbouring ranges that are small; they stay in order
+    ranged = tied.repartitionByRange(*keys, "_tie") if ranges is None else tied.repartitionByRange(ranges, *keys, "_tie")
+    dealt = ranged.sortWithinPartitions(*keys, "_tie").drop("_tie")
     rows = materialize(dealt.mapInArrow(scan, schema), "previous")
     last = rows.groupBy("_range").agg(F.max(F.struct(*keys, F.col(value).alias("_value"))).alias("_last"))
     carry = last.select(F.col("_range").alias("_of"), F.lag("_last").over(Window.orderBy("_range")).alias("_last"))  # one row a range

@@ -149,6 +149,6 @@ def test_previous_row_of_any_type_and_count_of_ranges(spark):
     for g, t, v, i in sorted(rows, key=lambda r: (r[0], r[1], r[3])):
         want[i] = last.get(g)
         last[g] = v
-    for n in (1, 2, 9, 40):
+    for n in (None, 1, 2, 9, 40):
         assert {r["i"]: r["p"] for r in with_previous(df, "g", ["t", "i"], "v", "p", n).collect()} == want
     assert with_previous(df.limit(0), "g", ["t", "i"], "v", "p").count() == 0
