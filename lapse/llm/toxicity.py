@@ -2,20 +2,28 @@
 
 A text's features are the hashed byte n-grams (lengths 3 to 5, A-Z in lower
 case) that occur in it, each once. For every feature, r is the log ratio of
-its smoothed share among toxic and other training texts; the features that
-tell the classes apart best are kept, a present feature f has the value r_f,
-and logistic regression with an L2 penalty gives its weight. A score is the
-logistic function of intercept + sum of weight_f r_f over the features present.
+its smoothed share among toxic and other training texts, drawn towards zero by
+``doubt`` standard errors of itself (zero within them), so that an n-gram
+counts for what its occurrences bear out. A present feature f has the value
+r_f, and logistic regression with an L2 penalty gives its weight. All buckets
+are judged by this one rule and no number of features is set: they grow with
+the evidence. A score is the logistic function of intercept + sum of weight_f r_f over
+the features present.
 
 Labels are learnt from a seeded sample of about ``sample`` labelled rows (a
 documented bound, so the fit costs the same at any size), drawn by class from
-the labels whose key the table holds. Every row is scored
-in one pass over the texts, without a shuffle; the broadcast model holds
-``features`` numbers.
+the labels whose key the table holds. The regression is solved in its dual in
+the tasks (CoCoA+: Ma et al., ICML 2015): the sample is dealt to groups of some
+``GROUP_BYTES`` of text, each group ascends its own dual variables from the
+shared weights, and the sums of the groups' moves are the next weights. The
+driver holds the weights, one number a bucket, and one dual variable a row; no
+text and no features. Every row is scored in one pass over the texts, without
+a shuffle; the broadcast model holds 2 ** BITS numbers.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,11 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lapse.llm.common import stored
+from lapse.llm.common import discard, stored
 from lapse.session import ship_by_value
 
 BITS = 20  # features are hashed to 2 ** BITS buckets
 LENGTHS = (3, 4, 5)
+GROUP_BYTES = 1 << 23  # text of one group of the fit
 _RANGES = 16  # the buckets are counted in so many ranges
 
 
@@ -57,10 +66,11 @@ def ngrams(text: str | None, seen: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Buckets (sorted), their weights times r, and the intercept."""
-    buckets: np.ndarray
+    """Log-count ratios, weights times ratios (both by bucket), and the intercept; without ``evidence`` nothing was learnt."""
+    ratios: np.ndarray
     weights: np.ndarray
     intercept: float
+    evidence: bool = True
 
 
 def _counts(train: DataFrame) -> DataFrame:
@@ -79,59 +89,110 @@ def _counts(train: DataFrame) -> DataFrame:
     return train.select("t", "y").mapInArrow(run, "range int, counts binary")
 
 
-def _select(counts: DataFrame, pos: int, neg: int, features: int, alpha: float) -> list:
-    """The ``features`` buckets with the highest chi-square: (bucket, ratio)."""
-    size = (1 << BITS) // _RANGES
-
-    def run(key, batches):
-        total = np.zeros((2, size), np.int64)
-        for t in batches:
-            for c in t.column(0):
-                total += np.frombuffer(c.as_py(), np.int32).reshape(2, size)
-        p, q = total
-        both = p + q
-        rest = (pos + neg) - both
-        with np.errstate(divide="ignore", invalid="ignore"):
-            chi = (pos + neg) * (p * (neg - q) - q * (pos - p)).astype(np.float64) ** 2 / (both * rest.astype(np.float64) * pos * neg)
-        keep = np.flatnonzero((both >= 3) & (rest > 0) & np.isfinite(chi))
-        r = np.log((p + alpha) / (pos + 2 * alpha)) - np.log((q + alpha) / (neg + 2 * alpha))
-        return pa.table({"bucket": pa.array(keep + key[0].as_py() * size, pa.int32()), "chi": pa.array(chi[keep]), "r": pa.array(r[keep])})
-
-    def grouped(key, table):
-        return run(key, [table.select(["counts"])])
-
-    rows = counts.groupBy("range").applyInArrow(grouped, "bucket int, chi double, r double")
-    return rows.orderBy(F.desc("chi"), "bucket").limit(features).collect()
-
-
-def _fit(rows: list, m: int, r: np.ndarray, l2: float, steps: int) -> tuple[np.ndarray, float]:
-    """Logistic regression on the present features (value r) by Adam on the whole sample."""
-    idx = [np.frombuffer(x["f"], np.int32) for x in rows]
-    y = np.array([x["y"] for x in rows], np.float64)
-    lens = np.array([len(i) for i in idx])
-    flat = np.concatenate(idx) if len(idx) else np.zeros(0, np.int32)
-    row = np.repeat(np.arange(len(idx)), lens)
-    w, b = np.zeros(m), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    mom, var = np.zeros(m + 1), np.zeros(m + 1)
-    for step in range(1, steps + 1):
-        z = b + np.bincount(row, weights=(w * r)[flat], minlength=len(idx))
-        err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
-        g = np.append(np.bincount(flat, weights=err[row], minlength=m) * r + l2 * w, err.sum())
-        mom, var = 0.9 * mom + 0.1 * g, 0.99 * var + 0.01 * g * g
-        move = 0.05 * (mom / (1 - 0.9 ** step)) / (np.sqrt(var / (1 - 0.99 ** step)) + 1e-8)
-        w, b = w - move[:m], b - move[m]
-    return w, b
+def _summed(parts: DataFrame, column: str, dtype: str) -> np.ndarray:
+    """The sum of the arrays that ``parts`` holds by range, one array over all ranges."""
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c.as_py(), dtype) for c in rows.column(column))
+        return pa.table({"range": pa.array([key[0].as_py()], pa.int32()), "total": pa.array([total.astype(dtype).tobytes()], pa.binary())})
+
+    rows = parts.where("range >= 0").groupBy("range").applyInArrow(run, "range int, total binary").collect()
+    return np.concatenate([np.frombuffer(x["total"], dtype).reshape(-1, (1 << BITS) // _RANGES) for x in sorted(rows, key=lambda x: x["range"])], axis=1)
+
+
+def log_count_ratios(p: np.ndarray, q: np.ndarray, pos: int, neg: int, alpha: float, doubt: float) -> np.ndarray:
+    """The log ratios of (p + alpha) / (pos + 2 alpha) to (q + alpha) / (neg + 2 alpha), nearer to zero by ``doubt`` standard errors."""
+    r = np.log((p + alpha) / (pos + 2 * alpha)) - np.log((q + alpha) / (neg + 2 * alpha))
+    error = np.sqrt(1 / (p + alpha) + 1 / (q + alpha))
+    return np.sign(r) * np.maximum(0.0, np.abs(r) - doubt * error)
+
+
+def dual_step(a: float, z: float, q: float) -> float:
+    """The a in (0, 1) that maximises the dual along one row: log(a' / (1 - a')) + z + q (a' - a) = 0, by bracketed Newton."""
+    lo, hi, x = 0.0, 1.0, min(max(a, 1e-9), 1 - 1e-9)
+    for _ in range(40):
+        f = math.log(x / (1 - x)) + z + q * (x - a)
+        if abs(f) < 1e-8:
+            break
+        if f > 0:
+            hi = x
+        else:
+            lo = x
+        new = x - f / (1 / (x * (1 - x)) + q)
+        x = new if lo < new < hi else (lo + hi) / 2
+        if hi - lo < 1e-14:
+            break
+    return x
+
+
+def ascend(found: list[np.ndarray], y: np.ndarray, c: np.ndarray, a: np.ndarray, r: np.ndarray, w: np.ndarray, groups: int, scale: float,
+           epochs: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """``epochs`` of exact dual coordinate ascent over the rows of one group; the new dual variables and the move of the weights.
+
+    ``found`` lists the buckets of each row, ``y`` is 1 or -1, ``c`` what the
+    loss of a row weighs (its dual variable is c a, a in (0, 1)), ``w`` the
+    shared weights with the intercept last (a feature of value 1 in every
+    row), ``scale`` L2 times the number of rows. ``groups`` is CoCoA+'s safe
+    bound, by which moves of all groups may be added.
+    """
+    u, a, rng = w.copy(), a.copy(), np.random.default_rng(seed)
+    norms = [1.0 + float(r[f] @ r[f]) for f in found]
+    for _ in range(epochs):
+        for i in rng.permutation(len(found)):
+            f = found[i]
+            rf = r[f]
+            new = dual_step(a[i], y[i] * (float(u[f] @ rf) + u[-1]), groups * c[i] * norms[i] / scale)
+            move = groups * c[i] * (new - a[i]) * y[i] / scale
+            u[f] += move * rf
+            u[-1] += move
+            a[i] = new
+    return a, (u - w) / groups
+
+
+def _fit(train: DataFrame, rows: int, weigh: dict[int, float], groups: int, r: np.ndarray, l2: float, rounds: int, epochs: int, seed: int) -> tuple[np.ndarray, float]:
+    """Weights by bucket and the intercept: logistic regression on the present features (value r), mean loss (weighed by class) plus l2 / 2 |w|^2."""
+    sc = train.sparkSession.sparkContext
+    w, duals = np.zeros((1 << BITS) + 1), {}
+    ratios = sc.broadcast(r)
+    for at in range(rounds):
+        sent = sc.broadcast((w, duals))
+
+        def run(key: tuple, part: pa.Table) -> pa.Table:
+            group = key[0].as_py()
+            shared, known = sent.value
+            part = part.sort_by([("h", "ascending"), ("t", "ascending")])
+            seen = np.zeros(1 << BITS, np.int32)
+            found = [f[ratios.value[f] != 0] for f in (ngrams(t.as_py(), seen) for t in part.column("t"))]
+            y = np.where(np.array(part.column("y")) > 0, 1.0, -1.0)
+            c = np.where(y > 0, weigh[1], weigh[0])
+            a, move = ascend(found, y, c, known.get(group, np.full(len(y), 0.0)), ratios.value, shared, groups, l2 * rows, epochs, seed + at)
+            size = (1 << BITS) // _RANGES
+            return pa.table({"range": pa.array([-1, *range(_RANGES)], pa.int32()), "part": pa.array([group] * (_RANGES + 1), pa.int64()),
+                             "d": pa.array([a.tobytes(), *[move[i * size: (i + 1) * size].tobytes() for i in range(_RANGES)]], pa.binary()),
+                             "bias": pa.array([float(move[-1])] + [None] * _RANGES, pa.float64())})
+
+        moved = stored(train.groupBy("part").applyInArrow(run, "range int, part long, d binary, bias double"), "toxic-round")
+        mine = moved.where("range < 0").orderBy("part").collect()  # one number a row of the bounded sample
+        before, duals = duals, {x["part"]: np.frombuffer(x["d"], np.float64) for x in mine}
+        w = w + np.append(_summed(moved.select("range", "d"), "d", "f8")[0], sum(x["bias"] for x in mine))
+        discard(moved)
+        sent.destroy()
+        if before and max(np.abs(duals[g] - before[g]).max() for g in duals) < 1e-3:
+            break
+    ratios.destroy()
+    return w[:-1], float(w[-1])
 
 
 def train_toxicity(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int = 20_000,
-                   features: int = 4096, seed: int = 3, alpha: float = 0.5, l2: float = 1e-4, steps: int = 150) -> Model:
+                   seed: int = 3, alpha: float = 0.5, doubt: float = 2.0, l2: float = 1e-4, rounds: int = 6, epochs: int = 4) -> Model:
     """Fit on the rows of ``df`` whose key is in ``labels`` (a null label is none; of several, the highest holds).
 
     Only labels of keys that ``df`` holds count. Of those a seeded draw of
     about ``sample`` is used, by class: all of the rarer class up to half the
-    bound, the other class fills the rest; the intercept is then moved back to
-    the class shares of all of them. The draw is the one side that is
-    broadcast, and its size is bounded by ``sample``.
+    bound, the other class fills the rest; the losses of the classes weigh as
+    the classes do among all of them. The draw is the one side that is
+    broadcast, and its size is bounded by ``sample``. The fit ends when no
+    dual variable moves by more than 0.001, or after ``rounds`` rounds of
+    ``epochs`` passes.
     """
     marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg((F.max(label) > 0).cast("int").alias("y"))
     marked = stored(marked.join(df.select(F.col(key).alias("_k")), "_k", "left_semi"), "toxic-labels")
@@ -145,38 +206,32 @@ def train_toxicity(df: DataFrame, labels: DataFrame, key: str, text: str, label:
         marked = marked.where(hashed < F.when(F.col("y") == 1, upto[1]).otherwise(upto[0]))
     train = (df.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("t")).join(F.broadcast(marked), "_k")
                .groupBy("_k").agg(F.min("t").alias("t"), F.first("y").alias("y")))  # a repeated key counts once
-    train = stored(train.select("t", "y"), "toxic-train")
-    n = {x["y"]: x["count"] for x in train.groupBy("y").count().collect()}
-    pos, neg = n.get(1, 0), n.get(0, 0)
-    empty = np.zeros(0, np.int32)
-    if not pos or not neg:  # one class: the score is the share of toxic rows
-        return Model(empty, np.zeros(0), float(np.log((total.get(1, 0) + 0.5) / (total.get(0, 0) + 0.5))))
+    train = stored(train.select(F.xxhash64(F.lit(seed + 1), "_k").alias("h"), F.coalesce("t", F.lit("")).alias("t"), "y"), "toxic-train")
+    size = {x["y"]: x for x in train.groupBy("y").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("t")).alias("bytes")).collect()}
+    if len(size) < 2:  # one class: the score is the share of toxic rows
+        none = np.zeros(1 << BITS)
+        return Model(none, none, float(np.log((total.get(1, 0) + 0.5) / (total.get(0, 0) + 0.5))), False)
+    pos, neg = size[1]["rows"], size[0]["rows"]
+    groups = -(-(size[0]["bytes"] + size[1]["bytes"] + 1) // GROUP_BYTES)
     ship_by_value(__name__)
-    chosen = sorted(_select(_counts(train), pos, neg, features, alpha), key=lambda x: x["bucket"])
-    buckets, r = np.array([x["bucket"] for x in chosen], np.int32), np.array([x["r"] for x in chosen])
-    place = train.sparkSession.sparkContext.broadcast(buckets)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, index = np.zeros(1 << BITS, np.int32), np.full(1 << BITS, -1, np.int32)
-        index[place.value] = np.arange(len(place.value))
-        for b in batches:
-            found = [index[ngrams(t.as_py(), seen)] for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([np.sort(f[f >= 0]).tobytes() for f in found], pa.binary())], names=["y", "f"])
-
-    # at most about ``sample`` rows; in one order, so that reruns sum alike
-    rows = sorted(train.select("t", "y").mapInArrow(run, "y int, f binary").collect(), key=lambda x: (x["y"], bytes(x["f"])))
-    w, b = _fit(rows, len(buckets), r, l2, steps)
-    return Model(buckets, w * r, b + float(np.log(total[1] / total[0]) - np.log(pos / neg)))
+    p, q = _summed(_counts(train), "counts", "i4")
+    r = log_count_ratios(p, q, pos, neg, alpha, doubt)
+    if not r.any():  # no n-gram tells the classes apart
+        return Model(r, r, float(np.log(total[1] / total[0])), False)
+    parts = train.withColumn("part", F.pmod("h", F.lit(groups)))
+    share = {y: total[y] / (total[0] + total[1]) / (size[y]["rows"] / (pos + neg)) for y in (0, 1)}
+    w, b = _fit(parts, pos + neg, share, groups, r, l2, rounds, epochs, seed)
+    discard(train)
+    return Model(r, w * r, b)
 
 
 def score_toxicity(df: DataFrame, model: Model, text: str, carry: tuple[str, ...]) -> DataFrame:
-    """``carry`` columns and ``score`` (0 to 1) of every row; a null or empty text scores the intercept."""
-    sent = df.sparkSession.sparkContext.broadcast((model.buckets, model.weights, model.intercept))
+    """``carry`` columns and ``score`` (0 to 1; in place of a carried column of that name) of every row; a null or empty text scores the intercept."""
+    sent = df.sparkSession.sparkContext.broadcast((model.weights, model.intercept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, weights, b0 = sent.value
-        seen, table = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.float64)
-        table[buckets] = weights
+        table, b0 = sent.value
+        seen = np.zeros(1 << BITS, np.int32)
         for b in batches:
             z = np.array([b0 + table[ngrams(t.as_py(), seen)].sum() for t in b.column(0)], np.float64)
             score = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -185,7 +240,7 @@ def score_toxicity(df: DataFrame, model: Model, text: str, carry: tuple[str, ...
     ship_by_value(__name__)
     rows = df.select(F.col(text).cast("string").alias("_t"), *[F.col(c).alias(f"_c_{c}") for c in carry])
     out = rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], T.StructField("_score", T.DoubleType())]))
-    return out.select(*[F.col(f"_c_{c}").alias(c) for c in carry], F.col("_score").alias("score"))
+    return out.select(*[F.col(f"_c_{c}").alias(c) for c in carry if c != "score"], F.col("_score").alias("score"))
 
 
 def fold(key: str) -> Column:
@@ -199,15 +254,19 @@ def toxicity(df: DataFrame, labels: DataFrame, key: str, text: str = "text", lab
 
     Labels are learnt only from keys outside fold ``held_out``. Labels, and
     columns beside the text, are no input of a score, so equal texts score
-    alike. Null and empty texts score the intercept; repeated rows come out as
-    they came in; without labels the score is one half for all. ``predicted``
-    is the score against ``threshold`` and no more: a model without features
-    gives it to all rows or to none, so filters use :func:`not_rejected`.
+    alike. Null and empty texts have no n-gram and score the intercept; repeated
+    rows come out as they came in; without labels the score is one half for
+    all. Carried columns named like the four are left out. ``predicted`` is the
+    score against ``threshold`` and no more: a model without features gives it
+    to all rows or to none, so filters use :func:`not_rejected`.
     """
+    if key in ("held_out", "score", "predicted"):
+        raise ValueError(f"the key is named like a result: {key}")
+    carry = tuple(c for c in carry if c not in (key, "held_out", "score", "predicted"))
     model = train_toxicity(df, labels.where(fold(key) != held_out), key, text, label, **fit)
-    out = score_toxicity(df, model, text, (key, *[c for c in carry if c != key]))  # names of ``carry`` must differ from the new ones
+    out = score_toxicity(df, model, text, (key, *carry))
     return out.select(F.col(key), (fold(key) == held_out).alias("held_out"), "score",
-                      (F.col("score") >= threshold).cast("int").alias("predicted"), *[c for c in carry if c != key])
+                      (F.col("score") >= threshold).cast("int").alias("predicted"), *carry)
 
 
 def not_rejected(df: DataFrame, labels: DataFrame, key: str, text: str = "text", label: str = "toxic", held_out: int = 2,
@@ -215,10 +274,10 @@ def not_rejected(df: DataFrame, labels: DataFrame, key: str, text: str = "text",
     """``carry`` columns of the rows that :func:`toxicity` predicts 0.
 
     Where the training rows tell nothing apart (no usable label, one class
-    only, or no feature that enough of them share) there is no evidence
-    against any row, and all are kept.
+    only, or no n-gram whose counts differ beyond doubt) there is no evidence against any row, and all are kept.
     """
     model = train_toxicity(df, labels.where(fold(key) != held_out), key, text, label, **fit)
-    if not len(model.buckets):
+    if not model.evidence:
         return df.select(*carry)
-    return score_toxicity(df, model, text, carry).where(F.col("score") < threshold).select(*carry)
+    boxed = df.select(F.struct(*[F.col(c) for c in carry]).alias("_row"), F.col(text).alias("_text"))
+    return score_toxicity(boxed, model, "_text", ("_row",)).where(F.col("score") < threshold).select("_row.*")

@@ -237,7 +237,7 @@ def test_toxicity_draws_by_class_from_labels_of_documents(spark):
     marks = spark.createDataFrame(near + far, "doc_id long, quality int, toxic int")
     model = train_toxicity(docs, marks, "doc_id", "text", "toxic", sample=200)
     only = train_toxicity(docs, marks.where("doc_id < 2000"), "doc_id", "text", "toxic", sample=200)
-    assert model.buckets.tolist() == only.buckets.tolist() and len(model.buckets) and model.intercept == only.intercept
+    assert model.weights.tolist() == only.weights.tolist() and model.evidence and model.weights.any() and model.intercept == only.intercept
     out = {r["doc_id"]: r["score"] for r in score_toxicity(docs, model, "text", ("doc_id",)).collect()}
     assert min(out[i] for i in range(0, 2000, 40)) > max(s for i, s in out.items() if i % 40)
     assert np.mean([s < 0.3 for i, s in out.items() if i % 40]) > 0.99
@@ -245,6 +245,48 @@ def test_toxicity_draws_by_class_from_labels_of_documents(spark):
     assert abs(model.intercept - whole.intercept) < 1.5  # shares of all labels, not of the draw
 
 
+def ngrams_brute(t):
+    from lapse.llm.toxicity import BITS
+    b, out = (" " + (t or "") + " ").encode().lower(), set()
+    for n in (3, 4, 5):
+        for i in range(len(b) - n + 1):
+            h = n
+            for c in b[i:i + n]:
+                h = (h * 0x01000193 + c) % 2 ** 32
+            out.add((((h ^ (h >> 15)) * 0x9E3779B1) % 2 ** 32) >> (32 - BITS))
+    return out
+
+
+@pytest.mark.parametrize("group_bytes", [20_000, 1 << 23])  # many groups, one group
+def test_toxicity_ratios_weights_and_scores_match_brute_force(spark, monkeypatch, group_bytes):
+    from lapse.llm import toxicity as tx
+    rng = random.Random(21)
+    monkeypatch.setattr(tx, "GROUP_BYTES", group_bytes)
+    rows = [(i, sentence(rng, rng.randrange(0, 40)) + (" Idiot moron" if i % 4 == 0 else ""), "en", "a", 1) for i in range(200)] + [(200, None, "en", "a", 1), (201, "x" * 50_000, "en", "a", 1)]
+    docs = frame(spark, rows)
+    marks = spark.createDataFrame([(r[0], 1, int(r[0] % 4 == 0)) for r in rows], "doc_id long, quality int, toxic int")
+    model = tx.train_toxicity(docs, marks, "doc_id", "text", "toxic", l2=0.01, rounds=60, epochs=5)
+    grams = {r[0]: ngrams_brute(r[1]) for r in rows}
+    pos, neg = [g for i, g in grams.items() if i % 4 == 0], [g for i, g in grams.items() if i % 4]
+    want = {}
+    for b in set().union(*pos, *neg):
+        p, q = sum(b in g for g in pos) + 0.5, sum(b in g for g in neg) + 0.5
+        r = np.log(p / (len(pos) + 1)) - np.log(q / (len(neg) + 1))
+        want[b] = np.sign(r) * max(0.0, abs(r) - 2 * np.sqrt(1 / p + 1 / q))
+    assert all(abs(model.ratios[b] - r) < 1e-9 for b, r in want.items())
+    assert {b for b in np.flatnonzero(model.weights)} <= {b for b, r in want.items() if r}
+    # the regression's gradient vanishes: mean loss plus l2 / 2 |w|^2 over all features and the intercept
+    err = {i: 1 / (1 + np.exp(-model.intercept - sum(model.weights[b] for b in g))) - (i % 4 == 0) for i, g in grams.items()}
+    assert abs(sum(err.values()) / len(rows) + 0.01 * model.intercept) < 0.01
+    for b, r in want.items():
+        if r:
+            assert abs(sum(err[i] for i, g in grams.items() if b in g) * r / len(rows) + 0.01 * model.weights[b] / r) < 0.01
+    out = tx.score_toxicity(docs.withColumn("score", F.lit(7)), model, "text", ("doc_id", "score"))
+    assert out.columns == ["doc_id", "score"]
+    for r in out.collect():
+        assert abs(r["score"] - 1 / (1 + np.exp(-model.intercept - sum(model.weights[b] for b in grams[r["doc_id"]])))) < 1e-9
+
+
 # 4 secrets
 
 def base_brute(t, least=6):
