@@ -8,19 +8,19 @@ are found on the suffix links of the state. Matches give the hit word spans of
 a text and the items that they come from; what exceeds the coverage limit is
 contaminated.
 
-Items are cut to pieces, a stored table. A benchmark of at most ``RESIDENT``
-blocks of a bounded number of words is broadcast: the texts are read once and
-never shuffled, and each automaton is built once in a worker process. A larger
-one passes through neither driver nor broadcast: pieces are dealt to blocks,
-the hashes of the windows of texts and items are joined to tell which texts
-may hold windows of which blocks, and those texts are sent to the tasks of
-these blocks, where the automaton decides.
+Items are cut to pieces; equal pieces become one, with its items in a table of
+their own, and the pieces are dealt to blocks of a bounded number of words.
+One pass over the texts hashes their windows and keeps the hashes that a bitmap
+of the pieces' window hashes knows (at most ``BITMAP`` bits, whatever the
+benchmark's size); these are joined to the hashes, which tells the blocks that
+a text may share windows with. Those texts are sent to the tasks of these
+blocks, where the automaton decides. Nothing but the bitmap is broadcast by
+name, and no item or text passes through the driver.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lapse.llm.common import stored, worker_memo
+from lapse.llm.common import stored
 from lapse.session import ship_by_value
 
 #: ASCII bytes to words: 0-9 and a-z stay, A-Z in lower case, all else parts words; bytes of other letters stay.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
-#: Full blocks of items that are broadcast at most; a worker process keeps the automata of so many words.
-RESIDENT = 2
+#: Bits of the broadcast bitmap at most (16 MB); a fuller one lets more hashes through to the join, and no fewer.
+BITMAP = 1 << 27
 
 #: Texts that a task matches with one block where blocks and texts are joined.
 TASK_TEXTS = 5000
@@ -178,59 +178,51 @@ def _pieces(items: DataFrame, item: str, text: str, window: int, most: int) -> D
     return rows.mapInArrow(run, "piece long, item string, n long, body binary")
 
 
-def _packed(pieces: DataFrame, block_words: int) -> list[list[tuple[str, list[bytes]]]]:
-    """The pieces of a small benchmark in blocks of at most ``block_words`` words (one piece may be longer)."""
-    blocks, used = [], 0
-    for r in pieces.orderBy("piece").collect():
-        if not blocks or used + r["n"] > block_words:
-            blocks.append([])
-            used = 0
-        blocks[-1].append((r["item"], bytes(r["body"]).split(b" ")))
-        used += r["n"]
-    return blocks
-
-
-def window_keys(words: list[bytes], n: int) -> np.ndarray:
-    """The distinct 64-bit hashes of the runs of ``n`` words."""
-    m = len(words) - n + 1
-    if m <= 0:
-        return np.zeros(0, np.int64)
-    h, g = np.fromiter(map(crc32, words), np.uint64, len(words)), np.full(m, n, np.uint64)
-    for k in range(n):
-        g = (g ^ h[k: k + m]) * np.uint64(0x9E3779B97F4A7C15)
-        g ^= g >> np.uint64(29)
-    return np.unique(g).view(np.int64)
-
-
-def _joined(texts: DataFrame, pieces: DataFrame, total: int, window: int, block_words: int) -> DataFrame:
-    """(_id, _spans, _items): for the rows (_id, _t) of ``texts`` with a match, the spans and items of all blocks."""
-    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("piece"), F.lit(-(-total // block_words))))
-    lens = [r[0] for r in pieces.select(F.least("n", F.lit(window)).cast("int")).distinct().collect()]  # at most ``window`` numbers
-
-    def item_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for block, body in zip(b.column(0), b.column(1)):
-                words = body.as_py().split(b" ")
-                keys = window_keys(words, min(window, len(words)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), block.as_py(), np.int64))], names=["h", "block"])
+_ODD = 0x9E3779B97F4A7C15
+
+
+def window_keys(words: list[bytes], lengths: list[int]) -> np.ndarray:
+    """The distinct 64-bit hashes of the runs of each of ``lengths`` words: differences of one running sum, scaled to the run's start."""
+    m = len(words)
+    h = np.fromiter(map(crc32, words), np.uint64, m) * np.uint64(_ODD)
+    h ^= h >> np.uint64(32)
+    power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(m, _ODD, np.uint64)]))
+    inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(m, pow(_ODD, -1, 1 << 64), np.uint64)]))
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:m], dtype=np.uint64)])
+    out = [np.zeros(0, np.uint64)]
+    for n in lengths:
+        if n <= m:
+            g = ((upto[n:] - upto[: m - n + 1]) * inverse[: m - n + 1] + np.uint64(n)) * np.uint64(0xBF58476D1CE4E5B9)
+            out.append(g ^ (g >> np.uint64(31)))
+    return np.unique(np.concatenate(out)).view(np.int64)
+
+
+def _bitmap(known: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of ``bits`` bits (a power of two, 512 or more) with the low bits of every ``h`` set, made in 64 parts."""
+    size = bits // 64
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        part = np.zeros(size, bool)
+        part[np.asarray(rows.column("h")) & (size - 1)] = True
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "map": pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary())})
+
+    low = F.col("h").bitwiseAND(F.lit(bits - 1))
+    parts = known.select(low.alias("h")).distinct().withColumn("part", F.floor(F.col("h") / size))
+    out = np.zeros((64, size // 8), np.uint8)
+    for r in parts.groupBy("part").applyInArrow(run, "part long, map binary").collect():  # bits / 8 bytes together
+        out[r["part"]] = np.frombuffer(r["map"], np.uint8)
+    return out.reshape(-1)
 
-    def text_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, t in zip(b.column(0), b.column(1)):
-                words = words_of(t.as_py())
-                for n in lens:
-                    keys = window_keys(words, n)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), i.as_py(), np.int64))], names=["h", "_id"])
 
-    known = pieces.select("block", "body").mapInArrow(item_keys, "h long, block long").distinct()
-    pairs = stored(texts.select("_id", "_t").mapInArrow(text_keys, "h long, _id long").join(known, "h").select("_id", "block").distinct(), "item-pairs")
+def _matched(texts: DataFrame, pairs: DataFrame, pieces: DataFrame, window: int) -> DataFrame:
+    """(_id, spans, pieces): matches of each text (_id, _t) with each block that ``pairs`` names for it."""
     # a block that many texts share is matched by several tasks
     shares = pairs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / TASK_TEXTS).cast("long").alias("tasks"))
     left = pieces.join(shares, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("kind"),
-                                               F.lit(None).cast("long").alias("_id"), F.lit(None).cast("string").alias("_t"), "item", "body")
+                                               F.lit(None).cast("long").alias("_id"), F.lit(None).cast("string").alias("_t"), "piece", "body")
     right = (pairs.join(shares, "block").join(texts.select("_id", "_t"), "_id")
                   .select("block", F.pmod(F.xxhash64("_id"), F.col("tasks")).alias("task"), F.lit(1).alias("kind"), "_id", "_t",
-                          F.lit(None).cast("string").alias("item"), F.lit(None).cast("binary").alias("body")))
+                          F.lit(None).cast("long").alias("piece"), F.lit(None).cast("binary").alias("body")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, block, a = None, [], None
@@ -239,29 +231,31 @@ def _joined(texts: DataFrame, pieces: DataFrame, total: int, window: int, block_
             for r in b.to_pylist():
                 if (r["block"], r["task"]) != at:
                     at, block, a = (r["block"], r["task"]), [], None
-                if not r["kind"]:  # the items of a block come before its texts
-                    block.append((r["item"], r["body"].split(b" ")))
+                if not r["kind"]:  # the pieces of a block come before its texts
+                    block.append((r["piece"], r["body"].split(b" ")))
                     continue
                 a = a or SuffixAutomaton(block, window)
                 spans, found = a.matches(words_of(r["_t"]))
                 if spans:
-                    out.append({"_id": r["_id"], "_spans": [{"from": s, "to": e} for s, e in union_spans(spans)], "_items": sorted(found)})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("_id", pa.int64()), ("_spans", _SPANS), ("_items", pa.list_(pa.string()))]))
+                    out.append({"_id": r["_id"], "spans": [{"from": s, "to": e} for s, e in union_spans(spans)], "pieces": sorted(found)})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("_id", pa.int64()), ("spans", _SPANS), ("pieces", pa.list_(pa.int64()))]))
 
     work = left.union(right).repartition("block", "task").sortWithinPartitions("block", "task", "kind")
-    found = work.mapInArrow(run, "_id long, _spans array<struct<from:int,to:int>>, _items array<string>")
-    return found.groupBy("_id").agg(F.flatten(F.collect_list("_spans")).alias("_spans"), F.flatten(F.collect_list("_items")).alias("_items"))
+    return work.mapInArrow(run, "_id long, spans array<struct<from:int,to:int>>, pieces array<long>")
 
 
 _SPANS = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
 
 
-def _found(columns: list, names: list[str], words: list[list[bytes]], spans: list[list[tuple[int, int]]], items: list) -> pa.RecordBatch:
-    spans = [union_spans(s) for s in spans]
-    return pa.RecordBatch.from_arrays(
-        [*columns, pa.array([len(ws) for ws in words], pa.int64()), pa.array([sum(e - s for s, e in x) for x in spans], pa.int64()),
-         pa.array([[{"from": s, "to": e} for s, e in x] for x in spans], _SPANS), pa.array([sorted(f) for f in items], pa.list_(pa.string()))],
-        names=[*names, "n_words", "n_hit", "spans", "items"])
+def _union(found: DataFrame) -> DataFrame:
+    """(_id, _spans): the spans of all blocks of a text as one sorted, disjoint list."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = [union_spans([(x["from"], x["to"]) for x in s.as_py()]) for s in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[{"from": s, "to": e} for s, e in x] for x in spans], _SPANS)], names=["_id", "_spans"])
+
+    spans = found.groupBy("_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return spans.mapInArrow(run, "_id long, _spans array<struct<from:int,to:int>>")
 
 
 def contamination(df: DataFrame, items: DataFrame, key: str, item: str, text: str = "text", item_text: str = "text",
@@ -272,56 +266,58 @@ def contamination(df: DataFrame, items: DataFrame, key: str, item: str, text: st
     it has fewer; a word inside any occurrence of a window is hit. Null and
     empty texts have no words; items without words have no window; a null item
     id counts as the empty string and repeated ids as one. Repeated rows come
-    out as they came in. With no items, or no rows, nothing is hit. At most
-    ``RESIDENT * block_words`` words of items pass through the driver.
+    out as they came in. With no items, or no rows, nothing is hit. Carried
+    columns named like the key or the results are left out.
     """
-    spark = df.sparkSession
     ship_by_value(__name__)
     ship_by_value("lapse.llm.common")
     most = max(block_words, 2 * window)
-    pieces = stored(_pieces(items, item, item_text, window, most), "items")
+    named = stored(_pieces(items, item, item_text, window, most).withColumn("same", F.sha2("body", 256)), "items")
+    pieces = stored(named.groupBy("same").agg(F.min("piece").alias("piece"), F.first("n").alias("n"), F.first("body").alias("body")), "pieces")
     total = pieces.agg(F.sum("n")).first()[0] or 0
-    cols = [F.col(text).cast("string").alias("_t"), F.col(key).alias("_k"), *[F.col(c).alias(f"_c_{c}") for c in carry]]
-    rows = df.select(*cols)
-    types = T.StructType([*rows.schema.fields[1:], *T.StructType.fromDDL("n_words long, n_hit long, spans array<struct<from:int,to:int>>, items array<string>").fields])
-    kept = [*([] if key in carry else [F.col("_k").alias(key)]), *[F.col(f"_c_{c}").alias(c) for c in carry], "n_words", "n_hit", "spans", "items"]
-
-    if total > RESIDENT * most:
-        texts = stored(rows.withColumn("_id", F.monotonically_increasing_id()), "item-texts")
-        rows = texts.join(_joined(texts, pieces, total, window, most), "_id", "left").select("_spans", "_items", *rows.columns)
+    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("piece"), F.lit(-(-total // most) or 1)))
+    lengths = sorted(r[0] for r in pieces.select(F.least("n", F.lit(window)).cast("int")).distinct().collect())  # at most ``window`` numbers
 
-        def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                spans = [[(x["from"], x["to"]) for x in s.as_py() or ()] for s in b.column(0)]
-                yield _found(b.columns[3:], b.schema.names[3:], [words_of(t.as_py()) for t in b.column(2)], spans, [set(f.as_py() or ()) for f in b.column(1)])
-
-        return rows.mapInArrow(finish, types).select(*kept)
-
-    blocks = [(uuid.uuid4().hex, spark.sparkContext.broadcast(b)) for b in _packed(pieces, most)]
+    def piece_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, body in zip(b.column(0), b.column(1)):
+                words = body.as_py().split(b" ")
+                keys = window_keys(words, [min(window, len(words))])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), block.as_py(), np.int64))], names=["h", "block"])
 
-    def automaton(name: str, block) -> SuffixAutomaton:
-        memo = worker_memo().setdefault("automata", {})
-        if name not in memo:
-            while len(memo) >= max(RESIDENT, len(blocks)):  # all blocks of a run stay; together they are bounded
-                memo.pop(next(iter(memo)))
-            memo[name] = SuffixAutomaton(block.value, window)
-        return memo[name]
+    known = stored(pieces.select("block", "body").mapInArrow(piece_keys, "h long, block long").distinct(), "item-keys")
+    bits = min(BITMAP, max(1 << 16, 1 << (16 * known.count()).bit_length()))
+    sent = df.sparkSession.sparkContext.broadcast(_bitmap(known, bits))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                words = [words_of(t.as_py()) for t in part.column(0)]
-                spans, found = [[] for _ in words], [set() for _ in words]
-                for name, block in blocks:
-                    a = automaton(name, block)
-                    for i, ws in enumerate(words):
-                        s, f = a.matches(ws)
-                        spans[i] += s
-                        found[i] |= f
-                yield _found(part.columns[1:], part.schema.names[1:], words, spans, found)
-
-    return rows.mapInArrow(run, types).select(*kept)
+    def text_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = sent.value
+        for b in batches:
+            n, keys = [], []
+            for t in b.column(0):
+                words = words_of(t.as_py())
+                h = window_keys(words, lengths)
+                low = h & (bits - 1)
+                n.append(len(words))
+                keys.append(h[(bitmap[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1])
+            at = np.cumsum([0, *map(len, keys)])
+            lists = pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), lists.cast(pa.list_(pa.int64()))], names=[*b.schema.names, "_n", "_h"])
+
+    carry = tuple(c for c in carry if c not in (key, "n_words", "n_hit", "spans", "items"))
+    rows = df.select(F.col(text).cast("string").alias("_t"), F.col(key).alias("_k"), *[F.col(c).alias(f"_c_{c}") for c in carry])
+    keyed = rows.mapInArrow(text_keys, T.StructType([*rows.schema.fields, *T.StructType.fromDDL("_n long, _h array<long>").fields]))
+    texts = stored(keyed.withColumn("_id", F.monotonically_increasing_id()), "item-texts")
+    pairs = stored(texts.select("_id", F.explode("_h").alias("h")).join(known, "h").select("_id", "block").distinct(), "item-pairs")
+    found = stored(_matched(texts, pairs, pieces, window), "item-matches")
+    members = stored(named.join(pieces.select("same", F.col("piece").alias("p")), "same").select("p", "item").distinct(), "item-members")
+    whose = (found.select("_id", F.explode("pieces").alias("p")).distinct().join(members, "p")
+                  .groupBy("_id").agg(F.sort_array(F.collect_set("item")).alias("_items")))
+    hits = stored(_union(found).join(whose, "_id"), "item-hits")
+    spans = F.coalesce("_spans", F.array().cast("array<struct<from:int,to:int>>"))
+    return texts.drop("_t", "_h").join(hits, "_id", "left").select(
+        F.col("_k").alias(key), *[F.col(f"_c_{c}").alias(c) for c in carry], F.col("_n").alias("n_words"),
+        F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + x["to"] - x["from"]).alias("n_hit"),
+        spans.alias("spans"), F.coalesce("_items", F.array().cast("array<string>")).alias("items"))
 
 
 def contaminated(coverage: int = 20):

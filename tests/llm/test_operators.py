@@ -721,3 +721,12 @@ def test_communication_matrix_law():
     rng = np.random.default_rng(1)
     x = [_hypergeometric(rng, 2_000_000_000, 3_000_000_000, 1000) for _ in range(500)]
     assert abs(np.mean(x) - 400) < 4 and 190 < np.var(x) < 300
+
+
+def test_equal_items_are_one_piece_and_carried_names_give_way(spark):
+    from lapse.llm.decontaminate import contamination
+    docs = frame(spark, [(i, f"w{i} same w{i + 1}", "en", "a", 1) for i in range(50)])
+    items = spark.createDataFrame([(i, "Same!") for i in range(300)], "item_id long, text string")
+    out = contamination(docs.withColumn("n_words", F.lit(7)), items, "doc_id", "item_id", block_words=26, carry=("doc_id", "n_words", "source"))
+    assert out.columns == ["doc_id", "source", "n_words", "n_hit", "spans", "items"]
+    assert {(r["n_words"], r["n_hit"], tuple(r["items"])) for r in out.collect()} == {(3, 1, tuple(sorted(map(str, range(300)))))}
