@@ -212,3 +212,47 @@ def test_split_takes_the_first_by_md5(spark):
         want += [(r[0], r[1] or 0.0, y, q <= cut) for q, r in mine]
     assert got == sorted(want)
     assert split.stratified_split(df.limit(0), "y", 0.3, 1).count() == 0
+
+
+def test_histograms_add_up_over_blocks_and_chunks(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(trees, "CHUNK", 16)
+    n_slots, active, p = 300, np.array([2, 3]), Params(depth=3)
+    tree = trees.Tree(3)
+    tree.kind[1], tree.col[1], tree.code[1] = trees.NUMERIC, 0, 4
+    held, want, merged = [], {}, []
+    merge = trees._merge
+    monkeypatch.setattr(trees, "_merge", lambda parts: merged.append(sum(len(k) for k, _ in parts)) or merge(parts))
+    parts: dict = {}
+    for at in range(60):
+        n = rng.integers(1, 6)
+        codes = np.concatenate([rng.integers(0, 8, (n, 1)), np.where(rng.random((n, 1)) < 0.2, -1, rng.integers(8 + 4 * at, 60 + 4 * at, (n, 1)))], axis=1).astype(np.int32)
+        b = {"codes": codes, "y": rng.integers(0, 2, n).astype(float), "w": rng.random(n), "id": np.arange(n)}
+        for row, y, w in zip(codes, b["y"], b["w"]):
+            for slot in [*row[row >= 0], -1]:
+                s = want.setdefault((int(row[0] > 4), int(slot)), [0, 0, 0])
+                s[:] = [s[0] + int(np.rint(w * y * UNIT)), s[1] + int(np.rint(w * UNIT)), s[2] + 1]
+        one = trees._histogram(b, 0, tree, 1, active, None, p, n_slots)
+        held = trees._add(held, one)
+        for key, found in trees._chunks(0, one, 16, n_slots):  # each block as if alone in its task
+            parts[key] = trees._add(parts.get(key, []), found)
+    got = {}
+    for (_, chunk), found in parts.items():
+        keys, sums = merge(found)
+        size = min(16, n_slots - chunk * 16) + 1
+        for k, s in zip(keys.tolist(), sums.T.tolist()):
+            slot = -1 if k % size == size - 1 else chunk * 16 + k % size
+            assert got.setdefault((k // size, slot), s) == s  # all chunks know the same totals
+    assert got == want
+    keys, sums = merge(held)
+    assert {(k // 301, -1 if k % 301 == 300 else k % 301): s for k, s in zip(keys.tolist(), sums.T.tolist())} == want
+
+
+def test_adding_blocks_costs_their_keys_not_all_that_is_held(monkeypatch):
+    touched, merge = [], trees._merge
+    monkeypatch.setattr(trees, "_merge", lambda parts: touched.append(sum(len(k) for k, _ in parts)) or merge(parts))
+    held: list = []
+    for i in range(512):
+        held = trees._add(held, (np.arange(i * 10, i * 10 + 10), np.ones((3, 10), np.int64)))
+    assert sum(touched) < 512 * 10 * 12  # pairwise into one sum: 512 * 10 * 256
+    assert len(merge(held)[0]) == 5120
