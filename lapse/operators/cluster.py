@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapse.functions.util import fixed_mean
 from lapse.operators.stats import normalize_rfm, zscore
-from lapse.session import materialize, release, with_scalars
+from lapse.session import materialize, release, ship_by_value, with_scalars
 
 CUSTOMER = "customer_unique_id"
 MEASURES = ["Recency", "Frequency", "MonetaryValue"]
@@ -32,16 +34,21 @@ def assign_centers(df: DataFrame, cols: list[str], centers: list[list[float]],
     return df.withColumns({out: j, "distance": d})
 
 
-def nearest(cols: list[str], centers: list[list[float]]) -> tuple[Column, Column]:
-    """Number of the nearest centre (ties: the lower) and the distance to it; NULL for a row with a NULL feature."""
-    each = []
-    for j, c in enumerate(centers):
+def distances(cols: list[str], centers: list[list[float]]) -> list[Column]:
+    """The Euclidean distance to each centre."""
+    out = []
+    for c in centers:
         sq = None
         for col_name, v in zip(cols, c):
             term = F.pow(F.col(col_name) - F.lit(float(v)), 2)
             sq = term if sq is None else sq + term
-        each.append(F.struct(F.sqrt(sq).alias("d"), F.lit(j).alias("j")))
-    best = F.array_min(F.array(*each))  # by distance, then number
+        out.append(F.sqrt(sq))
+    return out
+
+
+def nearest(cols: list[str], centers: list[list[float]]) -> tuple[Column, Column]:
+    """Number of the nearest centre (ties: the lower) and the distance to it; NULL for a row with a NULL feature."""
+    best = F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(j).alias("j")) for j, d in enumerate(distances(cols, centers))]))  # by distance, then number
     return F.when(best["d"].isNotNull(), best["j"]), best["d"]
 
 
@@ -64,26 +71,64 @@ def first_centers(points: np.ndarray, k: int, seed: int) -> list[list[float]]:
     return [[float(v) for v in c] for c in out]
 
 
+def _fixed_rows(df: DataFrame, cols: list[str]) -> tuple[DataFrame, bool]:
+    """``cols`` and their fixed-point values in a high and a low part ``x{d}h`` * 2^24 + ``x{d}l``, whose sums stay within longs;
+    and whether they do (else the high part is zero and the low one a decimal)."""
+    fixed = [F.round(F.col(c) * F.lit(float(UNIT))) for c in cols]
+    row = df.agg(*[F.max(F.abs(x)).alias(f"m{d}") for d, x in enumerate(fixed)], F.count_if(F.greatest(F.lit(False), *[F.col(c).isNull() for c in cols])).alias("nulls")).first()
+    whole = not row["nulls"] and all(v is None or v < 2.0 ** 62 for v in row[:-1])
+    parts = [((F.shiftright(x.cast("long"), 24), x.cast("long").bitwiseAND(F.lit(2 ** 24 - 1))) if whole else (F.lit(0), x.cast("decimal(38,0)"))) for x in fixed]
+    narrow = [F.col(c).cast("double").alias(c) for c in cols] if whole else [F.col(c) for c in cols]
+    return df.select(*narrow, *[v.alias(f"x{d}{h}") for d, pair in enumerate(parts) for v, h in zip(pair, "hl")]), whole
+
+
+def _partial_sums(sizes: list[int], parts: int):
+    """A task's function for ``mapInArrow`` over the fixed-point parts and, per start of so many centres, an array of the
+    distances: per batch, start and cluster the number of rows and the sums of the parts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1 << 14):
+                cut = b.slice(at, 1 << 14)
+                values = [cut.column(x).to_numpy() for x in range(parts)]
+                out = []
+                for i, k in enumerate(sizes):
+                    j = cut.column(parts + i).flatten().to_numpy().reshape(-1, k).argmin(axis=1)  # ties: the lower
+                    n = np.bincount(j, minlength=k)
+                    # parts are below 2^38 and there are at most 2^14 rows: exact in doubles
+                    sums = [np.bincount(j, v, k).astype(np.int64) for v in values]
+                    out += [(i, c, int(n[c]), *[int(s[c]) for s in sums]) for c in np.flatnonzero(n).tolist()]
+                kinds = [pa.int32(), pa.int32(), *[pa.int64()] * (1 + parts)]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), kinds)], names=["i", "j", "n", *cut.schema.names[:parts]])
+
+    ship_by_value(__name__)
+    return run
+
+
 def lloyd(df: DataFrame, cols: list[str], starts: dict, max_iter: int = 300) -> dict:
     """Centres of each start (``{name: centres}``) once no row moves: every centre is the mean of its rows, to 2^-32.
 
-    All starts advance in one aggregation a round: a row adds to one cluster of
-    each, so a round shuffles one row of partial sums for every cluster and
-    task. Sums are whole numbers of 2^-32, so a rerun, or a task made again,
+    All starts advance in one aggregation a round: a row's distances are found
+    once, tasks pick the nearest centres and add up Arrow batch by batch, and a
+    round shuffles one row of partial sums for every cluster and batch. Sums are whole numbers of 2^-32, so a rerun, or a task made again,
     gives the same centres bit for bit. A cluster that loses its last row keeps
     its centre. ``df`` is read once a round: pass a stored table.
     """
     centers, moving, was = {n: [list(c) for c in cs] for n, cs in starts.items()}, list(starts), {}
-    fixed = [F.round(F.col(c) * F.lit(float(UNIT))).cast("decimal(38,0)") for c in cols]
+    data, whole = _fixed_rows(df, cols)
+    names = [f"x{d}{h}" for d in range(len(cols)) for h in "hl"]
     for _ in range(max_iter):
         if not moving:
             break
-        marks = [F.struct(F.lit(i).alias("i"), nearest(cols, centers[n])[0].alias("j")) for i, n in enumerate(moving)]
-        rows = df.select(*[x.alias(f"x{d}") for d, x in enumerate(fixed)], F.explode(F.array(*marks)).alias("m"))
-        got = rows.groupBy("m.i", "m.j").agg(F.count("*").alias("n"), *[F.sum(f"x{d}").alias(f"x{d}") for d in range(len(cols))]).collect()
+        if whole:
+            far = data.select(*names, *[F.array(*distances(cols, centers[n])).alias(f"d{i}") for i, n in enumerate(moving)])
+            rows = far.mapInArrow(_partial_sums([len(centers[n]) for n in moving], len(names)), f"i int, j int, n long, {', '.join(f'{x} long' for x in names)}")
+        else:
+            marks = [F.struct(F.lit(i).alias("i"), nearest(cols, centers[n])[0].alias("j")) for i, n in enumerate(moving)]
+            rows = data.select(F.lit(1).alias("n"), *names, F.explode(F.array(*marks)).alias("m")).select("m.*", "n", *names)
+        got = rows.groupBy("i", "j").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names]).collect()
         sums = {n: {} for n in moving}
         for r in got:
-            sums[moving[r["i"]]][r["j"]] = (r["n"], [int(r[f"x{d}"]) for d in range(len(cols))])
+            sums[moving[r["i"]]][r["j"]] = (r["n"], [(int(r[f"x{d}h"]) << 24) + int(r[f"x{d}l"]) for d in range(len(cols))])
         still = []
         for n in moving:
             for j, (size, s) in sums[n].items():

@@ -96,6 +96,30 @@ def test_lloyd_matches_numpy_for_all_k_at_once(spark):
     assert cl.lloyd(df.repartition(3), ["a", "b"], starts) == got  # bit for bit
 
 
+def test_lloyd_assigns_rows_in_tasks_and_sums_exactly(spark, monkeypatch):
+    import numpy as np
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(0, 1, (500, 2)), 1) + np.array([[-0.5, 2.0 ** 10]])  # negative and larger values
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double").repartition(3)
+    starts = {k: cl.first_centers(np.unique(x, axis=0), k, 7) for k in (1, 3, 5)}
+    fixed = [[round(v * cl.UNIT) for v in r] for r in x.tolist()]
+    want = {}
+    for k, c in starts.items():
+        for _ in range(4):
+            at = np.sqrt(((x[:, None] - np.array(c)[None]) ** 2).sum(axis=2)).argmin(axis=1)
+            c = [[sum(f[d] for f, j in zip(fixed, at) if j == i) / int((at == i).sum()) / cl.UNIT for d in range(2)] if (at == i).any() else c[i] for i in range(k)]
+        want[k] = c
+    plain = cl.nearest
+
+    def refused(*_):
+        raise AssertionError("a row is copied for each start and its distances are found several times")
+    monkeypatch.setattr(cl, "nearest", refused)
+    assert {k: np.array(v).tolist() for k, v in cl.lloyd(df, ["a", "b"], starts, max_iter=4).items()} == {k: np.array(v, float).tolist() for k, v in want.items()}
+    monkeypatch.setattr(cl, "nearest", plain)
+    far = spark.createDataFrame([(0.0,), (2.0,), (1e12,)], "a double")  # beyond longs in fixed point
+    assert cl.lloyd(far, ["a"], {2: [[0.0], [1e12]]}) == {2: [[1.0], [1e12]]}
+
+
 def test_kmeans_on_few_points_and_none(spark):
     df = spark.createDataFrame([(1.0, 2.0)] * 5 + [(3.0, 4.0)], "x double, MonetaryValue double")
     lab, centers = cl.kmeans_labels(df, ["x"], k=4)
