@@ -152,3 +152,19 @@ def test_previous_row_of_any_type_and_count_of_ranges(spark):
     for n in (None, 1, 2, 9, 40):
         assert {r["i"]: r["p"] for r in with_previous(df, "g", ["t", "i"], "v", "p", n).collect()} == want
     assert with_previous(df.limit(0), "g", ["t", "i"], "v", "p").count() == 0
+
+
+def test_one_range_is_cut_where_a_task_would_sort_too_many_rows(spark, monkeypatch):
+    from lapse.operators import ordered
+    base, n = dt.datetime(2022, 5, 1), 3000
+    data = [(f"c{i % 40}" if i % 3 else "hot", i, base + dt.timedelta(hours=i * 7919 % n)) for i in range(n)]
+    df = spark.createDataFrame(data, "customer_unique_id string, order_id long, order_purchase_timestamp timestamp")
+    whole = {r.order_id: r.gap_days for r in lc.order_gaps(df, ranges=1).collect()}
+    medians = {tuple(r) for r in lc.customer_intervals(df, ranges=1).collect()}
+    stored, keep = [], ordered.materialize
+    monkeypatch.setattr(ordered, "materialize", lambda d, name=None: stored.append(keep(d, name)) or stored[-1])
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 400)
+    assert {r.order_id: r.gap_days for r in lc.order_gaps(df, ranges=1).collect()} == whole
+    assert {tuple(r) for r in lc.customer_intervals(df, ranges=1).collect()} == medians
+    for table in stored:
+        assert table.agg(F.max("n")).first()[0] < n / 3 if "n" in table.columns else max(r["count"] for r in table.groupBy("_range").count().collect()) < n / 3
