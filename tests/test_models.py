@@ -256,3 +256,16 @@ def test_adding_blocks_costs_their_keys_not_all_that_is_held(monkeypatch):
         held = trees._add(held, (np.arange(i * 10, i * 10 + 10), np.ones((3, 10), np.int64)))
     assert sum(touched) < 512 * 10 * 12  # pairwise into one sum: 512 * 10 * 256
     assert len(merge(held)[0]) == 5120
+
+
+def test_logistic_looks_for_no_intervals(spark, monkeypatch):
+    """The linear model reads numbers as they are, so no quantile of them is taken; trees still take theirs."""
+    def refused(*_, **__):
+        raise AssertionError("ranks were looked for")
+    df = _frame(spark, _rows(300))
+    expected = {r["feature"]: r["coefficient"] for r in linear.fit_logistic(ml.with_weights(df.drop("w"), "y"), features.learn(df, NUM, CAT), "y", "weight").collect()}
+    monkeypatch.setattr(features, "values_at_ranks", refused)
+    got = {r["feature"]: r["coefficient"] for r in ml.fit(df, "logistic", NUM, CAT, "y").table.collect()}
+    assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-6 for k in got)
+    with pytest.raises(AssertionError):
+        ml.fit(df, "tree", NUM, CAT, "y")
