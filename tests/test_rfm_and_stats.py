@@ -122,3 +122,11 @@ def test_chi2_against_formula(spark):
     chi = sum((obs[k] - exp[k]) ** 2 / exp[k] for k in obs)
     assert abs(r.chi2 - chi) < 1e-12
     assert abs(r.p_value - math.erfc(math.sqrt(chi / 2))) < 1e-12
+
+
+def test_llf_grid_reads_its_input_once(spark, tmp_path):
+    spark.range(1, 300).selectExpr("CAST(id % 50 + 1 AS DOUBLE) AS x").write.parquet(str(tmp_path / "xs"))
+    grid = st.boxcox_llf_grid(spark.read.parquet(str(tmp_path / "xs")), "x", [0.0, 0.5])
+    assert str(tmp_path) not in grid._jdf.queryExecution().toString()
+    xs = [float(i % 50 + 1) for i in range(1, 300)]
+    assert all(abs(r["llf"] - _llf(xs, r["lambda"])) < 1e-6 * abs(r["llf"]) for r in grid.collect())
