@@ -61,3 +61,22 @@ def test_null_filter_makes_the_joins_inner(spark):
     out = clean.drop_incomplete(a.join(b, "id", "left").join(c, "id", "left"), ["y", "z"])
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftOuter" not in plan and plan.count("Join Inner") == 2
+
+
+def test_partitions_grow_with_the_input_of_the_fact(spark, tmp_path, monkeypatch):
+    """Few partitions set for a large input are raised before the fact is built, never lowered."""
+    from lapse.plans import fact_queries, memo
+    (tmp_path / "orders.parquet").write_bytes(b"x" * (90 << 20))
+    (tmp_path / "lineitem.parquet").write_bytes(b"x" * (30 << 20))
+    seen = []
+    monkeypatch.setattr(fact_queries.fx, "order_fact", lambda *_: seen.append(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    monkeypatch.setattr(fact_queries, "Roles", lambda *_: type("R", (), {"tables": lambda self: {}})())
+    monkeypatch.setattr(memo, "_MEMO", {})
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        fact_queries.fact_parts(spark, str(tmp_path))
+        spark.conf.set("spark.sql.shuffle.partitions", "77")
+        fact_queries.fact_parts(spark, str(tmp_path), "app")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen == [30, 77]
