@@ -80,3 +80,64 @@ def test_partitions_grow_with_the_input_of_the_fact(spark, tmp_path, monkeypatch
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert seen == [30, 77]
+
+
+def _tables(spark):
+    """Orders 1 (kept, in two equal rows), 2 (delivered before it was approved), 3 (kept, no payment) and 4 (kept); repeated items and payments."""
+    from datetime import datetime, timedelta
+    at = [datetime(2020, 1, 1) + timedelta(days=d) for d in range(9)]
+    whole = [at[0], at[1], at[2], at[3], at[8]]
+    orders = [(1, 10, "F", *whole), (1, 10, "F", *whole), (2, 10, "F", at[0], at[4], at[2], at[3], at[8]), (3, 11, "F", *whole), (4, 11, "O", *whole)]
+    times = "order_purchase_timestamp", "order_approved_at", "order_delivered_carrier_date", "order_delivered_customer_date", "order_estimated_delivery_date"
+    make = spark.createDataFrame
+    return {
+        "orders": make(orders, "order_id long, customer_id long, order_status string, " + ", ".join(f"{t} timestamp" for t in times)),
+        "customers": make([(10, 10, "a", "X"), (11, 11, "b", "Y")], "customer_id long, customer_unique_id long, customer_city string, customer_state string"),
+        "order_reviews": make([(n, n, at[5], 5) for n in (1, 2, 3, 4)] + [(9, 1, at[6], 3)], "review_id long, order_id long, review_creation_date timestamp, review_score long"),
+        "orders_items": make([(1, 7, 70, 2.0, 0.1), (1, 7, 70, 2.0, 0.2), (1, 8, 71, 3.0, 0.1), (2, 7, 70, 2.0, 0.1), (3, 7, 70, 2.0, 0.1), (4, 8, 72, 5.0, 0.1), (None, 8, 70, 1.0, 0.1)],
+                             "order_id long, product_id long, seller_id long, price double, freight_value double"),
+        "order_payments": make([(1, "card", 1, 5.0), (1, "card", 1, 5.0), (1, "voucher", 1, 1.0), (2, "card", 1, 2.0), (4, "card", 1, 5.0)],
+                               "order_id long, payment_type string, payment_installments long, payment_value double"),
+        "products": make([(7, "p", 100), (8, "p", 200)], "product_id long, product_category_name string, product_weight_g long"),
+        "product_category_name_translation": make([("p", "P")], "product_category_name string, product_category_name_english string"),
+        "sellers": make([(70, "c", "X"), (71, "d", "Y")], "seller_id long, seller_city string, seller_state string"),
+    }
+
+
+def test_items_of_orders_that_the_fact_drops_go_no_further(spark, monkeypatch):
+    """Products and sellers meet only the items of kept orders; the fact holds each review x distinct item x distinct payment once."""
+    seen, joined = [], fx.product_items
+
+    def spy(products, items, *rest, **named):
+        seen.append({r.order_id for r in items.select("order_id").collect()})
+        return joined(products, items, *rest, **named)
+    monkeypatch.setattr(fx, "product_items", spy)
+    parts = fx.order_fact(_tables(spark))
+    assert seen == [{1, 3, 4}]
+    got = sorted((r.order_id, r.review_id, r.product_id, r.seller_city or "", r.payment_type, r.quantity, r.price) for r in parts.fact.collect())
+    assert got == sorted([(1, v, p, c, t, 2, x) for v in (1, 9) for p, c, x in ((7, "c", 2.0), (8, "d", 3.0)) for t in ("card", "voucher")]
+                         + [(4, 4, 8, "", "card", 2, 5.0)])
+    assert sorted((r.order_id, r.quantity) for r in parts.merge1.collect()) == [(1, 2)] * 4 + [(2, 2), (3, 2), (4, 2)]
+
+
+def test_inputs_of_the_fact_are_dealt_by_order_once(spark, monkeypatch):
+    """Without broadcasts: one shuffle each for items, labelled orders and payments on the way to the order joins, none to find equal rows."""
+    plans = []
+
+    def stored(df, name=None, mode="table", codec=None):
+        if name == "order_fact":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df.localCheckpoint()
+    monkeypatch.setattr(fx, "materialize", stored)
+    monkeypatch.setattr(fx, "broadcast_if_few", lambda df: df)
+    with_conf(spark, lambda: fx.order_fact(_tables(spark)))
+    shuffled = [line.split("hashpartitioning(")[1] for line in plans[0].splitlines() if "Exchange hashpartitioning(" in line]
+    several = [s for s in shuffled if "price#" in s or "payment_value#" in s or "review_score#" in s]
+    assert shuffled and not several
+
+
+def test_few_sellers_are_broadcast_and_many_are_not(spark):
+    from lapse.session import broadcast_if_few
+    left, right = spark.range(100), spark.range(20)
+    plan = {n: with_conf(spark, lambda n=n: left.join(broadcast_if_few(right, n), "id")._jdf.queryExecution().sparkPlan().toString()) for n in (20, 19)}
+    assert "BroadcastHashJoin" in plan[20] and "BroadcastHashJoin" not in plan[19]
