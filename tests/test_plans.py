@@ -141,3 +141,21 @@ def test_few_sellers_are_broadcast_and_many_are_not(spark):
     left, right = spark.range(100), spark.range(20)
     plan = {n: with_conf(spark, lambda n=n: left.join(broadcast_if_few(right, n), "id")._jdf.queryExecution().sparkPlan().toString()) for n in (20, 19)}
     assert "BroadcastHashJoin" in plan[20] and "BroadcastHashJoin" not in plan[19]
+
+
+def test_a_query_that_reads_the_model_input_once_stores_and_shuffles_its_columns_only(spark, monkeypatch):
+    from lapse.plans import memo, report_queries
+    fact = spark.range(40).select(*[(F.col("id") % 5).alias(c) if c == "customer_unique_id" else F.when(F.col("id") % 11 != i, F.col("id") % 3).alias(c)
+                                    for i, c in enumerate(report_queries.MI_COLS) if c != "RFM_Score"])
+    rfm = spark.range(4).select(F.col("id").alias("customer_unique_id"), F.lit(7).alias("RFM_Score"))
+    stored = []
+    monkeypatch.setattr(memo, "_MEMO", {})
+    monkeypatch.setattr(report_queries, "rfm_frames", lambda *_: (type("P", (), {"fact": fact}), rfm))
+    monkeypatch.setattr(report_queries, "materialize", lambda df, *_, **__: stored.append(df) or df)
+    monkeypatch.setattr(report_queries, "fingerprint", lambda _: ())
+    cols = ["customer_state", "is_churned"]
+    once = sorted(tuple(r) for r in report_queries.app_model_input(spark, "x", cols).collect())
+    assert not stored and once
+    whole = report_queries.app_model_input(spark, "x")
+    assert stored and once == sorted(tuple(r) for r in whole.select(*cols).collect())
+    assert once == sorted(tuple(r) for r in report_queries.app_model_input(spark, "x", cols).collect()) and len(stored) == 1
