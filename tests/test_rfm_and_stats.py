@@ -57,6 +57,29 @@ def test_fan_out_monetary(spark):
     assert rf.rfm_base(dedup, grain="payment").first().MonetaryValue == 40.0
 
 
+def _watched(df, seen):
+    """``df``, whose rows are added to the accumulator ``seen`` each time that they are made."""
+    def note(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    return df.mapInArrow(note, df.schema)
+
+
+def test_rfm_aggregates_the_fact_once(spark):
+    rnd = random.Random(12)
+    start = dt.datetime(2020, 1, 1)
+    rows = [(f"c{i % 40}", f"o{i}", start + dt.timedelta(hours=rnd.randrange(9000)), rnd.uniform(1, 500)) for i in range(300)] + [(None, "o", start, 1.0)]
+    fact = spark.createDataFrame(rows, "customer_unique_id string, order_id string, order_approved_at timestamp, payment_value double")
+    seen = spark.sparkContext.accumulator(0)
+    got = rf.rfm(_watched(fact, seen)).orderBy("customer_unique_id").collect()
+    assert seen.value <= 2 * len(rows)  # the measures and the latest date, each once
+    scored = rf.rfm_labels(rf.rfm_scores(rf.rfm_base(fact))).orderBy("customer_unique_id").collect()
+    assert got == scored and len(got) == 40
+    stored = rf.rfm_base(fact)
+    assert rf.rfm(None, base=stored).orderBy("customer_unique_id").collect() == got
+
+
 def _llf(x, lam):
     x = np.asarray(x, float)
     y = np.log(x) if lam == 0 else (x ** lam - 1) / lam
