@@ -80,6 +80,24 @@ def test_rfm_aggregates_the_fact_once(spark):
     assert rf.rfm(None, base=stored).orderBy("customer_unique_id").collect() == got
 
 
+def test_skewness_report_reads_its_input_once(spark):
+    rnd = random.Random(13)
+    data = {"x": [math.exp(rnd.gauss(2, 0.7)) for _ in range(400)], "z": [float(rnd.randrange(9)) for _ in range(399)] + [None]}
+    df = spark.createDataFrame(list(zip(*data.values())), "x double, z double")
+    seen = spark.sparkContext.accumulator(0)
+    got = st.skewness_report(_watched(df, seen), ["x", "z"]).collect()
+    assert seen.value == 400
+    assert [(r["column_name"], r["transform"]) for r in got] == [("x", t) for t in ("raw", "log", "sqrt", "boxcox")] + [("z", t) for t in ("raw", "log", "sqrt")]
+    lam = st.boxcox_lambda(df, "x")
+    forms = {"raw": lambda v: v, "log": lambda v: np.log(v + 0.1), "sqrt": np.sqrt, "boxcox": lambda v: (v ** lam - 1) / lam}
+    for r in got:
+        v = forms[r["transform"]](np.array([v for v in data[r["column_name"]] if v is not None]))
+        g1 = ((v - v.mean()) ** 3).mean() / v.std() ** 3
+        n = len(v)
+        assert r["n"] == n and abs(r["skewness"] - g1) < 1e-4
+        assert abs(r["skewness_adj"] - g1 * math.sqrt(n * (n - 1)) / (n - 2)) < 1e-4
+
+
 def _llf(x, lam):
     x = np.asarray(x, float)
     y = np.log(x) if lam == 0 else (x ** lam - 1) / lam
