@@ -69,3 +69,21 @@ def test_intermediate_tables_are_released(spark):
     assert os.path.exists("/root/testdata/sf0.001/orders.parquet")
     session.release(df)
     assert not any("/kept-" in p for p in session._WRITTEN)
+
+
+def test_a_bracket_of_one_value_takes_no_further_round(spark, monkeypatch):
+    """A column of four values: each bracket of a round holds one of them, so nothing is sketched again or grouped."""
+    from lapse.operators import selection
+    rounds, narrow = [], selection._narrow
+    monkeypatch.setattr(selection, "_narrow", lambda df, brackets, accuracy: rounds.append(len(brackets)) or narrow(df, brackets, accuracy))
+    monkeypatch.setattr(selection, "_grouped", lambda *_: pytest.fail("rows were grouped"))
+    df = spark.range(8000).selectExpr("IF(id % 4 = 0, -0.0D, CAST(id % 4 AS DOUBLE)) AS x")
+    found = values_at_ranks(df, {"x": lambda n: [500, 3000, 5000, 7000]}, 1000, 100)["x"][1]
+    assert found == {500: 0.0, 3000: 1.0, 5000: 2.0, 7000: 3.0} and str(found[500]) == "0.0" and rounds == [1]
+
+
+def test_nan_is_the_largest_value(spark):
+    df = spark.range(3000).selectExpr("IF(id % 3 = 0, DOUBLE('NaN'), CAST(id AS DOUBLE)) AS x")
+    found = values_at_ranks(df, {"x": lambda n: [0, 1000, 1999, 2500]}, 50, 20)["x"][1]
+    values = sorted(float(i) for i in range(3000) if i % 3)
+    assert [found[r] for r in (0, 1000, 1999)] == [values[0], values[1000], values[1999]] and found[2500] != found[2500]
