@@ -269,3 +269,69 @@ def test_logistic_looks_for_no_intervals(spark, monkeypatch):
     assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-6 for k in got)
     with pytest.raises(AssertionError):
         ml.fit(df, "tree", NUM, CAT, "y")
+
+
+def test_only_drawn_columns_and_values_are_counted():
+    """A forest's task counts what a node may split by, and finds the same sums for it as a task that counts all."""
+    rng = np.random.default_rng(6)
+    p, offsets, spans = Params(columns="sqrt per node", rows="bootstrap"), [0, 8, 16], [(0, 8), (8, 16), (16, 20), (20, 420)]
+    n_slots, active = 420, np.array([2, 3])
+    tree = trees.Tree(3)
+    tree.kind[1], tree.col[1], tree.code[1] = trees.VALUE, 2, 17
+    drawn = trees._drawn(4, active, p, offsets, n_slots)
+    every, some = trees._Sums(active, spans, n_slots, trees.ROOM), trees._Sums(active, spans, n_slots, trees.ROOM, drawn)
+    for size in (700, 900):
+        b = {"first": np.array([lo for lo, _ in spans]), "id": np.arange(size), "pairs": np.array([[0.0, 1.5], [1.0, 0.75]]), "pair": rng.integers(0, 2, size)}
+        b |= {f"c{c}": np.where((rng.random(size) < 0.1) & (c > 1), -1, rng.integers(0, hi - lo, size)).astype(np.int16) for c, (lo, hi) in enumerate(spans)}
+        for s in (every, some):
+            columns, times = trees._columns(b), trees._times(b, 4, p)
+            s.add(columns, tree.rows(columns, np.flatnonzero(times), 1), trees._gradients(b, p), times)
+    full = dict(zip(every.found()[0].tolist(), every.found()[1].T.tolist()))
+    got = dict(zip(some.found()[0].tolist(), some.found()[1].T.tolist()))
+    assert all(full[k] == v for k, v in got.items()) and len(got) < len(full) / 4
+    share = math.sqrt(406) / 406
+    for j, node in enumerate(active.tolist()):
+        for k in [k for k in full if k // 421 == j]:
+            slot = k % 421
+            feature = slot // 8 if slot < 16 else slot
+            if slot == 420 or uniform(p.seed, 4, node, np.array([feature]))[0] < share:
+                assert got[k] == full[k]
+
+
+def test_sums_of_any_weights_and_of_two_kinds_agree():
+    """Rows of two kinds are counted once for all three sums; hessians and counts share a long; both as sums by loops."""
+    rng = np.random.default_rng(2)
+    pair, rows, times = rng.integers(0, 2, 500), np.flatnonzero(rng.random(500) < 0.7), rng.integers(1, 5, 500)
+    keys = rng.integers(0, 7, len(rows))
+    units = np.array([[0, 3 * UNIT], [UNIT, UNIT // 3]])
+    want = [[sum(int(v) for r, k in zip(rows, keys) if k == i for v in [w(r) * times[r]]) for i in range(7)] for w in (lambda r: units[pair[r]][0], lambda r: units[pair[r]][1], lambda r: 1)]
+    assert trees._Weights((pair, units.tolist()), times, rows).sums(keys, 7).tolist() == want
+    assert trees._Weights((units[pair][:, 0].astype(float), units[pair][:, 1].astype(float)), times, rows).sums(keys, 7).tolist() == want
+    big = units[pair] * 2.0 ** 15  # too large to share a long
+    found = trees._Weights((big[:, 0], big[:, 1]), times, rows).sums(keys, 7)
+    assert found.tolist() == [[v * 2 ** 15 for v in want[0]], [v * 2 ** 15 for v in want[1]], want[2]]
+
+
+def test_blocks_are_dealt_by_rows():
+    place = trees._deal([(100, (0, i)) for i in range(9)] + [(30, (1, i)) for i in range(10)], 4)
+    rows = [sum((100 if k[0] == 0 else 30) for k, v in place.items() if v == i) for i in range(4)]
+    assert len(place) == 19 and max(rows) - min(rows) <= 30
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_same_trees_with_and_without_a_second_stage(spark, monkeypatch, few):
+    monkeypatch.setattr(trees, "FEW_SUMS", few)
+    monkeypatch.setattr(trees, "ROOM", 64)  # most columns by the keys that occur
+    df = _frame(spark, _rows(300))
+    f = features.learn(df, NUM, CAT)
+    p = Params(trees=3, depth=3, boosting=True, rate=0.3, l2=1.0, rows=0.8, columns=0.8)
+    got = sorted(tuple(r) for r in grow(df, f, "y", "w", p, refresh=2).drop("code", "feature_value").fillna("", ["column"]).fillna(-1.0, ["threshold"]).collect())
+    monkeypatch.undo()
+    assert got == sorted(tuple(r) for r in grow(df.repartition(2), f, "y", "w", p).drop("code", "feature_value").fillna("", ["column"]).fillna(-1.0, ["threshold"]).collect())
+
+
+def test_intervals_of_nulls_and_nan():
+    import pyarrow as pa
+    x = pa.array([None, float("-inf"), 1.0, 1.5, 2.0, 9.0, float("nan")])
+    assert features.intervals(x, np.array([1.0, 2.0])).tolist() == [0, 0, 0, 1, 1, 2, 2]
+    assert features.intervals(x, np.array([])).tolist() == [0] * 7
