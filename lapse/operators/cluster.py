@@ -7,11 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapse.functions.util import fixed_mean
 from lapse.operators.stats import normalize_rfm, zscore
+from lapse.operators.trees import dealt, gather, stored_block
 from lapse.session import materialize, release, ship_by_value, with_scalars
 
 CUSTOMER = "customer_unique_id"
@@ -82,50 +84,83 @@ def _fixed_rows(df: DataFrame, cols: list[str]) -> tuple[DataFrame, bool]:
     return df.select(*narrow, *[v.alias(f"x{d}{h}") for d, pair in enumerate(parts) for v, h in zip(pair, "hl")]), whole
 
 
-def _partial_sums(sizes: list[int], parts: int):
-    """A task's function for ``mapInArrow`` over the fixed-point parts and, per start of so many centres, an array of the
-    distances: per batch, start and cluster the number of rows and the sums of the parts."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 1 << 14):
-                cut = b.slice(at, 1 << 14)
-                values = [cut.column(x).to_numpy() for x in range(parts)]
-                out = []
-                for i, k in enumerate(sizes):
-                    j = cut.column(parts + i).flatten().to_numpy().reshape(-1, k).argmin(axis=1)  # ties: the lower
-                    n = np.bincount(j, minlength=k)
-                    # parts are below 2^38 and there are at most 2^14 rows: exact in doubles
-                    sums = [np.bincount(j, v, k).astype(np.int64) for v in values]
-                    out += [(i, c, int(n[c]), *[int(s[c]) for s in sums]) for c in np.flatnonzero(n).tolist()]
-                kinds = [pa.int32(), pa.int32(), *[pa.int64()] * (1 + parts)]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), kinds)], names=["i", "j", "n", *cut.schema.names[:parts]])
+def _blocks(data: DataFrame, cols: list[str], rows: int = 1 << 16) -> tuple[DataFrame, RDD]:
+    """The stored table of :func:`_fixed_rows` in blocks, and its blocks: the columns, and the fixed-point parts."""
+    names = [f"x{d}{h}" for d in range(len(cols)) for h in "hl"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in gather(batches, rows):
+            yield stored_block({n: b.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate([*map(str, range(len(cols))), *names])}, b.num_rows)
+
+    ship_by_value(__name__)
+    ship_by_value(gather.__module__)
+    stored = materialize(data.mapInArrow(pack, "block binary, n long"), "kmeans_blocks")
+    return stored, dealt(stored)
+
+
+def _partial_sums(centers: list[list[list[float]]], names: list[str]):
+    """A task's function over blocks: per start of so many centres and cluster the number of rows and the sums of the parts."""
+    def run(blocks: Iterator[dict]) -> Iterator[list[np.ndarray]]:
+        out = [np.zeros((len(c), 1 + len(names)), np.int64) for c in centers]
+        for b in blocks:
+            for at in range(0, len(b["0"]), 1 << 14):
+                x = [b[str(d)][at:at + (1 << 14)] for d in range(len(names) // 2)]
+                parts = [b[n][at:at + (1 << 14)] for n in names]
+                for sums, cs in zip(out, centers):
+                    j = nearest_of(x, cs)
+                    sums[:, 0] += np.bincount(j, minlength=len(cs))
+                    for i, v in enumerate(parts):  # parts are below 2^38 and there are at most 2^14 rows: exact in doubles
+                        sums[:, 1 + i] += np.bincount(j, v, len(cs)).astype(np.int64)
+        yield out
 
     ship_by_value(__name__)
     return run
 
 
+def nearest_of(x: list[np.ndarray], centers: list[list[float]]) -> np.ndarray:
+    """Numbers of the nearest centres, as :func:`nearest` finds them (ties: the lower), of points given column by column."""
+    best, j = None, np.zeros(len(x[0]), np.int64)
+    for i, c in enumerate(centers):
+        far = None
+        for v, m in zip(x, c):
+            term = v - m
+            term *= term
+            far = term if far is None else far + term
+        far = np.sqrt(far)
+        if best is None:
+            best = far
+            continue
+        j[far < best] = i
+        best = np.minimum(best, far)
+    return j
+
+
 def lloyd(df: DataFrame, cols: list[str], starts: dict, max_iter: int = 300) -> dict:
     """Centres of each start (``{name: centres}``) once no row moves: every centre is the mean of its rows, to 2^-32.
 
-    All starts advance in one aggregation a round: a row's distances are found
-    once, tasks pick the nearest centres and add up Arrow batch by batch, and a
-    round shuffles one row of partial sums for every cluster and batch. Sums are whole numbers of 2^-32, so a rerun, or a task made again,
+    All starts advance in one pass a round over blocks of rows that tasks hold:
+    they find distances, pick the nearest centres and add up by numpy, and
+    return a row of partial sums for every cluster. Sums are whole numbers of
+    2^-32, so a rerun, or a task made again,
     gives the same centres bit for bit. A cluster that loses its last row keeps
-    its centre. ``df`` is read once a round: pass a stored table.
+    its centre. ``df`` is read twice (once a round where fixed-point values exceed longs): pass a stored table.
     """
     centers, moving, was = {n: [list(c) for c in cs] for n, cs in starts.items()}, list(starts), {}
     data, whole = _fixed_rows(df, cols)
     names = [f"x{d}{h}" for d in range(len(cols)) for h in "hl"]
+    stored, blocks = _blocks(data, cols) if whole else (None, None)
+    if whole:
+        blocks.persist(StorageLevel.MEMORY_AND_DISK)
     for _ in range(max_iter):
         if not moving:
             break
         if whole:
-            far = data.select(*names, *[F.array(*distances(cols, centers[n])).alias(f"d{i}") for i, n in enumerate(moving)])
-            rows = far.mapInArrow(_partial_sums([len(centers[n]) for n in moving], len(names)), f"i int, j int, n long, {', '.join(f'{x} long' for x in names)}")
+            parts = blocks.mapPartitions(_partial_sums([centers[n] for n in moving], names)).collect()  # some numbers a cluster and task
+            got = [{"i": i, "j": j, "n": row[0], **dict(zip(names, row[1:]))} for i in range(len(moving)) for j, row in enumerate(sum(p[i] for p in parts).tolist()) if row[0]] if parts else []
         else:
             marks = [F.struct(F.lit(i).alias("i"), nearest(cols, centers[n])[0].alias("j")) for i, n in enumerate(moving)]
             rows = data.select(F.lit(1).alias("n"), *names, F.explode(F.array(*marks)).alias("m")).select("m.*", "n", *names)
-        got = rows.groupBy("i", "j").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names]).collect()
+            got = rows.groupBy("i", "j").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names]).collect()
         sums = {n: {} for n in moving}
         for r in got:
             sums[moving[r["i"]]][r["j"]] = (r["n"], [(int(r[f"x{d}h"]) << 24) + int(r[f"x{d}l"]) for d in range(len(cols))])
@@ -137,6 +172,9 @@ def lloyd(df: DataFrame, cols: list[str], starts: dict, max_iter: int = 300) ->
                 still.append(n)
             was[n] = sums[n]
         moving = still
+    if whole:
+        blocks.unpersist()
+        release(stored)
     return centers
 
 

@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lapse import session
 from lapse.operators import cluster as cl
 from lapse.operators import fuzzy as fz
 from lapse.operators import geo as gx
@@ -129,3 +130,25 @@ def test_kmeans_on_few_points_and_none(spark):
     assert cl.elbow(df.limit(0), ["x"]).count() == 0
     e = {r["k"]: r for r in cl.elbow(df, ["x"], ks=range(1, 4)).collect()}
     assert round(e[1]["sse"], 9) == round(sum((v - 4 / 3) ** 2 for v in [1.0] * 5 + [3.0]), 9) and e[2]["sse"] == e[3]["sse"] == 0.0
+
+
+def test_rounds_find_distances_where_the_rows_lie(spark, monkeypatch):
+    """No array of distances is planned in Spark a round, and numpy picks what the plan's expression picks."""
+    import numpy as np
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(0, 2, (300, 3)), 1)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double").repartition(3)
+    centers = [[0.0, 0.0, 0.0], [1.0, 1.0, -1.0], [-2.0, 0.5, 0.0], [1.0, 1.0, -1.0]]
+    rows = df.select("a", "b", "c", cl.nearest(["a", "b", "c"], centers)[0].alias("j")).collect()
+    assert cl.nearest_of([np.array([r[d] for r in rows]) for d in range(3)], centers).tolist() == [r["j"] for r in rows]
+    plain = cl.distances
+
+    def refused(*_):
+        raise AssertionError("distances are sent to the tasks")
+    monkeypatch.setattr(cl, "distances", refused)
+    before = list(session._WRITTEN)
+    got = cl.lloyd(df, ["a", "b", "c"], {4: centers})[4]
+    assert session._WRITTEN == before  # the blocks are deleted
+    monkeypatch.setattr(cl, "distances", plain)
+    at = cl.nearest_of(list(x.T), got)
+    assert all(np.allclose(got[j], x[at == j].mean(axis=0)) for j in set(at.tolist()))
